@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tramline.llm import oracles
+from tramline.llm.bpe import op9_bpe
+from tramline.llm.media import op8_media
 from tramline.llm.packing import op1_packing
 from tramline.llm.quality import op10_quality_rules
 from tramline.llm.sharding import op4_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op4_sharding, op10_quality_rules)
+    found = (op1_packing, op4_sharding, op8_media, op9_bpe, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
