@@ -13,10 +13,11 @@ from tramline.llm.packing import op1_packing
 from tramline.llm.quality import op10_quality_rules
 from tramline.llm.sharding import op4_sharding
 from tramline.llm.simhash import op5_simhash
+from tramline.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op4_sharding, op5_simhash, op8_media, op9_bpe, op10_quality_rules)
+    found = (op1_packing, op3_toxicity, op4_sharding, op5_simhash, op8_media, op9_bpe, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
