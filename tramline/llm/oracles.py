@@ -32,3 +32,44 @@ FROM f
 """
 
 SQL = {"op10_quality_rules": QUALITY}
+
+WARC = r"""
+WITH r AS (
+  SELECT page_id, coalesce(url, '') AS target, coalesce(html, '') AS body,
+         'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' ||
+         octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) AS headers, chr(13) || chr(10) AS nl,
+         sha256('response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '') || '|' || sha256(coalesce(html, ''))) AS h
+  FROM pages),
+i AS (
+  SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-a' || h[18:20] || '-' || h[21:32] || '>' AS refers_to FROM r),
+t AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(body,
+      '(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</(script|style)\s*>', ' ', 'g'), '[ \t\r\n\f\v]+', ' ', 'g'),
+      '(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|nav|article|section|header|footer|aside|main|title|head|body|html)\b[^>]*>', chr(10), 'g'),
+      '<[^>]*>', '', 'g') AS plain FROM i),
+d AS (
+  SELECT page_id, target, refers_to, nl, 'conversion' AS type, 'text/plain; charset=utf-8' AS content_type,
+         regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(plain, '&lt;', '<'), '&gt;', '>'),
+         '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+         ' *\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS block FROM t
+  UNION ALL
+  SELECT page_id, target, refers_to, nl, 'metadata', 'application/warc-fields',
+         'source-record: ' || refers_to || nl || 'source-block-digest: sha256:' || sha256(headers || nl || body) || nl ||
+         'source-payload-digest: sha256:' || sha256(body) || nl || 'source-payload-length: ' || octet_length(encode(body)) || nl ||
+         'source-http: HTTP/1.1 200 OK' || nl || 'source-http: Content-Type: text/html; charset=utf-8' || nl ||
+         'source-http: Content-Length: ' || octet_length(encode(body)) || nl FROM i),
+k AS (
+  SELECT *, sha256(type || '|' || refers_to) AS g, 'sha256:' || sha256(block) AS block_digest, octet_length(encode(block))::BIGINT AS content_length FROM d),
+e AS (
+  SELECT *, '<urn:uuid:' || g[1:8] || '-' || g[9:12] || '-5' || g[14:16] || '-a' || g[18:20] || '-' || g[21:32] || '>' AS record_id FROM k),
+w AS (
+  SELECT *, 'WARC/1.1' || nl || 'WARC-Type: ' || type || nl || 'WARC-Record-ID: ' || record_id || nl || 'WARC-Date: 2024-01-01T00:00:00Z' ||
+         CASE WHEN target <> '' THEN nl || 'WARC-Target-URI: ' || target ELSE '' END || nl || 'WARC-Refers-To: ' || refers_to || nl ||
+         'WARC-Block-Digest: ' || block_digest || nl || 'Content-Type: ' || content_type || nl || 'Content-Length: ' || content_length || nl || nl ||
+         block || nl || nl AS record FROM e)
+SELECT page_id, type, record_id, refers_to, target AS target_uri, content_type, content_length, block_digest,
+       octet_length(encode(record))::BIGINT AS record_length, sha256(record) AS record_sha256
+FROM w
+"""
+
+SQL["op6_warc"] = WARC

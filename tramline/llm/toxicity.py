@@ -51,15 +51,16 @@ DIGITS, SIGNED = "013457@$!|", "oieastasii"
 LOOKS = str.maketrans(CYRILLIC + GREEK + OTHERS, AS_LATIN + AS_LATIN_2 + AS_LATIN_3)
 LEET = str.maketrans(DIGITS, SIGNED)
 HIDDEN = re.compile("[­​-‏⁠﻿]")
-LEET_WORD = re.compile(r"(?=[0-9@$!|]*[^\W\d_])[^\W_@$!|]*(?:[0-9]|[@$!|](?=[^\W_]))[\w@$!|]*")
-SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-*_ ]){3,}[^\W_](?![^\W_])")
+LEET_WORD = re.compile(r"(?<![^\W_])[^\W\d_]*(?:[0-9]|[@$!|](?=[^\W_]))(?:\w|[@$!|](?=[^\W_]))*")
+SPELLED = re.compile(r"(?<![^\W_])[^\W_]([.\-*_ ])(?:[^\W_]\1){2,}[^\W_](?![^\W_])")
 SEPARATORS = re.compile(r"[.\-*_ ]")
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 WORD = re.compile(r"[^\W_]+")
 
 
 def _leet(match: re.Match) -> str:
-    return match[0].translate(LEET)
+    word = match[0]
+    return word.translate(LEET) if any(map(str.isalpha, word)) else word
 
 
 def fold(text: str) -> str:
