@@ -16,10 +16,11 @@ from tramline.llm.simhash import op5_simhash
 from tramline.llm.toxicity import op3_toxicity
 from tramline.llm.urlfilter import op2_url_filter
 from tramline.llm.warc import op6_warc
+from tramline.llm.wrappers import op7_html_text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_url_filter, op3_toxicity, op4_sharding, op5_simhash, op6_warc, op8_media, op9_bpe, op10_quality_rules)
+    found = (op1_packing, op2_url_filter, op3_toxicity, op4_sharding, op5_simhash, op6_warc, op7_html_text, op8_media, op9_bpe, op10_quality_rules)
     return {f.__name__: f for f in found}
 
 
