@@ -46,6 +46,12 @@ def asof_forward(left: DataFrame, right: DataFrame, by: list[str], left_key: Col
     return out.filter(F.col("match").isNotNull()) if how == "inner" else out
 
 
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_key: Column, right_key: Column, payload: list[str]) -> DataFrame:
+    """Each row of left with the last row of right at or before its key: left's columns and ``match``."""
+    found = _union(left, right, by, left_key, right_key, payload).withColumn("match", _backward(by)).filter(F.col("__side") == _PROBE)
+    return found.select("__left.*", "match")
+
+
 def nearest(left: DataFrame, right: DataFrame, by: list[str], left_key: Column, right_key: Column, payload: list[str], tolerance: int) -> DataFrame:
     """Each row of left with the row of right whose key is nearest, within tolerance seconds; the earlier one on ties."""
     both = _union(left, right, by, left_key, right_key, payload).withColumn("__after", _forward(by)).withColumn("__before", _backward(by))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tramline.plans import features
+from tramline.plans import alerting, features, trajectories
 from tramline.plans.base import ORACLES, QUERIES, Query
 
-MODULES = (features,)
+MODULES = (alerting, features, trajectories)
 
 
 def queries() -> dict[str, Query]:
