@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,18 +70,22 @@ def holdout(df: DataFrame, days: int, day: str = "service_date") -> Column:
     return F.col(day).isin([r[0] for r in dates.collect()])
 
 
-def select_dates(dates: list[date], most: int, selection: str) -> list[date]:
-    """The first or last dates, or some spread over all of them."""
-    dates = sorted(dates)
-    if most <= 0 or most >= len(dates):
-        return dates
+def select_dates(df: DataFrame, most: int, selection: str, day: str = "service_date") -> DataFrame:
+    """Rows of at most ``most`` of the dates: the first ones, the last ones, or ones spread over all."""
+    dates = df.select(day).distinct()
+    n = dates.count()
+    if most <= 0 or n <= most:
+        return df
+    k = F.row_number().over(Window.orderBy(day)) - 1  # a row for each date
     if selection == "first":
-        return dates[:most]
-    if selection == "last":
-        return dates[-most:]
-    if most == 1:
-        return [dates[len(dates) // 2]]
-    return [dates[k] for k in sorted({round(j * (len(dates) - 1) / (most - 1)) for j in range(most)})]
+        wanted = k < most
+    elif selection == "last":
+        wanted = k >= n - most
+    else:
+        places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: F.bround(j * (n - 1) / max(1, most - 1), 0).cast("int"))
+        wanted = (k == n // 2) if most == 1 else F.array_contains(places, k)
+    chosen = dates.withColumn("__wanted", wanted).filter("__wanted").select(day)
+    return df.join(F.broadcast(chosen), day, "left_semi")
 
 
 def observed_columns(df: DataFrame, wanted: list[str]) -> list[str]:

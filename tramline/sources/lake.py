@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,6 +184,3 @@ def coerce_alerts(raw: DataFrame) -> DataFrame:
     risk = F.col("risk").try_cast("double")
     return raw.withColumns({"risk": F.coalesce(F.when(~F.isnan(risk), risk), F.lit(0.0)), "alert": F.coalesce(F.lower("alert").try_cast("boolean"), F.lit(False))})
 
-
-def dates_present(df: DataFrame) -> list[date]:
-    return sorted(r[0] for r in df.select("service_date").distinct().collect())
