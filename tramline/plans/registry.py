@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tramline.plans import alerting, features, lake, trajectories
+from tramline.plans import alerting, features, health, lake, streams, trajectories
 from tramline.plans.base import ORACLES, QUERIES, Query
 
-MODULES = (alerting, features, lake, trajectories)
+MODULES = (alerting, features, health, lake, streams, trajectories)
 
 
 def queries() -> dict[str, Query]:
