@@ -1,13 +1,15 @@
 """SimHash near-duplicates: pigeonhole blocks, verified by Hamming distance, and their connected components.
 
 Texts become 64-bit fingerprints of their shingles. All further work is on distinct fingerprints. A fingerprint is
-split into four blocks of 16 bits; two that differ in at most two bits agree on at least two of the four, so each takes
-part in six joins, one for each pair of blocks, and candidates are verified by their distance.
+split into blocks, so many that two within the distance agree on some of them: at distance 2 on two of four blocks of 16
+bits, at a larger one on three of distance + 3 blocks. Each takes part in a join for every choice of that many blocks
+(6 at distance 2, 56 at distance 5), and candidates are verified by their distance.
 
-Blocks with many fingerprints are not paired off. There, every fingerprint is listed under itself and under each
-neighbour that differs in one bit outside the block: two fingerprints are at distance two at most exactly if they are
-listed under one neighbour, and those under one neighbour, of which there are 33 at most, are linked to the least. So no
-link is lost and the work stays in proportion to the fingerprints.
+Blocks with many fingerprints are not paired off. At distance 2, every fingerprint is listed there under itself and under
+each neighbour that differs in one bit outside the block: two fingerprints are at distance two at most exactly if they
+are listed under one neighbour, and those under one neighbour, of which there are 33 at most, are linked to the least;
+the work stays in proportion to the fingerprints. At a larger distance the block is cut into tiles, and each pair of
+tiles, a group of bounded size, gives the links that connect it. Either way no link that matters is lost.
 
 Components come from alternating large-star and small-star steps, each written to the shared folder.
 
@@ -34,9 +36,12 @@ from tramline.llm.common import WORD_PATTERN, stored, table
 SHINGLE = 3
 DISTANCE = 2
 SEED = 42
-BLOCKS, BLOCK_BITS = 4, 16
+#: Bits that the fingerprints of one text's copies may differ in for the pipeline's stage.
+STAGE_DISTANCE = 5
 #: Fingerprints in a block up to which they are compared pair by pair.
 PAIRWISE = 64
+#: Fingerprints in a tile of a larger block.
+TILE = 1000
 #: Rounds of two star steps; each halves the depth of what is left, so that no real graph needs as many.
 ROUNDS = 60
 
@@ -81,40 +86,77 @@ def _distance(a: str, b: str) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _blocks() -> F.Column:
-    """Array of (block, free): the number and bits of two blocks of ``print``, and the mask of the other bits."""
-    every = []
-    for k, kept in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE)):
-        mask = sum(((1 << BLOCK_BITS) - 1) << (BLOCK_BITS * b) for b in kept)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        every.append(F.struct(F.lit(k).alias("which"), F.col("print").bitwiseAND(F.lit(signed)).alias("bits")))
-    return F.array(*every)
+def _masks(distance: int) -> list[int]:
+    """For each choice of blocks that two prints at distance agree on, at least one, the mask of their bits."""
+    blocks, kept = (4, 2) if distance <= 2 else (distance + 3, 3)
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    parts = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
+    return [sum(some) for some in combinations(parts, kept)]
 
 
-def _free_bits() -> F.Column:
-    """For each number of a pair of blocks, the single bits outside them and 0."""
-    every = []
-    for kept in combinations(range(BLOCKS), BLOCKS - DISTANCE):
-        bits = [1 << b for b in range(64) if b // BLOCK_BITS not in kept]
-        every.append(F.array(*[F.lit(b - (1 << 64) if b >> 63 else b).cast("long") for b in (0, *bits)]))
-    return F.array(*every)
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b), a > b: nodes whose prints differ in DISTANCE bits at most, enough of them to connect all such pairs.
+def _blocks(distance: int) -> F.Column:
+    """Array of (which, bits): number of a choice of blocks, and the print's bits there."""
+    return F.array(*[F.struct(F.lit(k).alias("which"), F.col("print").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(_masks(distance))])
+
+
+def _free_bits(distance: int) -> F.Column:
+    """For each choice of blocks, 0 and the single bits outside them."""
+    return F.array(*[F.array(*[F.lit(_signed(x)).cast("long") for x in (0, *(1 << b for b in range(64) if not m >> b & 1))]) for m in _masks(distance)])
+
+
+def _spanning(distance: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links within distance that connect all rows which such links connect, one less than rows at most."""
+        rows = rows.sort_values("node")
+        nodes, prints = rows["node"].to_numpy(), rows["print"].to_numpy().view(np.uint64)
+        left, out = np.arange(len(nodes)), []
+        while len(left):
+            todo, left = [left[0]], left[1:]
+            while todo and len(left):
+                at = todo.pop()
+                near = np.bitwise_count(prints[left] ^ prints[at]) <= distance
+                out += [(max(nodes[at], nodes[k]), min(nodes[at], nodes[k])) for k in left[near]]
+                todo += left[near].tolist()
+                left = left[~near]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b), a > b: nodes whose prints differ in distance bits at most, enough of them to connect all such pairs.
 
     prints: distinct ``print`` and their ``node``.
     """
-    blocks = stored(prints.select("node", "print", F.explode(_blocks()).alias("block")).select("node", "print", "block.which", "block.bits"), "blocks")
+    blocks = prints.select("node", "print", F.explode(_blocks(distance)).alias("block")).select("node", "print", "block.which", "block.bits")
     sizes = blocks.groupBy("which", "bits").agg(F.count("*").alias("size")).filter("size > 1")
     shared = stored(blocks.join(sizes, ["which", "bits"]), "shared-blocks")
     few = shared.filter(F.col("size") <= PAIRWISE).drop("size")
     ours, theirs = (few.select("which", "bits", F.col("node").alias(f"{x}"), F.col("print").alias(f"p{x}")) for x in "ab")
-    near = ours.join(theirs, ["which", "bits"]).filter((F.col("a") > F.col("b")) & (_distance("pa", "pb") <= DISTANCE)).select("a", "b")
-    under = shared.filter(F.col("size") > PAIRWISE).select("which", "bits", "node", "print", F.explode(F.element_at(_free_bits(), F.col("which") + 1)).alias("bit"))
+    near = ours.join(theirs, ["which", "bits"]).filter((F.col("a") > F.col("b")) & (_distance("pa", "pb") <= distance)).select("a", "b")
+    many = shared.filter(F.col("size") > PAIRWISE)
+    return near.union(_under_neighbours(many) if distance == 2 else _by_tiles(many, distance)).distinct()
+
+
+def _under_neighbours(many: DataFrame) -> DataFrame:
+    """Links at distance 2 in large blocks: prints listed under one neighbour are linked to the least of them."""
+    under = many.select("which", "bits", "node", "print", F.explode(F.element_at(_free_bits(2), F.col("which") + 1)).alias("bit"))
     least = F.min(F.struct("node", "print")).over(Window.partitionBy("which", "bits", F.col("print").bitwiseXOR(F.col("bit"))))
-    hubs = under.withColumn("hub", least).withColumn("hub_print", F.col("hub.print")).filter((F.col("node") > F.col("hub.node")) & (_distance("print", "hub_print") <= DISTANCE))
-    return near.union(hubs.select("node", "hub.node")).distinct()
+    hubs = under.withColumn("hub", least).withColumn("hub_print", F.col("hub.print")).filter((F.col("node") > F.col("hub.node")) & (_distance("print", "hub_print") <= 2))
+    return hubs.select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+
+
+def _by_tiles(many: DataFrame, distance: int) -> DataFrame:
+    """Links at any distance in large blocks, which are cut into tiles; each pair of tiles is a group of bounded size."""
+    n = F.ceil(F.col("size") / TILE).cast("int")
+    tile = F.pmod(F.xxhash64("node"), n).cast("int")
+    pairs = many.select("which", "bits", "node", "print", tile.alias("t"), F.explode(F.sequence(F.lit(0), n - 1)).alias("u"))
+    keyed = pairs.select("which", "bits", "node", "print", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"))
+    return keyed.groupBy("which", "bits", "t", "u").applyInPandas(_spanning(distance), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -142,11 +184,11 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, print and component_id of each document."""
     prints = stored(fingerprints(docs, size), "prints")
     distinct = stored(prints.groupBy("print").agg(F.min("doc_id").alias("node")), "distinct-prints")
-    roots = stored(components(links(distinct.filter("node IS NOT NULL"))), "roots")
+    roots = stored(components(links(distinct.filter("node IS NOT NULL"), distance)), "roots")
     linked = distinct.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
     return prints.join(stored(linked, "classes"), "print").select("doc_id", "print", "component_id")
 
@@ -157,7 +199,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least id stays, once; documents without an id stay."""
-    first = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """Pipeline stage: of each component the document with the least id stays, once; documents without an id stay.
+
+    Copies with a few changed words differ in three to six bits, so the stage links at a larger distance than the query.
+    """
+    first = near_duplicates(docs, distance=STAGE_DISTANCE).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(stored(first, "first"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).union(docs.filter("doc_id IS NULL"))

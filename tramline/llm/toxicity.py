@@ -37,6 +37,8 @@ from tramline.llm.common import held_out, stored, table
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 #: Letters of a beginning; entries of the lexicon and of exceptions, at most; candidates for either in the second test.
 STEMS, ENTRIES, CANDIDATES = range(3, 9), 500, 5000
+#: Texts whose words and beginnings a worker counts at a time.
+SLICE = 500
 #: Least log-likelihood ratio and log of rates of an entry.
 LEAST_RATIO, LEAST_WEIGHT = 30.0, 1.0
 #: The same for a phrase that makes an entry harmless.
@@ -134,17 +136,19 @@ class Matcher:
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    """How many toxic and clean texts of a batch have each word and beginning."""
+    """How many toxic and clean texts have each word and beginning, summed over SLICE texts at a time."""
     for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-            found = set()
-            for w in set(fold(text or "").split()):
-                found.add(f" {w} ")
-                found.update(f" {w[:n]}" for n in STEMS if n < len(w))
-            counts[1 if toxic else 0].update(found)
-        every = set(counts[0]) | set(counts[1])
-        yield pd.DataFrame([(e, counts[1][e], counts[0][e]) for e in every], columns=["entry", "toxic", "clean"])
+        for at in range(0, len(batch), SLICE):
+            part = batch.iloc[at : at + SLICE]
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, toxic in zip(part["text"], part["toxic"], strict=True):
+                found = set()
+                for w in set(fold(text or "").split()):
+                    found.add(f" {w} ")
+                    found.update(f" {w[:n]}" for n in STEMS if n < len(w))
+                counts[1 if toxic else 0].update(found)
+            every = list(set(counts[0]) | set(counts[1]))
+            yield pd.DataFrame({"entry": every, "toxic": [counts[1][e] for e in every], "clean": [counts[0][e] for e in every]})
 
 
 def _contexts(entries: set[str]):
