@@ -157,14 +157,14 @@ def test_exceptions_and_matching():
 
 
 def test_held_out_accuracy(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn(docs, labels)
     entries = {e.strip() for e, _ in model.lexicon.entries}
-    assert {"idiot", "moron", "trash"} <= entries
+    assert {"idiot", "moron", "trash", "réeux", "achlich"} <= entries
     rows = toxicity.score(docs, model).join(labels, "doc_id").filter(toxicity.held_out(F.col("doc_id"))).collect()
     good, bad = [r.score for r in rows if not r.toxic], [r.score for r in rows if r.toxic]
-    assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(good) * len(bad)) > 0.85
-    assert sum(g >= 0.5 for g in good) <= 2
+    assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(good) * len(bad)) > 0.95
+    assert sum(g >= 0.5 for g in good) < 0.01 * len(good) and sum(b >= 0.5 for b in bad) > 0.9 * len(bad)
 
 
 def test_toxicity_on_odd_rows(spark, odd, empty):
