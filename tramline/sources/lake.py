@@ -154,17 +154,19 @@ def parse_messages(messages: DataFrame, zero: bool = True) -> DataFrame:
     return rows.filter("vehicle_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
 
 
-FEED_SCHEMA = (
-    "features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<vehicle_id:string,route_short_name:string,delay:string,"
+FEATURE_SCHEMA = (
+    "geometry struct<coordinates:array<double>>, properties struct<vehicle_id:string,route_short_name:string,delay:string,"
     "trip:struct<vehicle_registration_number:string,origin_route_name:string,gtfs:struct<trip_id:string,route_id:string,route_short_name:string,route_type:string>>,"
     "last_position:struct<speed:string,state_position:string,origin_timestamp:string,delay:struct<actual:string>,last_stop:struct<id:string,sequence:int,arrival_time:string,departure_time:string>,"
-    "next_stop:struct<id:string,sequence:int,arrival_time:string,departure_time:string>>>>>"
+    "next_stop:struct<id:string,sequence:int,arrival_time:string,departure_time:string>>>"
 )
 
 
 def parse_feed(snapshots: DataFrame) -> DataFrame:
     """One row for each feature of GeoJSON snapshots (``value``, ``ingest_ts``), with the first usable id, line and delay."""
-    f = snapshots.select("ingest_ts", F.explode(F.from_json("value", FEED_SCHEMA)["features"]).alias("f")).filter("f IS NOT NULL")
+    # Each feature on its own: one that is no object costs no other.
+    each = snapshots.select("ingest_ts", F.explode(F.from_json("value", "features array<string>")["features"]).alias("text"))
+    f = each.filter(F.startswith(F.ltrim("text"), F.lit("{"))).select("ingest_ts", F.from_json("text", FEATURE_SCHEMA).alias("f"))
     p = F.col("f.properties")
     trip, last = p["trip"], p["last_position"]
     first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
