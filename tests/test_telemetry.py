@@ -190,10 +190,12 @@ def test_lake_modes(spark, tmp_path):
     L.write_lake(df, path)
     with pytest.raises(Exception, match="already exists"):
         L.write_lake(df, path)
-    L.refresh_lake(spark, df.filter("event_id = 2").withColumn("vehicle_id", F.lit("w")), path, ["event_id"])
+    L.refresh_lake(df.filter("event_id = 2").withColumn("vehicle_id", F.lit("w")), path)
     assert sorted(column(spark.read.parquet(path), "vehicle_id")) == ["v", "w"]
+    L.refresh_lake(df.filter("event_id = 2").withColumn("event_id", F.lit(3).cast("long")), path, ["event_id"], f"file://{tmp_path}/staging")
+    assert sorted(column(spark.read.parquet(path), "event_id")) == [1, 2, 3]
     with pytest.raises(ValueError, match="no partitions"):
-        L.refresh_lake(spark, df.limit(0), path, ["event_id"])
+        L.refresh_lake(df.limit(0), path)
     with pytest.raises(ValueError, match="missing"):
         L.require(df, ["event_id", "nothing"])
 

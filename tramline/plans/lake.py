@@ -63,14 +63,7 @@ def _refreshed(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     L.write_lake(p, out)
     first = p.agg(F.min("service_date")).first()[0]
     fresh = p.filter((F.col("service_date") >= F.date_add(F.lit(first), 10)) & (F.col("event_id") % 2 == 0)).withColumn("delay", F.col("delay") + 1000)
-    if mode == "merge":
-        own = scratch(spark, "merged")
-        dates = fresh.select("service_date").distinct()
-        old = spark.read.parquet(out).join(dates, "service_date", "left_semi").select(*KEEP)
-        both = fresh.withColumn("__new", F.lit(1)).unionByName(old.withColumn("__new", F.lit(0)))
-        both.groupBy("event_id").agg(F.max_by(F.struct(*KEEP), "__new").alias("row")).select("row.*").write.parquet(own)
-        fresh = spark.read.parquet(own)
-    L.refresh_lake(spark, fresh, out, ["event_id"], "replace")
+    L.refresh_lake(fresh, out, *((["event_id"], scratch(spark, "merged")) if mode == "merge" else ()))
     return spark.read.parquet(out).select(*KEEP)
 
 
@@ -102,6 +95,17 @@ def time_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.retained(p, "time", F.lit(p.agg(F.max("time")).first()[0]), 240).select("event_id", "time")
 
 
+@query(POS + "SELECT event_id, time, delay, lat FROM pos WHERE time >= (SELECT max(time) - INTERVAL 5 DAY FROM pos) AND time < (SELECT max(time) - INTERVAL 2 DAY FROM pos)")
+def selected_columns_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required columns of several lakes, those of the optional ones that are there, and a half-open time filter."""
+    p, outs = positions(spark, sf_dir), [scratch(spark, f"half-{k}") for k in (0, 1)]
+    for k, out in enumerate(outs):
+        p.filter(F.col("event_id") % 2 == k).select(*KEEP).write.parquet(out)
+    found = L.read_selected(spark, outs, ["event_id", "time", "delay"], ["lat", "heading"])
+    last = F.lit(p.agg(F.max("time")).first()[0])
+    return found.filter((F.col("time") >= F.timestamp_add("DAY", F.lit(-5), last)) & (F.col("time") < F.timestamp_add("DAY", F.lit(-2), last)))
+
+
 @query(POS + "SELECT service_date, count(*) AS rows, count(DISTINCT vehicle_id) AS vehicles, round(sum(delay)::DOUBLE, 3) AS delays FROM pos GROUP BY 1")
 def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "compact")

@@ -81,19 +81,20 @@ def write_lake(df: DataFrame, path: str, force: bool = False) -> None:
     df.repartition("service_date", F.hour("time")).sortWithinPartitions("service_date", "vehicle_id", "time").write.mode("overwrite" if force else "errorifexists").option("compression", "zstd").partitionBy("service_date").parquet(path)
 
 
-def refresh_lake(spark: SparkSession, df: DataFrame, path: str, key: list[str], mode: str = "replace") -> None:
-    """Only the dates of df are written anew.
+def refresh_lake(df: DataFrame, path: str, key: list[str] | None = None, staging: str | None = None) -> None:
+    """Only the dates of df are written anew: with df's rows alone, or, given a key, with the old rows of those dates too.
 
-    replace: with df's rows alone; merge: with the old rows of those dates too, df's where keys agree.
+    Of rows with one key df's counts. The merged rows are written to staging first, since they are read from the lake.
     """
+    spark = df.sparkSession
     dates = df.select("service_date").distinct()
     if dates.isEmpty():
         raise ValueError("no partitions to refresh")
-    if mode == "merge":
+    if key:
         old = spark.read.parquet(path).join(dates, "service_date", "left_semi").select(df.columns)
-        fresh = df.withColumn("__new", F.lit(1)).unionByName(old.withColumn("__new", F.lit(0)))
-        df = fresh.groupBy(*key).agg(F.max_by(F.struct("*"), "__new").alias("row")).select("row.*").drop("__new").select(df.columns)
-        df = df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
+        both = df.withColumn("__new", F.lit(1)).unionByName(old.withColumn("__new", F.lit(0)))
+        both.groupBy(*key).agg(F.max_by(F.struct(*df.columns), "__new").alias("row")).select("row.*").write.parquet(staging)
+        df = spark.read.parquet(staging)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("service_date").parquet(path)
 
 
