@@ -46,6 +46,25 @@ def asof_forward(left: DataFrame, right: DataFrame, by: list[str], left_key: Col
     return out.filter(F.col("match").isNotNull()) if how == "inner" else out
 
 
+def asof_forward_self(df: DataFrame, by: list[str], probe_key: Column, build_key: Column, payload: list[str], tolerance: int | None = None, how: str = "left") -> DataFrame:
+    """asof_forward of a frame with itself: every row is doubled into a probe and a build row where it is.
+
+    The frame is made once, and if it is already partitioned by key, as after a window, nothing is shuffled.
+    """
+    sides = F.array(F.struct(F.lit(_PROBE).alias("s"), probe_key.alias("k")), F.struct(F.lit(_BUILD).alias("s"), build_key.alias("k")))
+    each = df.select(*by, F.struct("*").alias("__row"), F.struct(build_key.alias("__at"), *[F.col(c) for c in payload]).alias("__own"), F.explode(sides).alias("__x"))
+    doubled = each.select(
+        *by, F.col("__x.k").alias("__key"), F.col("__x.s").alias("__side"),
+        F.when(F.col("__x.s") == _PROBE, F.col("__row")).alias("__left"), F.when(F.col("__x.s") == _BUILD, F.col("__own")).alias("__right"),
+    )
+    found = doubled.withColumn("match", _forward(by)).filter(F.col("__side") == _PROBE)
+    match = F.col("match")
+    if tolerance is not None:
+        match = F.when(epoch_seconds(F.col("match.__at")) - epoch_seconds(F.col("__key")) <= tolerance, match)
+    out = found.withColumn("match", match).select("__left.*", "match")
+    return out.filter(F.col("match").isNotNull()) if how == "inner" else out
+
+
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_key: Column, right_key: Column, payload: list[str]) -> DataFrame:
     """Each row of left with the last row of right at or before its key: left's columns and ``match``."""
     found = _union(left, right, by, left_key, right_key, payload).withColumn("match", _backward(by)).filter(F.col("__side") == _PROBE)

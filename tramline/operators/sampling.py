@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.timeutil import bucket, day_of_week, second_diff
-from tramline.operators.asof import asof_forward
+from tramline.operators.asof import asof_forward_self
 
 
 def sample_last_non_null(df: DataFrame, columns: list[str], seconds: int, origin: str, time: str = "time") -> DataFrame:
@@ -68,7 +68,7 @@ def with_target(df: DataFrame, horizon: int, tolerance: int, keep_unlabelled: bo
     """The first later sample at or after time + horizon; its columns are null if it is over tolerance seconds later still."""
     target = F.timestamp_add("SECOND", F.lit(horizon), F.col(time))
     rows = df.withColumn("target_time", target)
-    found = asof_forward(rows, df, ["vehicle_id"], F.col("target_time"), F.col(time), ["delay"], tolerance, "left" if keep_unlabelled else "inner")
+    found = asof_forward_self(rows, ["vehicle_id"], F.col("target_time"), F.col(time), ["delay"], tolerance, "left" if keep_unlabelled else "inner")
     return found.withColumns({
         "future_time": F.col("match.__at"), "target_delay": F.col("match.delay"),
         "target_delay_delta": F.col("match.delay") - F.col("delay"),
