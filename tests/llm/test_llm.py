@@ -151,7 +151,7 @@ def test_folding():
 
 
 def test_exceptions_and_matching():
-    m = toxicity.Matcher(toxicity.Lexicon(((" clown ", 2.0), (" réeux", 3.0)), ("clown fish",)))
+    m = toxicity.Matcher(toxicity.Lexicon(((" clown ", 2.0, 1.0), (" réeux", 3.0, 0.5)), ("clown fish",)))
     assert m.measure("a clown fish")[0] == 0 < m.measure("a cl0wn réeuxment")[0] > m.measure("a clown")[0] > 0
     assert m.measure("éréeux")[0] == 0
 
@@ -159,7 +159,7 @@ def test_exceptions_and_matching():
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn(docs, labels)
-    entries = {e.strip() for e, _ in model.lexicon.entries}
+    entries = {e.strip() for e, *_ in model.lexicon.entries}
     assert {"idiot", "moron", "trash", "réeux", "achlich"} <= entries
     rows = toxicity.score(docs, model).join(labels, "doc_id").filter(toxicity.held_out(F.col("doc_id"))).collect()
     good, bad = [r.score for r in rows if not r.toxic], [r.score for r in rows if r.toxic]
@@ -168,7 +168,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_toxicity_on_odd_rows(spark, odd, empty):
-    model = toxicity.Model(toxicity.Lexicon(((" idiot ", 3.0),)), (1.0, 1.0, 1.0), -2.0)
+    model = toxicity.Model(toxicity.Lexicon(((" idiot ", 3.0, 2.0),)), (1.0, 1.0, 1.0, 1.0), -2.0)
     found = toxicity.score(odd, model).collect()
     assert len(found) == len(ODD) and all(0 <= r.score <= 1 for r in found)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -309,6 +309,23 @@ def test_main_text_of_the_tables(spark):
         assert texts[r.page_id] == "\n".join(filter(None, blocks))
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ('<body><nav>m</nav><div class="content-sidebar-wrap"><p>one</p><p>two&nbsp; three</p></div></body>', "one\ntwo three"),
+    ('<article><div class="article-header"><h1>T</h1></div><p>x<span>y</span> z</p><div class="share">s</div><button>b</button></article><p>out</p>', "T\nxy z"),
+    ('<div class="a"><p>menu</p></div><div class="b"><h2>t</h2><p>' + "word " * 40 + "</p><p>&lt;more&gt;</p></div>", "t\n" + ("word " * 40).strip() + "\n<more>"),
+    ('<main><article>a<article class="comment">c</article></article></main><div role="complementary">r</div>', "a"),
+    ("<p title='<x>'>a<!-- <p>no</p> --> b</p><style>p</style>", "a b"),
+])
+def test_single_pages(source, want):
+    assert wrappers.extract(source, None) == want
+
+
+def test_template_text_goes(spark):
+    pages = [(k, "http://h/", f"<div><p>{'story ' * 40}{k}</p><h3>Share this page</h3></div>") for k in range(12)]
+    found = wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all("Share" not in r.text and f"story {r.page_id}" in r.text for r in found)
+
+
 def test_wrapper_groups():
     a, b = (wrappers.page_expression(f"<body><div><p>{x}</p>{y}</div></body>") for x, y in (("one", "<p>two</p>"), ("three", "<table></table>")))
     body = wrappers.align(a, b)[6][0]
