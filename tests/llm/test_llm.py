@@ -200,6 +200,15 @@ def test_shuffle_is_uniform_enough_and_seeded(spark):
     assert 0.4 < sum(a < b for a, b in zip(orders[0], orders[0][1:], strict=False)) / 4000 < 0.6
 
 
+def test_copies_beyond_a_bucket_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 200)
+    rows = spark.range(3000).select(F.greatest(F.col("id"), F.lit(2000)).alias("doc_id"), F.lit(100).alias("size"))
+    found = sharding.shuffled(rows, 1, buckets=15).orderBy("__position").collect()
+    assert [r["__position"] for r in found] == list(range(3000)) and sum(r.doc_id == 2000 for r in found) == 2001
+    thirds = [sum(r.doc_id == 2000 for r in found[k : k + 1000]) for k in (0, 1000, 2000)]
+    assert max(thirds) - min(thirds) < 150
+
+
 # SimHash
 
 
