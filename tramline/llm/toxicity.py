@@ -51,6 +51,9 @@ OTHERS, AS_LATIN_3 = "ıɑɡɩɪʟɴʀʏꜱᴀᴄᴅᴇᴊᴋᴍᴏᴘᴛᴜᴠ
 DIGITS, SIGNED = "013457@$!|", "oieastasii"
 
 LOOKS = str.maketrans(CYRILLIC + GREEK + OTHERS, AS_LATIN + AS_LATIN_2 + AS_LATIN_3)
+#: What a text is judged by, in the order that Matcher.measure has them.
+MEASURES = ("total", "density", "variety", "purity")
+
 LEET = str.maketrans(DIGITS, SIGNED)
 HIDDEN = re.compile("[­​-‏⁠﻿]")
 LEET_WORD = re.compile(r"(?<![^\W_])[^\W\d_]*(?:[0-9]|[@$!|](?=[^\W_]))(?:\w|[@$!|](?=[^\W_]))*")
@@ -86,9 +89,13 @@ def bare(folded: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """entries: text, starting with a blank, ending with one too if it is a whole word, and weight."""
+    """entries: text, starting with a blank, ending with one too if it is a whole word; weight; and purity.
+
+    The weight is the log of how much more often toxic texts have the entry, the purity the log odds that a text with it
+    is toxic.
+    """
 
-    entries: tuple[tuple[str, float], ...]
+    entries: tuple[tuple[str, float, float], ...]
     exceptions: tuple[str, ...] = ()
 
 
@@ -101,38 +108,38 @@ class Matcher:
     @staticmethod
     def _automaton(lexicon: Lexicon, ascii_only: bool) -> ahocorasick.Automaton | None:
         found = ahocorasick.Automaton()
-        for text, weight in lexicon.entries:
+        for text, weight, purity in lexicon.entries:
             if text.isascii() == ascii_only:
-                found.add_word(text, (weight, text))
+                found.add_word(text, (weight, purity, text))
         for text in lexicon.exceptions:
             if text.isascii() == ascii_only:
-                found.add_word(f" {text.strip()} ", (0.0, f" {text.strip()} "))
+                found.add_word(f" {text.strip()} ", (0.0, 0.0, f" {text.strip()} "))
         if not len(found):
             return None
         found.make_automaton()
         return found
 
-    def _hits(self, automaton: ahocorasick.Automaton | None, text: str) -> list[tuple[str, float]]:
+    def _hits(self, automaton: ahocorasick.Automaton | None, text: str) -> list[tuple[str, float, float]]:
         if automaton is None:
             return []
         hits, harmless = [], []
-        for end, (weight, entry) in automaton.iter(text):
+        for end, (weight, purity, entry) in automaton.iter(text):
             start = end - len(entry) + 1
             if weight:
-                hits.append((start, end, entry, weight))
+                hits.append((start, end, entry, weight, purity))
             else:
                 harmless.append((start, end))
-        return [(e, w) for s, t, e, w in hits if not any(a <= s and t <= b + 1 for a, b in harmless)]
+        return [(e, w, p) for s, t, e, w, p in hits if not any(a <= s and t <= b + 1 for a, b in harmless)]
 
-    def measure(self, text: str) -> tuple[float, float, float]:
-        """Log of the sum of weights, that sum by words of text, and log of the number of different entries."""
+    def measure(self, text: str) -> tuple[float, ...]:
+        """Log of the sum of weights; of that sum by words of text; of the number of different entries; the best purity."""
         folded = fold(text)
         hits = self._hits(self.accented, folded) + self._hits(self.plain, bare(folded))
         if not hits:
-            return 0.0, 0.0, 0.0
-        total = sum(w for _, w in hits)
+            return (0.0,) * len(MEASURES)
+        total = sum(w for _, w, _ in hits)
         n = folded.count(" ") - 1
-        return math.log1p(total), math.log1p(100 * total / (n + 20)), math.log1p(len({e for e, _ in hits}))
+        return math.log1p(total), math.log1p(100 * total / (n + 20)), math.log1p(len({e for e, _, _ in hits})), max(0.0, *(p for _, _, p in hits))
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -181,12 +188,12 @@ def _weight(a: float, b: float, m: float, n: float) -> float:
     return math.log((a + 0.5) / m) - math.log((b + 0.5) / n)
 
 
-def _without_kin(rows: list[tuple[float, str, float]], kept: int) -> list[tuple[str, float]]:
+def _without_kin(rows: list[tuple[float, str, float, float]], kept: int) -> list[tuple[str, float, float]]:
     """The best of entries that begin one another; of equals the longest."""
-    out: list[tuple[str, float]] = []
-    for _, entry, weight in sorted(rows, key=lambda x: (-round(x[0], 6), -len(x[1]), x[1])):
-        if len(out) < kept and not any(entry.startswith(e) or e.startswith(entry) for e, _ in out):
-            out.append((entry, weight))
+    out: list[tuple[str, float, float]] = []
+    for _, entry, weight, purity in sorted(rows, key=lambda x: (-round(x[0], 6), -len(x[1]), x[1])):
+        if len(out) < kept and not any(entry.startswith(e) or e.startswith(entry) for e, _, _ in out):
+            out.append((entry, weight, purity))
     return out
 
 
@@ -213,15 +220,17 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     p, q, r = F.col("a") / m1, F.col("b") / m0, (F.col("a") + F.col("b")) / (m1 + m0)
     likely = 2 * (F.col("a") * F.log(p / r) + F.when(q > 0, F.col("b") * F.log(q / r)).otherwise(0))
     first = sums.filter((p > q) & (likely > LEAST_RATIO / 2)).orderBy(likely.desc(), "entry").limit(CANDIDATES)
-    entries = {x["entry"] for x in first.collect()}
+    docs = {x["entry"]: (x["a"], x["b"]) for x in first.collect()}
+    entries = set(docs)
     seen = texts.mapInPandas(_contexts(entries), "entry string, before string, word string, after string, toxic int").distinct()
     around = stored(seen, "contexts")
     totals = {x["toxic"]: x["n"] for x in texts.withColumn("words", F.size(F.split("text", r"\s+"))).groupBy("toxic").agg(F.sum("words").alias("n")).collect()}
     t1, t0 = float(totals[1]), float(totals[0])
     pairs = around.groupBy("entry").agg(F.countDistinct(F.when(F.col("toxic") == 1, F.struct("before", "after"))).alias("a"), F.countDistinct(F.when(F.col("toxic") == 0, F.struct("before", "after"))).alias("b")).collect()
-    scored = [(ratio(x["a"], x["b"], t1, t0), x["entry"], _weight(x["a"], x["b"], t1, t0)) for x in pairs]
+    purity = {e: math.log((a + 0.5) / (b + 0.5)) for e, (a, b) in docs.items()}
+    scored = [(ratio(x["a"], x["b"], t1, t0), x["entry"], _weight(x["a"], x["b"], t1, t0), purity[x["entry"]]) for x in pairs]
     kept = _without_kin([s for s in scored if s[0] >= LEAST_RATIO and s[2] >= LEAST_WEIGHT], ENTRIES)
-    names = [e for e, _ in kept]
+    names = [e for e, *_ in kept]
     # Phrases of an entry and a neighbour that are found in clean texts far more often than the entry is.
     phrases = around.filter(F.col("entry").isin(names)).select("entry", "toxic", "before", "after", F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after"))).alias("phrase"))
     tallied = phrases.groupBy("entry", "phrase").agg(F.countDistinct(F.when(F.col("toxic") == 1, F.struct("before", "after"))).alias("a"), F.countDistinct(F.when(F.col("toxic") == 0, F.struct("before", "after"))).alias("b"))
@@ -230,9 +239,6 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     return Lexicon(tuple(kept), tuple(p for p, value in sorted(harmless, key=lambda x: (-x[1], x[0])) if value >= LEAST_EXCEPTION and " " in p.strip())[:ENTRIES])
 
 
-MEASURES = ("total", "density", "variety")
-
-
 def _measured(lexicon: Lexicon):
     def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         matcher = Matcher(lexicon)
