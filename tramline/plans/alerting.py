@@ -57,8 +57,8 @@ def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.cooldown(predictions(spark, sf_dir).filter("raw_alert"), 24 * 60).select("event_id", "vehicle_id")
 
 
-@query(COOLDOWN + """SELECT count_if(kept) AS events, count_if(NOT kept) AS suppressed, round(count_if(kept AND actual) / count_if(kept), 9) AS precision,
-round(count_if(kept AND actual) / (SELECT count_if(actual) FROM pred), 9) AS recall, count(DISTINCT vehicle_id) AS vehicles FROM fold""")
+@query(COOLDOWN + """SELECT count(*) FILTER (WHERE kept) AS events, count(*) FILTER (WHERE NOT kept) AS suppressed, round(count(*) FILTER (WHERE kept AND actual) / count(*) FILTER (WHERE kept), 9) AS precision,
+round(count(*) FILTER (WHERE kept AND actual) / (SELECT count(*) FILTER (WHERE actual) FROM pred), 9) AS recall, count(DISTINCT vehicle_id) AS vehicles FROM fold""")
 def event_alert_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir)
     raw, kept = p.filter("raw_alert"), A.cooldown(p.filter("raw_alert"), 24 * 60)
@@ -67,8 +67,8 @@ def event_alert_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(one.crossJoin(F.broadcast(every)).select("events", (F.col("n") - F.col("events")).alias("suppressed"), (F.col("hits") / F.col("events")).alias("precision"), (F.col("hits") / F.col("positives")).alias("recall"), "vehicles"))
 
 
-@query(POLICY + """SELECT count_if(alert) AS alerts, round(count_if(alert) / count(*), 9) AS share, count(DISTINCT CASE WHEN alert THEN vehicle_id END) AS vehicles,
-round(count_if(alert) / ((epoch_us(max(position_time)) - epoch_us(min(position_time))) / 3.6e9), 9) AS per_hour, round(24 * count_if(alert) / ((epoch_us(max(position_time)) - epoch_us(min(position_time))) / 3.6e9), 9) AS per_day FROM pol""")
+@query(POLICY + """SELECT count(*) FILTER (WHERE alert) AS alerts, round(count(*) FILTER (WHERE alert) / count(*), 9) AS share, count(DISTINCT CASE WHEN alert THEN vehicle_id END) AS vehicles,
+round(count(*) FILTER (WHERE alert) / ((epoch_us(max(position_time)) - epoch_us(min(position_time))) / 3.6e9), 9) AS per_hour, round(24 * count(*) FILTER (WHERE alert) / ((epoch_us(max(position_time)) - epoch_us(min(position_time))) / 3.6e9), 9) AS per_day FROM pol""")
 def alert_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.volume(policy_of(spark, sf_dir), "alert", "position_time"))
 
@@ -84,7 +84,7 @@ def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.neighbours(predictions(spark, sf_dir).withColumn("delay_delta_1", F.col("delay") - F.lag("delay").over(w)), "scored_at")
 
 
-@query(PAIRS + "SELECT event_id, band, count(*) AS vehicles, round(avg(delay), 9) AS mean_delay, coalesce(count_if(delta > 0), 0) AS rising FROM pairs GROUP BY ALL")
+@query(PAIRS + "SELECT event_id, band, count(*) AS vehicles, round(avg(delay), 9) AS mean_delay, coalesce(count(*) FILTER (WHERE delta > 0), 0) AS rising FROM pairs GROUP BY ALL")
 def propagation_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.propagation(pairs_of(spark, sf_dir), ["event_id"]))
 
@@ -129,8 +129,8 @@ def newest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _confusion_sql(alert: str, source: str, keys: str = "") -> str:
     return f"""SELECT {keys + ', ' if keys else ''}tp, fp, fn, tn, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / nullif(p + r, 0), 9) AS f1,
 round((tp + fp) / nullif(tp + fp + fn + tn, 0), 9) AS alert_rate, round((tp + fn) / nullif(tp + fp + fn + tn, 0), 9) AS positive_rate
-FROM (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r FROM (SELECT {keys + ', ' if keys else ''}count_if({alert} AND actual) AS tp, count_if({alert} AND NOT actual) AS fp,
-count_if(NOT {alert} AND actual) AS fn, count_if(NOT {alert} AND NOT actual) AS tn FROM {source} WHERE actual IS NOT NULL {'GROUP BY ' + keys if keys else ''}))"""
+FROM (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r FROM (SELECT {keys + ', ' if keys else ''}count(*) FILTER (WHERE {alert} AND actual) AS tp, count(*) FILTER (WHERE {alert} AND NOT actual) AS fp,
+count(*) FILTER (WHERE NOT {alert} AND actual) AS fn, count(*) FILTER (WHERE NOT {alert} AND NOT actual) AS tn FROM {source} WHERE actual IS NOT NULL {'GROUP BY ' + keys if keys else ''}))"""
 
 
 @query(POLICY + _confusion_sql("alert", "pol"))
@@ -167,7 +167,7 @@ def policy_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _T = ", t AS (SELECT unnest([" + ", ".join(map(repr, E.THRESHOLDS)) + "]::DOUBLE[]) AS threshold, unnest(range(91))::INTEGER AS k)"
-SWEEP = PRED + _T + """, s AS (SELECT k, threshold, count_if(risk >= threshold) AS alerts, count_if(risk >= threshold AND actual) AS tp, count_if(actual) AS positives FROM t, pred GROUP BY ALL),
+SWEEP = PRED + _T + """, s AS (SELECT k, threshold, count(*) FILTER (WHERE risk >= threshold) AS alerts, count(*) FILTER (WHERE risk >= threshold AND actual) AS tp, count(*) FILTER (WHERE actual) AS positives FROM t, pred GROUP BY ALL),
 sw AS (SELECT *, tp / nullif(alerts, 0) AS precision, tp / nullif(positives, 0) AS recall, coalesce(2 * (tp / nullif(alerts, 0)) * (tp / nullif(positives, 0)) / nullif(tp / nullif(alerts, 0) + tp / nullif(positives, 0), 0), 0) AS f1 FROM s)"""
 
 
@@ -182,7 +182,7 @@ def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.best_threshold(E.threshold_sweep(predictions(spark, sf_dir)), 0.1))
 
 
-RANK = """, u AS (SELECT {k}risk, count_if(actual) AS p, count_if(NOT actual) AS q FROM pred WHERE actual IS NOT NULL GROUP BY ALL),
+RANK = """, u AS (SELECT {k}risk, count(*) FILTER (WHERE actual) AS p, count(*) FILTER (WHERE NOT actual) AS q FROM pred WHERE actual IS NOT NULL GROUP BY ALL),
 c AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp FROM u WINDOW w AS ({pk}ORDER BY risk DESC))
 """
 RANKED = "round(CASE WHEN sum(p) * sum(q) > 0 THEN sum(q * (tp - p / 2)) / (sum(p) * sum(q)) END, 9) AS auc, round(CASE WHEN sum(p) * sum(q) > 0 THEN sum(p * tp / (tp + fp)) / sum(p) END, 9) AS average_precision FROM c"
@@ -193,17 +193,17 @@ def ranking_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.ranking(predictions(spark, sf_dir)))
 
 
-@query(PRED + ", n AS (SELECT count(*) AS n, count_if(actual) AS pos FROM pred), f AS (SELECT unnest([0.005, 0.01, 0.02, 0.05, 0.1]::DOUBLE[]) AS fraction), " + """s AS (SELECT fraction, greatest(1, round_even(n * fraction, 0))::BIGINT AS m, n, pos FROM f, n),
+@query(PRED + ", n AS (SELECT count(*) AS n, count(*) FILTER (WHERE actual) AS pos FROM pred), f AS (SELECT unnest([0.005, 0.01, 0.02, 0.05, 0.1]::DOUBLE[]) AS fraction), " + """s AS (SELECT fraction, greatest(1, round_even(n * fraction, 0))::BIGINT AS m, n, pos FROM f, n),
 r AS (SELECT *, row_number() OVER (ORDER BY risk DESC, event_id) AS place FROM pred)
-SELECT fraction, m AS n, round(min(risk), 9) AS least_risk, round(count_if(actual) / count(*), 9) AS precision, round(count_if(actual) / any_value(pos), 9) AS recall, round(count_if(actual) / count(*) / (any_value(pos) / any_value(s.n)), 9) AS lift
+SELECT fraction, m AS n, round(min(risk), 9) AS least_risk, round(count(*) FILTER (WHERE actual) / count(*), 9) AS precision, round(count(*) FILTER (WHERE actual) / any_value(pos), 9) AS recall, round(count(*) FILTER (WHERE actual) / count(*) / (any_value(pos) / any_value(s.n)), 9) AS lift
 FROM s JOIN r ON place <= m GROUP BY fraction, m""")
 def top_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.top_fractions(predictions(spark, sf_dir), (0.005, 0.01, 0.02, 0.05, 0.1), "event_id"))
 
 
 @query(PRED + RANK.format(k="route_id, ", pk="PARTITION BY route_id ") + f""", rk AS (SELECT route_id, {RANKED} GROUP BY route_id),
-g AS (SELECT route_id, count(*) AS n, round(avg(actual::INTEGER), 9) AS positive_rate, count_if(risk >= 0.6) AS alerts, round(count_if(risk >= 0.6 AND actual) / nullif(count_if(risk >= 0.6), 0), 9) AS precision,
-  round(count_if(risk >= 0.6 AND actual) / nullif(count_if(actual), 0), 9) AS recall FROM pred WHERE route_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 20)
+g AS (SELECT route_id, count(*) AS n, round(avg(actual::INTEGER), 9) AS positive_rate, count(*) FILTER (WHERE risk >= 0.6) AS alerts, round(count(*) FILTER (WHERE risk >= 0.6 AND actual) / nullif(count(*) FILTER (WHERE risk >= 0.6), 0), 9) AS precision,
+  round(count(*) FILTER (WHERE risk >= 0.6 AND actual) / nullif(count(*) FILTER (WHERE actual), 0), 9) AS recall FROM pred WHERE route_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 20)
 SELECT g.*, average_precision FROM g JOIN rk USING (route_id) ORDER BY n DESC, route_id LIMIT 10""")
 def grouped_classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir).filter("route_id IS NOT NULL")
@@ -241,7 +241,7 @@ def persistence_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.metrics(rows, F.coalesce(F.col("delay") - F.col("before"), F.lit(0)) >= 60))
 
 
-@query(POLICY + """SELECT count(*) AS predictions, count(actual) AS labelled, count(*) - count(actual) AS unlabelled, count_if(actual) AS positives, count_if(alert) AS map_alerts, count_if(raw) AS raw_alerts,
+@query(POLICY + """SELECT count(*) AS predictions, count(actual) AS labelled, count(*) - count(actual) AS unlabelled, count(*) FILTER (WHERE actual) AS positives, count(*) FILTER (WHERE alert) AS map_alerts, count(*) FILTER (WHERE raw) AS raw_alerts,
 max(scored_at) AS latest_run, max(position_time) AS latest_position, CASE WHEN count(*) = 0 THEN 'warning' WHEN count(actual) < 3 THEN 'warning' ELSE 'passed' END AS status FROM pol""")
 def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count("actual")
@@ -251,6 +251,6 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(POLICY + "SELECT count(*) AS total, count_if(alert) AS alerts, max(CASE WHEN alert THEN position_time END) AS latest_alert FROM pol")
+@query(POLICY + "SELECT count(*) AS total, count(*) FILTER (WHERE alert) AS alerts, max(CASE WHEN alert THEN position_time END) AS latest_alert FROM pol")
 def alert_collection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy_of(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if("alert").alias("alerts"), F.max(F.when(F.col("alert"), F.col("position_time"))).alias("latest_alert"))

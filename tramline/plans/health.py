@@ -57,14 +57,14 @@ def alert_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.alert_checks(p.filter("alert").withColumn("service_date", F.col("scored_at")), ["service_date"], now_of(p, "position_time"), 36_000, F.max(F.lit(last)), 864_000)
 
 
-@query(DQ1.replace("WITH pos", "WITH pos", 1) + "SELECT service_date, count_if(status = 'passed') AS passed, count_if(status = 'warning') AS warnings, count_if(status = 'failed') AS failed, CASE WHEN count_if(status = 'failed') > 0 THEN 'failed' WHEN count_if(status = 'warning') > 0 THEN 'warning' ELSE 'passed' END AS verdict FROM dq1 GROUP BY 1")
+@query(DQ1.replace("WITH pos", "WITH pos", 1) + "SELECT service_date, count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status = 'warning') AS warnings, count(*) FILTER (WHERE status = 'failed') AS failed, CASE WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (WHERE status = 'warning') > 0 THEN 'warning' ELSE 'passed' END AS verdict FROM dq1 GROUP BY 1")
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.report(position_checks(spark, sf_dir))
 
 
 _STATUS = "CASE WHEN n = 0 THEN 'missing' WHEN floor((epoch_us({now}) - epoch_us(latest)) / 1e6) > {limit} THEN 'stale' ELSE 'fresh' END"
 SOURCES = POLICY + f""", src AS (SELECT service_date, 'positions' AS source, {_STATUS.format(now=NOW_SQL, limit=5 * 86400)} AS status FROM (SELECT service_date, count(*) AS n, max(time) AS latest FROM pos GROUP BY 1)
-UNION ALL SELECT scored_at, 'alerts', {_STATUS.format(now=NOW_SQL, limit=15 * 86400)} FROM (SELECT scored_at, count_if(alert) AS n, max(CASE WHEN alert THEN position_time END) AS latest FROM pol GROUP BY 1))"""
+UNION ALL SELECT scored_at, 'alerts', {_STATUS.format(now=NOW_SQL, limit=15 * 86400)} FROM (SELECT scored_at, count(*) FILTER (WHERE alert) AS n, max(CASE WHEN alert THEN position_time END) AS latest FROM pol GROUP BY 1))"""
 
 
 def sources_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,14 +101,14 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-@query(POS + f""", l AS (SELECT max(time) AS last FROM pos) SELECT count(*) AS rows, max(last) AS latest, count_if(time >= last - INTERVAL 24 HOUR) AS near_rows, count(DISTINCT CASE WHEN time >= last - INTERVAL 24 HOUR THEN vehicle_id END) AS near_vehicles,
-count_if(time >= {NOW_SQL} - INTERVAL 24 HOUR) AS recent_rows, count(DISTINCT CASE WHEN time >= {NOW_SQL} - INTERVAL 24 HOUR THEN vehicle_id END) AS recent_vehicles FROM pos, l""")
+@query(POS + f""", l AS (SELECT max(time) AS last FROM pos) SELECT count(*) AS rows, max(last) AS latest, count(*) FILTER (WHERE time >= last - INTERVAL 24 HOUR) AS near_rows, count(DISTINCT CASE WHEN time >= last - INTERVAL 24 HOUR THEN vehicle_id END) AS near_vehicles,
+count(*) FILTER (WHERE time >= {NOW_SQL} - INTERVAL 24 HOUR) AS recent_rows, count(DISTINCT CASE WHEN time >= {NOW_SQL} - INTERVAL 24 HOUR THEN vehicle_id END) AS recent_vehicles FROM pos, l""")
 def table_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = positions(spark, sf_dir)
     return Q.near_latest(p, 86_400, now_of(p))
 
 
-@query(LAGS + TARGET + f", feats AS ({FEATURES}) SELECT service_date, count(*) AS rows, count(DISTINCT vehicle_id) AS vehicles, min(time) AS first_time, max(time) AS last_time, round(avg(target_delay_delta), 6) AS mean_delta, coalesce(count_if(target_delay_delta >= 60), 0) AS positives FROM feats GROUP BY 1")
+@query(LAGS + TARGET + f", feats AS ({FEATURES}) SELECT service_date, count(*) AS rows, count(DISTINCT vehicle_id) AS vehicles, min(time) AS first_time, max(time) AS last_time, round(avg(target_delay_delta), 6) AS mean_delta, coalesce(count(*) FILTER (WHERE target_delay_delta >= 60), 0) AS positives FROM feats GROUP BY 1")
 def feature_partition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features_of(samples(spark, sf_dir))
     return f.groupBy("service_date").agg(F.count("*").alias("rows"), F.countDistinct("vehicle_id").alias("vehicles"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.round(F.avg("target_delay_delta"), 6).alias("mean_delta"), F.coalesce(F.count_if(F.col("target_delay_delta") >= 60), F.lit(0)).alias("positives"))
@@ -120,8 +120,8 @@ def eligible_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("vehicle_id", "time", (F.col("target_delay_delta") >= 60).alias("label"))
 
 
-BACK = PRED + """, w AS (SELECT unnest([5, 10, 20, 30]) AS days), m AS (SELECT days, count(*) AS train_rows, avg(CASE WHEN risk >= 0.9 THEN actual::INTEGER END) AS precision, count_if(risk >= 0.9 AND actual) / count_if(actual) AS recall,
-avg(CASE WHEN risk >= 0.99 THEN actual::INTEGER END) AS top, avg(actual::INTEGER) AS ap, count_if(risk >= 0.9) AS events FROM pred, w WHERE position_time >= (SELECT max(position_time) FROM pred) - to_days(days::INTEGER) GROUP BY 1),
+BACK = PRED + """, w AS (SELECT unnest([5, 10, 20, 30]) AS days), m AS (SELECT days, count(*) AS train_rows, avg(CASE WHEN risk >= 0.9 THEN actual::INTEGER END) AS precision, count(*) FILTER (WHERE risk >= 0.9 AND actual) / count(*) FILTER (WHERE actual) AS recall,
+avg(CASE WHEN risk >= 0.99 THEN actual::INTEGER END) AS top, avg(actual::INTEGER) AS ap, count(*) FILTER (WHERE risk >= 0.9) AS events FROM pred, w WHERE position_time >= (SELECT max(position_time) FROM pred) - to_days(days::INTEGER) GROUP BY 1),
 s AS (SELECT *, 0.4 * precision + 0.2 * recall + 0.2 * top + 0.2 * ap - CASE WHEN events = 0 THEN 0.2 ELSE 0 END AS score FROM m WHERE train_rows >= 1000),
 p AS (SELECT *, precision >= 0.06 AS meets, max(precision >= 0.06) OVER () AS any_meets FROM s), q AS (SELECT *, max(score) OVER () AS best FROM p WHERE meets = any_meets OR NOT any_meets)
 """

@@ -310,7 +310,7 @@ def date_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.select_dates(positions(spark, sf_dir), 4, "spread").select("event_id", "service_date")
 
 
-@query(POS + "SELECT service_date, count_if(speed IS NOT NULL AND delay >= 60) AS eligible FROM pos GROUP BY 1 HAVING count_if(speed IS NOT NULL AND delay >= 60) > 0")
+@query(POS + "SELECT service_date, count(*) FILTER (WHERE speed IS NOT NULL AND delay >= 60) AS eligible FROM pos GROUP BY 1 HAVING count(*) FILTER (WHERE speed IS NOT NULL AND delay >= 60) > 0")
 def eligible_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(spark, sf_dir).groupBy("service_date").agg(F.count_if(F.col("speed").isNotNull() & (F.col("delay") >= 60)).alias("eligible")).filter("eligible > 0")
 

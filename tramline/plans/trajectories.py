@@ -116,7 +116,7 @@ def delay_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).groupBy("line", F.hour("position_time").alias("hour"), band.alias("band")).agg(F.count("*").alias("vehicles"))
 
 
-@query(SEG + "SELECT count_if(point_state = 'observed') AS observed, count_if(point_state = 'invalid_gap') AS invalid, count(DISTINCT vehicle_id) AS vehicles, count_if(gap_reason = 'dropout') AS dropouts FROM state")
+@query(SEG + "SELECT count(*) FILTER (WHERE point_state = 'observed') AS observed, count(*) FILTER (WHERE point_state = 'invalid_gap') AS invalid, count(DISTINCT vehicle_id) AS vehicles, count(*) FILTER (WHERE gap_reason = 'dropout') AS dropouts FROM state")
 def replay_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments_of(spark, sf_dir).agg(F.count_if(F.col("point_state") == "observed").alias("observed"), F.count_if(F.col("point_state") == "invalid_gap").alias("invalid"), F.countDistinct("vehicle_id").alias("vehicles"), F.count_if(F.col("gap_reason") == "dropout").alias("dropouts"))
 
