@@ -39,7 +39,7 @@ SEED = 42
 #: Bits that the fingerprints of one text's copies may differ in for the pipeline's stage.
 STAGE_DISTANCE = 5
 #: Fingerprints in a block up to which they are compared pair by pair.
-PAIRWISE = 64
+PAIRWISE = 16
 #: Fingerprints in a tile of a larger block.
 TILE = 1000
 #: Rounds of two star steps; each halves the depth of what is left, so that no real graph needs as many.
@@ -137,7 +137,10 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     shared = stored(blocks.join(sizes, ["which", "bits"]), "shared-blocks")
     few = shared.filter(F.col("size") <= PAIRWISE).drop("size")
     ours, theirs = (few.select("which", "bits", F.col("node").alias(f"{x}"), F.col("print").alias(f"p{x}")) for x in "ab")
-    near = ours.join(theirs, ["which", "bits"]).filter((F.col("a") > F.col("b")) & (_distance("pa", "pb") <= distance)).select("a", "b")
+    # A pair is made once, in the first of the blocks that it shares.
+    apart = F.col("pa").bitwiseXOR(F.col("pb"))
+    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(_signed(m))) == 0, k) for k, m in enumerate(_masks(distance))])
+    near = ours.join(theirs, ["which", "bits"]).filter((F.col("a") > F.col("b")) & (_distance("pa", "pb") <= distance) & (first == F.col("which"))).select("a", "b")
     many = shared.filter(F.col("size") > PAIRWISE)
     return near.union(_under_neighbours(many) if distance == 2 else _by_tiles(many, distance)).distinct()
 
