@@ -239,19 +239,16 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     return Lexicon(tuple(kept), tuple(p for p, value in sorted(harmless, key=lambda x: (-x[1], x[0])) if value >= LEAST_EXCEPTION and " " in p.strip())[:ENTRIES])
 
 
-def _measured(lexicon: Lexicon):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        matcher = Matcher(lexicon)
-        for batch in batches:
-            found = pd.DataFrame([matcher.measure(t or "") for t in batch["text"]], columns=list(MEASURES), index=batch.index)
-            yield pd.concat([batch.drop(columns="text"), found], axis=1)
-
-    return run
+def measured(text: F.Column, lexicon: Lexicon) -> F.Column:
+    """A struct of MEASURES; only the text goes to Python, the rest of a row stays where it is."""
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(lexicon)
+        for texts in batches:
+            yield pd.DataFrame([matcher.measure(t or "") for t in texts], columns=list(MEASURES))
 
-def _measures(df: DataFrame, lexicon: Lexicon) -> DataFrame:
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "text")
-    return df.mapInPandas(_measured(lexicon), f"{kept}, " + ", ".join(f"{m} double" for m in MEASURES))
+    # Called non-deterministic so that Spark doesn't copy the call into each use of a field.
+    return F.pandas_udf(run, ", ".join(f"{m} double" for m in MEASURES)).asNondeterministic()(text)
 
 
 @dataclass(frozen=True)
@@ -260,10 +257,9 @@ class Model:
     coefficients: tuple[float, ...] = ()
     intercept: float = 0.0
 
-    def score(self) -> F.Column:
-        if not self.lexicon.entries:
-            return F.lit(0.0)
-        return 1 / (1 + F.exp(-sum((F.col(m) * c for m, c in zip(MEASURES, self.coefficients, strict=True)), F.lit(self.intercept))))
+    def score(self, found: str) -> F.Column:
+        """Score from the column that holds measured()."""
+        return 1 / (1 + F.exp(-sum((F.col(found)[m] * c for m, c in zip(MEASURES, self.coefficients, strict=True)), F.lit(self.intercept))))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
@@ -271,7 +267,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     lexicon = learn_lexicon(rows)
     if not lexicon.entries:
         return Model(lexicon)
-    points = stored(_measures(rows.select("text", "toxic", "weight"), lexicon), "points")
+    points = stored(rows.select("toxic", "weight", measured(F.col("text"), lexicon).alias("m")).select("toxic", "weight", "m.*"), "points")
     ready = VectorAssembler(inputCols=list(MEASURES), outputCol="features").transform(points)
     fitted = LogisticRegression(labelCol="toxic", weightCol="weight", regParam=1e-4, maxIter=50).fit(ready)
     return Model(lexicon, tuple(map(float, fitted.coefficients)), float(fitted.intercept))
@@ -279,7 +275,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of each whole text."""
-    return _measures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model.lexicon).select("doc_id", model.score().alias("score"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not model.lexicon.entries:
+        return own.select("doc_id", F.lit(0.0).alias("score"))
+    return own.select("doc_id", measured(F.col("text"), model.lexicon).alias("m")).select("doc_id", model.score("m").alias("score"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,5 +290,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a score of 0.5 or more go; the columns of the others stay as they are."""
     model = learn(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return _measures(rows, model.lexicon).filter(model.score() < 0.5).select("row.*") if model.lexicon.entries else docs
+    if not model.lexicon.entries:
+        return docs
+    found = docs.withColumn("__toxicity", measured(F.col("text"), model.lexicon))
+    return found.filter(model.score("__toxicity") < 0.5).drop("__toxicity")
