@@ -269,6 +269,48 @@ def test_simhash_on_odd_rows(spark, odd, empty):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "5", "7", "None"] and kept[0].w == "w"
 
 
+def _shingle_set(text):
+    w = words((text or "").translate(simhash.LOWER))
+    return frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def _near(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def _stays(texts):
+    """Ids that stay of {id: text}, by all pairs with a Jaccard of 0.8 or more."""
+    sets, root = {i: _shingle_set(t) for i, t in texts.items()}, {}
+    for i in sorted(sets):
+        near = {root[j] for j in root if _near(sets[i], sets[j])}
+        root[i] = min(near, default=i)
+        root = {j: root[i] if r in near else r for j, r in root.items()}
+    return sorted(set(root.values()))
+
+
+def _changed(base, at):
+    return " ".join(f"new{k}" if k in at else w for k, w in enumerate(base))
+
+
+def test_stage_keeps_one_of_near_copies(spark):
+    base = [[f"w{k}x{b}" for k in range(100)] for b in range(2)]
+    texts = {k: _changed(base[0], at) for k, at in enumerate([(), (20,), (20, 60), (20, 60, 61), (10, 50, 90), (5, 30, 55, 80), range(0, 100, 4)], 10)}
+    texts |= {20: " ".join(base[1]), 21: " ".join(base[1][:80] + ["a", "b"]), 22: " ".join(base[1][:90])}
+    chain = [f"c{k}" for k in range(130)]
+    texts |= {30 + k: " ".join(chain[4 * k : 4 * k + 60]) for k in range(17)}
+    rows = spark.createDataFrame([*texts.items(), (None, texts[10])], "doc_id long, text string")
+    found = sorted(str(r.doc_id) for r in simhash.keep_one(spark, rows, "").collect())
+    assert found == sorted([*map(str, _stays(texts)), "None"]) and _stays(texts) == [10, 14, 15, 16, 20, 30]
+
+
+@pytest.mark.parametrize("tile", [1000, 3])
+def test_stage_against_all_pairs(spark, tile, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.substring("text", 1, 1500).alias("text"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert sorted(r.doc_id for r in simhash.keep_one(spark, docs, "").collect()) == _stays(texts)
+
+
 # WARC
 
 

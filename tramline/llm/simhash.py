@@ -13,6 +13,12 @@ tiles, a group of bounded size, gives the links that connect it. Either way no l
 
 Components come from alternating large-star and small-star steps, each written to the shared folder.
 
+The pipeline's stage asks for another similarity, a Jaccard of 0.8 or more over five-word shingles, which a fingerprint of
+64 bits can't tell from less. There, candidates are texts that agree on a band of independent minhashes, each candidate is
+verified by the exact Jaccard of the two shingle sets, and only verified pairs are linked. A pair of 0.8 shares no band
+with a chance of 6 in 100,000, one of 0.85 of 3 in ten millions. Of each band's texts, all are first held against one;
+what these links connect needs no more pairs, and all other pairs of the band follow.
+
 Defined cases: a null text has no words and, like any text without words, the fingerprint 0, which links like others;
 fewer words than a shingle has are one shingle; very long texts are hashed whole; repeated rows share a component; rows
 without an id take the component of their fingerprint but lend it no id; an empty table gives no rows; other columns
@@ -36,8 +42,11 @@ from tramline.llm.common import WORD_PATTERN, stored, table
 SHINGLE = 3
 DISTANCE = 2
 SEED = 42
-#: Bits that the fingerprints of one text's copies may differ in for the pipeline's stage.
+#: Bits that the fingerprints of texts may differ in for links at a larger distance.
 STAGE_DISTANCE = 5
+#: Words of a shingle and least Jaccard, as a fraction, of near copies for the pipeline's stage; its bands of minhashes.
+STAGE_SHINGLE, STAGE_JACCARD = 5, (4, 5)
+BANDS, BAND_ROWS = 32, 6
 #: Fingerprints in a block up to which they are compared pair by pair.
 PAIRWISE = 16
 #: Fingerprints in a tile of a larger block.
@@ -201,11 +210,99 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+#: Factors, odd, and terms of the minhashes' permutations of 64-bit hashes.
+_FACTORS, _TERMS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the stage's shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, STAGE_SHINGLE)], np.uint64))
+
+
+def node_of(found: np.ndarray) -> int:
+    """The name of a shingle set, as a signed 64-bit integer; equal sets have one name."""
+    return _signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """For each band a hash of its number and the set's least values under the band's permutations; none of an empty set."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1024):  # so many hashes are permuted at once
+        mixed = found[at : at + 1024, None] * _FACTORS + _TERMS
+        # The high bits of a product depend on all bits below them; the low ones don't.
+        least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(32))) * _FACTORS[::-1]).min(axis=0))
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def _banded(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    for batch in batches:
+        sets = [shingle_set(t or "") for t in batch["text"]]
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "node": list(map(node_of, sets)), "n": list(map(len, sets)), "bands": list(map(bands, sets))})
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    """The sets of texts whose set is the wanted one; another text of the same id is not."""
+    for batch in batches:
+        sets = [shingle_set(t or "") for t in batch["text"]]
+        rows = [(w, s.view(np.int64)) for w, s in zip(batch["node"], sets, strict=True) if node_of(s) == w]
+        yield pd.DataFrame(rows, columns=["node", "set"])
+
+
+def _pairs_across(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a group's rows, of one tile or of two, that differ in their roots and whose sizes allow the Jaccard."""
+    rows = rows.drop_duplicates("node")
+    node, root, n = (rows[c].to_numpy() for c in ("node", "root", "n"))
+    over, under = STAGE_JACCARD
+    out = []
+    for k in range(len(node)):
+        fit = (node < node[k]) & (root != root[k]) & (under * np.minimum(n, n[k]) >= over * np.maximum(n, n[k]))
+        out.append(np.stack([np.full(fit.sum(), node[k]), node[fit]], 1))
+    return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the stage's Jaccard; nodes: node and the doc_id of a text that has it."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    sets = stored(texts.select("node", "text").mapInPandas(_sets, "node long, set array<long>").dropDuplicates(["node"]), "shingle-sets")
+    ours, theirs = (sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
+    common = F.size(F.array_intersect("sa", "sb"))
+    over, under = STAGE_JACCARD
+    return pairs.join(ours, "a").join(theirs, "b").filter(under * common >= over * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id, node and root of documents with an id: those with one root are connected by pairs of the stage's Jaccard."""
+    banded = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL").mapInPandas(_banded, "doc_id long, node long, n int, bands array<long>"), "bands")
+    nodes = stored(banded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    each = nodes.select("node", "n", F.explode("bands").alias("band"))
+    sizes = each.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
+    shared = stored(each.join(sizes, "band"), "shared-bands")
+    hubs = stored(shared.filter(F.col("node") > F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "hub-pairs")
+    first = stored(_verified(hubs, docs, nodes), "hub-links")
+    roots = stored(components(first), "roots")
+    # Of bands with several roots, the pairs that aren't connected yet.
+    rooted = stored(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-bands")
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band")
+    open_ = rooted.filter("size > 2").join(mixed, "band").select("band", "node", "root", "n", "size")
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    placed = open_.select("*", F.pmod(F.xxhash64("node"), tiles).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u"))
+    keyed = placed.select("band", "node", "root", "n", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"))
+    across = keyed.groupBy("band", "t", "u").applyInPandas(_pairs_across, "a long, b long").distinct()
+    rest = stored(across.join(hubs, ["a", "b"], "left_anti"), "other-pairs")
+    edges = stored(first.union(_verified(rest, docs, nodes)), "similar-links")
+    roots = stored(components(edges), "roots")
+    return banded.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least id stays, once; documents without an id stay.
+    """Pipeline stage: of near copies that are connected the document with the least id stays, once; documents without an id stay.
 
-    Copies with a few changed words differ in three to six bits, so the stage links at a larger distance than the query.
+    Near copies have five-word shingle sets with a Jaccard of 0.8 or more.
     """
-    first = near_duplicates(docs, distance=STAGE_DISTANCE).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    first = similar(docs).groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(stored(first, "first"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).union(docs.filter("doc_id IS NULL"))
