@@ -377,6 +377,18 @@ def test_template_text_goes(spark):
     assert all("Share" not in r.text and f"story {r.page_id}" in r.text for r in found)
 
 
+def test_text_of_copies_stays(spark):
+    own = "<article><h1>Head {k}</h1><p>" + "story{k} " * 60 + "</p>{more}</article>"
+    copied = own.format(k="c", more="<blockquote>quoted</blockquote>")
+    pages = [(k, "http://copies/", copied) for k in range(9)]
+    pages += [(10 + k, "http://large/", copied + f"<footer>{k}</footer>") for k in range(9)]
+    pages += [(100 + k, "http://large/", own.format(k=k, more="")) for k in range(30)]
+    pages += [(200 + k, "http://some/", own.format(k=k, more="<h2>Sources</h2>" if k < 9 else "")) for k in range(30)]
+    found = {r.page_id: r.text.split("\n") for r in wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(found[k][0] == "Head c" and found[k][-1] == "quoted" for k in [*range(9), *range(10, 19)])
+    assert all(found[200 + k][-1] == "Sources" for k in range(9)) and all(len(found[100 + k]) == 2 for k in range(30))
+
+
 def test_wrapper_groups():
     a, b = (wrappers.page_expression(f"<body><div><p>{x}</p>{y}</div></body>") for x, y in (("one", "<p>two</p>"), ("three", "<table></table>")))
     body = wrappers.align(a, b)[6][0]
