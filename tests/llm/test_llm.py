@@ -389,6 +389,19 @@ def test_text_of_copies_stays(spark):
     assert all(found[200 + k][-1] == "Sources" for k in range(9)) and all(len(found[100 + k]) == 2 for k in range(30))
 
 
+def test_title_and_intro_beside_the_text(spark):
+    page = "<html><head><title>t</title></head><body><div class=tagline>The same</div><h1>T{k}</h1><div class=intro>{a}</div><div class=text><p>{b}</p></div></body></html>"
+    teaser = "<body><article class=teaser><p>short {k}</p></article><article class=post><h1>T{k}</h1><p>{b}</p></article></body>"
+    unheaded = "<body><div class=menu>home</div><div class=wrap><div class=intro>{a}</div><div class=text><p>{b}</p></div></div></body>"
+    pages = [(100 * n + k, f"http://{n}/", x.format(k=k, a=f"intro{k} " * 35, b=f"text{k} " * 65)) for n, x in enumerate((page, teaser, unheaded)) for k in range(12)]
+    pages.append((999, "http://one/", page.format(k="x", a="introx " * 35, b="textx " * 65)))
+    found = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        intro, text = (f"intro{k} " * 35).strip(), (f"text{k} " * 65).strip()
+        assert f"T{k}\n{intro}\n{text}" in found[k] and found[100 + k] == f"T{k}\n{text}" and found[200 + k] == f"{intro}\n{text}"
+    assert "Tx\nintrox" in found[999] and found[999].endswith("textx")
+
+
 def test_wrapper_groups():
     a, b = (wrappers.page_expression(f"<body><div><p>{x}</p>{y}</div></body>") for x, y in (("one", "<p>two</p>"), ("three", "<table></table>")))
     body = wrappers.align(a, b)[6][0]
