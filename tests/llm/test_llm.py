@@ -332,6 +332,18 @@ def test_records_round_trip(spark):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("caf&eacute; &mdash; wait&hellip; it&#8217;s &#x2019;ok&#X41; &lt;b&gt; a&nbsp;b &copy &amp;eacute; &amp;nbsp;", "café — wait… it’s ’okA <b> a b © &eacute; &nbsp;"),
+    ("<table><tr><td>12</td><td>34</td><th>h</th></tr></table>", "12\n34\nh"),
+    ("<dl><dt>a<dd>b</dl><pre>c</pre>d<blockquote>e</blockquote><figure>f<figcaption>g</figcaption></figure><select><option>h<option>i</select>", "a\nb\nc\nd\ne\nf\ng\nh\ni"),
+    ("x<b>y</b><span class=s>z</span><br>w<custom-tag>v</custom-tag>", "xyz\nw\nv"),
+    ("kept<!-- never closed <p>no</p>", "kept"), ("kept<script>var a = '</style>'; b", "kept"), ("kept<style>p{}</script>", "kept"),
+])
+def test_plain_text(spark, source, want):
+    rows = spark.createDataFrame([(source,)], "html string")
+    assert rows.select(warc.plain_text(F.col("html"))).first()[0] == want
+
+
 # HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><ul><li>m</ul></nav>

@@ -13,18 +13,25 @@ names.
 
 from __future__ import annotations
 
+import html as markup
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tramline.llm.common import table
+from tramline.llm.wrappers import INLINE
 
 #: The day that tables without a crawl date are taken to be fetched.
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n"
-# The character references that the conversion decodes, the ampersand last.
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+# A no-break space becomes a blank.
+BLANK = re.compile(r"&(?:nbsp|#0*160|#[xX]0*[aA]0)(?:;|(?![0-9A-Za-z;]))")
+#: Tags that are no break of a line; br is one.
+INSIDE = "|".join(sorted(INLINE - {"br"}))
 
 
 def uuid_of(name: Column) -> Column:
@@ -52,14 +59,18 @@ def responses(pages: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(StringType())
+def decoded(text: pd.Series) -> pd.Series:
+    """All named and numeric character references decoded, once."""
+    return text.map(lambda t: markup.unescape(BLANK.sub(" ", t)) if t and "&" in t else t)
+
+
 def plain_text(html: Column) -> Column:
-    """Text of html: comments, scripts, styles and tags go, references are decoded, blocks are lines."""
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</(script|style)\s*>", " ")
+    """Text of html: comments, scripts, styles and tags go, references are decoded, every tag but the inline ones is a break."""
+    text = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
     text = F.regexp_replace(text, r"[ \t\r\n\f\v]+", " ")
-    text = F.regexp_replace(text, r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|nav|article|section|header|footer|aside|main|title|head|body|html)\b[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    for name, char in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+    text = F.regexp_replace(text, rf"(?i)</?(?!(?:{INSIDE})[\s/>])[a-z][^>]*>", "\n")
+    text = decoded(F.regexp_replace(text, r"<[^>]*>", ""))
     text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
