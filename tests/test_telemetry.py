@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+import subprocess
+import sys
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,3 +298,12 @@ def test_entry_and_registry(spark):
     assert e.entry(spark).count() == 537
     names = set(e.queries())
     assert set(e.oracle_sql()) <= names and len(names) > 100
+
+
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_entry_without_the_training_data_folders(tmp_path, left):
+    top = Path(__file__).resolve().parent.parent
+    gone = {"llm", "corpus_pipeline.py", ".git", "__pycache__"} - set(left)
+    shutil.copytree(top, tmp_path / "copy", ignore=lambda _, names: gone.intersection(names))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 90 and set(o) <= set(q) and not [n for n in q if n.startswith('op') or n == 'pipeline']"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -28,9 +29,11 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder in the one that driver and executors share (spark.checkpoint.dir; where unset, a local one)."""
+    """A new folder in the one that driver and executors share (spark.checkpoint.dir; where unset on one machine, a local one)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
