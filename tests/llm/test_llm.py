@@ -482,6 +482,15 @@ def test_bpe_is_the_library_s(docs):
         assert mine.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_on_all_code_points():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    mine, library = bpe.WordBpe(path), Tokenizer.from_file(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x34000 or 0xE0000 <= c < 0xE0200 or c % 257 == 0)]
+    texts = ["".join(f"a{chr(c)}b {chr(c)}\u0301{chr(c)}1 " for c in points[k : k + 100]) for k in range(0, len(points), 100)]
+    for text, ids, want in zip(texts, mine.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want.ids, text
+
+
 def test_bpe_on_odd_rows(odd, empty):
     found = bpe.encode(odd, with_ids=True).collect()
     assert len(found) == len(ODD) and bpe.encode(empty).count() == 0

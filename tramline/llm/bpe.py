@@ -8,7 +8,8 @@ ids and decoding this reproduces for vocabularies with word ends, lower-casing a
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; very long texts are encoded whole, word by
 word; repeated rows have equal results; an empty table gives no rows; other columns of the input are not read, whatever
-their names.
+their names. Where a text has code points that this Python's Unicode doesn't know, the library's own normalizer and
+splitter, which may know them, cut it into words.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,6 +29,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
 from tramline.llm.common import table
 
@@ -38,6 +42,32 @@ STRIDE = 4_000_000
 ODD = regex.compile(r"[\x1c-\x1f]")
 
 
+def _same_order(mark: str) -> bool:
+    """Whether the library sorts a combining mark as unicodedata does, which its own tables may not know yet."""
+    library = normalizers.NFC()
+    return all(library.normalize_str(x) == unicodedata.normalize("NFC", x) for x in (f"a{mark}\u0334", f"a\u0345{mark}"))
+
+
+def _unknown() -> re.Pattern:
+    """The code points that unicodedata has no category for, and the marks that the library doesn't know."""
+    odd = {c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn" or unicodedata.combining(chr(c)) and not _same_order(chr(c))}
+    edges, inside = [], False
+    for c in range(sys.maxunicode + 2):
+        if (c in odd) != inside:
+            edges.append(c)
+            inside = not inside
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True)) + "]")
+
+
+UNKNOWN = _unknown()
+#: Anything from the first of them on; a range is found faster than a class.
+HIGH = re.compile("[\u0378-\U0010ffff]")
+
+
+def unknown(text: str) -> bool:
+    return HIGH.search(text) is not None and UNKNOWN.search(text) is not None
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself if it is printable Latin-1, else the next from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -116,7 +146,9 @@ class WordBpe:
         self.last = [vocab[c + self.end] for c in shown]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(pattern)
+        self.normalizer, self.splitter = Tokenizer.from_file(path).normalizer, pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         # No decoder is set: tokens are joined by blanks, as they stand in the vocabulary.
         self.text = {v: k for k, v in vocab.items()} | {v: k for k, v in self.special.items()}
         self.known: dict[str, bytes] = {}
@@ -131,7 +163,7 @@ class WordBpe:
                 new.append(p)
             else:
                 known[p] = value
-        words_of = {p: self.split.findall(p) for p in new}
+        words_of = {p: self._words(p) for p in new}
         missing = list({w for words in words_of.values() for w in words})
         encoded = [w.encode() for w in missing]
         merged = merge_words([[*(self.inner[b] for b in w[:-1]), self.last[w[-1]]] for w in encoded], self.ranks)
@@ -139,8 +171,13 @@ class WordBpe:
         for p, words in words_of.items():
             known[p] = ids[words[0]] if len(words) == 1 else b"".join(map(ids.__getitem__, words))
 
+    def _words(self, piece: str) -> list[str]:
+        return [w for w, _ in self.splitter.pre_tokenize_str(piece)] if unknown(piece) else self.split.findall(piece)
+
     def _pieces(self, text: str) -> list[str]:
         if not text.isascii():
+            if unknown(text):
+                return regex.split(r"\p{White_Space}+", self.normalizer.normalize_str(text))
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
         text = text.lower()  # letter by letter, without the final sigma
         return regex.split(r"\p{White_Space}+", text) if ODD.search(text) else text.split()
