@@ -200,8 +200,22 @@ def test_shuffle_is_uniform_enough_and_seeded(spark):
     assert 0.4 < sum(a < b for a, b in zip(orders[0], orders[0][1:], strict=False)) / 4000 < 0.6
 
 
+def test_order_depends_on_seed_and_records_alone(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 50)
+    rows = spark.range(3000).select(F.greatest(F.col("id"), F.lit(800)).alias("doc_id"), F.lit(100).alias("size"), F.create_map(F.lit("k"), F.lit(1)).alias("m"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    orders = []
+    try:
+        for partitions, files in (("4", 1), ("16", 9)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            orders.append([r.doc_id for r in sharding.shuffled(rows.repartition(files), 7).orderBy("__position").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert orders[0] == orders[1] and len(orders[0]) == 3000
+
+
 def test_copies_beyond_a_bucket_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "BUCKET_ROWS", 200)
+    monkeypatch.setattr(sharding, "COPIES", 50)
     rows = spark.range(3000).select(F.greatest(F.col("id"), F.lit(2000)).alias("doc_id"), F.lit(100).alias("size"))
     found = sharding.shuffled(rows, 1, buckets=15).orderBy("__position").collect()
     assert [r["__position"] for r in found] == list(range(3000)) and sum(r.doc_id == 2000 for r in found) == 2001
@@ -209,6 +223,27 @@ def test_copies_beyond_a_bucket_are_spread(spark, monkeypatch):
     assert max(thirds) - min(thirds) < 150
 
 
+def test_written_shards(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "FILE_ROWS", 20)
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", 7)
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    slots = collections.defaultdict(list)
+    for r in back.collect():
+        slots[r.shard].append(r.slot)
+    assert sorted(slots) == list(range(7)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert back.drop("shard", "slot").exceptAll(docs).isEmpty() and docs.exceptAll(back.drop("shard", "slot")).isEmpty()
+
+
+def test_sharding_query(spark, docs):
+    found = registry.queries()["op4_sharding"](spark, SF)
+    assert found.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    rows, want = found.collect(), {r.doc_id: r.text or "" for r in docs.collect()}
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in rows) == sorted((i, len(t.encode()) + 16, zlib.crc32(t.encode()), "rows", None) for i, t in want.items())
+    counts = collections.Counter(r.shard for r in rows)
+    assert set(counts) == set(range(40)) and max(counts.values()) - min(counts.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in rows) == [(k, n) for k in range(40) for n in range(counts[k])]
+
+
 # SimHash
 
 

@@ -39,6 +39,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table that may be sent to every executor.
+BROADCAST_BYTES = 8 << 20
+
+
+def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, which should be stored, marked for broadcast if its rows were counted and their bytes keep to the limit."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs without space, tab, line feed, vertical tab, form feed or carriage return."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
