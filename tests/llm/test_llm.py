@@ -471,7 +471,7 @@ def test_media_round_trip(spark, odd, empty):
     from tramline.llm.common import shared_dir
 
     index = media.store(odd, f"{shared_dir(spark)}/media-test")
-    found = media.features(index).collect()
+    found = media.features(media.metadata(index)).collect()
     assert len(found) == len(ODD)
     want = collections.Counter()
     for i, t in ODD:
@@ -483,7 +483,7 @@ def test_media_round_trip(spark, odd, empty):
     assert all(r.width == 64 and r.depth == 8 for r in heads)
     same = {(r.media_sha256, r.feature) for r in found if r.doc_id in (3, 4)}
     assert len(same) == 1
-    assert media.features(media.store(empty, f"{shared_dir(spark)}/media-none")).count() == 0
+    assert media.features(media.metadata(media.store(empty, f"{shared_dir(spark)}/media-none"))).count() == 0
 
 
 def test_shards_are_tar_files(spark, docs):

@@ -4,7 +4,9 @@ Every text is stored as an 8-bit grey image, one sample for each byte: the paylo
 multiple of 64, are the rows of a PNG 64 pixels wide, whose compression is lossless. Each task writes one tar shard with
 a member for each payload that it meets, named by the payload's digest, so that equal payloads of a task are stored
 once. Rows carry digest, shard, offset and length. Metadata (width, height, depth) come from a range read of the
-member's first 33 bytes; the features of a second job from the stored samples themselves. No row moves between tasks.
+member's first 33 bytes and fill columns of the index; the features of the same job come from the stored samples
+themselves, checked against these columns and the digest. No row moves between tasks, and a task keeps no more than a
+batch of rows and the places of its own payloads.
 
 A shard is written under the name of the task's attempt and then renamed, so an attempt that died leaves no shard, and
 one that ran twice leaves the same bytes. Rows with equal texts have equal values wherever they were stored, because
@@ -91,32 +93,33 @@ def _write(folder: str):
         name = f"shard-{task.partitionId():06d}.tar"
         files, root = fs.FileSystem.from_uri(folder)
         own = f"{root}/{name}.{task.taskAttemptId()}"
-        places: dict[str, tuple[int, int]] = {}
-        rows: list[tuple] = []
-        dtype, out, at = "int64", None, 0
+        places: dict[bytes, tuple[int, int]] = {}
+        out, at = None, 0
         for batch in batches:
-            dtype = batch["doc_id"].dtype
+            rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 data = (text or "").encode()
                 payload = padded(data)
-                digest = hashlib.sha256(payload).hexdigest()
-                if digest not in places:
+                digest = hashlib.sha256(payload)
+                key = digest.digest()
+                if key not in places:
                     if out is None:
                         files.create_dir(root, recursive=True)
                         out = files.open_output_stream(own)
                     member = to_png(payload)
-                    info = tarfile.TarInfo(f"{digest}.png")
+                    info = tarfile.TarInfo(f"{digest.hexdigest()}.png")
                     info.size = len(member)
                     head = info.tobuf(tarfile.USTAR_FORMAT)
                     out.write(head + member + bytes(-len(member) % tarfile.BLOCKSIZE))
-                    places[digest] = at + len(head), len(member)
+                    places[key] = at + len(head), len(member)
                     at += len(head) + len(member) + -len(member) % tarfile.BLOCKSIZE
-                rows.append((doc_id, len(data), digest, f"{folder}/{name}", *places[digest]))
+                rows.append((doc_id, len(data), digest.hexdigest(), f"{folder}/{name}", *places[key]))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "digest", "shard", "offset", "length"]).astype({"doc_id": batch["doc_id"].dtype})
+        # Rows of a task that ends before this are thrown away with it.
         if out is not None:
             out.write(bytes(2 * tarfile.BLOCKSIZE))
             out.close()
             files.move(own, f"{root}/{name}")
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "digest", "shard", "offset", "length"]).astype({"doc_id": dtype})
 
     return run
 
@@ -160,29 +163,29 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
     ranges, last, values = Ranges(), None, ()
     for batch in batches:
         rows = []
-        for doc_id, n_bytes, digest, shard, offset, length in batch[["doc_id", "n_bytes", "digest", "shard", "offset", "length"]].itertuples(index=False):
+        for doc_id, n_bytes, digest, shard, offset, length, *head in batch.itertuples(index=False):
             if (shard, offset) != last:
                 last = shard, offset
                 data = ranges.read(shard, offset, length)
                 samples = from_png(data)
                 payload = samples.tobytes()
                 read = hashlib.sha256(payload).hexdigest()
-                if read != digest:
+                if read != digest or samples.shape != (head[1], head[0]):
                     raise ValueError(f"{shard}: the member at {offset} isn't the payload {digest}")
-                values = len(payload), read, zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples), *header(data[:HEADER])
-            rows.append((doc_id, n_bytes, *values))
+                values = len(payload), read, zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples)
+            rows.append((doc_id, n_bytes, *values, *head))
         yield pd.DataFrame(rows, columns=FEATURES).astype({"doc_id": batch["doc_id"].dtype})
 
 
 FEATURES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth"]
 
 
-def features(index: DataFrame) -> DataFrame:
-    """What the stored bytes give, read back: digests, checksum, feature and header fields."""
+def features(described: DataFrame) -> DataFrame:
+    """What the stored bytes of an index with metadata give, read back: digests, checksum and feature, beside its header fields."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long, depth int"
-    return index.mapInPandas(_features, schema)
+    return described.mapInPandas(_features, schema)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
-    return features(store(table(spark, sf_dir, "documents"), folder))
+    return features(metadata(store(table(spark, sf_dir, "documents"), folder)))
