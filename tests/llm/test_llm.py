@@ -131,15 +131,30 @@ def test_mined_rules_against_all_combinations(spark):
                 have = [v for t, v in rows if some <= t]
                 for v in ("allow", "block"):
                     n = have.count(v)
-                    if n >= urlfilter.LEAST_URLS and n / len(have) >= max(urlfilter.CONFIDENCE, urlfilter.LIFT * share[v]):
+                    if n >= urlfilter.LEAST_URLS and n / len(have) >= urlfilter.CONFIDENCE and _surely(n, len(have)) > share[v]:
                         want[some, v] = (n, round(n / len(have), 9))
-    rules = urlfilter.mine(labelled)
-    assert {(frozenset(r.tokens), r.verdict): (r.support, round(r.confidence, 9)) for r in rules.collect()} == want
-    pages = spark.createDataFrame([(1, "http://www.casino-win.example.net/en/9"), (2, "http://good.example.net/de/3"), (3, "http://good.example.net/en/3"), (4, "http://other.io/")], "page_id long, url string")
-    verdicts = {r.page_id: (r.verdict, r.mined_confidence) for r in urlfilter.judge(pages, rules).collect()}
-    for r in pages.select("page_id", urlfilter.tokens(F.col("url")).alias("t")).collect():
-        fit = [(c, s, len(t), v) for (t, v), (s, c) in want.items() if t <= set(r.t)]
-        assert verdicts[r.page_id][0] == (max(fit)[3] if fit else "allow")
+    rules = urlfilter.mine(labelled).collect()
+    assert rules and all(want[frozenset(r.tokens), r.verdict] == (r.support, round(r.confidence, 9)) for r in rules)
+    # The rules left decide as all combinations do.
+    judged = urlfilter.judge(labelled.select(F.monotonically_increasing_id().alias("page_id"), "url"), urlfilter.mine(labelled)).collect()
+    urls_of = {r.page_id: frozenset(r.t) for r in labelled.select(F.monotonically_increasing_id().alias("page_id"), urlfilter.tokens(F.col("url")).alias("t")).collect()}
+    for r in judged:
+        fit = [(c, s, v) for (t, v), (s, c) in want.items() if t <= urls_of[r.page_id]]
+        if r.rule is None:
+            assert (r.verdict, round(r.mined_confidence or 0, 9)) == ((max(fit)[2], max(fit)[0]) if fit else ("allow", 0))
+
+
+def test_long_fixed_paths_are_one_item(spark):
+    steps = "/".join(f"s{k}" for k in range(60))
+    rows = [(f"http://h{k % 3}.net/{steps}/{k}", "block") for k in range(30)] + [(f"http://h{k % 3}.net/a/{k}", "allow") for k in range(30)]
+    rules = urlfilter.mine(spark.createDataFrame(rows, "url string, verdict string")).collect()
+    assert {r.verdict for r in rules} == {"allow", "block"} and len(rules) < 10 and max(len(r.tokens) for r in rules) >= 60
+
+
+def test_labels_come_from_documents_alone(spark):
+    pages = spark.createDataFrame([(1, "http://casino-win.net/en/1"), (2, "http://good.net/en/2"), (3, "http://good.net/en/3.html"), (4, "http://good.net/4/"), (5, "http://x.net/9")], "page_id long, url string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, urlfilter.labelled(pages, labels).collect())) == [("http://casino-win.net/en/1", "allow"), ("http://good.net/en/2", "block"), ("http://good.net/en/3.html", "block")]
 
 
 # Toxicity

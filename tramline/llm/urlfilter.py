@@ -1,8 +1,12 @@
 """URL filter: stated rules, and association rules mined from labels for the urls that no stated rule fits.
 
-A url is a set of tokens: its host and the domains above it, the words of its path, the names in its query. Spark's
-FP-growth finds the combinations of tokens that labelled urls share with a verdict; those with enough support, enough
-confidence and a confidence over the verdict's usual share are rules. Rules are found through an inverted index: a rule
+A url is a set of tokens: its host and the domains above it, the words of its host, the steps of its path, the names in its
+query. Tokens that stand on exactly the same labelled urls are one item, so that a fixed path of many steps is one item
+and not a set with all its subsets. Spark's FP-growth finds the combinations of items that labelled urls share with a
+verdict; those with enough support, enough confidence, and a confidence that is surely (by Wilson's bound) over the
+verdict's usual share are rules, unless a more general rule with the same verdict is as confident. Support is a number of
+urls, not a share, so that rare hosts can be judged in a large corpus too. Labels are those of the documents that the
+pages show, and nothing else: no list of words. Rules are found through an inverted index: a rule
 is listed under the rarest of its tokens, the tokens of each url look their rules up, and a rule fits if the url has
 all of its tokens. Of the rules that fit, the most confident decides.
 
@@ -43,14 +47,10 @@ STATED = (
     Stated("allow", "com", "/fr/"),
     Stated("block", "com", "/de/"),
 )
-#: Least share of the labelled urls that a rule's urls with its verdict are, and least share of its urls with its verdict.
-SUPPORT, CONFIDENCE = 0.002, 0.6
-#: Least number of those urls.
-LEAST_URLS = 10
-#: Words of hosts that count as a label for blocking, beside labels of quality.
-SPAM_WORDS = ("adult", "ads", "bets", "casino", "porn", "spam")
-#: Least confidence by the verdict's share of all labelled urls.
-LIFT = 1.05
+#: Least number of labelled urls with a rule's tokens and verdict, and least share of its urls with its verdict.
+LEAST_URLS, CONFIDENCE = 10, 0.6
+#: Standard errors by which a rule's confidence must lie over the verdict's usual share.
+ERRORS = 1.96
 
 
 def host(url: Column) -> Column:
@@ -72,13 +72,8 @@ def tokens(url: Column) -> Column:
     steps = F.transform(F.filter(F.split(path(url), "/"), lambda s: s != ""), lambda s: F.when(s.rlike(r"^[0-9]+(\.[a-z]+)?$"), F.concat(F.lit("path:#"), F.regexp_extract(s, r"(\.[a-z]+)?$", 0))).otherwise(F.concat(F.lit("path:"), F.translate(s, UPPER, LOWER))))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     names = F.transform(F.filter(F.split(query, "&"), lambda s: s != ""), lambda s: F.concat(F.lit("query:"), F.regexp_extract(s, r"(?s)^([^=]*)", 1)))
-    return F.when(found == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(above, _host_words(found), steps, names)))
-
-
-def _host_words(found: Column) -> Column:
-    """The parts of hyphenated labels."""
-    parts = F.flatten(F.transform(F.filter(F.split(found, r"\."), lambda s: s.contains("-")), lambda s: F.split(s, "-")))
-    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.concat(F.lit("word:"), w))
+    words = F.transform(F.filter(F.split(found, r"[^a-z]+"), lambda w: w != ""), lambda w: F.concat(F.lit("word:"), w))
+    return F.when(found == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(above, words, steps, names)))
 
 
 def stated_rule(found_host: Column, found_path: Column, rules: tuple[Stated, ...] = STATED) -> tuple[Column, Column]:
@@ -93,33 +88,53 @@ def stated_rule(found_host: Column, found_path: Column, rules: tuple[Stated, ...
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """url and verdict of pages that show a labelled document, whose id is the last number of their path.
 
-    A page is to be blocked if its document is of low quality or its host has one of SPAM_WORDS.
+    A page is to be blocked if its document is of low quality or toxic.
     """
     number = F.regexp_extract(path(F.col("url")), r"/([0-9]+)(?:\.[a-z]+)?/?$", 1)
     shown = pages.select("url", number.try_cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL")
-    known = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    spam = F.arrays_overlap(_host_words(host(F.col("url"))), F.array(*[F.lit(f"word:{w}") for w in SPAM_WORDS]))
-    return shown.join(known, "doc_id").select("url", F.when((F.col("quality") == 0) | spam, "block").otherwise("allow").alias("verdict"))
+    known = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("coalesce(quality, toxic) IS NOT NULL")
+    bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
+    return shown.join(known, "doc_id").select("url", F.when(bad, "block").otherwise("allow").alias("verdict"))
+
 
+def _items(urls: DataFrame, least: int) -> DataFrame:
+    """(item, token) of tokens that stand on least urls or more; those on exactly the same urls have one item. urls: id, tokens."""
+    counts = urls.select(F.xxhash64("id").alias("id"), F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("id").alias("on")).filter(F.col("n") >= least)
+    first = counts.groupBy("n", "on").agg(F.min("token").alias("item"))
+    return counts.join(first, ["n", "on"]).select("item", "token")
 
-def mine(found: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
+
+def mine(found: DataFrame, least: int = LEAST_URLS, confidence: float = CONFIDENCE, errors: float = ERRORS) -> DataFrame:
     """Rules (tokens, verdict, support, confidence) from urls with verdicts."""
     spark = found.sparkSession
     schema = "tokens array<string>, verdict string, support long, confidence double"
-    baskets = stored(found.select(F.concat(tokens(F.col("url")), F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"), "verdict"), "baskets")
-    shares = {r["verdict"]: r["count"] for r in baskets.groupBy("verdict").count().collect()}
+    urls = stored(found.select(F.monotonically_increasing_id().alias("id"), tokens(F.col("url")).alias("tokens"), "verdict"), "labelled-urls")
+    shares = {r["verdict"]: r["count"] for r in urls.groupBy("verdict").count().collect()}
     total = sum(shares.values())
     if not total:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=max(support, min(1.0, LEAST_URLS / total)), minConfidence=confidence).fit(baskets)
+    items = stored(_items(urls, least), "items")
+    own = urls.select("id", "verdict", F.explode("tokens").alias("token")).join(items, "token").groupBy("id", "verdict").agg(F.collect_set("item").alias("items"))
+    baskets = stored(own.select(F.concat("items", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items")), "baskets")
+    if baskets.isEmpty():
+        return spark.createDataFrame([], schema)
+    held = baskets.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / held), minConfidence=confidence).fit(baskets)
     sets = stored(model.freqItemsets, "itemsets")
     named = F.filter("items", lambda x: F.startswith(x, F.lit("verdict:")))
-    # A rule's confidence: the urls with its tokens and verdict, by the urls with its tokens.
-    whole = sets.filter(F.size(named) == 1).select(F.array_sort(F.array_except("items", named)).alias("tokens"), F.substring(F.element_at(named, 1), 9, 99).alias("verdict"), F.col("freq").alias("support"))
-    parts = sets.filter(F.size(named) == 0).select(F.array_sort("items").alias("tokens"), "freq")
+    # A rule's confidence: the urls with its items and verdict, by the urls with its items.
+    whole = sets.filter((F.size(named) == 1) & (F.size("items") > 1)).select(F.array_sort(F.array_except("items", named)).alias("items"), F.substring(F.element_at(named, 1), 9, 99).alias("verdict"), F.col("freq").alias("support"))
+    parts = sets.filter(F.size(named) == 0).select(F.array_sort("items").alias("items"), "freq")
     usual = F.element_at(F.create_map(*[F.lit(x) for k, n in shares.items() for x in (k, n / total)]), F.col("verdict"))
-    rules = whole.filter(F.size("tokens") > 0).join(parts, "tokens").select("tokens", "verdict", "support", (F.col("support") / F.col("freq")).alias("confidence"))
-    return rules.filter((F.col("support") >= LEAST_URLS) & (F.col("confidence") >= confidence) & (F.col("confidence") >= lift * usual)).select("tokens", "verdict", "support", "confidence")
+    p, n, z = F.col("support") / F.col("freq"), F.col("freq"), errors
+    surely = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    kept = whole.join(parts, "items").filter((F.col("support") >= least) & (p >= confidence) & (surely > usual)).select("items", "verdict", "support", p.alias("confidence"))
+    rules = stored(kept.withColumn("rule", F.monotonically_increasing_id()), "mined")
+    # A rule with one item less, the same verdict and no less confidence decides wherever the longer one does.
+    fewer = rules.filter(F.size("items") > 1).select("rule", "verdict", F.col("confidence").alias("own"), F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("items"))
+    spare = fewer.join(rules.select("items", "verdict", "confidence"), ["items", "verdict"]).filter("confidence >= own").select("rule").distinct()
+    left = rules.join(spare, "rule", "left_anti").select("rule", "verdict", "support", "confidence", F.explode("items").alias("item"))
+    return left.join(items, "item").groupBy("rule", "verdict", "support", "confidence").agg(F.array_sort(F.collect_set("token")).alias("tokens")).select("tokens", "verdict", "support", "confidence")
 
 
 def inverted(rules: DataFrame, urls: DataFrame) -> DataFrame:
