@@ -171,6 +171,64 @@ def test_exceptions_and_matching():
     assert m.measure("éréeux")[0] == 0
 
 
+def _by_hand(text, entries, exceptions):
+    """Entries found in a folded text by trying every place, outside exceptions."""
+    found = []
+    for entry in entries:
+        for at in range(len(text)):
+            if text.startswith(entry, at) and not any(text.startswith(f" {e} ", k) and k <= at and at + len(entry) <= k + len(e) + 2 for e in exceptions for k in range(len(text))):
+                found.append(entry)
+    return sorted(found)
+
+
+def test_matcher_against_every_place():
+    import random
+
+    rng = random.Random(3)
+    entries, exceptions = [" ab", " abc ", " b ", " bab", " cé"], ["ab c", "b ab", "bab b"]
+    matcher = toxicity.Matcher(toxicity.Lexicon(tuple((e, 1.0, 0.5) for e in entries), tuple(exceptions)))
+    for _ in range(400):
+        text = toxicity.fold(" ".join(rng.choice(["ab", "abc", "b", "bab", "c", "cé", "x"]) for _ in range(rng.randrange(12))))
+        hits = [e for e, _, _ in matcher._hits(matcher.accented, text) + matcher._hits(matcher.plain, toxicity.bare(text))]
+        want = _by_hand(toxicity.bare(text), [e for e in entries if e.isascii()], exceptions) + _by_hand(text, [e for e in entries if not e.isascii()], exceptions)
+        assert sorted(hits) == sorted(want)
+
+
+def test_exceptions_are_learned(spark):
+    import random
+
+    rng = random.Random(11)
+    filler = [f"w{k}" for k in range(400)]
+
+    def some(*inside):
+        words = [rng.choice(filler) for _ in range(60)]
+        for x in inside:
+            words.insert(rng.randrange(60), x)
+        return " ".join(words)
+
+    texts = [(some("blimey", "zounds"), 1) for _ in range(200)] + [(some("blimey bird"), 0) for _ in range(60)] + [(some(), 0) for _ in range(300)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)] + [(9000 + k, texts[0][0]) for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, x) for k, (_, x) in enumerate(texts)] + [(9000 + k, 1, 1) for k in range(300)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert "blimey bird" in model.lexicon.exceptions and all(c >= 0 for c in model.coefficients)
+    assert {e.strip() for e, *_ in model.lexicon.entries} <= {"blimey", "zounds"}
+    probe = spark.createDataFrame([(1, some("blimey bird")), (2, some("blimey")), (3, some("blimey", "zounds", "blimey")), (4, some())], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score(probe, model).collect()}
+    assert scores[1] == scores[4] < 0.5 <= scores[2] <= scores[3]
+
+
+def test_copies_do_not_crowd_out_toxic_words(spark):
+    found = toxicity.sample(spark.createDataFrame([(k, "same text") for k in range(500)] + [(1000, "other")], "doc_id long, text string"), spark.createDataFrame([(k, 1) for k in range(500)] + [(1000, 0)], "doc_id long, toxic int"))
+    assert sorted((r.text, r.toxic) for r in found.collect())[-1] == ("same text", 1) and found.count() <= 2
+
+
+def test_toxicity_query(spark):
+    found = registry.queries()["op3_toxicity"](spark, SF)
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+    for r in found.collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn(docs, labels)

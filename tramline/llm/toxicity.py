@@ -5,10 +5,12 @@ words), then matched by one Aho-Corasick automaton of all lexicon entries and ex
 the beginning of words. Entries inside an exception phrase don't count. The weights of what is left, normalised by the
 length of the text, give the score by a logistic curve.
 
-The lexicon comes from labelled rows that aren't held out. At most TOXIC_ROWS and CLEAN_ROWS of them are used, chosen by
-the hash of their id; all else covers every row. A word or beginning enters if its documents, and then also the
+The lexicon comes from labelled rows that aren't held out. At most TOXIC_ROWS and CLEAN_ROWS of their distinct texts are
+used, chosen by the texts' hash; all else covers every row. A word or beginning enters if its documents, and then also the
 different pairs of words around it, are toxic far more often than the rest; the second test keeps the words of a text
-that was merely copied many times out.
+that was merely copied with changes out. A phrase of an entry and its neighbour is an exception if clean texts have it in
+many places and toxic texts never; entries are weighed without their exceptions. No measure of toxic words can lower a
+score: the curve's coefficients are bounded from below by 0.
 
 Defined cases: a null or empty text has no match and the score of the curve's foot; very long texts are matched whole;
 repeated rows have equal scores; an empty table gives no rows; without toxic or without clean labels the lexicon is
@@ -28,6 +30,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Matrices
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +38,14 @@ from tramline.llm.common import held_out, stored, table
 
 #: Labelled rows of either kind that the lexicon and the curve are learned from, at most (about: chosen by hash).
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
-#: Letters of a beginning; entries of the lexicon and of exceptions, at most; candidates for either in the second test.
-STEMS, ENTRIES, CANDIDATES = range(3, 9), 500, 5000
+#: Letters of a beginning.
+STEMS = range(3, 9)
 #: Texts whose words and beginnings a worker counts at a time.
 SLICE = 500
 #: Least log-likelihood ratio and log of rates of an entry.
 LEAST_RATIO, LEAST_WEIGHT = 30.0, 1.0
-#: The same for a phrase that makes an entry harmless.
-LEAST_EXCEPTION = 15.0
+#: The same ratio for a phrase that makes an entry harmless, and the different places in clean texts that it must have.
+LEAST_EXCEPTION, LEAST_PLACES = 15.0, 5
 
 # Characters that look like Latin letters.
 CYRILLIC, AS_LATIN = "аеорсухкмнтвізѕјԁԛԝһ", "aeopcyxkmhtbizsjdqwh"
@@ -51,6 +54,7 @@ OTHERS, AS_LATIN_3 = "ıɑɡɩɪʟɴʀʏꜱᴀᴄᴅᴇᴊᴋᴍᴏᴘᴛᴜᴠ
 DIGITS, SIGNED = "013457@$!|", "oieastasii"
 
 LOOKS = str.maketrans(CYRILLIC + GREEK + OTHERS, AS_LATIN + AS_LATIN_2 + AS_LATIN_3)
+LOOKALIKES = frozenset(CYRILLIC + GREEK + OTHERS)
 #: What a text is judged by, in the order that Matcher.measure has them.
 MEASURES = ("total", "density", "variety", "purity")
 
@@ -73,8 +77,8 @@ def fold(text: str) -> str:
     text = text.lower()
     if not text.isascii():
         text = HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()
-        if any("Ͱ" <= c <= "ԯ" or "ᴀ" <= c <= "ꟿ" or c in "ıɑɡɩ" for c in set(text)):
-            text = " ".join(w.translate(LOOKS) for w in text.split(" "))
+        if not LOOKALIKES.isdisjoint(text):
+            text = text.translate(LOOKS)
     if not set(DIGITS).isdisjoint(text):
         text = LEET_WORD.sub(_leet, text)
     text = SPELLED.sub(lambda m: SEPARATORS.sub("", m[0]), text)
@@ -111,9 +115,10 @@ class Matcher:
         for text, weight, purity in lexicon.entries:
             if text.isascii() == ascii_only:
                 found.add_word(text, (weight, purity, text))
-        for text in lexicon.exceptions:
-            if text.isascii() == ascii_only:
-                found.add_word(f" {text.strip()} ", (0.0, 0.0, f" {text.strip()} "))
+        for phrase in lexicon.exceptions:
+            text = f" {phrase.strip()} "
+            text = bare(text) if ascii_only else text
+            found.add_word(text, (0.0, 0.0, text))
         if not len(found):
             return None
         found.make_automaton()
@@ -188,29 +193,45 @@ def _weight(a: float, b: float, m: float, n: float) -> float:
     return math.log((a + 0.5) / m) - math.log((b + 0.5) / n)
 
 
-def _without_kin(rows: list[tuple[float, str, float, float]], kept: int) -> list[tuple[str, float, float]]:
+def _without_kin(rows: list[tuple[float, str, float, float]]) -> list[tuple[str, float, float]]:
     """The best of entries that begin one another; of equals the longest."""
     out: list[tuple[str, float, float]] = []
+    kept, beginnings = set(), set()
     for _, entry, weight, purity in sorted(rows, key=lambda x: (-round(x[0], 6), -len(x[1]), x[1])):
-        if len(out) < kept and not any(entry.startswith(e) or e.startswith(entry) for e, _, _ in out):
+        own = {entry[:n] for n in range(1, len(entry) + 1)}
+        if entry not in beginnings and kept.isdisjoint(own):
             out.append((entry, weight, purity))
+            kept.add(entry)
+            beginnings |= own
     return out
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic and weight of labelled rows to learn from: none that is held out, and bounded in number."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {bool(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = {k: min(1.0, most / max(1, counts.get(k, 0))) for k, most in ((True, TOXIC_ROWS), (False, CLEAN_ROWS))}
-    part = F.when(F.col("toxic") == 1, F.lit(share[True])).otherwise(F.lit(share[False]))
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000)
-    chosen = stored(drawn.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"), (1 / part).alias("weight")), "labels")
+    """text, toxic and weight of distinct labelled texts to learn from: none that is held out, and bounded in number.
+
+    A text that several documents have is toxic if one of them is labelled so.
+    """
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"))
+    texts = stored(keyed.join(known, "doc_id").groupBy("key").agg(F.min("doc_id").alias("__id"), F.max("toxic").alias("toxic")), "labelled-texts")
+    counts = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    share = {k: min(1.0, most / max(1, counts.get(k, 0))) for k, most in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))}
+    part = F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))
+    drawn = texts.filter(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(1_000_000)) < part * 1_000_000)
+    chosen = stored(drawn.select("__id", F.col("key").alias("__key"), "toxic", (1 / part).alias("weight")), "labels")
     # Its size is bounded by the two constants above, give or take the chance of a hash.
-    return stored(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).drop("__id"), "sample")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")))
+    return stored(found.dropDuplicates(["__key"]).select("text", "toxic", "weight"), "sample")
+
+
+def _places(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Different pairs of neighbours in toxic texts (a) and in clean ones (b)."""
+    around = F.struct("before", "after")
+    return rows.groupBy(*by).agg(F.countDistinct(F.when(F.col("toxic") == 1, around)).alias("a"), F.countDistinct(F.when(F.col("toxic") == 0, around)).alias("b"))
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """rows: text and toxic of a bounded sample."""
+    """rows: text and toxic of a bounded sample, which also bounds what is gathered here of its words."""
     texts = rows.select("text", "toxic").repartition(rows.sparkSession.sparkContext.defaultParallelism)
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
@@ -219,24 +240,29 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     m1, m0 = float(n[1]), float(n[0])
     p, q, r = F.col("a") / m1, F.col("b") / m0, (F.col("a") + F.col("b")) / (m1 + m0)
     likely = 2 * (F.col("a") * F.log(p / r) + F.when(q > 0, F.col("b") * F.log(q / r)).otherwise(0))
-    first = sums.filter((p > q) & (likely > LEAST_RATIO / 2)).orderBy(likely.desc(), "entry").limit(CANDIDATES)
-    docs = {x["entry"]: (x["a"], x["b"]) for x in first.collect()}
-    entries = set(docs)
-    seen = texts.mapInPandas(_contexts(entries), "entry string, before string, word string, after string, toxic int").distinct()
+    docs = {x["entry"]: (x["a"], x["b"]) for x in sums.filter((p > q) & (likely > LEAST_RATIO / 2)).collect()}
+    if not docs:
+        return Lexicon(())
+    seen = texts.mapInPandas(_contexts(set(docs)), "entry string, before string, word string, after string, toxic int").distinct()
     around = stored(seen, "contexts")
     totals = {x["toxic"]: x["n"] for x in texts.withColumn("words", F.size(F.split("text", r"\s+"))).groupBy("toxic").agg(F.sum("words").alias("n")).collect()}
-    t1, t0 = float(totals[1]), float(totals[0])
-    pairs = around.groupBy("entry").agg(F.countDistinct(F.when(F.col("toxic") == 1, F.struct("before", "after"))).alias("a"), F.countDistinct(F.when(F.col("toxic") == 0, F.struct("before", "after"))).alias("b")).collect()
-    purity = {e: math.log((a + 0.5) / (b + 0.5)) for e, (a, b) in docs.items()}
-    scored = [(ratio(x["a"], x["b"], t1, t0), x["entry"], _weight(x["a"], x["b"], t1, t0), purity[x["entry"]]) for x in pairs]
-    kept = _without_kin([s for s in scored if s[0] >= LEAST_RATIO and s[2] >= LEAST_WEIGHT], ENTRIES)
-    names = [e for e, *_ in kept]
-    # Phrases of an entry and a neighbour that are found in clean texts far more often than the entry is.
-    phrases = around.filter(F.col("entry").isin(names)).select("entry", "toxic", "before", "after", F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after"))).alias("phrase"))
-    tallied = phrases.groupBy("entry", "phrase").agg(F.countDistinct(F.when(F.col("toxic") == 1, F.struct("before", "after"))).alias("a"), F.countDistinct(F.when(F.col("toxic") == 0, F.struct("before", "after"))).alias("b"))
-    own = {x["entry"]: (max(1, x["a"]), max(1, x["b"])) for x in pairs}
-    harmless = [(x["phrase"], ratio(x["b"], x["a"], own[x["entry"]][1] + own[x["entry"]][0], own[x["entry"]][0])) for x in tallied.filter("b >= 5 AND a = 0").orderBy(F.desc("b"), "phrase").limit(CANDIDATES).collect()]
-    return Lexicon(tuple(kept), tuple(p for p, value in sorted(harmless, key=lambda x: (-x[1], x[0])) if value >= LEAST_EXCEPTION and " " in p.strip())[:ENTRIES])
+    t1, t0 = float(totals[1] or 1), float(totals[0] or 1)
+    own = {x["entry"]: (x["a"], x["b"]) for x in _places(around, ["entry"]).collect()}
+    # Phrases of an entry and a neighbour that clean texts have in many places, far more often than the entry as a whole, and toxic texts never.
+    phrases = around.select("entry", "toxic", "before", "after", F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after"))).alias("phrase"))
+    tallied = _places(phrases, ["entry", "phrase"]).filter((F.col("a") == 0) & (F.col("b") >= LEAST_PLACES) & F.trim("phrase").contains(" ")).collect()
+    harmless = {(x["entry"], x["phrase"].strip()) for x in tallied if ratio(x["b"], 0, max(1, own[x["entry"]][1]), max(1, own[x["entry"]][0])) >= LEAST_EXCEPTION}
+    if harmless:
+        spared = rows.sparkSession.createDataFrame(sorted(harmless), "entry string, phrase string")
+        phrase = F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after")))
+        covered = around.select("*", phrase.alias("phrase")).join(F.broadcast(spared), ["entry", "phrase"], "left_semi").drop("phrase").distinct()
+        own = {x["entry"]: (x["a"], x["b"]) for x in _places(around.exceptAll(covered), ["entry"]).collect()}
+    excepted = {e for e, _ in harmless}
+    purity = {e: math.log((a + 0.5) / ((own[e][1] if e in excepted else b) + 0.5)) for e, (a, b) in docs.items() if e in own}
+    scored = [(ratio(a, b, t1, t0), e, _weight(a, b, t1, t0), purity[e]) for e, (a, b) in own.items() if e in purity]
+    kept = _without_kin([s for s in scored if s[0] >= LEAST_RATIO and s[2] >= LEAST_WEIGHT])
+    names = {e for e, *_ in kept}
+    return Lexicon(tuple(kept), tuple(sorted({p for e, p in harmless if e in names})))
 
 
 def measured(text: F.Column, lexicon: Lexicon) -> F.Column:
@@ -269,7 +295,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(lexicon)
     points = stored(rows.select("toxic", "weight", measured(F.col("text"), lexicon).alias("m")).select("toxic", "weight", "m.*"), "points")
     ready = VectorAssembler(inputCols=list(MEASURES), outputCol="features").transform(points)
-    fitted = LogisticRegression(labelCol="toxic", weightCol="weight", regParam=1e-4, maxIter=50).fit(ready)
+    least = Matrices.dense(1, len(MEASURES), [0.0] * len(MEASURES))
+    fitted = LogisticRegression(labelCol="toxic", weightCol="weight", regParam=1e-4, maxIter=50, family="binomial", lowerBoundsOnCoefficients=least).fit(ready)
     return Model(lexicon, tuple(map(float, fitted.coefficients)), float(fitted.intercept))
 
 
