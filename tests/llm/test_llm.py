@@ -480,6 +480,29 @@ def test_main_text_of_the_tables(spark):
         assert texts[r.page_id] == "\n".join(filter(None, blocks))
 
 
+def test_no_value_adds_a_header(spark):
+    pages = spark.createDataFrame([(1, "http://a/\r\nWARC-Type: evil\t x", "b")], "page_id long, url string, html string")
+    found = warc.responses(pages).withColumn("date", F.lit("2024-01-01T00:00:00Z\r\nX: y"))
+    for headers, _ in warc.parse_records(b"".join(bytes(r.record) for r in warc.derive(found).collect())):
+        assert headers["WARC-Type"] in ("metadata", "conversion") and headers["WARC-Target-URI"] == "http://a/%0D%0AWARC-Type:%20evil%09%20x" and "X" not in headers
+
+
+def test_records_are_files(spark):
+    from tramline.llm.common import shared_dir
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(40)
+    records = stored(warc.derive(warc.responses(pages)), "records")
+    index = warc.write_records(records, f"{shared_dir(spark)}/warc-files").collect()
+    want = {r.record_id: bytes(r.record) for r in records.collect()}
+    assert len(index) == len(want) == 80
+    for name in {r.file for r in index}:
+        with open(name.removeprefix("file://"), "rb") as file:
+            data = file.read()
+        own = [r for r in index if r.file == name]
+        assert {r.record_id: data[r.offset : r.offset + r.length] for r in own} == {r.record_id: want[r.record_id] for r in own}
+        assert [h["WARC-Record-ID"] for h, _ in warc.parse_records(data)] == [r.record_id for r in sorted(own, key=lambda r: r.offset)]
+
+
 @pytest.mark.parametrize(("source", "want"), [
     ('<body><nav>m</nav><div class="content-sidebar-wrap"><p>one</p><p>two&nbsp; three</p></div></body>', "one\ntwo three"),
     ('<article><div class="article-header"><h1>T</h1></div><p>x<span>y</span> z</p><div class="share">s</div><button>b</button></article><p>out</p>', "T\nxy z"),

@@ -3,7 +3,9 @@
 Responses come as rows (record id, target, date, HTTP header block, body). Derived records keep what ties them to their
 source: WARC-Refers-To names the response's record, WARC-Target-URI and WARC-Date repeat its own, the metadata record
 lists its HTTP headers and digests, and every record has its block's digest and length. Record ids are name-based, so
-that a run on the same responses gives the same records, whichever executor makes them.
+that a run on the same responses gives the same records, whichever executor makes them. Control characters and blanks of
+a target are percent-encoded and those of other header values removed, so that no value can add a header line.
+write_records writes the records into WARC files, one for each task, and returns where each record lies.
 
 Defined cases: a null body is empty, and so is its text; a null url is the empty target, which is left out of the record;
 a null header block is empty; very long bodies are converted whole; repeated rows give repeated records, with one id,
@@ -18,11 +20,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tramline.llm.common import table
+from tramline.llm.common import stored, table
 from tramline.llm.wrappers import INLINE
 
 #: The day that tables without a crawl date are taken to be fetched.
@@ -45,6 +49,16 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))
 
 
+def safe_target(url: Column) -> Column:
+    """url with each control character or blank as %XX."""
+    coded = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(r"^[\x00-\x20\x7F]$"), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c))
+    return F.when(url.rlike(r"[\x00-\x20\x7F]"), F.array_join(coded, "")).otherwise(url)
+
+
+def safe_value(value: Column) -> Column:
+    return F.regexp_replace(value, r"[\x00-\x1F\x7F]+", "")
+
+
 def responses(pages: DataFrame) -> DataFrame:
     """Responses from page_id, url and html, with the headers that a server would have sent."""
     body = F.coalesce("html", F.lit(""))
@@ -52,7 +66,7 @@ def responses(pages: DataFrame) -> DataFrame:
     return pages.select(
         F.col("page_id").alias("source_id"),
         uuid_of(F.concat_ws("|", F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.sha2(body.cast("binary"), 256))).alias("record_id"),
-        F.coalesce("url", F.lit("")).alias("target"),
+        safe_target(F.coalesce("url", F.lit(""))).alias("target"),
         F.lit(DATE).alias("date"),
         F.concat(F.lit(before), F.octet_length(body).cast("string"), F.lit(after)).alias("headers"),
         body.alias("body"),
@@ -99,7 +113,8 @@ def derive(found: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("type"), F.lit("application/warc-fields").alias("content_type"), about.alias("block")),
         F.struct(F.lit("conversion").alias("type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("body")).alias("block")),
     )
-    each = found.select("source_id", F.col("record_id").alias("refers_to"), "target", "date", F.explode(both).alias("d")).select(
+    own = found.withColumns({"record_id": safe_value(F.col("record_id")), "target": safe_target(F.col("target")), "date": safe_value(F.col("date"))})
+    each = own.select("source_id", F.col("record_id").alias("refers_to"), "target", "date", F.explode(both).alias("d")).select(
         "source_id", "refers_to", "target", "date", "d.type", "d.content_type", "d.block",
         uuid_of(F.concat_ws("|", "d.type", F.col("refers_to"))).alias("record_id"), digest(F.col("d.block")).alias("block_digest"),
         F.octet_length("d.block").cast("long").alias("content_length"),
@@ -116,12 +131,48 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         version, *lines = data[at:end].decode().split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no record at {at}")
-        headers = dict(line.split(": ", 1) for line in lines)
+        headers: dict[str, str] = {}
+        for line in lines:
+            name, value = line.split(": ", 1)
+            if name in headers:
+                raise ValueError(f"{name} stands twice in the record at {at}")
+            headers[name] = value
         size = int(headers["Content-Length"])
         yield headers, data[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 
 
+def _write(folder: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get()
+        name = f"derived-{task.partitionId():06d}.warc"
+        files, root = fs.FileSystem.from_uri(folder)
+        own, out, at = f"{root}/{name}.{task.taskAttemptId()}", None, 0
+        for batch in batches:
+            rows = []
+            for record_id, record in zip(batch["record_id"], batch["record"], strict=True):
+                if out is None:
+                    files.create_dir(root, recursive=True)
+                    out = files.open_output_stream(own)
+                out.write(record)
+                rows.append((record_id, f"{folder}/{name}", at, len(record)))
+                at += len(record)
+            yield pd.DataFrame(rows, columns=["record_id", "file", "offset", "length"])
+        if out is not None:
+            out.close()
+            files.move(own, f"{root}/{name}")
+
+    return run
+
+
+def write_records(records: DataFrame, folder: str) -> DataFrame:
+    """Write records (record_id, record) into WARC files of a folder that all executors reach; record_id, file, offset and length.
+
+    A file is written under the name of the task's attempt and then renamed, so an attempt that died leaves no file.
+    """
+    return stored(records.select("record_id", "record").mapInPandas(_write(folder), "record_id string, file string, offset long, length long"), "warc-index")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = derive(responses(table(spark, sf_dir, "pages")))
     return found.select(
