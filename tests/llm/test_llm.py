@@ -514,10 +514,62 @@ def test_single_pages(source, want):
     assert wrappers.extract(source, None) == want
 
 
-def test_template_text_goes(spark):
-    pages = [(k, "http://h/", f"<div><p>{'story ' * 40}{k}</p><h3>Share this page</h3></div>") for k in range(12)]
-    found = wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
-    assert all("Share" not in r.text and f"story {r.page_id}" in r.text for r in found)
+def _main_texts(spark, pages):
+    rows = [(k, u, h) for k, (u, h) in enumerate(pages)]
+    return [r.text for r in sorted(wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)]
+
+
+def test_text_that_never_varies_goes_beside_the_article_and_stays_inside(spark):
+    pages = [("http://h/", f"<body><h1>Weekly notes</h1><div><p>We use cookies</p></div><section><p>{'story ' * 40}{k}</p><blockquote>Fixed motto</blockquote></section></body>") for k in range(12)]
+    assert _main_texts(spark, pages) == [f"Weekly notes\n{'story ' * 40}{k}\nFixed motto" for k in range(12)]
+    named = [("http://h/", f"<article><h1>Weekly notes</h1><p>{'story ' * 40}{k}</p><blockquote>Fixed motto</blockquote></article>") for k in range(12)]
+    assert _main_texts(spark, named) == [f"Weekly notes\n{'story ' * 40}{k}\nFixed motto" for k in range(12)]
+
+
+def test_wrappers_find_the_article_under_any_name(spark):
+    import html
+
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    hosts = collections.Counter(re.match("[^:]*://([^/]*)", r.url)[1] for r in rows)
+    names = {h: f'div class="box{chr(97 + k % 26)}"' if k % 2 else "section" for k, h in enumerate(hosts)}
+    pages, want = [], []
+    for r in rows:
+        name = names[re.match("[^:]*://([^/]*)", r.url)[1]]
+        pages.append((r.url, r.html.replace("<article>", f"<{name}>").replace("</article>", f"</{name.split()[0]}>")))
+        inside = re.search("(?s)<article>(.*)</article>", r.html)[1].replace("<br>", " ")
+        want.append("\n".join(filter(None, (" ".join(html.unescape(re.sub("</?b>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inside)))))
+    assert _main_texts(spark, pages) == want
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("<div>" * 100_000 + "text" + "</x>" * 100_000 + "</div>" * 100_000 + "<p>more", "text\nmore"),
+    ("<p>x</p>" + "<a " * 350_000, "x\n" + ("<a " * 350_000).strip()),
+    ("<p>x</p>" + '<a href="' * 100_000 + ">y", None),
+    ("<p>x</p><h2>y</h2>" * 20_000, "\n".join(["x", "y"] * 20_000)),
+    ("".join(f"<x{k}>t{k}</x{k}>" for k in range(5000)), "\n".join(f"t{k}" for k in range(5000))),
+    ("<script>" + "</script " * 200_000, ""),
+    ("<nav>" + "<div>" * 300 + "<nav>menu</nav>no" + "</div>" * 300 + "</nav><p>yes<div>" + "<div>" * 300 + "deep<nav>menu</nav>", "yes\ndeep"),
+])
+def test_pages_without_bounds_take_linear_time(source, want):
+    import time
+
+    began = time.process_time()
+    found = wrappers.extract(source, wrappers.rules_of(wrappers.align(wrappers.page_expression(source), wrappers.page_expression(source))))
+    assert time.process_time() - began < 30 and (want is None or found == want)
+
+
+def test_wrappers_stay_small(spark):
+    pages = [("http://h/", f"<body><div class='{chr(97 + k % 26)}{chr(97 + k // 26)}x'><p>{'story ' * 40}{k}</p></div><div class=ad>buy</div></body>") for k in range(200)]
+    assert _main_texts(spark, pages) == [f"{'story ' * 40}{k}" for k in range(200)]
+    wrapper = None
+    for _, source in pages:
+        found = wrappers.page_expression(source)
+        wrapper = found if wrapper is None else wrappers.align(wrapper, found)
+
+    def parts(x):
+        return 1 + sum(map(parts, x[6]))
+
+    assert parts(wrapper) < 4 * wrappers.MOST_PARTS
 
 
 def test_text_of_copies_stays(spark):
