@@ -13,11 +13,15 @@ tiles, a group of bounded size, gives the links that connect it. Either way no l
 
 Components come from alternating large-star and small-star steps, each written to the shared folder.
 
-The pipeline's stage asks for another similarity, a Jaccard of 0.8 or more over five-word shingles, which a fingerprint of
-64 bits can't tell from less. There, candidates are texts that agree on a band of independent minhashes, each candidate is
-verified by the exact Jaccard of the two shingle sets, and only verified pairs are linked. A pair of 0.8 shares no band
-with a chance of 6 in 100,000, one of 0.85 of 3 in ten millions. Of each band's texts, all are first held against one;
-what these links connect needs no more pairs, and all other pairs of the band follow.
+The pipeline's stage asks for another similarity, a Jaccard of 0.8 or more over five-word shingles. Sign bits can't find
+such pairs: two texts at 0.8 differ in 15 % of them, so that a block selective enough for billions of texts (32 bits) would
+be shared with a chance of 1 in 190, and 870 blocks a text would be needed. There, the fingerprint is a list of minhashes
+instead, which differ in 20 % of places but whose blocks of six no two unlike texts share. The steps stay: fingerprints are
+split into 32 blocks, texts are joined on them, candidates are verified by a Hamming distance (of a parity sketch of the
+shingle sets, which never exceeds the sets' true difference, so that it drops no pair), and what is left by the exact
+Jaccard. A pair of 0.8 shares no block with a chance of 6 in 100,000, one of 0.85 of 3 in ten millions. Of each block's
+texts, all are first held against its most central one; what these links connect needs no more pairs. The rest of a
+block is compared in tiles of bounded size, which send on only the pairs that their sketches allow.
 
 Defined cases: a null text has no words and, like any text without words, the fingerprint 0, which links like others;
 fewer words than a shingle has are one shingle; very long texts are hashed whole; repeated rows share a component; rows
@@ -37,19 +41,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.common import WORD_PATTERN, stored, table
+from tramline.llm.common import WORD_PATTERN, small, stored, table
 
 SHINGLE = 3
 DISTANCE = 2
 SEED = 42
-#: Bits that the fingerprints of texts may differ in for links at a larger distance.
-STAGE_DISTANCE = 5
 #: Words of a shingle and least Jaccard, as a fraction, of near copies for the pipeline's stage; its bands of minhashes.
 STAGE_SHINGLE, STAGE_JACCARD = 5, (4, 5)
 BANDS, BAND_ROWS = 32, 6
+#: Bits of the stage's parity sketches.
+SKETCH = 2048
 #: Fingerprints in a block up to which they are compared pair by pair.
 PAIRWISE = 16
-#: Fingerprints in a tile of a larger block.
+#: Fingerprints or texts in a tile of a larger block.
 TILE = 1000
 #: Rounds of two star steps; each halves the depth of what is left, so that no real graph needs as many.
 ROUNDS = 60
@@ -237,37 +241,62 @@ def bands(found: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Bit k is 1 if an odd number of hashes fall on it. Two sketches differ in no more bits than their sets in hashes."""
+    odd = np.bincount((found >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _banded(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
     for batch in batches:
         sets = [shingle_set(t or "") for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "node": list(map(node_of, sets)), "n": list(map(len, sets)), "bands": list(map(bands, sets))})
+        yield pd.DataFrame(
+            {"doc_id": batch["doc_id"], "key": batch["key"], "node": list(map(node_of, sets)), "n": list(map(len, sets)), "bands": list(map(bands, sets)), "sketch": list(map(sketch, sets))}
+        )
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    """The sets of texts whose set is the wanted one; another text of the same id is not."""
     for batch in batches:
-        sets = [shingle_set(t or "") for t in batch["text"]]
-        rows = [(w, s.view(np.int64)) for w, s in zip(batch["node"], sets, strict=True) if node_of(s) == w]
-        yield pd.DataFrame(rows, columns=["node", "set"])
+        yield pd.DataFrame({"node": batch["node"], "set": [shingle_set(t or "").view(np.int64) for t in batch["text"]]})
+
 
+def close_pairs(rows: pd.DataFrame) -> np.ndarray:
+    """Pairs (greater node, lesser node) of rows with differing roots that sizes and sketches allow the stage's Jaccard.
 
-def _pairs_across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a group's rows, of one tile or of two, that differ in their roots and whose sizes allow the Jaccard."""
-    rows = rows.drop_duplicates("node")
+    Of two sets with s hashes in all, a Jaccard of p / q or more leaves a difference of s (q - p) / (q + p) at most.
+    """
+    rows = rows.drop_duplicates("node").sort_values("node")
     node, root, n = (rows[c].to_numpy() for c in ("node", "root", "n"))
+    bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
     over, under = STAGE_JACCARD
-    out = []
-    for k in range(len(node)):
-        fit = (node < node[k]) & (root != root[k]) & (under * np.minimum(n, n[k]) >= over * np.maximum(n, n[k]))
-        out.append(np.stack([np.full(fit.sum(), node[k]), node[fit]], 1))
-    return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the stage's Jaccard; nodes: node and the doc_id of a text that has it."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    sets = stored(texts.select("node", "text").mapInPandas(_sets, "node long, set array<long>").dropDuplicates(["node"]), "shingle-sets")
+    out = [np.zeros((0, 2), np.int64)]
+    for k in range(1, len(node)):
+        fit = np.flatnonzero((root[:k] != root[k]) & (under * np.minimum(n[:k], n[k]) >= over * np.maximum(n[:k], n[k])))
+        apart = np.bitwise_count(bits[fit] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        fit = fit[(over + under) * apart <= (under - over) * (n[fit] + n[k])]
+        out.append(np.stack([np.full(len(fit), node[k]), node[fit]], 1))
+    return np.concatenate(out)
+
+
+def _in_tiles(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    """close_pairs of each run of rows with one (band, t, u); rows come sorted by these."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for batch in (*batches, None):
+        if batch is not None and len(batch) == 0:
+            continue
+        parts = [] if batch is None else [(k, rows) for k, rows in batch.groupby(["band", "t", "u"], sort=False)]
+        for key, rows in [*parts, (None, None)] if batch is None else parts:
+            if key != last and held:
+                yield pd.DataFrame(close_pairs(pd.concat(held)), columns=["a", "b"])
+                held = []
+            last = key
+            if rows is not None:
+                held.append(rows)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the stage's Jaccard."""
     ours, theirs = (sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     over, under = STAGE_JACCARD
@@ -275,34 +304,53 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, node and root of documents with an id: those with one root are connected by pairs of the stage's Jaccard."""
-    banded = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL").mapInPandas(_banded, "doc_id long, node long, n int, bands array<long>"), "bands")
-    nodes = stored(banded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    """doc_id, key, node and root of documents with an id: those with one root are connected by pairs of the stage's Jaccard.
+
+    key is the hash of the text, so that different texts under one id stay apart.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).filter("doc_id IS NOT NULL")
+    banded = stored(keyed.mapInPandas(_banded, "doc_id long, key long, node long, n int, bands array<long>, sketch binary"), "bands")
+    nodes = stored(banded.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("place"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")]), "nodes")
     each = nodes.select("node", "n", F.explode("bands").alias("band"))
-    sizes = each.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
+    sizes = each.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     shared = stored(each.join(sizes, "band"), "shared-bands")
-    hubs = stored(shared.filter(F.col("node") > F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "hub-pairs")
-    first = stored(_verified(hubs, docs, nodes), "hub-links")
+    # A text is the more central, the more texts share its bands.
+    central = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    wanted = stored(central.join(nodes, "node").select("node", "weight", "n", "sketch", "place.doc_id", "place.key"), "shared-nodes")
+    hubs = shared.join(wanted.select("node", "weight"), "node").groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    against = stored(shared.join(hubs, "band").filter("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "hub-pairs")
+    texts = keyed.join(small(wanted.select("node", "doc_id", "key"), 24), ["doc_id", "key"]).dropDuplicates(["node"])
+    sets = stored(texts.select("node", "text").mapInPandas(_sets, "node long, set array<long>"), "shingle-sets")
+    first = stored(_verified(against, sets), "hub-links")
     roots = stored(components(first), "roots")
     # Of bands with several roots, the pairs that aren't connected yet.
-    rooted = stored(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-bands")
+    rooted = stored(shared.filter("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-bands")
     mixed = rooted.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band")
-    open_ = rooted.filter("size > 2").join(mixed, "band").select("band", "node", "root", "n", "size")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    placed = open_.select("*", F.pmod(F.xxhash64("node"), tiles).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u"))
-    keyed = placed.select("band", "node", "root", "n", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"))
-    across = keyed.groupBy("band", "t", "u").applyInPandas(_pairs_across, "a long, b long").distinct()
-    rest = stored(across.join(hubs, ["a", "b"], "left_anti"), "other-pairs")
-    edges = stored(first.union(_verified(rest, docs, nodes)), "similar-links")
-    roots = stored(components(edges), "roots")
-    return banded.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    placed = rooted.join(mixed, "band").select("band", "node", "root", own.alias("t"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u"))
+    dealt = placed.join(wanted.select("node", "n", "sketch"), "node").select("band", F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u"), "node", "root", "n", "sketch")
+    across = dealt.repartition("band", "t", "u").sortWithinPartitions("band", "t", "u").mapInPandas(_in_tiles, "a long, b long").distinct()
+    edges = stored(first.union(_verified(stored(across, "other-pairs"), sets)), "similar-links")
+    return banded.select("doc_id", "key", "node").join(stored(components(edges), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of near copies that are connected the document with the least id stays, once; documents without an id stay.
 
-    Near copies have five-word shingle sets with a Jaccard of 0.8 or more.
+    Near copies have five-word shingle sets with a Jaccard of 0.8 or more. Different texts under one id are different
+    documents; of those with the least id, the one with the least hash of its text stays. Of rows with one id and text,
+    the first in the order of their fields as JSON stays. Texts move only if there are too many decisions to broadcast.
     """
-    first = similar(docs).groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(stored(first, "first"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.filter("doc_id IS NULL"))
+    places = stored(similar(docs).groupBy("doc_id", "key").agg(F.first("root").alias("root"), F.count("*").alias("rows")), "places")
+    first = places.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("place")).select("place.*")
+    gone = places.join(first, ["doc_id", "key"], "left_anti").select("doc_id", "key", F.lit(True).alias("gone"))
+    again = places.filter("rows > 1").join(first, ["doc_id", "key"], "left_semi").select("doc_id", "key", F.lit(False).alias("gone"))
+    marks = stored(gone.union(again), "decisions")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"))
+    marked = rows.join(small(marks, 17), ["doc_id", "key"], "left")
+    kept = marked.filter("gone IS NULL").select("row.*")
+    if marks.filter("NOT gone").isEmpty():
+        return kept
+    one = marked.filter("NOT gone").groupBy("doc_id", "key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return kept.union(one)
