@@ -172,12 +172,72 @@ def test_ranking_measures(spark):
     assert E.ranking(df.filter("actual")).first().auc is None
 
 
-def test_neighbours(spark):
-    rows = [("a", 1, 0.5, "L1", "1", 3, 4, 10, 1, 1), ("b", 1, 0.6, "L1", "1", 5, None, 70, -1, 2), ("c", 1, 0.7, "L2", "2", 5, 6, 0, 0, 3)]
-    df = spark.createDataFrame(rows, RISKS + ", route_id string, line string, last_stop_sequence int, next_stop_sequence int, delay int, delay_delta_1 int, event_id long")
-    pairs = A.neighbours(df, "run")
-    assert {(r.event_id, r.band) for r in pairs.collect()} == {(1, "downstream"), (2, "upstream")}
-    assert {(r.event_id, r.rising) for r in A.propagation(pairs, ["event_id"]).collect()} == {(1, 0), (2, 1)}
+def _vehicles(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    stop = lambda: rng.choice([None, rng.randrange(6)])
+    return [(f"v{k}", rng.randrange(2), rng.choice([0.1, 0.5, 0.9]), rng.choice(["L1", None]), rng.choice(["1", "2"]), stop(), stop(), rng.choice([None, rng.randrange(90)]), rng.choice([None, -1, 1]), k) for k in range(n)]
+
+
+ON_ROUTE = RISKS + ", route_id string, line string, last_stop_sequence int, next_stop_sequence int, delay int, delay_delta_1 int, event_id long"
+
+
+@pytest.mark.parametrize("n", [3, 60])
+def test_neighbours_against_all_pairs(spark, n):
+    rows = _vehicles(n, n)
+    place = {r[9]: (r[5] + r[6]) / 2 if None not in r[5:7] else r[5] if r[5] is not None else r[6] for r in rows}
+    bands, nearest = {}, {}
+    for r in rows:
+        others = [o for o in rows if o[9] != r[9] and o[1] == r[1] and (o[3] or o[4]) == (r[3] or r[4])]
+        for o in others:
+            a, b = place[r[9]], place[o[9]]
+            band = "same" if a is None or b is None or a == b else "downstream" if b > a else "upstream"
+            bands.setdefault((r[9], band), []).append(o)
+        distance = lambda o: abs(place[o[9]] - place[r[9]]) if place[o[9]] is not None and place[r[9]] is not None else float("inf")  # noqa: B023, E731
+        near = sorted(others, key=lambda o: (distance(o), -o[2], o[9]))[:7]
+        along = sorted(near, key=lambda o: (place[o[9]] is not None, place[o[9]] or 0, o[9]))
+        nearest |= {(r[9], k + 1): o[9] for k, o in enumerate(along)}
+    want = {}
+    for key, others in bands.items():
+        delays = [o[7] for o in others if o[7] is not None]
+        want[key] = len(others), round(sum(delays) / len(delays), 6) if delays else None, sum((o[8] or 0) > 0 for o in others)
+    df = spark.createDataFrame(rows, ON_ROUTE)
+    found = {(r.event_id, r.band): (r.vehicles, None if r.mean_delay is None else round(r.mean_delay, 6), r.rising) for r in A.propagation(df, "run", ["event_id"]).collect()}
+    assert found == want
+    assert {(r.event_id, r.place): r.other_event_id for r in A.route_window(df, "run", ["event_id"]).collect()} == nearest
+
+
+def test_top_fractions_and_sweep_against_sorting(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"v{k}", rng.randrange(3), rng.choice([0.5, rng.random()]), rng.random() < 0.7, rng.random() < 0.3, k) for k in range(500)]
+    df = spark.createDataFrame(rows, RISKS + ", raw_alert boolean, actual boolean, event_id long")
+    order = sorted(rows, key=lambda r: (-r[2], r[5]))
+    for r in E.top_fractions(df, (0.01, 0.1, 0.5), "event_id").collect():
+        top = order[: r.n]
+        assert r.n == max(1, round(500 * r.fraction)) and r.least_risk == top[-1][2] and abs(r.precision - sum(x[4] for x in top) / r.n) < 1e-12
+    for r in E.policy_sweep(df, "run", [0.0, 0.4, 0.5, 0.8], [0, 1, 5, 30], "event_id").collect():
+        alerts = []
+        for run in range(3):
+            fit = [x for x in order if x[1] == run and x[3] and x[2] >= r.floor]
+            alerts += fit[: r.cap] if r.cap else fit
+        assert (r.tp, r.fp) == (sum(x[4] for x in alerts), sum(not x[4] for x in alerts)) and r.tp + r.fp + r.fn + r.tn == 500
+
+
+def test_cooldown_against_a_loop(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(f"v{rng.randrange(4)}", at(rng.randrange(40_000)), k) for k in range(600)]
+    df = spark.createDataFrame(rows, "vehicle_id string, position_time timestamp_ntz, event_id long")
+    last, want = {}, []
+    for v, t in sorted({(v, t) for v, t, _ in rows}):
+        if v not in last or (t - last[v]).total_seconds() >= 600:
+            last[v] = t
+            want.append((v, t))
+    assert sorted((r.vehicle_id, r.position_time) for r in A.cooldown(df, 10).collect()) == want
 
 
 def test_window_choice(spark):

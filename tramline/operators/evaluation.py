@@ -15,10 +15,11 @@ THRESHOLDS = tuple(0.05 + k * ((0.95 - 0.05) / 90) for k in range(90)) + (0.95,)
 EDGES = tuple(k * (1.0 / 10) for k in range(10)) + (1.0,)
 
 
-def confusion(alert: Column, actual: Column) -> dict[str, Column]:
-    """Aggregates over labelled rows; a ratio without cases is null."""
-    tp, fp = F.count_if(alert & actual), F.count_if(alert & ~actual)
-    fn, tn = F.count_if(~alert & actual), F.count_if(~alert & ~actual)
+def confusion(alert: Column, actual: Column, weight: Column | None = None) -> dict[str, Column]:
+    """Aggregates over labelled rows, or over cells of weight rows each; a ratio without cases is null."""
+    n = F.count_if if weight is None else lambda c: F.coalesce(F.sum(F.when(c, weight)), F.lit(0))
+    tp, fp = n(alert & actual), n(alert & ~actual)
+    fn, tn = n(~alert & actual), n(~alert & ~actual)
     precision, recall = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn)
     return {
         "tp": tp, "fp": fp, "fn": fn, "tn": tn, "precision": precision, "recall": recall, "f1": F.try_divide(2 * precision * recall, precision + recall),
@@ -56,14 +57,21 @@ def score_bands(df: DataFrame) -> DataFrame:
 
 
 def policy_sweep(df: DataFrame, run: str, floors: list[float], caps: list[int], ties: str) -> DataFrame:
-    """Confusion of each floor and cap, where a run's cap riskiest eligible rows are its alerts (0: all of them)."""
+    """Confusion of each floor and cap, where a run's cap riskiest eligible rows are its alerts (0: all of them).
+
+    Rows over a floor are the first of a run's raw alerts by risk, so one rank serves all floors and caps. Rows collapse
+    to the cells that floors and caps tell apart before the grid is tried on them.
+    """
     spark = df.sparkSession
     grid = F.broadcast(spark.createDataFrame([(f, c) for f in floors for c in caps], "floor double, cap int"))
-    each = df.filter(F.col("actual").isNotNull()).crossJoin(grid)
-    eligible = F.col("raw_alert") & (F.col("risk") >= F.col("floor"))
-    place = F.row_number().over(Window.partitionBy("floor", "cap", run, eligible).orderBy(F.desc("risk"), ties))
-    alert = eligible & ((F.col("cap") == 0) | (place <= F.col("cap")))
-    return metrics(each.withColumn("alert", alert), F.col("alert"), ["floor", "cap"])
+    raw = F.coalesce(F.col("raw_alert"), F.lit(False))
+    place = F.row_number().over(Window.partitionBy(run, raw).orderBy(F.desc("risk"), ties))
+    within = F.coalesce(F.least(*[F.when(place <= c, c) for c in sorted({*caps} - {0})], F.lit(None).cast("int")), F.lit(2**31 - 1)) if {*caps} - {0} else F.lit(2**31 - 1)
+    over = F.greatest(F.lit(None).cast("double"), *[F.when(F.col("risk") >= f, F.lit(float(f))) for f in floors])
+    labelled = df.filter(F.col("actual").isNotNull()).select("actual", raw.alias("raw"), over.alias("over"), within.alias("within"))
+    cells = labelled.groupBy("actual", "raw", "over", "within").agg(F.count("*").alias("n"))
+    alert = F.col("raw") & F.coalesce(F.col("over") >= F.col("floor"), F.lit(False)) & ((F.col("cap") == 0) | (F.col("within") <= F.col("cap")))
+    return cells.crossJoin(grid).groupBy("floor", "cap").agg(*[c.alias(k) for k, c in confusion(alert, F.col("actual"), F.col("n")).items()])
 
 
 def threshold_counts(df: DataFrame) -> DataFrame:
@@ -115,15 +123,26 @@ def ranking(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def top_fractions(df: DataFrame, fractions: tuple[float, ...], ties: str) -> DataFrame:
-    """The riskiest max(1, round(n f)) rows for each f: least risk, precision, recall, lift."""
+def top_fractions(df: DataFrame, fractions: tuple[float, ...], ties: str, zones: int = 4096) -> DataFrame:
+    """The riskiest max(1, round(n f)) rows for each f: least risk, precision, recall, lift.
+
+    A row's place is its place in its range of scores plus the rows of the ranges above; of scores beyond 0 to 1, those
+    above are in one range and those below in another.
+    """
     spark = df.sparkSession
-    labelled = df.filter(F.col("actual").isNotNull())
-    total, positives = labelled.agg(F.count("*"), F.count_if("actual")).first()
+    zone = F.greatest(F.lit(-1), F.least(F.lit(zones), F.floor(F.coalesce("risk", F.lit(-1.0)) * zones))).cast("int")
+    labelled = df.filter(F.col("actual").isNotNull()).withColumn("__zone", zone)
+    counts = labelled.groupBy("__zone").agg(F.count("*").alias("n"), F.count_if("actual").alias("hits")).collect()  # a row for each range
+    total, positives = sum(r["n"] for r in counts), sum(r["hits"] for r in counts)
     sizes = [(f, max(1, round(total * f))) for f in fractions]
+    above, starts = 0, []
+    for r in sorted(counts, key=lambda r: -r["__zone"]):
+        starts.append((r["__zone"], above))
+        above += r["n"]
     largest = max(n for _, n in sizes)
-    top = labelled.orderBy(F.desc("risk"), ties).limit(largest)  # a fixed share; sorted in parallel before it is cut
-    ranked = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("risk"), ties)))
+    needed = F.broadcast(spark.createDataFrame([x for x in starts if x[1] < largest], "__zone int, __above long"))
+    inside = Window.partitionBy("__zone").orderBy(F.desc("risk"), ties)
+    ranked = labelled.join(needed, "__zone").withColumn("place", F.col("__above") + F.row_number().over(inside))
     grid = F.broadcast(spark.createDataFrame(sizes, "fraction double, n long"))
     hits = F.count_if("actual")
     return ranked.crossJoin(grid).filter(F.col("place") <= F.col("n")).groupBy("fraction", "n").agg(

@@ -79,20 +79,20 @@ pairs AS (SELECT a.scored_at, a.event_id, o.event_id AS other, a.center, o.cente
   FROM b a JOIN b o ON a.scored_at = o.scored_at AND a.route_id = o.route_id AND a.event_id <> o.event_id)"""
 
 
-def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("vehicle_id").orderBy("position_time")
-    return A.neighbours(predictions(spark, sf_dir).withColumn("delay_delta_1", F.col("delay") - F.lag("delay").over(w)), "scored_at")
+    return predictions(spark, sf_dir).withColumn("delay_delta_1", F.col("delay") - F.lag("delay").over(w))
 
 
 @query(PAIRS + "SELECT event_id, band, count(*) AS vehicles, round(avg(delay), 9) AS mean_delay, coalesce(count(*) FILTER (WHERE delta > 0), 0) AS rising FROM pairs GROUP BY ALL")
 def propagation_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.propagation(pairs_of(spark, sf_dir), ["event_id"]))
+    return rounded(A.propagation(with_deltas(spark, sf_dir), "scored_at", ["event_id"]))
 
 
 @query(PAIRS + """, near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(oc - center), risk DESC, other) <= 7)
 SELECT event_id, other AS other_event_id, row_number() OVER (PARTITION BY event_id ORDER BY oc, other)::INTEGER AS place FROM near""")
 def route_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.route_window(pairs_of(spark, sf_dir), ["event_id"]).select("event_id", "other_event_id", "place")
+    return A.route_window(predictions(spark, sf_dir), "scored_at", ["event_id"]).select("event_id", "other_event_id", "place")
 
 
 @query(PRED + """, l AS (SELECT vehicle_id, arg_max(risk, (position_time, event_id)) AS risk FROM pred WHERE raw_alert GROUP BY 1), v AS (SELECT DISTINCT vehicle_id FROM pred)
