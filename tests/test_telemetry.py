@@ -9,6 +9,7 @@ from datetime import date, datetime, timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tramline.functions.geo import haversine_km, haversine_m, within
@@ -264,6 +265,35 @@ def test_lake_modes(spark, tmp_path):
         L.require(df, ["event_id", "nothing"])
 
 
+def test_merge_empties_a_date(spark, tmp_path):
+    path = f"file://{tmp_path}/moved"
+    schema = "event_id long, time timestamp_ntz, vehicle_id string, service_date date"
+    L.write_lake(spark.createDataFrame([(1, at(0), "v", date(2024, 5, 18)), (2, at(0), "v", date(2024, 5, 19)), (3, at(0), "v", date(2024, 5, 19))], schema), path)
+    L.refresh_lake(spark.createDataFrame([(1, at(0), "w", date(2024, 5, 20)), (2, at(0), "w", date(2024, 5, 20))], schema), path, ["event_id"], f"file://{tmp_path}/staged")
+    assert sorted((r.event_id, r.vehicle_id, r.service_date.day) for r in spark.read.parquet(path).collect()) == [(1, "w", 20), (2, "w", 20), (3, "v", 19)]
+
+
+def test_compaction_sorts_within_files(spark, tmp_path):
+    path = f"file://{tmp_path}/compact"
+    L.compact(positions(spark, SF).select("event_id", "vehicle_id", "time", "service_date"), path)
+    place = Window.partitionBy("f").orderBy("row")
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("row"))
+    before = lambda c: F.lag(c).over(place)
+    wrong = rows.withColumn("bad", (before("vehicle_id") > F.col("vehicle_id")) | ((before("vehicle_id") == F.col("vehicle_id")) & (before("time") < F.col("time")))).filter("bad")
+    assert wrong.isEmpty() and rows.count() == 1000
+
+
+def test_conversion_reports_damaged_files(spark, tmp_path):
+    import gzip
+
+    whole = gzip.compress(b"event_id,line\n1,a\n2,b\n")
+    for name, data in (("a.csv.gz", whole), ("b.csv.gz", whole[:-9]), ("c.csv.gz", b"text")):
+        (tmp_path / name).write_bytes(data)
+    report = L.convert_files(spark, f"file://{tmp_path}/*.gz", "event_id long, line string", f"file://{tmp_path}/out")
+    assert {r.path.rsplit("/", 1)[1]: r.converted for r in report.collect()} == {"a.csv.gz": True, "b.csv.gz": False, "c.csv.gz": False}
+    assert sorted((r.event_id, r.source) for r in spark.read.parquet(f"file://{tmp_path}/out/rows").collect()) == [(1, "a"), (2, "a")]
+
+
 def test_rolling_window_and_dates(spark):
     days = [datetime(2024, 5, 1), datetime(2024, 5, 10), datetime(2024, 5, 20, 12)]
     df = spark.createDataFrame([(d, d.date()) for d in days], "time timestamp_ntz, service_date date")
@@ -285,11 +315,12 @@ def test_samples_and_splits(spark):
 
 def test_pages_make_up_the_window(spark):
     p = positions(spark, SF).limit(95)
-    seen, cursor, more = [], None, True
+    seen, cursor, more, totals = [], None, True, []
     while more:
-        rows, more, cursor = R.page(p, 20, cursor)
+        rows, more, cursor, total = R.page(p, 20, cursor)
+        totals.append(total)
         seen += column(rows, "event_id")
-    assert seen == column(p.orderBy("time", "vehicle_id"), "event_id")
+    assert seen == column(p.orderBy("time", "vehicle_id"), "event_id") and totals == [95, None, None, None, None]
     plan = R.page(spark.read.parquet(f"{SF}/events.parquet").withColumnsRenamed({"ts": "time"}).withColumn("vehicle_id", F.col("event_type")), 5, (T0, "x"))[0]._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in plan
 

@@ -23,11 +23,12 @@ def optional(df: DataFrame, vehicle: str | None = None, mode: str | None = None)
     return df
 
 
-def page(df: DataFrame, size: int, after: Cursor | None = None) -> tuple[DataFrame, bool, Cursor | None]:
-    """Rows in the order of time and vehicle behind the cursor; whether there are more; the cursor for those.
+def page(df: DataFrame, size: int, after: Cursor | None = None) -> tuple[DataFrame, bool, Cursor | None, int | None]:
+    """Rows in the order of time and vehicle behind the cursor; whether there are more; the cursor for those; the number of all rows.
 
-    The cursor's comparison is written out, so that its bound on time reaches the scan.
+    That number is counted for the first page only. The cursor's comparison is written out, so that its bound on time reaches the scan.
     """
+    total = df.count() if after is None else None
     if after is not None:
         t, v = F.lit(after[0]), F.lit(after[1])
         df = df.filter((F.col("time") >= t) & ((F.col("time") > t) | (F.col("vehicle_id") > v)))
@@ -35,7 +36,7 @@ def page(df: DataFrame, size: int, after: Cursor | None = None) -> tuple[DataFra
     keys = ordered.select("time", "vehicle_id").limit(size + 1).collect()  # a page of keys
     more = len(keys) > size
     cursor = (keys[size - 1]["time"], keys[size - 1]["vehicle_id"]) if more else None
-    return ordered.limit(size), more, cursor
+    return ordered.limit(size), more, cursor, total
 
 
 def vehicle_filter(points: DataFrame, mode: str | None = None, line: str | None = None, keep_interpolated: bool = True) -> DataFrame:

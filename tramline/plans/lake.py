@@ -42,6 +42,14 @@ def csv_lake_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("time", "vehicle_id", "line", "delay", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "speed", "route_id", "trip_id", "service_date", "last_stop_sequence")
 
 
+@query(POS + "SELECT CASE WHEN event_id % 19 <> 0 THEN vehicle_id END AS vehicle_id, event_id::DOUBLE AS speed FROM pos WHERE event_id % 7 < 3 AND event_id % 19 <> 0 AND event_id % 23 <> 0")
+def csv_first_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three files by name of a folder of seven."""
+    out, raw = scratch(spark, "csv"), raw_text(spark, sf_dir)
+    raw.withColumn("part", F.col("speed").cast("long") % 7).repartition(7, "part").write.option("header", True).option("compression", "gzip").option("emptyValue", "").partitionBy("part").csv(out)
+    return L.typed(L.read_csv(spark, out, most_files=3)).select("vehicle_id", "speed")
+
+
 @query(POS + f"SELECT event_id, CASE WHEN vehicle_id IS NULL THEN NULL ELSE {_DELAY} END AS delay, event_id % 19 <> 0 AND event_id % 23 <> 0 AS usable FROM pos")
 def lenient_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_text(spark, sf_dir)
@@ -63,6 +71,8 @@ def _refreshed(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     L.write_lake(p, out)
     first = p.agg(F.min("service_date")).first()[0]
     fresh = p.filter((F.col("service_date") >= F.date_add(F.lit(first), 10)) & (F.col("event_id") % 2 == 0)).withColumn("delay", F.col("delay") + 1000)
+    if mode == "merge":  # some rows move to another date
+        fresh = fresh.filter("event_id % 6 = 0").withColumn("service_date", F.when(F.col("event_id") % 12 == 0, F.date_add("service_date", 40)).otherwise(F.col("service_date")))
     L.refresh_lake(fresh, out, *((["event_id"], scratch(spark, "merged")) if mode == "merge" else ()))
     return spark.read.parquet(out).select(*KEEP)
 
@@ -75,7 +85,8 @@ def lake_replace_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refreshed(spark, sf_dir, "replace")
 
 
-@query(REFRESHED)
+@query(POS + """, b AS (SELECT min(service_date) + 10 AS d FROM pos) SELECT event_id, vehicle_id, time, CASE WHEN service_date >= d AND event_id % 6 = 0 THEN delay + 1000 ELSE delay END AS delay, speed, lat, lon,
+CASE WHEN service_date >= d AND event_id % 12 = 0 THEN service_date + 40 ELSE service_date END AS service_date FROM pos, b""")
 def lake_merge_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refreshed(spark, sf_dir, "merge")
 
@@ -91,8 +102,11 @@ def write_missing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(POS + "SELECT event_id, time FROM pos WHERE time >= (SELECT max(time) - INTERVAL 240 HOUR FROM pos)")
 def time_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = positions(spark, sf_dir)
-    return L.retained(p, "time", F.lit(p.agg(F.max("time")).first()[0]), 240).select("event_id", "time")
+    """What a written lake has left after old rows were deleted."""
+    out, p = scratch(spark, "retention"), positions(spark, sf_dir).select(*KEEP)
+    L.write_lake(p, out)
+    L.expire(spark, out, "time", p.agg(F.max("time")).first()[0], 240, scratch(spark, "edge"))
+    return spark.read.parquet(out).select("event_id", "time")
 
 
 @query(POS + "SELECT event_id, time, delay, lat FROM pos WHERE time >= (SELECT max(time) - INTERVAL 5 DAY FROM pos) AND time < (SELECT max(time) - INTERVAL 2 DAY FROM pos)")
@@ -113,22 +127,38 @@ def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("service_date").agg(F.count("*").alias("rows"), F.countDistinct("vehicle_id").alias("vehicles"), F.round(F.sum("delay").cast("double"), 3).alias("delays"))
 
 
-@query(POS + ", h AS (SELECT date_trunc('hour', min(time)) AS h FROM pos) SELECT (date_diff('second', h, time) // 21600)::INTEGER AS chunk, count(*) AS rows, sum(event_id)::BIGINT AS ids FROM pos, h GROUP BY 1")
+@query(POS + ", h AS (SELECT date_trunc('hour', min(time)) AS h FROM pos), c AS (SELECT *, (date_diff('second', h, time) // 21600)::INTEGER AS chunk FROM pos, h) SELECT chunk, count(*) AS rows, sum(event_id)::BIGINT AS ids FROM c WHERE chunk >= 40 OR event_id % 2 = 0 GROUP BY 1")
 def chunked_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scratch(spark, "chunks")
-    L.export_chunks(positions(spark, sf_dir).select("event_id", "time", "vehicle_id"), out, 6)
-    back = spark.read.option("header", True).schema("event_id long, time string, vehicle_id string, chunk int").csv(out)
-    return back.groupBy("chunk").agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids"))
+    """Half of the rows of some chunks is there already; those chunks are left as they are."""
+    out, p = scratch(spark, "chunks"), positions(spark, sf_dir).select("event_id", "time", "vehicle_id")
+    first = p.agg(F.date_trunc("hour", F.min(F.col("time").cast("timestamp")))).first()[0]
+    since = F.timestamp_diff("HOUR", F.lit(first), F.col("time").cast("timestamp"))
+    L.export_chunks(p.filter((since < 240) & (F.col("event_id") % 2 == 0)), out, 6, first)
+    back = spark.read.option("header", True).schema("event_id long, time string, vehicle_id string, chunk int")
+    L.export_chunks(p, out, 6, first, list(range(40)))
+    return back.csv(out).groupBy("chunk").agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids"))
+
+
+def _converted(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """CSV files and one more that is cut short, converted to Parquet; the folder and the report."""
+    out, p = scratch(spark, "batch"), positions(spark, sf_dir).select("event_id", "line")
+    p.repartition(3, "line").write.option("header", True).option("compression", "gzip").csv(f"{out}/csv")
+    p.limit(0).select(F.lit("")).unionAll(spark.range(1).select(F.lit("no gzip"))).coalesce(1).write.text(f"{out}/bad")
+    pattern = f"{out}/{{csv,bad}}/part-*"
+    return f"{out}/parquet", L.convert_files(spark, pattern, "event_id long, line string", f"{out}/parquet")
 
 
 @query(POS + "SELECT line, count(*) AS rows, sum(event_id)::BIGINT AS ids FROM pos GROUP BY 1")
 def batch_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CSV files to Parquet in one job; a file that is no gzip is left out."""
-    out = scratch(spark, "batch")
-    positions(spark, sf_dir).select("event_id", "line").write.option("header", True).option("compression", "gzip").csv(f"{out}/csv")
-    read = spark.read.option("header", True).option("ignoreCorruptFiles", True).schema("event_id long, line string").csv(f"{out}/csv")
-    read.write.parquet(f"{out}/parquet")
-    return spark.read.parquet(f"{out}/parquet").groupBy("line").agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids"))
+    """CSV files to Parquet in one job, a folder for each file; a file that is no gzip is left out."""
+    out, _ = _converted(spark, sf_dir)
+    return spark.read.parquet(f"{out}/rows").groupBy("line").agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT unnest([true, false]) AS converted, unnest([(SELECT count(DISTINCT event_type) FROM events) > 0, true]) AS found")
+def conversion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which kinds of files the conversion met."""
+    return _converted(spark, sf_dir)[1].groupBy("converted").agg((F.count("*") > 0).alias("found"))
 
 
 @query(PRED + "SELECT event_id, round(risk, 9) AS risk, raw_alert AS alert FROM pred ORDER BY pred.risk DESC, event_id LIMIT 50")
@@ -141,23 +171,27 @@ def scored_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PRED + "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 0.0 ELSE round(risk, 9) END AS risk, raw_alert AND event_id % 3 <> 0 AS alert FROM pred")
 def scored_alert_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts as JSON text, with risks that are no numbers and alerts that are no booleans."""
+    """Alerts as JSON arrays, with members that are no objects, risks that are no numbers and alerts that are no booleans."""
     e = F.col("event_id")
     risk = F.when(e % 5 == 0, "n/a").when(e % 7 == 0, "NaN").otherwise(F.col("risk").cast("string"))
-    text = predictions(spark, sf_dir).select(F.to_json(F.struct("event_id", risk.alias("risk"), F.when(e % 3 == 0, "maybe").otherwise(F.col("raw_alert").cast("string")).alias("alert"))).alias("value"))
-    found = text.select(F.from_json("value", "event_id long, risk string, alert string").alias("a")).select("a.*")
-    return L.coerce_alerts(found).select("event_id", F.round("risk", 9).alias("risk"), "alert")
+    one = F.to_json(F.struct("event_id", risk.alias("risk"), F.when(e % 3 == 0, "maybe").otherwise(F.col("raw_alert").cast("string")).alias("alert")))
+    texts = predictions(spark, sf_dir).groupBy("scored_at", F.floor(e / 100)).agg(F.concat(F.lit('[5, "x", [1], '), F.array_join(F.collect_list(one), ", "), F.lit(", null]")).alias("value"))
+    return L.read_alerts(texts, "event_id long, risk string, alert string").select("event_id", F.round("risk", 9).alias("risk"), "alert")
 
 
-@query(PRED + "SELECT scored_at, count(*) AS rows, round(sum(risk), 6) AS risk FROM pred WHERE event_id % 9 <> 0 GROUP BY 1")
+@query(PRED + "SELECT scored_at AS scored_date, count(*) AS rows, round(sum(risk), 6) AS risk, count(*) FILTER (WHERE raw_alert) AS alerts, sum(delay)::BIGINT AS delays, round(avg(lat), 6) AS lat, 0::BIGINT AS trips, 33 AS columns FROM pred WHERE event_id % 9 <> 0 GROUP BY 1")
 def prediction_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows without a vehicle aren't stored; two appends make one table by day."""
+    """Rows without a vehicle aren't stored, columns that a scorer lacks are null; two appends make one table by day."""
     out = scratch(spark, "predictions")
     p = predictions(spark, sf_dir).withColumn("vehicle_id", F.when(F.col("event_id") % 9 != 0, F.col("vehicle_id")))
-    rows = p.dropna(subset=["scored_at", "position_time", "vehicle_id"]).select("event_id", "scored_at", "vehicle_id", "position_time", "risk")
+    rows = p.withColumnsRenamed({"risk": "delay_increase_risk", "raw_alert": "raw_delay_increase_alert"})
     for half in (0, 1):
-        rows.filter(F.col("event_id") % 2 == half).write.mode("append").option("compression", "zstd").partitionBy("scored_at").parquet(out)
-    return spark.read.parquet(out).groupBy("scored_at").agg(F.count("*").alias("rows"), F.round(F.sum("risk"), 6).alias("risk"))
+        L.append_predictions(rows.filter(F.col("event_id") % 2 == half), out)
+    back = spark.read.parquet(out)
+    return back.groupBy("scored_date").agg(
+        F.count("*").alias("rows"), F.round(F.sum("delay_increase_risk"), 6).alias("risk"), F.count_if("raw_delay_increase_alert").alias("alerts"), F.sum("delay").alias("delays"),
+        F.round(F.avg("lat"), 6).alias("lat"), F.count("trip_id").alias("trips"), F.lit(len(back.columns) - 1).alias("columns"),
+    )
 
 
 ROUTES = ", routes AS (SELECT 'L' || r AS route_id, CAST(r % 4 AS INTEGER) AS route_type FROM (SELECT DISTINCT user_id % 20 AS r FROM events) WHERE r % 6 <> 5)"
@@ -225,14 +259,22 @@ def feed_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(POS + "SELECT service_date, count(*) AS rows, count(DISTINCT vehicle_id) AS vehicles, min(time) AS first_time, max(time) AS last_time FROM pos GROUP BY 1")
 def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Through the lake's named views."""
-    positions(spark, sf_dir).createOrReplaceTempView("vehicle_positions")
-    return spark.sql("SELECT service_date, count(*) AS rows, count(DISTINCT vehicle_id) AS vehicles, min(time) AS first_time, max(time) AS last_time FROM vehicle_positions GROUP BY service_date")
+    """Through the named views of a written lake: its rows, and its days over those."""
+    out = scratch(spark, "lake")
+    L.write_lake(positions(spark, sf_dir).select(*KEEP), out)
+    spark.read.parquet(out).createOrReplaceTempView("vehicle_positions")
+    spark.sql("CREATE OR REPLACE TEMP VIEW vehicle_days AS SELECT service_date, count(*) AS rows, count(DISTINCT vehicle_id) AS vehicles, min(time) AS first_time, max(time) AS last_time FROM vehicle_positions GROUP BY service_date")
+    return spark.table("vehicle_days")
 
 
-@query(POS + "SELECT count(*) AS rows, count(DISTINCT vehicle_id) AS vehicles, min(time) AS first_time, max(time) AS last_time, count(DISTINCT service_date) AS partitions FROM pos")
+@query(POS + "SELECT count(*) AS rows, count(DISTINCT vehicle_id) AS vehicles, min(time) AS first_time, max(time) AS last_time, count(DISTINCT service_date) AS partitions, true AS has_files, true AS has_bytes FROM pos")
 def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positions(spark, sf_dir).agg(F.count("*").alias("rows"), F.countDistinct("vehicle_id").alias("vehicles"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.countDistinct("service_date").alias("partitions"))
+    """Of a written lake; files and bytes depend on the writer, so that the query says only whether they fit."""
+    out = scratch(spark, "lake")
+    L.write_lake(positions(spark, sf_dir).select(*KEEP), out)
+    rows = spark.read.parquet(out).agg(F.count("*").alias("rows"), F.countDistinct("vehicle_id").alias("vehicles"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.countDistinct("service_date").alias("partitions"))
+    files = L.files_of(spark, f"{out}/*/*.parquet").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return rows.crossJoin(F.broadcast(files)).select(*rows.columns, (F.col("files") >= F.col("partitions")).alias("has_files"), (F.col("bytes") > F.col("rows")).alias("has_bytes"))
 
 
 @query(POS + "SELECT DISTINCT service_date FROM pos")
@@ -315,7 +357,7 @@ def eligible_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(spark, sf_dir).groupBy("service_date").agg(F.count_if(F.col("speed").isNotNull() & (F.col("delay") >= 60)).alias("eligible")).filter("eligible > 0")
 
 
-@query("SELECT unnest(['delay', 'speed', 'lat']) AS column_name")
+@query(POS + ", n AS (SELECT unnest(['delay', 'speed', 'lat', 'blank']) AS column_name, unnest([count(delay), count(speed), count(lat), count(NULL)]) AS n FROM pos) SELECT column_name FROM n WHERE n > 0")
 def observed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = positions(spark, sf_dir).withColumn("blank", F.lit(None).cast("double"))
     return spark.createDataFrame([(c,) for c in X.observed_columns(p, ["delay", "speed", "lat", "blank", "absent"])], "column_name string")

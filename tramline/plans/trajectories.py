@@ -136,13 +136,24 @@ PAGE = POS + """, w AS (SELECT * FROM pos WHERE time >= (SELECT min(time) + INTE
 c AS (SELECT time AS ct, vehicle_id AS cv FROM w ORDER BY time, vehicle_id OFFSET 99 LIMIT 1)"""
 
 
-@query(PAGE + ", page AS (SELECT event_id, vehicle_id, time FROM w, c WHERE time > ct OR (time = ct AND vehicle_id > cv) ORDER BY time, vehicle_id LIMIT 101) SELECT * FROM page ORDER BY time, vehicle_id LIMIT 100")
-def replay_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of a window of seven days, after the cursor that the first one ends with."""
+def window_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven days of positions."""
     p = positions(spark, sf_dir)
     first = p.agg(F.min("time")).first()[0]
-    window = R.time_window(p, plus_seconds(F.lit(first), 5 * DAY), plus_seconds(F.lit(first), 12 * DAY))
-    _, more, cursor = R.page(window, 100)
+    return R.time_window(p, plus_seconds(F.lit(first), 5 * DAY), plus_seconds(F.lit(first), 12 * DAY))
+
+
+@query(PAGE + "SELECT event_id, vehicle_id, time, (SELECT count(*) FROM w) AS total FROM w ORDER BY time, vehicle_id LIMIT 100")
+def replay_first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, _, total = R.page(window_of(spark, sf_dir), 100)
+    return rows.select("event_id", "vehicle_id", "time", F.lit(total).cast("long").alias("total"))
+
+
+@query(PAGE + ", page AS (SELECT event_id, vehicle_id, time FROM w, c WHERE time > ct OR (time = ct AND vehicle_id > cv) ORDER BY time, vehicle_id LIMIT 101) SELECT * FROM page ORDER BY time, vehicle_id LIMIT 100")
+def replay_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page, after the cursor that the first one ends with."""
+    window = window_of(spark, sf_dir)
+    _, more, cursor, _ = R.page(window, 100)
     assert more or cursor is None
     return R.page(window, 100, cursor)[0].select("event_id", "vehicle_id", "time")
 

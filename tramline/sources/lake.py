@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import zlib
+from datetime import datetime, timedelta
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,11 +27,20 @@ REQUIRED = ("time", "vehicle_id", "lat", "lon")
 MODES = {0: "tram", 1: "metro", 2: "rail", 3: "bus", 4: "ferry", 11: "trolleybus"}
 
 
-def read_csv(spark: SparkSession, *sets: str) -> DataFrame:
-    """Text columns of sets of files (plain or gzip), joined by name: a set may lack columns or have them in another order."""
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of every file below a folder or pattern; nothing of them is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+
+def read_csv(spark: SparkSession, *sets: str, most_files: int = 0) -> DataFrame:
+    """Text columns of sets of files (plain or gzip), joined by name: a set may lack columns or have them in another order.
+
+    most_files: only so many files of each set, the first in the order of their names.
+    """
     out = None
     for path in sets:
-        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).option("inferSchema", False).csv(path)
+        paths = [r["path"] for r in files_of(spark, path).orderBy("path").limit(most_files).collect()] if most_files > 0 else path
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).option("inferSchema", False).csv(paths)
         part = raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in TEXT_COLUMNS])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
@@ -81,28 +96,47 @@ def write_lake(df: DataFrame, path: str, force: bool = False) -> None:
     df.repartition("service_date", F.hour("time")).sortWithinPartitions("service_date", "vehicle_id", "time").write.mode("overwrite" if force else "errorifexists").option("compression", "zstd").partitionBy("service_date").parquet(path)
 
 
+def by_date(df: DataFrame, parts: int = 4) -> DataFrame:
+    """df dealt out by date, a date to a few tasks, so that it is neither one task's work nor many small files."""
+    return df.repartition("service_date", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+
+
+def drop_dates(spark: SparkSession, path: str, dates: DataFrame) -> None:
+    """Remove whole date partitions of a lake."""
+    jvm = spark._jvm
+    for r in dates.select("service_date").distinct().collect():  # a row for each day
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/service_date={r['service_date']}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def refresh_lake(df: DataFrame, path: str, key: list[str] | None = None, staging: str | None = None) -> None:
     """Only the dates of df are written anew: with df's rows alone, or, given a key, with the old rows of those dates too.
 
-    Of rows with one key df's counts. The merged rows are written to staging first, since they are read from the lake.
+    Of rows with one key df's counts; the dates that such rows stood on before are written anew too, or removed if
+    nothing is left there. The merged rows are written to staging first, since they are read from the lake.
     """
     spark = df.sparkSession
     dates = df.select("service_date").distinct()
     if dates.isEmpty():
         raise ValueError("no partitions to refresh")
     if key:
-        old = spark.read.parquet(path).join(dates, "service_date", "left_semi").select(df.columns)
+        lake = spark.read.parquet(path)
+        dates = dates.union(lake.select("service_date", *[F.col(k) for k in key if k != "service_date"]).join(df.select(*key), key, "left_semi").select("service_date")).distinct()
+        old = lake.join(dates, "service_date", "left_semi").select(df.columns)
         both = df.withColumn("__new", F.lit(1)).unionByName(old.withColumn("__new", F.lit(0)))
-        both.groupBy(*key).agg(F.max_by(F.struct(*df.columns), "__new").alias("row")).select("row.*").write.parquet(staging)
-        df = spark.read.parquet(staging)
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("service_date").parquet(path)
+        both.groupBy(*key).agg(F.max_by(F.struct(*df.columns), "__new").alias("row")).select("row.*").write.parquet(f"{staging}/rows")
+        dates.write.parquet(f"{staging}/dates")
+        df = spark.read.parquet(f"{staging}/rows")
+    by_date(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("service_date").parquet(path)
+    if key:
+        drop_dates(spark, path, spark.read.parquet(f"{staging}/dates").join(df, "service_date", "left_anti"))
 
 
 def write_missing_dates(spark: SparkSession, df: DataFrame, path: str, there: DataFrame | None, force: bool = False) -> None:
     """All dates in one job; dates that are there are left alone unless force."""
     if there is not None and not force:
         df = df.join(there.select("service_date").distinct(), "service_date", "left_anti")
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("service_date").parquet(path)
+    by_date(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("service_date").parquet(path)
 
 
 def retained(df: DataFrame, column: str, newest: Column, hours: int) -> DataFrame:
@@ -110,16 +144,64 @@ def retained(df: DataFrame, column: str, newest: Column, hours: int) -> DataFram
     return df.filter(F.col(column) >= F.timestamp_add("HOUR", F.lit(-hours), newest))
 
 
-def compact(df: DataFrame, path: str) -> None:
-    """Clustered by vehicle, newest first within a file."""
-    df.repartition("service_date").sortWithinPartitions("vehicle_id", F.desc("time")).write.mode("overwrite").option("compression", "zstd").partitionBy("service_date").parquet(path)
+def expire(spark: SparkSession, path: str, column: str, newest: datetime, hours: int, staging: str) -> None:
+    """Delete a lake's rows that are older than hours before the newest: whole dates, and the date that the limit falls on is written anew."""
+    limit = newest - timedelta(hours=hours)
+    lake = spark.read.parquet(path)
+    edge = lake.filter((F.col("service_date") == F.lit(limit.date())) & (F.col(column) >= F.lit(limit)))
+    edge.write.parquet(staging)
+    kept = spark.read.parquet(staging)
+    drop_dates(spark, path, lake.filter(F.col("service_date") < F.lit(limit.date())))
+    if kept.isEmpty():
+        drop_dates(spark, path, lake.filter(F.col("service_date") == F.lit(limit.date())))
+    else:
+        by_date(kept).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("service_date").parquet(path)
+
+
+def compact(df: DataFrame, path: str, files: int = 4) -> None:
+    """Some files for each date, clustered by vehicle, newest first within a file."""
+    dealt = df.repartition("service_date", F.pmod(F.xxhash64("vehicle_id"), F.lit(files)))
+    dealt.sortWithinPartitions("service_date", "vehicle_id", F.desc("time")).write.mode("overwrite").option("compression", "zstd").partitionBy("service_date").parquet(path)
 
 
-def export_chunks(df: DataFrame, path: str, hours: int) -> None:
-    """Gzipped CSV in chunks of hours, from the first hour on."""
-    first = df.agg(F.date_trunc("hour", F.min(F.col("time").cast("timestamp")))).first()[0]
+def export_chunks(df: DataFrame, path: str, hours: int, first: datetime | None = None, there: list[int] | None = None) -> None:
+    """Gzipped CSV in chunks of hours, from the first hour on (that of df by default), but for chunks that are there."""
+    first = first or df.agg(F.date_trunc("hour", F.min(F.col("time").cast("timestamp")))).first()[0]
     since = F.timestamp_diff("HOUR", F.lit(first), F.col("time").cast("timestamp"))
-    df.withColumn("chunk", F.floor(since / hours).cast("int")).repartition("chunk").write.option("header", True).option("compression", "gzip").partitionBy("chunk").csv(path)
+    chunked = df.withColumn("chunk", F.floor(since / hours).cast("int"))
+    if there:
+        chunked = chunked.filter(~F.col("chunk").isin(there))
+    chunked.repartition("chunk").write.mode("append").option("header", True).option("compression", "gzip").partitionBy("chunk").csv(path)
+
+
+def gzip_state(content: pd.Series) -> pd.Series:
+    """Whether bytes are a whole gzip file."""
+
+    def whole(data: bytes) -> bool:
+        try:
+            with gzip.open(io.BytesIO(data)) as file:
+                while file.read(1 << 20):
+                    pass
+        except (OSError, EOFError, zlib.error):
+            return False
+        return True
+
+    return content.map(whole)
+
+
+def convert_files(spark: SparkSession, source: str, schema: str, out: str) -> DataFrame:
+    """Every gzipped CSV file of a folder into a folder of Parquet named by it; path, and whether it was converted.
+
+    Files that are no whole gzip are left out and reported. Spark's committer renames finished output only.
+    """
+    found = spark.read.format("binaryFile").load(source).select("path", F.pandas_udf(gzip_state, "boolean")("content").alias("converted"))
+    found.write.parquet(f"{out}/report")
+    report = spark.read.parquet(f"{out}/report")
+    good = [r["path"] for r in report.filter("converted").select("path").collect()]  # a row for each file, as any listing is
+    if good:
+        rows = spark.read.option("header", True).schema(schema).csv(good).withColumn("source", F.regexp_extract(F.input_file_name(), r"([^/]+?)\.csv\.gz$", 1))
+        rows.write.partitionBy("source").parquet(f"{out}/rows")
+    return report
 
 
 def write_scored(df: DataFrame, path: str, scope: str, kind: str, top: int = 50) -> None:
@@ -187,3 +269,30 @@ def coerce_alerts(raw: DataFrame) -> DataFrame:
     risk = F.col("risk").try_cast("double")
     return raw.withColumns({"risk": F.coalesce(F.when(~F.isnan(risk), risk), F.lit(0.0)), "alert": F.coalesce(F.lower("alert").try_cast("boolean"), F.lit(False))})
 
+
+
+#: Columns of the table of predictions. Fixed values.
+PREDICTIONS = (
+    "scored_at timestamp, vehicle_id string, position_time timestamp, delay_increase_risk double, raw_delay_increase_alert boolean, delay_increase_alert boolean, alert_policy_reason string, alert_rank int, "
+    "threshold double, alert_min_risk double, model_path string, model_mtime double, score_source string, context_minutes int, sampling_seconds int, output_freshness_seconds int, line string, route_id string, "
+    "trip_id string, mode string, state_position string, delay int, actual_increase_60s int, delay_delta_1 double, delay_mean_3 double, speed double, speed_delta_1 double, last_stop_id string, next_stop_id string, "
+    "last_stop_sequence int, next_stop_sequence int, lat double, lon double"
+)
+
+
+def as_predictions(df: DataFrame) -> DataFrame:
+    """df as rows of the table of predictions: columns that are missing are null, and rows without run, vehicle or time go."""
+    there = set(df.columns)
+    fields = [c.strip().split(" ") for c in PREDICTIONS.split(",")]
+    typed_ = df.select(*[(F.col(c).try_cast(t) if c in there else F.lit(None).cast(t)).alias(c) for c, t in fields])
+    return typed_.dropna(subset=["scored_at", "position_time", "vehicle_id"])
+
+
+def append_predictions(df: DataFrame, path: str) -> None:
+    as_predictions(df).withColumn("scored_date", F.to_date("scored_at")).write.mode("append").option("compression", "zstd").partitionBy("scored_date").parquet(path)
+
+
+def read_alerts(texts: DataFrame, schema: str) -> DataFrame:
+    """Alerts of JSON arrays (``value``), coerced; members that are no objects go."""
+    each = texts.select(F.explode(F.from_json("value", "array<string>")).alias("text")).filter(F.startswith(F.ltrim("text"), F.lit("{")))
+    return coerce_alerts(each.select(F.from_json("text", schema).alias("a")).select("a.*"))
