@@ -334,6 +334,53 @@ def test_freshness_and_worst_status(spark):
     assert {r.d: r.status for r in Q.worst(statuses, ["d"]).collect()} == {1: "stale", 2: "error"}
 
 
+def _alerts(spark, rows):
+    return spark.createDataFrame(rows, "service_date date, vehicle_id string, position_time timestamp_ntz, risk double, alert boolean")
+
+
+@pytest.mark.parametrize(("alerts", "source", "strict", "want"), [
+    ([at(0)], at(0), False, {"rows": "passed", "columns": "passed", "latest_time": "passed", "freshness": "passed"}),
+    ([], at(0), False, {"rows": "warning"}),
+    ([], at(0), True, {"rows": "failed"}),
+    ([at(-90_000)], at(0), False, {"rows": "passed", "columns": "passed", "latest_time": "passed", "freshness": "failed"}),
+    ([at(-90_000)], at(-89_000), False, {"rows": "passed", "columns": "passed", "latest_time": "passed", "freshness": "warning"}),
+])
+def test_alert_checks(spark, alerts, source, strict, want):
+    day = date(2024, 5, 18)
+    runs = spark.createDataFrame([(day,)], "service_date date")
+    found = Q.alert_checks(_alerts(spark, [(day, "v", t, 0.9, True) for t in alerts]), runs, F.lit(at(60)), 3600, F.lit(source), 7200, ["vehicle_id", "risk"], strict)
+    assert {r.check: r.status for r in found.collect()} == want
+    verdict = {r.service_date: r.verdict for r in Q.report(found).collect()}
+    worst = "failed" if "failed" in want.values() else "warning" if "warning" in want.values() else "passed"
+    assert verdict == {day: worst, None: worst}
+
+
+def test_checks_of_missing_dates_and_columns(spark):
+    p = spark.createDataFrame([(date(2024, 5, 18), "v", at(0)), (date(2024, 5, 20), "v", at(0))], "service_date date, vehicle_id string, time timestamp_ntz")
+    found = {(r.service_date.day, r.check): r.status for r in Q.position_checks(p, Q.every_date(p), F.lit(at(60)), 1, 3600).collect()}
+    assert {k for k, v in found.items() if v != "passed"} >= {(19, "rows"), (19, "vehicles"), (19, "partition"), (19, "max_time"), (19, "files")} and found[19, "freshness"] == "warning" and found[18, "rows"] == "passed"
+    features = p.withColumn("target_delay", F.lit(None).cast("int"))
+    files = spark.createDataFrame([(date(2024, 5, 18), 10)], "service_date date, length long")
+    found = {(r.service_date.day, r.check): r.status for r in Q.feature_checks(features, files, Q.every_date(p), 1).collect()}
+    assert found[18, "bytes"] == "passed" and found[20, "bytes"] == "failed" and found[19, "partition"] == "failed" and found[18, "labelled"] == "warning"
+    missing = Q.alert_checks(_alerts(spark, [(date(2024, 5, 18), "v", at(0), 0.9, True)]), p.select("service_date").distinct(), F.lit(at(60)), 3600, F.lit(at(0)), 10, ["nothing"])
+    assert {r.status for r in missing.filter("check = 'columns'").collect()} == {"failed"}
+
+
+def test_status_of_scoring_runs(spark):
+    rows = [("fresh", 3, at(0), at(0), None), ("error", 3, at(0), at(0), "x"), ("missing", 0, None, at(0), None), ("stale", 3, at(0), at(-9000), None), ("stale", 3, None, at(0), None), ("stale", 3, at(0), None, None)]
+    df = spark.createDataFrame(rows, "want string, n int, latest timestamp_ntz, made timestamp_ntz, error string")
+    status = Q.alert_status(F.col("n"), F.col("latest"), F.col("made"), F.col("error"), F.lit(at(30)), 120)
+    assert all(r.want == r.status for r in df.withColumn("status", status).collect())
+
+
+def test_backtest_fits_on_its_window_alone(spark):
+    rows = [(k, "v", T0 + timedelta(days=d), "r", "m", d < 10) for d in range(30) for k in range(100 * d, 100 * d + 4)]
+    df = spark.createDataFrame(rows, "event_id long, vehicle_id string, position_time timestamp_ntz, route_id string, mode string, actual boolean")
+    found = {r.days: r for r in M.backtest(df, [5, 25], T0 + timedelta(days=25), M.rates(["route_id"], 1), 0.3).collect()}
+    assert (found[5].train_rows, found[5].alerts, found[25].train_rows, found[25].alerts) == (20, 0, 100, 20) and found[25].precision == 0 and found[25].event_alerts == 5
+
+
 def test_messages_and_feed(spark):
     messages = spark.createDataFrame([('{"id": "v", "lat": 50.1, "lon": 14.4, "delay": 12.9}',), ("junk",), ("[1]",), ('{"id": "v", "lat": 50.1}',)], "value string")
     row = L.parse_messages(messages).collect()

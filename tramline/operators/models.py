@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -11,6 +14,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.operators import evaluation as E
+from tramline.operators.alerts import cooldown
+
 NUMERIC = ["delay", "speed", "delay_delta_1", "speed_delta_1", "delay_mean_3", "stop_sequence_gap", "hour_of_day", "day_of_week"]
 CATEGORIES = ["mode", "line", "route_id"]
 #: Different values of a category that are told apart.
@@ -76,9 +82,56 @@ def area_under_roc(df: DataFrame, model: PipelineModel) -> float:
     return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(model.transform(prepared(df)))
 
 
+Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
+
+
+def rates(keys: list[str], lean: float) -> Fit:
+    """A model that gives a row the share of ``actual`` among the training rows with its keys, leaning on the share of all as on lean rows more."""
+
+    def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        base = train.agg(F.avg(F.col("actual").cast("double"))).first()[0] or 0.0
+        table = train.groupBy(*keys).agg(F.count("*").alias("__n"), F.count_if("actual").alias("__k"))
+        risk = (F.coalesce("__k", F.lit(0)) + lean * base) / (F.coalesce("__n", F.lit(0)) + lean)
+        return lambda df: df.join(table, keys, "left").withColumn("risk", F.round(risk, 9)).drop("__n", "__k")
+
+    return fit
+
+
+def classifier(linear: bool = True, iterations: int = 200) -> Fit:
+    """Logistic regression or boosted trees on feature rows."""
+
+    def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        model = train_classifier(train.withColumn("label", F.col("actual").cast("int")), linear, iterations)
+        return lambda df: scored(df, model).drop("alert")
+
+    return fit
+
+
+def backtest(rows: DataFrame, windows: list[int], start: datetime, fit: Fit, alert_risk: float, time: str = "position_time", minutes: float = 30) -> DataFrame:
+    """For each window of days before start a model is fit on its rows alone and measured on all rows from start on.
+
+    Measures: rows it was fit on; precision and recall at alert_risk; precision of the riskiest hundredth; average
+    precision; alerts, and those that a cooldown leaves.
+    """
+    test, out = rows.filter(F.col(time) >= F.lit(start)), None
+    for days in windows:
+        train = rows.filter((F.col(time) >= F.lit(start - timedelta(days=days))) & (F.col(time) < F.lit(start)))
+        found = fit(train)(test)
+        at = E.metrics(found, F.col("risk") >= alert_risk).select("precision", "recall", (F.col("tp") + F.col("fp")).alias("alerts"))
+        top = E.top_fractions(found, (0.01,), "event_id").select(F.col("precision").alias("top_precision"))
+        events = cooldown(found.filter(F.col("risk") >= alert_risk).select("vehicle_id", time, "event_id"), minutes, time).agg(F.count("*").alias("event_alerts"))
+        ranked = E.ranking(found).select("average_precision")
+        one = train.agg(F.count("*").alias("train_rows")).select(F.lit(days).alias("days"), "train_rows")  # every part has one row
+        for part in (at.select("precision", "recall"), top, ranked, at.select("alerts"), events):
+            one = one.crossJoin(F.broadcast(part))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def choose_window(measures: DataFrame, least_rows: int, target: float) -> DataFrame:
     """The shortest window whose score is within 2 % of the best, of those that meet the precision target if any does."""
-    score = 0.4 * F.col("precision") + 0.2 * F.col("recall") + 0.2 * F.col("top_precision") + 0.2 * F.col("average_precision") - F.when(F.col("event_alerts") == 0, 0.2).otherwise(0.0)
+    part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    score = 0.4 * part("precision") + 0.2 * part("recall") + 0.2 * part("top_precision") + 0.2 * part("average_precision") - F.when(F.coalesce("event_alerts", F.lit(0)) == 0, 0.2).otherwise(0.0)
     all_rows = Window.partitionBy()  # a row for each window tried
     found = measures.filter(F.col("train_rows") >= least_rows).withColumns({"score": score, "meets": F.coalesce(F.col("precision") >= target, F.lit(False))})
     found = found.withColumn("any_meets", F.max("meets").over(all_rows)).filter(F.col("meets") | ~F.col("any_meets"))

@@ -10,8 +10,8 @@ STATUSES = ("fresh", "stale", "missing", "error")
 
 
 def age_seconds(latest: Column, now: Column) -> Column:
-    """Whole seconds from latest to now, 0 at least."""
-    return F.greatest(F.lit(0).cast("long"), F.timestamp_diff("SECOND", latest, now))
+    """Whole seconds from latest to now, 0 at least; null without a latest time."""
+    return F.when(latest.isNotNull(), F.greatest(F.lit(0).cast("long"), F.timestamp_diff("SECOND", latest, now)))
 
 
 def freshness(latest: Column, rows: Column, now: Column, limit: int) -> Column:
@@ -25,40 +25,58 @@ def check_rows(df: DataFrame, keys: list[str], checks: dict[str, tuple[Column, s
     return df.select(*keys, F.explode(F.array(*statuses)).alias("c")).select(*keys, "c.*")
 
 
-def position_checks(df: DataFrame, now: Column, least_rows: int, most_age: int) -> DataFrame:
-    daily = df.groupBy("service_date").agg(F.count("*").alias("n"), F.countDistinct("vehicle_id").alias("vehicles"), F.max("time").alias("latest"), F.countDistinct(F.hour("time")).alias("hours"))
-    return check_rows(daily, ["service_date"], {
-        "rows": (F.col("n") >= least_rows, "failed"), "vehicles": (F.col("vehicles") > 0, "failed"), "hours": (F.col("hours") > 0, "failed"),
+def every_date(df: DataFrame, day: str = "service_date") -> DataFrame:
+    """All dates from the first to the last of df, those without rows too."""
+    return df.agg(F.min(day).alias("first"), F.max(day).alias("last")).select(F.explode(F.sequence("first", "last")).alias("service_date"))
+
+
+def position_checks(df: DataFrame, dates: DataFrame, now: Column, least_rows: int, most_age: int) -> DataFrame:
+    """Per date that should be there: enough rows, its files, vehicles and partition, a latest time, and how old that is."""
+    read = df.select("service_date", "vehicle_id", "time", F.input_file_name().alias("file"))
+    daily = read.groupBy("service_date").agg(F.count("*").alias("n"), F.countDistinct("vehicle_id").alias("vehicles"), F.max("time").alias("latest"), F.countDistinct("file").alias("files"))
+    return check_rows(dates.join(daily, "service_date", "left"), ["service_date"], {
+        "rows": (F.col("n") >= least_rows, "failed"), "files": (F.col("files") > 0, "failed"), "vehicles": (F.col("vehicles") > 0, "failed"), "partition": (F.col("n").isNotNull(), "failed"),
         "max_time": (F.col("latest").isNotNull(), "failed"), "freshness": (age_seconds(F.col("latest"), now) <= most_age, "warning"),
     })
 
 
-def feature_checks(features: DataFrame, positions: DataFrame, least_rows: int) -> DataFrame:
-    """Per date of the positions: enough feature rows, any label, and that the date is there at all."""
-    dates = positions.select("service_date").distinct()
+def feature_checks(features: DataFrame, files: DataFrame, dates: DataFrame, least_rows: int) -> DataFrame:
+    """Per date that should be there: its partition, enough rows, bytes of its files (service_date, length), any label."""
     daily = features.groupBy("service_date").agg(F.count("*").alias("n"), F.count("target_delay").alias("labelled"))
-    both = dates.join(daily, "service_date", "left")
-    return check_rows(both, ["service_date"], {
-        "partition": (F.col("n").isNotNull(), "failed"), "rows": (F.col("n") >= least_rows, "failed"), "labelled": (F.col("labelled") > 0, "warning"),
+    sizes = files.groupBy("service_date").agg(F.sum("length").alias("bytes"))
+    return check_rows(dates.join(daily, "service_date", "left").join(sizes, "service_date", "left"), ["service_date"], {
+        "partition": (F.col("n").isNotNull(), "failed"), "rows": (F.col("n") >= least_rows, "failed"), "bytes": (F.col("bytes") > 0, "failed"), "labelled": (F.col("labelled") > 0, "warning"),
     })
 
 
-def alert_checks(alerts: DataFrame, keys: list[str], now: Column, most_age: int, source_latest: Column, lag: int, strict: bool = False) -> DataFrame:
-    """Alerts of each key: any rows, and freshness; stale alerts only warn if the source is stale and they follow it."""
-    found = alerts.groupBy(*keys).agg(F.count("*").alias("n"), F.max("position_time").alias("latest"), source_latest.alias("source"))
+def alert_checks(alerts: DataFrame, runs: DataFrame, now: Column, most_age: int, source_latest: Column, lag: int, required: list[str], strict: bool = False) -> DataFrame:
+    """Alerts of each of runs (service_date): any rows, else a warning and nothing more (failed if strict); columns, a latest time, freshness.
+
+    Stale alerts only warn if the source is stale itself and they follow it.
+    """
+    daily = alerts.groupBy("service_date").agg(F.count("*").alias("n"), F.max("position_time").alias("latest"))
+    found = runs.join(daily, "service_date", "left").withColumn("source", source_latest)
+    some = found.filter("n > 0")
     fresh = age_seconds(F.col("latest"), now) <= most_age
     follows = (age_seconds(F.col("source"), now) > most_age) & (age_seconds(F.col("latest"), F.col("source")) <= lag)
-    empty = "failed" if strict else "warning"
-    rows = check_rows(found, keys, {"rows": (F.col("n") > 0, empty), "latest_time": (F.col("latest").isNotNull(), "failed")})
-    status = F.when(F.coalesce(fresh, F.lit(False)), "passed").when(follows, "warning").otherwise("failed")
-    return rows.unionByName(found.select(*keys, F.lit("freshness").alias("check"), status.alias("status")))
+    complete = F.lit(not set(required) - set(alerts.columns))
+    any_rows = check_rows(found, ["service_date"], {"rows": (F.col("n") > 0, "failed" if strict else "warning")})
+    rest = check_rows(some, ["service_date"], {"columns": (complete, "failed"), "latest_time": (F.col("latest").isNotNull(), "failed")})
+    status = F.when(F.coalesce(fresh, F.lit(False)), "passed").when(F.coalesce(follows, F.lit(False)), "warning").otherwise("failed")
+    return any_rows.unionByName(rest).unionByName(some.select("service_date", F.lit("freshness").alias("check"), status.alias("status")))
 
 
 def report(history: DataFrame) -> DataFrame:
-    """Per date: checks by status and the verdict."""
+    """Checks by status and the verdict: a row for each date, and one without a date for all."""
     n = lambda s: F.count_if(F.col("status") == s)
     verdict = F.when(n("failed") > 0, "failed").when(n("warning") > 0, "warning").otherwise("passed")
-    return history.groupBy("service_date").agg(n("passed").alias("passed"), n("warning").alias("warnings"), n("failed").alias("failed"), verdict.alias("verdict"))
+    return history.rollup("service_date").agg(n("passed").alias("passed"), n("warning").alias("warnings"), n("failed").alias("failed"), verdict.alias("verdict"))
+
+
+def alert_status(rows: Column, latest: Column, made: Column, error: Column, now: Column, limit: int) -> Column:
+    """Of a scoring run: error, missing (no rows), stale (made no one knows when or too long ago, or rows without a time) or fresh."""
+    old = made.isNull() | (age_seconds(made, now) > limit) | latest.isNull()
+    return F.when(error.isNotNull(), "error").when(F.coalesce(rows, F.lit(0)) == 0, "missing").when(old, "stale").otherwise("fresh")
 
 
 def worst(df: DataFrame, keys: list[str]) -> DataFrame:
