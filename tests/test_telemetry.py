@@ -401,17 +401,27 @@ def test_stream_equals_batch(spark, files):
     V.keep_state_in_rocksdb(spark)
     p = streams.points_of(spark, SF)
     out = streams.scratch(spark, "t")
-    V.run_to_end(V.trajectory_stream(streams.opened(spark, streams.landed(p, files, "arrival_seq"), streams.POINT), V.Segments(86_400.0, 2.0, 600, 1200.0, 21_600.0)), out, f"{out}-c")
+    streams.fed(p, files, "arrival_seq", lambda stream: V.run_to_end(V.trajectory_stream(stream, V.Segments(86_400.0, 2.0, 600, 1200.0, 21_600.0)), out, f"{out}-c"))
     from tramline.plans.trajectories import trajectory_of
 
     count = lambda df: sorted((r.point_state, r.gap_reason or "", r["count"]) for r in df.groupBy("point_state", "gap_reason").count().collect())
     assert count(spark.read.parquet(out)) == count(trajectory_of(spark, SF))
-    out = streams.scratch(spark, "t")
-    V.score_batches(V.trail_stream(streams.opened(spark, streams.landed(p, files, "arrival_seq"), streams.POINT), V.Trails(None)), lambda df: df, out, f"{out}-c")
-    last = spark.read.parquet(out).groupBy("vehicle_id").agg(F.max_by("last_ms", "batch").alias("ms"), F.max_by("points", "batch").alias("n"))
+    trails = streams.scratch(spark, "t")
+    streams.fed(p, files, "arrival_seq", lambda stream: V.score_batches(V.trail_stream(stream, V.Trails(None)), lambda df: df, trails, f"{trails}-c"))
+    last = spark.read.parquet(trails).groupBy("vehicle_id").agg(F.max_by("last_ms", "batch").alias("ms"), F.max_by("points", "batch").alias("n"))
     assert sorted(map(tuple, last.collect())) == sorted((r.vehicle_id, r.last_ms, r.points) for r in V.trails(p).collect())
 
 
+def test_silent_vehicles_expire(spark, tmp_path):
+    rows = [("a", 0), ("a", 60), ("b", 30), ("a", 400), ("c", 900)]
+    df = spark.createDataFrame([(v, at(s)) for v, s in rows], "vehicle_id string, t timestamp_ntz").select("vehicle_id", F.col("t").cast("timestamp").alias("time"))
+    df.write.parquet(f"file://{tmp_path}/rows")
+    stream = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/rows")
+    V.run_to_end(V.expired(stream, "2 minutes", "10 seconds"), f"file://{tmp_path}/out", f"file://{tmp_path}/progress")
+    found = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert sorted((r.vehicle_id, r.points) for r in found) == [("a", 1), ("a", 2), ("b", 1)]
+
+
 def test_trail_rules():
     a = V.trail_step([], 50.0, 14.4, 0)
     assert V.trail_step(a, 60.0, 14.4, 1_000_000) == a and V.trail_step(a, 50.0000001, 14.4, 1_000_000) == a

@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tramline.functions.geo import within
+from tramline.functions.timeutil import MONDAY
 from tramline.operators import alerts as A
 from tramline.operators import evaluation as E
 from tramline.operators import models as M
+from tramline.operators import sampling as S
 from tramline.operators import splits as X
 from tramline.plans.base import query, scratch
-from tramline.plans.features import delay_features
+from tramline.plans.features import BUCKET, IN, SAMPLED, delay_features, inside
 from tramline.plans.lake import messages_of
 from tramline.plans.trajectories import INTER, LONGEST, MAX_GAP, MAX_SPEED, SHORTEST, STEP, arrivals
 from tramline.sources.fixtures import POS, positions
 from tramline.streaming import vehicles as V
 
 
-def landed(df: DataFrame, files: int, by: str) -> str:
-    """A folder that df lands in, in so many writes one after the other, in ranges of a column, for a stream to follow."""
+#: Boosting rounds of the queries, fewer than the operators' own 200 and 100, whose time no check of a thousand rows is worth.
+ITERATIONS = 20
+
+
+def fed(df: DataFrame, slices: int, by: str, run: Callable[[DataFrame], None]) -> None:
+    """A stream over a folder that df lands in, slice after slice of a column's range; run takes it to the end after each.
+
+    A slice is many files, written and read by all tasks. What a run leaves in its checkpoint, the next one goes on from.
+    """
     spark = df.sparkSession
     out = scratch(spark, "landed")
     value = F.unix_micros(F.col(by).cast("timestamp")) if dict(df.dtypes)[by].startswith("timestamp") else F.col(by)
     least, most = df.agg(F.min(value), F.max(value)).first()
-    part = F.least(F.lit(files - 1), F.floor((value - least) * files / max(1, most - least)))
-    for k in range(files):
-        df.filter(part == k).coalesce(1).write.mode("append").parquet(out)
-    return out
+    part = F.least(F.lit(slices - 1), F.floor((value - least) * slices / max(1, most - least)))
+    for k in range(slices):
+        df.filter(part == k).write.mode("append").parquet(out)
+        run(spark.readStream.schema(df.schema).parquet(out))
 
 
 def points_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +46,6 @@ def points_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrivals(spark, sf_dir).select("vehicle_id", F.unix_micros(F.col("time").cast("timestamp")).alias("us"), "lat", "lon", F.col("arrival_seq").cast("long").alias("arrival_seq"))
 
 
-def opened(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 @query(POS + "SELECT vehicle_id, count(*) AS rows, sum(CASE WHEN event_id % 4 = 0 THEN 0 WHEN event_id % 5 = 0 THEN 7 ELSE delay END)::BIGINT AS delays FROM pos WHERE event_id % 10 NOT IN (1, 2, 3) GROUP BY 1")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, out = scratch(spark, "messages"), scratch(spark, "ingested")
@@ -46,7 +54,18 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("vehicle_id").agg(F.count("*").alias("rows"), F.sum("delay").alias("delays"))
 
 
-POINT = "vehicle_id string, us long, lat double, lon double, arrival_seq long"
+@query(POS + "SELECT t.kind, vehicle_id, count(*) AS rows, round(sum(lat), 6) AS lats FROM pos, (VALUES ('positions'), ('trajectory')) t(kind) WHERE event_id % 10 NOT IN (1, 2, 3) AND (kind = 'positions' OR lat BETWEEN 49.9 AND 50.2) GROUP BY ALL")
+def stream_two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every micro-batch of messages goes to the table of positions and, inside the bounds, to that of trajectory points."""
+    source, out = scratch(spark, "messages"), scratch(spark, "tables")
+    messages_of(spark, sf_dir).repartition(3).select("value").write.text(source)
+    inside = lambda df: df.filter(F.col("lat").between(49.9, 50.2)).select("vehicle_id", "observation_ts", "lat", "lon", F.lit("observed").alias("point_state"))
+    V.store_batches(V.ingest(spark, source), {"positions": lambda df: df, "trajectory": inside}, out, f"{out}-progress")
+    found = None
+    for kind in ("positions", "trajectory"):
+        one = spark.read.parquet(f"{out}/{kind}").groupBy("vehicle_id").agg(F.count("*").alias("rows"), F.round(F.sum("lat"), 6).alias("lats")).withColumn("kind", F.lit(kind))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query(INTER + "SELECT vehicle_id, point_state, gap_reason, count(*) AS points, round(sum(lat), 5) AS lats, round(sum(lon), 5) AS lons FROM traj GROUP BY ALL")
@@ -54,8 +73,7 @@ def stream_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In micro-batches of arrival; later ones go on from the state that earlier ones left."""
     V.keep_state_in_rocksdb(spark)
     out = scratch(spark, "trajectory")
-    stream = opened(spark, landed(points_of(spark, sf_dir), 2, "arrival_seq"), POINT)
-    V.run_to_end(V.trajectory_stream(stream, V.Segments(MAX_GAP, MAX_SPEED, STEP, SHORTEST, LONGEST)), out, f"{out}-progress")
+    fed(points_of(spark, sf_dir), 2, "arrival_seq", lambda stream: V.run_to_end(V.trajectory_stream(stream, V.Segments(MAX_GAP, MAX_SPEED, STEP, SHORTEST, LONGEST)), out, f"{out}-progress"))
     found = spark.read.schema(V.Segments.OUTPUT).parquet(out)
     return found.groupBy("vehicle_id", "point_state", "gap_reason").agg(F.count("*").alias("points"), F.round(F.sum("lat"), 5).alias("lats"), F.round(F.sum("lon"), 5).alias("lons"))
 
@@ -69,8 +87,7 @@ def live_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     V.keep_state_in_rocksdb(spark)
     out = scratch(spark, "trails")
-    stream = opened(spark, landed(points_of(spark, sf_dir), 2, "arrival_seq"), POINT)
-    V.score_batches(V.trail_stream(stream, V.Trails(None)), lambda df: df, out, f"{out}-progress")
+    fed(points_of(spark, sf_dir), 2, "arrival_seq", lambda stream: V.score_batches(V.trail_stream(stream, V.Trails(None)), lambda df: df, out, f"{out}-progress"))
     found = spark.read.schema(V.Trails.OUTPUT + ", batch long").parquet(out)
     return found.groupBy("vehicle_id").agg(F.max_by(F.struct("points", "last_lon", "last_lat", "last_ms"), "batch").alias("t")).select("vehicle_id", "t.*")
 
@@ -81,21 +98,32 @@ def stream_bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets that the watermark has closed."""
     out = scratch(spark, "buckets")
     p = positions(spark, sf_dir).select("vehicle_id", F.col("time").cast("timestamp").alias("time"), "delay")
-    stream = opened(spark, landed(p, 2, "time"), "vehicle_id string, time timestamp, delay int")
-    V.run_to_end(V.bucket_samples(stream, "6 hours", "1 day", ["delay"]), out, f"{out}-progress")
+    fed(p, 2, "time", lambda stream: V.run_to_end(V.bucket_samples(stream, "6 hours", "1 day", ["delay"]), out, f"{out}-progress"))
     return spark.read.parquet(out).groupBy("vehicle_id").agg(F.count("*").alias("buckets"), F.sum("delay").alias("delays"))
 
 
+@query(POS + """, g AS (SELECT vehicle_id, time, CASE WHEN time < lag(time) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM pos WINDOW w AS (PARTITION BY vehicle_id ORDER BY time)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY vehicle_id ORDER BY time) AS life FROM g), l AS (SELECT vehicle_id, life, count(*) AS points, max(time) AS last_time FROM n GROUP BY ALL)
+SELECT vehicle_id, count(*) AS lives, sum(points)::BIGINT AS points, max(last_time) AS last_seen FROM l WHERE last_time + INTERVAL 12 HOUR <= (SELECT max(time) - INTERVAL 1 DAY FROM pos) GROUP BY 1""")
+def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicles that fell silent for longer than their time to live, once the watermark says so; one that comes back lives anew."""
+    out = scratch(spark, "expired")
+    p = positions(spark, sf_dir).select("vehicle_id", F.col("time").cast("timestamp").alias("time"))
+    fed(p, 2, "time", lambda stream: V.run_to_end(V.expired(stream, "12 hours", "1 day"), out, f"{out}-progress"))
+    return spark.read.parquet(out).groupBy("vehicle_id").agg(F.count("*").alias("lives"), F.sum("points").alias("points"), F.max("last_time").cast("timestamp_ntz").alias("last_seen"))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows with a label, split by time, written once: models pass over them many times."""
     out = scratch(spark, "labelled")
     f = delay_features(spark, sf_dir).dropna(subset=["target_delay", "delay"]).withColumn("label", (F.col("target_delay_delta") >= 60).cast("int"))
-    f.write.parquet(out)
-    return X.split_ordered(spark.read.parquet(out), ["time", "vehicle_id"])
+    f.write.parquet(f"{out}/rows")
+    X.split_ordered(spark.read.parquet(f"{out}/rows"), ["time", "vehicle_id"]).write.parquet(f"{out}/split")
+    return spark.read.parquet(f"{out}/split")
 
 
 def _quality(df: DataFrame, name: str) -> DataFrame:
-    rows = df.withColumn("actual", F.col("label") == 1)
+    rows = df if "actual" in df.columns else df.withColumn("actual", F.col("label") == 1)
     return E.ranking(rows).select(F.lit(name).alias("model"), F.round("auc", 6).alias("auc"), F.round("average_precision", 6).alias("average_precision"))
 
 
@@ -104,7 +132,7 @@ def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test measures of boosted trees and of logistic regression."""
     rows = labelled(spark, sf_dir)
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
-    trees = M.train_classifier(train, iterations=10, depth=4, bins=64)
+    trees = M.train_classifier(train, iterations=ITERATIONS)
     line = M.train_classifier(train, linear=True)
     return _quality(M.scored(test, trees), "boosted trees").unionByName(_quality(M.scored(test, line), "logistic"))
 
@@ -114,7 +142,7 @@ def train_regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test errors of the delay to come: as it is, by ridge, and by boosted trees on its change."""
     rows = labelled(spark, sf_dir).withColumns({"target": F.col("target_delay").cast("double"), "change": F.col("target_delay_delta").cast("double")})
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
-    ridge, trees = M.train_regressor(train, "target", linear=True), M.train_regressor(train, "change", iterations=5)
+    ridge, trees = M.train_regressor(train, "target", linear=True), M.train_regressor(train, "change", iterations=ITERATIONS)
     guesses = {
         "persistence": test.withColumn("guess", F.col("delay").cast("double")),
         "ridge": ridge.transform(M.prepared(test)).withColumn("guess", F.col("prediction")),
@@ -129,30 +157,68 @@ def train_regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures on the validation rows for growing shares of training rows."""
-    rows = labelled(spark, sf_dir)
-    train, check = rows.filter("split = 'train'").drop("split"), rows.filter("split = 'validation'")
+    """Measures on validation and test rows for growing numbers of training rows, with the threshold that the validation rows ask for."""
+    rows = labelled(spark, sf_dir).withColumn("actual", F.col("label") == 1)
+    train = rows.filter("split = 'train'").drop("split")
     n, out = train.count(), None
-    for share in (0.25, 1.0):
+    for share in (0.25, 0.5, 1.0):
         part = X.spread_indices(train, ["time", "vehicle_id"], max(2, int(n * share)))
-        one = _quality(M.scored(check, M.train_classifier(part, linear=True)), "logistic").withColumn("rows", F.lit(int(n * share)))
-        out = one if out is None else out.unionByName(one)
+        model = M.train_classifier(part, linear=True)
+        threshold = None
+        for split in ("validation", "test"):
+            kept = scratch(spark, "curve")
+            M.scored(rows.filter(F.col("split") == split), model).select("vehicle_id", "time", "risk", "actual").write.parquet(kept)
+            found = spark.read.parquet(kept)
+            if threshold is None:
+                best = E.best_threshold(E.threshold_sweep(found), 0.4).first()
+                threshold = best["precision_threshold"] or best["best_f1_threshold"]
+            at = E.metrics(found, F.col("risk") >= threshold).select(F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+            top = E.top_fractions(found.withColumn("event_id", F.xxhash64("vehicle_id", "time")), (0.01,), "event_id").select(F.round("precision", 6).alias("top_precision"))
+            one = _quality(found, "logistic").crossJoin(F.broadcast(top)).crossJoin(F.broadcast(at)).withColumns({"rows": F.lit(int(n * share)), "split": F.lit(split), "threshold": F.lit(threshold).cast("double")})
+            out = one if out is None else out.unionByName(one)
     return out
 
 
 @query()
-def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Micro-batches of feature rows, scored, held to the alert policy and stored."""
-    rows, out = labelled(spark, sf_dir), scratch(spark, "scores")
+def online_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of rows as they come in: numbers as text or none, categories without a value, a feature that isn't there; the riskiest first."""
+    rows = labelled(spark, sf_dir)
     model = M.train_classifier(rows.filter("split = 'train'"), linear=True)
-    test = rows.filter("split = 'test'").drop("split")
-    schema = test.schema
-    source = landed(test, 2, "time")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    every = F.xxhash64("vehicle_id", "time") % 5 == 0
+    raw = rows.filter("split = 'test'").select("vehicle_id", "time", F.when(every, "n/a").otherwise(F.col("delay").cast("string")).alias("delay"), F.when(~every, F.col("mode")).alias("mode"), "line", "route_id", "speed", "delay_delta_1", "hour_of_day", "day_of_week")
+    return M.scored(raw, model).select("vehicle_id", "time", F.round("risk", 6).alias("risk"), "alert").orderBy(F.desc("risk"), "vehicle_id", "time")
+
+
+#: What a scoring run sees: seconds of context, of age, rows at most; and its policy.
+CONTEXT, FRESH, MOST_ROWS, RISK, LOWEST, MOST_ALERTS = 5 * 86_400, 86_400, 60, 0.6, 0.65, 5
+_RUN = """runs AS (SELECT 1 AS run, max(time) AS now FROM pos WHERE (epoch_us(time) - (SELECT min(epoch_us(time)) FROM pos)) * 2 < (SELECT max(epoch_us(time)) - min(epoch_us(time)) FROM pos) UNION ALL SELECT 2, max(time) FROM pos)"""
+
+
+@query(IN + f""", {_RUN}, rs AS (SELECT run, now, vehicle_id, time_bucket(INTERVAL 6 HOUR, time) AS bucket, arg_max(time, time) AS time, arg_max(delay, time) AS delay FROM inb, runs WHERE time > now - INTERVAL {CONTEXT} SECOND AND time <= now GROUP BY ALL),
+rl AS (SELECT *, delay - lag(delay) OVER (PARTITION BY run, vehicle_id ORDER BY time) AS delta, row_number() OVER (PARTITION BY run, vehicle_id ORDER BY time DESC) AS nth FROM rs),
+rf AS (SELECT *, 1 / (1 + exp(-coalesce(delta, 0) / 60.0::DOUBLE)) AS risk FROM rl WHERE nth = 1 AND time >= now - INTERVAL {FRESH} SECOND QUALIFY row_number() OVER (PARTITION BY run ORDER BY time DESC, vehicle_id) <= {MOST_ROWS}),
+rp AS (SELECT *, row_number() OVER (PARTITION BY run, risk >= {RISK} AND risk >= {LOWEST} ORDER BY risk DESC, vehicle_id) AS rk FROM rf)
+SELECT now AS scored_at, vehicle_id, round(risk, 9) AS risk, CASE WHEN risk < {RISK} THEN 'below_threshold' WHEN risk < {LOWEST} THEN 'below_min_risk' WHEN rk <= {MOST_ALERTS} THEN 'selected' ELSE 'suppressed_by_cap' END AS reason FROM rp""")
+def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After every micro-batch: features over the context that all batches left, each vehicle's latest if fresh, scored, held to the policy, stored.
+
+    The scorer here is a stand-in, a logistic curve of the change in delay, so that SQL can follow; any model's does.
+    """
+    seen, out = scratch(spark, "seen"), scratch(spark, "scores")
+
+    def features(context: DataFrame) -> DataFrame:
+        return S.with_deltas(S.with_lags(S.sample_last_non_null(context, SAMPLED, BUCKET, MONDAY)))
+
+    def score(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("risk", 1 / (1 + F.exp(-F.coalesce("delay_delta_1", F.lit(0)) / 60.0)))
 
-    def score(batch: DataFrame) -> DataFrame:
-        ranked = M.scored(M.prepared(batch), model).drop("alert")
-        return A.apply_policy(ranked, "service_date", 0.5, 0.6, 5).select("vehicle_id", "time", "service_date", "risk", "alert", "reason")
+    def one(batch: DataFrame) -> DataFrame:
+        now = batch.agg(F.max("time")).first()[0]
+        rows = V.scoring_rows(spark.read.schema(batch.schema).parquet(seen), now, CONTEXT, features, FRESH, MOST_ROWS)
+        return A.apply_policy(score(rows).withColumn("scored_at", F.lit(now)), "scored_at", RISK, LOWEST, MOST_ALERTS).select("scored_at", "vehicle_id", F.round("risk", 9).alias("risk"), "reason")
 
-    V.score_batches(stream, score, out, f"{out}-progress")
-    return spark.read.parquet(out).groupBy("reason").agg(F.count("*").alias("rows"))
+    columns = inside(spark, sf_dir).columns
+    every = positions(spark, sf_dir).withColumn("inside", within(F.col("lat"), F.col("lon")))
+    keep = lambda batch: batch.select(*columns, "inside")
+    fed(every, 2, "time", lambda stream: V.score_batches(keep(stream), lambda b: one(b), out, f"{out}-progress", seen, "inside"))
+    return spark.read.parquet(out).drop("batch")

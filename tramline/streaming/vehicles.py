@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from datetime import datetime
 from typing import Any
 
 import pandas as pd
@@ -161,10 +162,44 @@ def trails(points: DataFrame) -> DataFrame:
     return points.groupBy("vehicle_id").applyInPandas(fold, Trails.OUTPUT)
 
 
-def score_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
-    """Every micro-batch through a batch function, written under its own number, so that a batch run again replaces itself."""
+def expired(stream: DataFrame, ttl: str, lateness: str) -> DataFrame:
+    """Lives of vehicles that have ended: a vehicle lives while no two of its rows (vehicle_id, time) are ttl or more apart.
+
+    A life is given out, and forgotten, once the watermark has passed its last row by ttl.
+    """
+    lives = stream.withWatermark("time", lateness).groupBy(F.session_window("time", ttl), "vehicle_id")
+    return lives.agg(F.count("*").alias("points"), F.max("time").alias("last_time")).select("vehicle_id", F.col("session_window.start").alias("first_time"), "last_time", "points")
+
+
+def store_batches(stream: DataFrame, tables: dict[str, Callable[[DataFrame], DataFrame]], path: str, checkpoint: str) -> None:
+    """Every micro-batch into several tables, each under the batch's number, so that a batch run again replaces itself in all."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for name, part in tables.items():
+            part(batch).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.unpersist()
+
+    finish(stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def scoring_rows(seen: DataFrame, now: datetime, context: int, features: Callable[[DataFrame], DataFrame], fresh: int, most: int) -> DataFrame:
+    """What a scoring run scores: features over the context seconds up to now, every vehicle's latest, no older than fresh seconds, most rows of them, the newest."""
+    ago = lambda s: F.timestamp_add("SECOND", F.lit(-s), F.lit(now))
+    rows = features(seen.filter((F.col("time") > ago(context)) & (F.col("time") <= F.lit(now))))
+    last = rows.groupBy("vehicle_id").agg(F.max_by(F.struct("*"), "time").alias("row")).select("row.*")
+    return last.filter(F.col("time") >= ago(fresh)).orderBy(F.desc("time"), "vehicle_id").limit(most)
+
+
+def score_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, seen: str | None = None, usable: str | None = None) -> None:
+    """Every micro-batch through a batch function, written under its own number, so that a batch run again replaces itself.
+
+    seen: a folder where the batches' rows (those with usable, if named) are kept first, as context for this and later runs.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
+        if seen is not None:
+            (batch.filter(usable) if usable else batch).write.mode("overwrite").parquet(f"{seen}/batch={number}")
         score(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     finish(stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
