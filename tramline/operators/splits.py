@@ -52,8 +52,8 @@ def split_ordered(df: DataFrame, order: list[str], parts: tuple[tuple[str, float
 
 
 def capped(df: DataFrame, rows: int, seed: int, key: list[str], order: list[str]) -> DataFrame:
-    """The rows whose seeded hash is least, in time order."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(rows).orderBy(*order)
+    """The rows whose seeded hash (MD5 of seed and key) is least, in time order."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), *key)), *key).limit(rows).orderBy(*order)
 
 
 def rolling_window(df: DataFrame, days: int, end: datetime | None = None) -> tuple[DataFrame, int, int]:

@@ -33,15 +33,17 @@ SAMP = IN + ", samp AS (SELECT vehicle_id, time_bucket(INTERVAL 6 HOUR, time) AS
 LAGS = SAMP + ", lagged AS (SELECT *, " + ", ".join(f"lag({c}, {k}) OVER w AS {c}_lag_{k}" for c in ("delay", "speed") for k in (1, 2, 3)) + ", lag(lat) OVER w AS lat_lag_1, lag(lon) OVER w AS lon_lag_1 FROM samp WINDOW w AS (PARTITION BY vehicle_id ORDER BY time))"
 DELTAS = """delay - delay_lag_1 AS delay_delta_1, speed - speed_lag_1 AS speed_delta_1,
   (delay + delay_lag_1 + delay_lag_2) / 3.0::DOUBLE AS delay_mean_3, (speed + speed_lag_1 + speed_lag_2) / 3.0::DOUBLE AS speed_mean_3"""
-SCHEDULE = """next_stop_sequence - last_stop_sequence AS stop_sequence_gap, date_diff('second', origin_timestamp, time) AS seconds_since_origin,
-  date_diff('second', last_stop_arrival_time, time) AS seconds_since_last_stop_arrival, date_diff('second', last_stop_departure_time, time) AS seconds_since_last_stop_departure,
-  date_diff('second', time, next_stop_arrival_time) AS seconds_until_next_stop_arrival, date_diff('second', time, next_stop_departure_time) AS seconds_until_next_stop_departure,
-  date_diff('second', next_stop_arrival_time, next_stop_departure_time) AS scheduled_next_stop_dwell_seconds"""
+# Whole seconds between two times count the seconds that begin in between.
+_SECONDS = {
+    "seconds_since_origin": ("origin_timestamp", "time"), "seconds_since_last_stop_arrival": ("last_stop_arrival_time", "time"), "seconds_since_last_stop_departure": ("last_stop_departure_time", "time"),
+    "seconds_until_next_stop_arrival": ("time", "next_stop_arrival_time"), "seconds_until_next_stop_departure": ("time", "next_stop_departure_time"), "scheduled_next_stop_dwell_seconds": ("next_stop_arrival_time", "next_stop_departure_time"),
+}
+SCHEDULE = "next_stop_sequence - last_stop_sequence AS stop_sequence_gap, " + ", ".join(f"epoch_us({b}) // 1000000 - epoch_us({a}) // 1000000 AS {name}" for name, (a, b) in _SECONDS.items())
 CALENDAR = "CAST(hour(time) AS INTEGER) AS hour_of_day, CAST(dayofweek(time) AS INTEGER) AS day_of_week, CAST(time AS DATE) AS service_date"
-TARGET = """, probe AS (SELECT *, time + INTERVAL 1 DAY AS target_time FROM lagged),
-joined AS (SELECT p.*, CASE WHEN date_diff('second', p.target_time, f.time) <= 43200 THEN f.time END AS future_time,
-  CASE WHEN date_diff('second', p.target_time, f.time) <= 43200 THEN f.delay END AS target_delay
-  FROM probe p ASOF LEFT JOIN samp f ON p.vehicle_id = f.vehicle_id AND p.target_time <= f.time)"""
+# The match of a row: the least time of its vehicle that is a day later at least, if it is no more than twelve hours later still.
+TARGET = """, due AS (SELECT l.vehicle_id, l.time, min(s.time) AS found FROM lagged l JOIN samp s ON s.vehicle_id = l.vehicle_id AND s.time - l.time >= INTERVAL 1 DAY GROUP BY ALL HAVING epoch_us(min(s.time)) // 1000000 - epoch_us(l.time + INTERVAL 1 DAY) // 1000000 <= 43200),
+joined AS (SELECT l.*, l.time + INTERVAL 1 DAY AS target_time, due.found AS future_time, s.delay AS target_delay
+  FROM lagged l LEFT JOIN due ON due.vehicle_id = l.vehicle_id AND due.time = l.time LEFT JOIN samp s ON s.vehicle_id = due.vehicle_id AND s.time = due.found)"""
 KEPT = "vehicle_id, time, delay, speed, lat, lon, mode, line, route_id, trip_id, route_type, last_stop_sequence, next_stop_sequence"
 LAG_NAMES = "lat_lag_1, lon_lag_1, " + ", ".join(f"{c}_lag_{k}" for c in ("delay", "speed") for k in (1, 2, 3))
 TARGETS = "target_time, future_time, target_delay, target_delay - delay AS target_delay_delta, date_diff('second', target_time, future_time) AS target_lookup_lag_seconds"

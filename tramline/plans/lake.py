@@ -363,6 +363,6 @@ def observed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in X.observed_columns(p, ["delay", "speed", "lat", "blank", "absent"])], "column_name string")
 
 
-@query()
+@query(POS + "SELECT event_id, time FROM pos ORDER BY md5('42|' || event_id), event_id LIMIT 500")
 def seeded_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.capped(positions(spark, sf_dir), 500, 42, ["event_id"], ["time", "vehicle_id"]).select("event_id", "time")

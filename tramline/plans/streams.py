@@ -17,7 +17,7 @@ from tramline.operators import splits as X
 from tramline.plans.base import query, scratch
 from tramline.plans.features import BUCKET, IN, SAMPLED, delay_features, inside
 from tramline.plans.lake import messages_of
-from tramline.plans.trajectories import INTER, LONGEST, MAX_GAP, MAX_SPEED, SHORTEST, STEP, arrivals
+from tramline.plans.trajectories import ARR, BOX, HAV, INTER, LONGEST, MAX_GAP, MAX_SPEED, SHORTEST, STEP, arrivals
 from tramline.sources.fixtures import POS, positions
 from tramline.streaming import vehicles as V
 
@@ -78,12 +78,21 @@ def stream_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("vehicle_id", "point_state", "gap_reason").agg(F.count("*").alias("points"), F.round(F.sum("lat"), 5).alias("lats"), F.round(F.sum("lon"), 5).alias("lons"))
 
 
-@query()
+_MOVED = HAV.format(r=6371000, a="f.", b="q.")
+TRAILS = ARR.replace("WITH pos", "WITH RECURSIVE pos") + f""", q AS (SELECT vehicle_id, lat, lon, epoch_us(time) // 1000 AS ms, row_number() OVER (PARTITION BY vehicle_id ORDER BY arrival_seq) AS n FROM arr WHERE {BOX}),
+fold AS (SELECT vehicle_id, n, lat, lon, ms, 1 AS points FROM q WHERE n = 1 UNION ALL
+  SELECT vehicle_id, n, CASE WHEN stays THEN flat ELSE lat END, CASE WHEN stays THEN flon ELSE lon END, CASE WHEN stays THEN fms ELSE due END, CASE WHEN jumps THEN 1 WHEN stays THEN points ELSE least(30, points + 1) END
+  FROM (SELECT *, moved > 1500 OR moved / ((due - fms) / 1000) > 40 AS jumps, moved < 1 AND NOT jumps AS stays
+    FROM (SELECT q.vehicle_id, q.n, q.lat, q.lon, f.lat AS flat, f.lon AS flon, f.ms AS fms, greatest(q.ms, f.ms + 1) AS due, f.points, {_MOVED} AS moved FROM fold f JOIN q ON q.vehicle_id = f.vehicle_id AND q.n = f.n + 1)))
+SELECT vehicle_id, points::INTEGER AS points, lon AS last_lon, lat AS last_lat, ms AS last_ms FROM fold QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY n DESC) = 1"""
+
+
+@query(TRAILS)
 def live_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.trails(points_of(spark, sf_dir))
 
 
-@query()
+@query(TRAILS)
 def stream_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     V.keep_state_in_rocksdb(spark)
     out = scratch(spark, "trails")
