@@ -248,7 +248,13 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     totals = {x["toxic"]: x["n"] for x in texts.withColumn("words", F.size(F.split("text", r"\s+"))).groupBy("toxic").agg(F.sum("words").alias("n")).collect()}
     t1, t0 = float(totals[1] or 1), float(totals[0] or 1)
     own = {x["entry"]: (x["a"], x["b"]) for x in _places(around, ["entry"]).collect()}
-    # Phrases of an entry and a neighbour that clean texts have in many places, far more often than the entry as a whole, and toxic texts never.
+    # Phrases of an entry and a neighbour that clean texts have in many places, far more often than the entry as a whole, and toxic texts
+    # never; of entries that are toxic to some degree even with such phrases.
+    hopeful = [(e,) for e, (a, b) in own.items() if ratio(a, b, t1, t0) >= LEAST_RATIO / 2]
+    if not hopeful:
+        return Lexicon(())
+    around = around.join(F.broadcast(rows.sparkSession.createDataFrame(hopeful, "entry string")), "entry", "left_semi")
+    own = {e: own[e] for (e,) in hopeful}
     phrases = around.select("entry", "toxic", "before", "after", F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after"))).alias("phrase"))
     tallied = _places(phrases, ["entry", "phrase"]).filter((F.col("a") == 0) & (F.col("b") >= LEAST_PLACES) & F.trim("phrase").contains(" ")).collect()
     harmless = {(x["entry"], x["phrase"].strip()) for x in tallied if ratio(x["b"], 0, max(1, own[x["entry"]][1]), max(1, own[x["entry"]][0])) >= LEAST_EXCEPTION}
