@@ -86,6 +86,20 @@ def test_packing_on_documents(docs):
     assert sum(r.length for r in found) > 0.97 * 1024 * len(sequences)
 
 
+def test_ranks_give_the_tokenizer_s_ids():
+    tokenizer, ranks = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.tokens_of(packing.VOCABULARY)
+    points = [c for c in range(0x34000) if not 0xD800 <= c <= 0xDFFF and (c < 0x3000 or c % 7 == 0)]
+    texts = ["".join(f"a{chr(c)}b {chr(c)}\u0301{chr(c)}1 " for c in points[k : k + 100]) for k in range(0, len(points), 100)] + ["x<|endoftext|>y", " \n\n  z", "don't I'LL"]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ranks.encode(text) == struct.pack(f"<{len(want.ids)}I", *want.ids)
+
+
+def test_packing_query(spark, docs):
+    found = registry.queries()["op1_packing"](spark, SF)
+    assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(found.columns)
+    _check_packing(found.collect(), {r.doc_id: r.text for r in docs.collect()})
+
+
 def test_packing_on_odd_rows(odd, empty):
     unique = odd.filter("doc_id IS NOT NULL AND text IS NOT NULL OR doc_id = 2").dropDuplicates(["doc_id"])
     _check_packing(packing.pack(unique).collect(), {r.doc_id: r.text for r in unique.collect()})
@@ -149,6 +163,16 @@ def test_mined_rules_against_all_combinations(spark):
             assert (r.verdict, round(r.mined_confidence or 0, 9)) == ((max(fit)[2], max(fit)[0]) if fit else ("allow", 0))
 
 
+def test_url_query(spark):
+    found = {r.page_id: r for r in registry.queries()["op2_url_filter"](spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(found) == len(pages)
+    for p in pages:
+        host, path, rule, verdict = _stated(p.url)
+        r = found[p.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
+
+
 def test_long_fixed_paths_are_one_item(spark):
     steps = "/".join(f"s{k}" for k in range(60))
     rows = [(f"http://h{k % 3}.net/{steps}/{k}", "block") for k in range(30)] + [(f"http://h{k % 3}.net/a/{k}", "allow") for k in range(30)]
@@ -368,6 +392,13 @@ def test_simhash_components(docs, pairwise, monkeypatch):
     assert [found[d].component_id for d in ids] == _components(ids, prints, 2)
 
 
+def test_simhash_query(spark, docs):
+    rows = docs.orderBy("doc_id").collect()
+    prints, ids = _prints([r.text for r in rows]), [r.doc_id for r in rows]
+    found = {r.doc_id: r for r in registry.queries()["op5_simhash"](spark, SF).collect()}
+    assert [found[d].fingerprint for d in ids] == [f"{p:016x}" for p in prints] and [found[d].component_id for d in ids] == _components(ids, prints, 2)
+
+
 def test_chains_of_prints(spark):
     prints = [(k, (1 << (k % 60)) - 1) for k in range(40)]
     edges = simhash.links(spark.createDataFrame(prints, "node long, print long"))
@@ -528,6 +559,12 @@ def test_main_text_of_the_tables(spark):
         assert texts[r.page_id] == "\n".join(filter(None, blocks))
 
 
+def test_html_query(spark):
+    found = registry.queries()["op7_html_text"](spark, SF).collect()
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert {r.page_id: r.url for r in found} == urls and all(r.n_chars == len(r.text) for r in found) and len(found) == len(urls)
+
+
 @pytest.mark.parametrize(("source", "want"), [
     ('<body><nav>m</nav><div class="content-sidebar-wrap"><p>one</p><p>two&nbsp; three</p></div></body>', "one\ntwo three"),
     ('<article><div class="article-header"><h1>T</h1></div><p>x<span>y</span> z</p><div class="share">s</div><button>b</button></article><p>out</p>', "T\nxy z"),
@@ -659,6 +696,17 @@ def test_media_round_trip(spark, odd, empty):
     assert media.features(media.metadata(media.store(empty, f"{shared_dir(spark)}/media-none"))).count() == 0
 
 
+def test_media_query(spark, docs):
+    found = {r.doc_id: r for r in registry.queries()["op8_media"](spark, SF).collect()}
+    want = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert set(found) == set(want)
+    for i, data in want.items():
+        payload, r = media.padded(data), found[i]
+        png = media.to_png(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(png), hashlib.sha256(png).hexdigest(), media.feature(media.from_png(png))) and (r.width, r.height, r.depth) == (64, len(payload) // 64, 8)
+
+
 def test_shards_are_tar_files(spark, docs):
     import tarfile
 
@@ -690,6 +738,16 @@ def test_bpe_is_the_library_s(docs):
         assert mine.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_query(spark, docs):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    found = {r.doc_id: r for r in registry.queries()["op9_bpe"](spark, SF).collect()}
+    for d in docs.collect():
+        ids = library.encode(d.text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        r = found[d.doc_id]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
 def test_bpe_on_all_code_points():
     path = public_tokenizers.path("word_bpe_49k.json")
     mine, library = bpe.WordBpe(path), Tokenizer.from_file(path)

@@ -48,6 +48,7 @@ def _same_order(mark: str) -> bool:
     return all(library.normalize_str(x) == unicodedata.normalize("NFC", x) for x in (f"a{mark}\u0334", f"a\u0345{mark}"))
 
 
+@lru_cache(1)
 def _unknown() -> re.Pattern:
     """The code points that unicodedata has no category for, and the marks that the library doesn't know."""
     odd = {c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn" or unicodedata.combining(chr(c)) and not _same_order(chr(c))}
@@ -59,13 +60,12 @@ def _unknown() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True)) + "]")
 
 
-UNKNOWN = _unknown()
 #: Anything from the first of them on; a range is found faster than a class.
 HIGH = re.compile("[\u0378-\U0010ffff]")
 
 
 def unknown(text: str) -> bool:
-    return HIGH.search(text) is not None and UNKNOWN.search(text) is not None
+    return HIGH.search(text) is not None and _unknown().search(text) is not None
 
 
 def byte_symbols() -> list[str]:
