@@ -246,6 +246,33 @@ def test_window_choice(spark):
     assert M.choose_window(df, 100, 0.6).first().days == 30 and M.choose_window(df, 100, 0.9).first().days == 14
 
 
+def _learnable(spark):
+    e = F.col("id")
+    delay = (e * 7919 % 200).cast("double")
+    rows = spark.range(1200).select(
+        F.concat(F.lit("v"), e % 7).alias("vehicle_id"), e.alias("event_id"), F.timestamp_seconds(e * 60).cast("timestamp_ntz").alias("time"), delay.alias("delay"), F.when(e % 9 != 0, delay / 10).alias("speed"),
+        F.concat(F.lit("m"), e % 3).alias("mode"), F.lit("l").alias("line"), F.concat(F.lit("r"), e % 5).alias("route_id"),
+    )
+    return rows.withColumns({"label": ((F.col("delay") > 120) | (F.col("mode") == "m1")).cast("int"), "target": F.col("delay") * 2 + F.when(F.col("mode") == "m1", 50).otherwise(0)})
+
+
+@pytest.mark.parametrize("linear", [True, False])
+def test_models_learn_and_take_what_is_missing(spark, linear):
+    rows = _learnable(spark)
+    train, test = rows.filter("event_id < 900"), rows.filter("event_id >= 900")
+    model = M.train_classifier(train, linear, iterations=6)
+    scored = M.scored(test, model)
+    assert scored.columns == [*test.columns, "risk", "alert"]
+    assert E.ranking(scored.withColumn("actual", F.col("label") == 1)).first().auc > 0.9 and M.area_under_roc(test, model) > 0.9
+    bare = M.scored(test.select("vehicle_id", F.lit("n/a").alias("delay"), F.lit(None).cast("string").alias("mode")), model)
+    assert bare.count() == 300 and bare.filter("risk IS NULL OR risk < 0 OR risk > 1").isEmpty()
+    weighed = M.balanced(train).groupBy("label").agg(F.sum("weight").alias("w")).collect()
+    assert abs(weighed[0].w - weighed[1].w) < 1e-6
+    guess = M.train_regressor(train, "target", linear, iterations=40).transform(M.prepared(test))
+    error, spread = guess.agg(F.avg(F.abs(F.col("prediction") - F.col("target"))), F.stddev("target")).first()
+    assert error < spread / 2
+
+
 # Lake, splits, replay, quality
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tramline.operators import evaluation as E
 from tramline.operators.alerts import cooldown
+from tramline.operators.splits import observed_columns
 
 NUMERIC = ["delay", "speed", "delay_delta_1", "speed_delta_1", "delay_mean_3", "stop_sequence_gap", "hour_of_day", "day_of_week"]
 CATEGORIES = ["mode", "line", "route_id"]
@@ -63,13 +64,18 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
 def train_classifier(df: DataFrame, linear: bool = False, iterations: int = 200, depth: int = 6, bins: int = 255) -> PipelineModel:
     """Boosted trees, or logistic regression, on a 0/1 ``label``."""
     model = LogisticRegression(weightCol="weight", maxIter=30, regParam=0.001) if linear else GBTClassifier(weightCol="weight", stepSize=0.05, maxDepth=depth, maxIter=iterations, maxBins=max(bins, 32), seed=42)
-    return Pipeline(stages=[*preparation(NUMERIC, CATEGORIES, linear), model]).fit(balanced(with_common_values(prepared(df), CATEGORIES)))
+    return _fitted(balanced(with_common_values(prepared(df), CATEGORIES)), linear, model)
+
+
+def _fitted(ready: DataFrame, linear: bool, model: Estimator) -> PipelineModel:
+    """All stages fit on prepared rows; numbers that no row has are left out."""
+    return Pipeline(stages=[*preparation(observed_columns(ready, NUMERIC), CATEGORIES, linear), model]).fit(ready)
 
 
 def train_regressor(df: DataFrame, target: str, linear: bool = False, iterations: int = 100) -> PipelineModel:
     """A delay, or the change of it, from features."""
     model = LinearRegression(labelCol=target, elasticNetParam=0.0, regParam=1.0) if linear else GBTRegressor(labelCol=target, stepSize=0.05, maxDepth=6, maxIter=iterations, maxBins=255, seed=42)
-    return Pipeline(stages=[*preparation(NUMERIC, CATEGORIES, linear), model]).fit(with_common_values(prepared(df), CATEGORIES))
+    return _fitted(with_common_values(prepared(df), CATEGORIES), linear, model)
 
 
 def scored(df: DataFrame, model: PipelineModel, threshold: float = 0.5) -> DataFrame:

@@ -169,6 +169,20 @@ def scored_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.coerce_alerts(back).select("event_id", F.round("risk", 9).alias("risk"), "alert")
 
 
+@query(PRED + "SELECT 'alerts' AS scope, count(*) AS rows, sum(event_id)::BIGINT AS ids, round(sum(risk), 6) AS risk FROM pred WHERE raw_alert UNION ALL SELECT 'all', count(*), sum(event_id)::BIGINT, round(sum(risk), 6) FROM pred")
+def scored_output_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts as CSV and all rows as Parquet."""
+    out, rows = scratch(spark, "scored"), predictions(spark, sf_dir).withColumn("alert", F.col("raw_alert")).select("event_id", "risk", "alert")
+    L.write_scored(rows, f"{out}/alerts", "alerts", "csv")
+    L.write_scored(rows, f"{out}/all", "all", "parquet")
+    back = {"alerts": spark.read.option("header", True).schema("event_id long, risk double, alert boolean").csv(f"{out}/alerts"), "all": spark.read.parquet(f"{out}/all")}
+    found = None
+    for scope, df in back.items():
+        one = df.agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids"), F.round(F.sum("risk"), 6).alias("risk")).withColumn("scope", F.lit(scope))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query(PRED + "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 0.0 ELSE round(risk, 9) END AS risk, raw_alert AND event_id % 3 <> 0 AS alert FROM pred")
 def scored_alert_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts as JSON arrays, with members that are no objects, risks that are no numbers and alerts that are no booleans."""
@@ -316,9 +330,10 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.crossJoin(F.broadcast(last)).filter(F.col("time") >= F.timestamp_add("HOUR", F.lit(-20), "last")).select("event_id")
 
 
-@query(POS + "SELECT event_id FROM pos WHERE time >= (SELECT max(time) - INTERVAL 14 DAY FROM pos)")
+@query(POS + ", k AS (SELECT event_id FROM pos WHERE time >= (SELECT max(time) - INTERVAL 14 DAY FROM pos)) SELECT event_id, (SELECT count(*) FROM pos) AS rows_before, (SELECT count(*) FROM k) AS rows_after FROM k")
 def rolling_train_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.rolling_window(positions(spark, sf_dir), 14)[0].select("event_id")
+    rows, before, after = X.rolling_window(positions(spark, sf_dir), 14)
+    return rows.select("event_id", F.lit(before).cast("long").alias("rows_before"), F.lit(after).cast("long").alias("rows_after"))
 
 
 @query(POS + ", i AS (SELECT *, row_number() OVER (ORDER BY time, vehicle_id) - 1 AS i, count(*) OVER () AS n FROM pos) SELECT event_id FROM i WHERE i = 0 OR i * 700 // n <> (i - 1) * 700 // n")
