@@ -786,11 +786,11 @@ def test_quality_measures(docs, odd, empty):
 
 def test_policies_and_ablation(docs):
     book = quality.ledger(docs).cache()
-    rows = quality.apply_policies(book, quality.BASE, quality.CURRENT).collect()
+    rows = quality.apply_policies(book, quality.BASE, quality.CURRENT).withColumn("only", quality.only_failure(quality.CURRENT)).collect()
     names = [n for n, _ in quality.rules()]
     for r in rows:
         failed = {n for k, n in enumerate(names) if r.failed >> k & 1}
-        assert r.kept_base == (not failed & set(quality.BASE.rejects)) and r["kept_2"] == (not failed)
+        assert r.kept_base == (not failed & set(quality.BASE.rejects)) and r["kept_2"] == (not failed) and r.only == (failed.copy().pop() if len(failed) == 1 else None)
     for r in quality.ablation(book, quality.CURRENT).collect():
         bit = 1 << names.index(r.rule)
         assert r.fails == sum(bool(x.failed & bit) for x in rows) and r.only == sum(x.failed == bit for x in rows)

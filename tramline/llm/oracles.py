@@ -27,7 +27,9 @@ f AS (
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        f0 + 2 * f1 + 4 * f2 + 8 * f3 + 16 * f4 + 32 * f5 + 64 * f6 AS failed,
-       f0 + f1 > 0 AS base_failed, f0 + f1 + f2 + f3 + f4 + f5 + f6 = 0 AS kept
+       f0 + f1 > 0 AS base_failed, f0 + f1 + f2 + f3 + f4 + f5 + f6 = 0 AS kept, f0 + f1 = 0 AS kept_base, f0 + f1 + f2 + f3 + f4 + f5 + f6 = 0 AS kept_2,
+       CASE WHEN f0 + f1 + f2 + f3 + f4 + f5 + f6 = 1 THEN CASE WHEN f0 = 1 THEN 'few_words' WHEN f1 = 1 THEN 'repeated_words' WHEN f2 = 1 THEN 'symbols' WHEN f3 = 1 THEN 'duplicate_lines'
+         WHEN f4 = 1 THEN 'short_words' WHEN f5 = 1 THEN 'long_words' ELSE 'shouting' END END AS only_failure
 FROM f
 """
 

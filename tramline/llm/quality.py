@@ -107,6 +107,12 @@ def apply_policies(book: DataFrame, *policies: Policy) -> DataFrame:
     return book.select("*", *[(~fails(p)).alias(f"kept_{p.version}") for p in policies])
 
 
+def only_failure(policy: Policy) -> Column:
+    """Name of the one rule of the policy that rejects a document, which would stay without it; null if none or several do."""
+    under = F.col("failed").bitwiseAND(F.lit(policy.mask()).cast("long"))
+    return F.coalesce(*[F.when(under == (1 << k), name) for k, (name, _) in enumerate(rules()) if policy.mask() >> k & 1])
+
+
 def ablation(book: DataFrame, policy: Policy) -> DataFrame:
     """For each rule of the policy: documents that fail it, and documents that only it rejects (kept without it)."""
     mask = policy.mask()
@@ -120,11 +126,12 @@ def ablation(book: DataFrame, policy: Policy) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = ledger(table(spark, sf_dir, "documents"))
+    book = apply_policies(ledger(table(spark, sf_dir, "documents")), BASE, CURRENT)
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed",
         fails(BASE).alias("base_failed"),
-        (~fails(BASE) & ~fails(CURRENT)).alias("kept"),
+        (F.col("kept_base") & F.col("kept_2")).alias("kept"),
+        "kept_base", "kept_2", only_failure(CURRENT).alias("only_failure"),
     )
 
 
