@@ -531,6 +531,35 @@ def test_plain_text(spark, source, want):
     assert rows.select(warc.plain_text(F.col("html"))).first()[0] == want
 
 
+def test_plain_text_against_a_parser(spark):
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.off = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("script", "style")
+            self.out.append("\n" if tag not in warc.INLINE or tag == "br" else "")
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style")
+            self.out.append("\n" if tag not in warc.INLINE else "")
+
+        def handle_data(self, data):
+            if not self.off:
+                self.out.append(re.sub(r"\s+", " ", data))
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("html", warc.plain_text(F.col("html")).alias("text")).collect()
+    for r in pages:
+        parser = Text()
+        parser.feed(r.html)
+        parser.close()
+        want = [line for line in (" ".join(x.split()) for x in "".join(parser.out).split("\n")) if line]
+        assert [" ".join(x.split()) for x in r.text.split("\n")] == want
+
+
 # HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><ul><li>m</ul></nav>
