@@ -49,6 +49,8 @@ SEED = 42
 #: Words of a shingle and least Jaccard, as a fraction, of near copies for the pipeline's stage; its bands of minhashes.
 STAGE_SHINGLE, STAGE_JACCARD = 5, (4, 5)
 BANDS, BAND_ROWS = 32, 6
+#: Texts that a worker holds the shingles of.
+TEXTS = 200
 #: Bits of the stage's parity sketches.
 SKETCH = 2048
 #: Fingerprints in a block up to which they are compared pair by pair.
@@ -247,17 +249,24 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _banded(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """batches in parts of TEXTS rows, so that a worker holds the shingles of few texts at a time."""
     for batch in batches:
-        sets = [shingle_set(t or "") for t in batch["text"]]
+        for at in range(0, len(batch), TEXTS):
+            yield batch.iloc[at : at + TEXTS]
+
+
+def _banded(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    for part in _parts(batches):
+        sets = [shingle_set(t or "") for t in part["text"]]
         yield pd.DataFrame(
-            {"doc_id": batch["doc_id"], "key": batch["key"], "node": list(map(node_of, sets)), "n": list(map(len, sets)), "bands": list(map(bands, sets)), "sketch": list(map(sketch, sets))}
+            {"doc_id": part["doc_id"].to_numpy(), "key": part["key"].to_numpy(), "node": list(map(node_of, sets)), "n": list(map(len, sets)), "bands": list(map(bands, sets)), "sketch": list(map(sketch, sets))}
         )
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"node": batch["node"], "set": [shingle_set(t or "").view(np.int64) for t in batch["text"]]})
+    for part in _parts(batches):
+        yield pd.DataFrame({"node": part["node"].to_numpy(), "set": [shingle_set(t or "").view(np.int64) for t in part["text"]]})
 
 
 def close_pairs(rows: pd.DataFrame) -> np.ndarray:

@@ -40,8 +40,8 @@ from tramline.llm.common import held_out, stored, table
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 #: Letters of a beginning.
 STEMS = range(3, 9)
-#: Texts whose words and beginnings a worker counts at a time.
-SLICE = 500
+#: Texts whose words, beginnings and contexts a worker holds at a time.
+SLICE = 100
 #: Least log-likelihood ratio and log of rates of an entry.
 LEAST_RATIO, LEAST_WEIGHT = 30.0, 1.0
 #: The same ratio for a phrase that makes an entry harmless, and the different places in clean texts that it must have.
@@ -166,14 +166,16 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
 def _contexts(entries: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for batch in batches:
-            rows = set()
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                words = ["", *fold(text or "").split(), ""]
-                for before, w, after in zip(words, words[1:], words[2:], strict=False):
-                    for entry in (f" {w} ", *(f" {w[:n]}" for n in STEMS if n < len(w))):
-                        if entry in entries:
-                            rows.add((entry, before, w, after, int(toxic)))
-            yield pd.DataFrame(rows, columns=["entry", "before", "word", "after", "toxic"])
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at : at + SLICE]
+                rows = set()
+                for text, toxic in zip(part["text"], part["toxic"], strict=True):
+                    words = ["", *fold(text or "").split(), ""]
+                    for before, w, after in zip(words, words[1:], words[2:], strict=False):
+                        for entry in (f" {w} ", *(f" {w[:n]}" for n in STEMS if n < len(w))):
+                            if entry in entries:
+                                rows.add((entry, before, w, after, int(toxic)))
+                yield pd.DataFrame(rows, columns=["entry", "before", "word", "after", "toxic"])
 
     return run
 
@@ -240,7 +242,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     m1, m0 = float(n[1]), float(n[0])
     p, q, r = F.col("a") / m1, F.col("b") / m0, (F.col("a") + F.col("b")) / (m1 + m0)
     likely = 2 * (F.col("a") * F.log(p / r) + F.when(q > 0, F.col("b") * F.log(q / r)).otherwise(0))
-    docs = {x["entry"]: (x["a"], x["b"]) for x in sums.filter((p > q) & (likely > LEAST_RATIO / 2)).collect()}
+    docs = {x["entry"]: (x["a"], x["b"]) for x in sums.filter((p > q) & (likely > LEAST_RATIO)).collect()}
     if not docs:
         return Lexicon(())
     seen = texts.mapInPandas(_contexts(set(docs)), "entry string, before string, word string, after string, toxic int").distinct()
