@@ -75,3 +75,20 @@ FROM w
 """
 
 SQL["op6_warc"] = WARC
+
+LINES = r"""
+WITH l AS (
+  SELECT doc_id, unnest(x) AS line, unnest(generate_series(1, len(x))) AS i
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (
+  SELECT key, min(doc_id) AS holder FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+d AS (
+  SELECT doc_id, i, line, coalesce(holder <> doc_id, false) AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id
+"""
+
+SQL["op12_line_dedup"] = LINES
