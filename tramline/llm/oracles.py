@@ -92,3 +92,31 @@ FROM d GROUP BY doc_id
 """
 
 SQL["op12_line_dedup"] = LINES
+
+PHRASES = r"""
+WITH p AS (
+  SELECT lang, d, unnest(generate_series(1, len(x))) AS j, unnest(x) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+               regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS x FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) AS s(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 100),
+alone AS (
+  SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS b WHERE b.lang = c.lang AND b.k > c.k AND 100 * b.a >= 100 * c.a AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' '))),
+cut AS (
+  SELECT lang, phrase, a, j, array_to_string(x[1:j], ' ') AS one, array_to_string(x[j + 1:], ' ') AS two
+  FROM (SELECT lang, phrase, a, string_split(phrase, ' ') AS x, unnest(generate_series(1, k - 1)) AS j FROM alone)),
+s AS (
+  SELECT cut.lang, cut.phrase, cut.a, l.a AS l, r.a AS r, n, j, 1000 * cut.a * n // (l.a * r.a) AS score
+  FROM cut JOIN f AS l ON l.lang = cut.lang AND l.phrase = one JOIN f AS r ON r.lang = cut.lang AND r.phrase = two JOIN n ON n.lang = cut.lang
+  QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM s QUALIFY rank <= 2000
+"""
+
+SQL["op11_phrase_collocations"] = PHRASES

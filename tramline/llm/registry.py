@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tramline.llm import oracles
 from tramline.llm.bpe import op9_bpe
+from tramline.llm.collocations import op11_phrase_collocations
 from tramline.llm.linededup import op12_line_dedup
 from tramline.llm.media import op8_media
 from tramline.llm.packing import op1_packing
@@ -22,7 +23,7 @@ from tramline.llm.wrappers import op7_html_text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_url_filter, op3_toxicity, op4_sharding, op5_simhash, op6_warc, op7_html_text, op8_media, op9_bpe, op10_quality_rules, op12_line_dedup, op13_periodic_runs)
+    found = (op1_packing, op2_url_filter, op3_toxicity, op4_sharding, op5_simhash, op6_warc, op7_html_text, op8_media, op9_bpe, op10_quality_rules, op11_phrase_collocations, op12_line_dedup, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
