@@ -857,4 +857,4 @@ def test_pipeline_on_odd_rows(spark, odd, empty):
 
 def test_every_query_is_registered():
     names = set(registry.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} and set(registry.oracle_sql()) <= names
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)} and set(registry.oracle_sql()) <= names

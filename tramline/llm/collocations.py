@@ -123,14 +123,11 @@ def _rows(part: Part, lang: np.ndarray, prefix: list[bytes], key: np.ndarray, af
     rows, words, times = [], part.words, times.astype("<u4")
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         k, first = own[a], a + (word[a] == 0)  # the word 0 says how often none of the words follows
-        rows.append((k, int(at[a]), int(totals[k]) if at[a] == 0 else 0, b"\n".join([words[j] for j in word[first:b].tolist()]), times[first:b].tobytes()))
+        rows.append((part.langs[lang[k]], prefix[k], int(at[a]), int(totals[k]) if at[a] == 0 else 0, b"\n".join([words[j] for j in word[first:b].tolist()]), times[first:b].tobytes()))
     # A prefix's total goes with its part 0, whether or not that has words.
     without = np.setdiff1d(np.arange(len(prefix)), own[at == 0])
-    rows += [(k, 0, int(totals[k]), b"", b"") for k in without]
-    found = pd.DataFrame(rows, columns=["k", "part", "total", "next", "counts"])
-    found.insert(0, "prefix", [prefix[k] for k in found["k"]])
-    found.insert(0, "lang", [part.langs[lang[k]] for k in found["k"]])
-    return found.drop(columns="k")
+    rows += [(part.langs[lang[k]], prefix[k], 0, int(totals[k]), b"", b"") for k in without]
+    return pd.DataFrame(rows, columns=["lang", "prefix", "part", "total", "next", "counts"])
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
