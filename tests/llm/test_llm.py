@@ -605,6 +605,30 @@ def test_single_pages(source, want):
     assert wrappers.extract(source, None) == want
 
 
+INSIDE = [
+    '<section id="discussion">{}</section>', '<h2 id="related-work">{}</h2>', '<h2 id="header">{}</h2>', '<p class="side-effects">{}</p>', '<table class="search-complexity"><tr><td>{}</table>',
+    '<div class="ad-hoc-network">{}</div>', '<p data-id="comment-5">{}</p>', '<p title="class=menu x">{}</p>', "<p data-class='menu'>{}</p>", '<p class="related-findings notice-period">{}</p>', '<p class=x class=menu>{}</p>',
+]
+
+
+@pytest.mark.parametrize("box", ["article", "div"])
+def test_names_do_not_drop_text_of_the_article(spark, box):
+    pages = [(f"http://{k}/", f"<body><nav>m</nav><{box}><h1>T</h1><p>{'story ' * 40}</p>{part.format('kept ' * 5)}</{box}></body>") for k, part in enumerate(INSIDE)]
+    assert _main_texts(spark, pages) == [f"T\n{('story ' * 40).strip()}\n{('kept ' * 5).strip()}"] * len(INSIDE)
+
+
+def test_hosts_decide_what_pages_alone_get_wrong(spark):
+    """Furniture without any telling tag, class or id; and telling names that stand on one page only."""
+    text = lambda k: f"{'story ' * 40}{k}"
+    plain = [("http://plain/", f"<body><div><p>Read us every day</p></div><h1>T{k}</h1><section><p>{text(k)}</p></section><ul><li>Home</li><li>Contact</li></ul></body>") for k in range(12)]
+    assert _main_texts(spark, plain) == [f"T{k}\n{text(k)}" for k in range(12)]
+    assert all(wrappers.extract(source, None) != f"T{k}\n{text(k)}" for k, (_, source) in enumerate(plain))
+    # A class that names adverts is one where the host repeats it, and not where one page has it.
+    named = [("http://named/", f"<article><h1>T{k}</h1><p>{text(k)}</p><div class=share>Share {k}</div>{'<p class=menu>soup</p>' if k == 5 else ''}</article>") for k in range(12)]
+    assert _main_texts(spark, named) == [f"T{k}\n{text(k)}" + "\nsoup" * (k == 5) for k in range(12)]
+    assert "soup" not in wrappers.extract(named[5][1], None)
+
+
 def _main_texts(spark, pages):
     rows = [(k, u, h) for k, (u, h) in enumerate(pages)]
     return [r.text for r in sorted(wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)]
