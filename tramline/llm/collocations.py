@@ -1,16 +1,17 @@
 """Phrase collocations by stripes: each prefix of a phrase keys a counter of the words that follow it.
 
-A task counts, for each prefix that it meets, how often the prefix stands and which words follow how often, and sends one
-stripe for each prefix; stripes of one prefix are merged by adding their counters up. The merged stripes give everything:
-the entries of a stripe are phrases and their counts, its total is the count of the prefix, which is what scores divide
-by, and its largest entry says whether a longer phrase on the right covers the prefix; the same entries, seen from their
-second word on, say it for longer phrases on the left.
-
-Stripes are made in three passes. The empty prefix counts the words. Stripes of one word only take words that reach the
-least count, and stripes of two to four words only pairs that do: no part of a phrase is rarer than the phrase, so that
-none is lost. What a pass may take goes to the executors as a Bloom filter of bounded size, which lets a few more through
-and never fewer. Prefixes that could have wide stripes, those whose words all stand in a share of all places that no more
-than PARTS words can have, are cut into parts by their next word's hash, and so is the empty prefix.
+A task counts, for each prefix that it meets, which words follow how often, and sends one stripe for each prefix; stripes
+of one prefix are merged by adding their counters up. The merged stripes give everything: the entries of a stripe are
+phrases and their counts, and the counts of the next longer prefixes, which is what scores divide by; its largest entry
+says whether a longer phrase on the right covers the prefix; the same entries, seen from their second word on, say it for
+longer phrases on the left; the total of the empty prefix is the number of words.
+
+Stripes are made in four passes. The empty prefix counts the words. Stripes of one word only take words that reach the
+least count, stripes of two words pairs that do, and stripes of three and four words only triples that do: no part of a
+phrase is rarer than the phrase, so that none is lost. What a pass may take goes to the executors as a Bloom filter of
+bounded size, which lets a few more through and never fewer. Prefixes that could have wide stripes, those whose words all
+stand in a share of all places that no more than PARTS words can have, are cut into parts by their next word's hash, and
+so is the empty prefix.
 
 Defined cases: a null text has no words, a null language is ``und``; very long texts are read whole, in parts of PART
 bytes at most for each group of texts; repeated rows count each time; an empty table gives no rows; other columns are not
@@ -22,6 +23,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -38,7 +40,7 @@ from tramline.llm.filters import Seen, bits_for, holds, sent
 #: Words of a phrase at most, least count of one, and phrases of a language in the result.
 LONGEST, LEAST, BEST = 5, 100, 2000
 #: Bytes of the texts that are counted together.
-PART = 8 << 20
+PART = 16 << 20
 #: Parts of the empty prefix's stripe; words that can be so frequent that their stripes are cut, at most, and places below which none is.
 EMPTY_PARTS, PARTS, WIDE = 1024, 1 << 16, 2_000_000
 
@@ -83,7 +85,7 @@ class Part:
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[Part]:
     def part() -> Part:
         ids = np.concatenate(held)
-        return Part(ids, np.repeat(np.array(codes, np.int64), list(map(len, held))), list(known), list(langs))
+        return Part(ids, np.repeat(np.array(codes, np.int32), list(map(len, held))), list(known), list(langs))
 
     def fresh() -> tuple[dict, dict, list, list]:
         known, langs = defaultdict(), defaultdict()
@@ -97,7 +99,7 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[Part]:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             found = text.encode().lower().translate(ENDS).replace(END, b" \xff ").split()
             found.append(END)
-            held.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
+            held.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
             codes.append(langs[lang])
             size += len(text)
             if size >= PART:
@@ -109,25 +111,24 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[Part]:
 
 
 def _rows(part: Part, lang: np.ndarray, prefix: list[bytes], key: np.ndarray, after: np.ndarray, cut: np.ndarray) -> pd.DataFrame:
-    """Stripes from places: key numbers the prefixes, whose lang, text and number of parts are given; after is the next word or 0."""
+    """Stripes from places: key numbers the prefixes, whose lang, text and number of parts are given; after is the next word."""
     span = len(part.words)
     both, times = np.unique(key * span + after, return_counts=True)
     own, word = both // span, both % span
-    at = (part.hashes[word] % cut[own].astype(np.uint64)).astype(np.int64)
-    at[word == 0] = 0
-    totals = np.bincount(own, times, minlength=len(prefix)).astype(np.int64)
+    at = np.zeros(len(own), np.int64)
     if (cut > 1).any():
+        at = (part.hashes[word] % cut[own].astype(np.uint64)).astype(np.int64)
         order = np.lexsort((at, own))
         own, word, times, at = own[order], word[order], times[order], at[order]
-    edges = np.flatnonzero((np.diff(own, prepend=-1, append=-1) != 0) | (np.diff(at, prepend=-1, append=-1) != 0)).tolist()
-    rows, words, times = [], part.words, times.astype("<u4")
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        k, first = own[a], a + (word[a] == 0)  # the word 0 says how often none of the words follows
-        rows.append((part.langs[lang[k]], prefix[k], int(at[a]), int(totals[k]) if at[a] == 0 else 0, b"\n".join([words[j] for j in word[first:b].tolist()]), times[first:b].tobytes()))
-    # A prefix's total goes with its part 0, whether or not that has words.
-    without = np.setdiff1d(np.arange(len(prefix)), own[at == 0])
-    rows += [(part.langs[lang[k]], prefix[k], 0, int(totals[k]), b"", b"") for k in without]
-    return pd.DataFrame(rows, columns=["lang", "prefix", "part", "total", "next", "counts"])
+    edges = np.flatnonzero((np.diff(own, prepend=-1, append=-1) != 0) | (np.diff(at, prepend=-1, append=-1) != 0))
+    which, totals = own[edges[:-1]], np.add.reduceat(times, edges[:-1]) if len(own) else times
+    names = [part.words[j] for j in word.tolist()]
+    packed, ends = times.astype("<u4").tobytes(), edges.tolist()
+    spans = list(zip(ends[:-1], ends[1:], strict=True))
+    return pd.DataFrame({
+        "lang": pd.Series([part.langs[k] for k in lang[which].tolist()], dtype=object), "prefix": pd.Series([prefix[k] for k in which.tolist()], dtype=object), "part": at[edges[:-1]], "total": totals,
+        "next": pd.Series([b"\n".join(names[a:b]) for a, b in spans], dtype=object), "counts": pd.Series([packed[4 * a : 4 * b] for a, b in spans], dtype=object),
+    })
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -148,9 +149,9 @@ def _stripes(sizes: tuple[int, ...], allowed: Broadcast, wide: Broadcast, gram:
             ok[: max(0, n - gram + 1)] = holds(allowed.value, part.grams(gram))
             for k in range(gram):
                 ok[: max(0, n - k)] &= ids[k:] > 0
-            ids = np.append(ids, np.zeros(LONGEST, np.int64))
+            ids = np.append(ids, np.zeros(LONGEST, np.int32))
             parts = np.array([[wide.value.get((x, w), 1) for w in part.words] for x in part.langs]) if wide.value else None
-            number, base = part.lang.copy(), len(part.langs)
+            number = part.lang.astype(np.int64)
             for size in range(1, max(sizes) + 1):
                 fits = ok[:n].copy()
                 for k in range(1, size - gram + 1):
@@ -159,9 +160,12 @@ def _stripes(sizes: tuple[int, ...], allowed: Broadcast, wide: Broadcast, gram:
                 _, first, dense = np.unique(number[place] * len(part.words) + ids[place + size - 1], return_index=True, return_inverse=True)
                 if size in sizes:
                     at = place[first]
+                    follows = ok[place + size - gram + 1]
+                    own, dense_of = np.unique(dense[follows], return_inverse=True)  # prefixes that a word follows
+                    at = at[own]
                     text = [b" ".join([part.words[j] for j in row]) for row in np.stack([ids[at + k] for k in range(size)], 1).tolist()]
                     cut = np.ones(len(at), np.int64) if parts is None else np.min([parts[part.lang[at], ids[at + k]] for k in range(size)], axis=0)
-                    yield _rows(part, part.lang[at], text, dense, np.where(ok[place + size - gram + 1], ids[place + size], 0), cut)
+                    yield _rows(part, part.lang[at], text, dense_of, ids[place[follows] + size], cut)
                 number = np.zeros(n, np.int64)
                 number[place] = dense
 
@@ -176,7 +180,7 @@ def _merge(least: int):
 
         def close() -> None:
             kept = [(w, c) for w, c in counts.items() if c >= least]
-            if kept or last[2] == 0 and (total >= least or not last[1]):
+            if kept or not last[1]:
                 out.append((last[0], last[1].decode(), last[2], total, [w.decode() for w, _ in kept], [c for _, c in kept]))
 
         for batch in batches:
@@ -228,7 +232,7 @@ def _entries(stripes: DataFrame) -> DataFrame:
 
 
 def count_stripes(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Merged stripes of the empty prefix, and of prefixes of one to four words."""
+    """Merged stripes of the empty prefix, and of prefixes of one to four words, with their entries of least or more."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
     empty = _merged(texts.mapInPandas(_words, STRIPE), least, "word-stripes")
@@ -236,18 +240,19 @@ def count_stripes(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     places = empty.agg(F.sum("total")).first()[0] or 0
     bound = max(WIDE, places // PARTS)  # at most PARTS words stand in so many places
     wide = context.broadcast({(r["lang"], r["phrase"].encode()): -(-r["a"] // bound) for r in words.filter(F.col("a") > bound).collect()})
-    ones = _merged(texts.mapInPandas(_stripes((1,), _filter(words), wide, 1), STRIPE), least, "stripes")
-    pairs = stored(_entries(ones), "frequent-pairs")
-    longer = _merged(texts.mapInPandas(_stripes(tuple(range(2, LONGEST)), _filter(pairs), wide, 2), STRIPE), least, "longer-stripes")
-    return empty, ones.union(longer)
+    found, last = [], words
+    for gram, sizes in ((1, (1,)), (2, (2,)), (3, tuple(range(3, LONGEST)))):
+        found.append(_merged(texts.mapInPandas(_stripes(sizes, _filter(last), wide, gram), STRIPE), least, "stripes"))
+        last = stored(_entries(found[-1]), "frequent-phrases")
+    return empty, reduce(DataFrame.union, found)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases that no longer one covers."""
     empty, stripes = count_stripes(docs, least)
     sizes = stored(empty.groupBy("lang").agg(F.sum("total").alias("n")), "languages")
-    totals = stored(stripes.filter((F.col("part") == 0) & (F.col("total") >= least)).select("lang", F.col("prefix").alias("phrase"), F.col("total").alias("f")), "totals")
     entries = stored(_entries(stripes), "entries")
+    totals = stored(_entries(empty).union(entries).select("lang", "phrase", F.col("a").alias("f")), "totals")
     # The largest entry of a phrase's own stripe, and of the stripes that end with the phrase.
     right = stripes.filter(F.size("counts") > 0).select("lang", F.col("prefix").alias("phrase"), F.array_max("counts").alias("longer"))
     left = entries.filter(F.instr("prefix", " ") > 0).select("lang", F.regexp_extract("phrase", "(?s)^[^ ]* (.*)$", 1).alias("phrase"), F.col("a").alias("longer"))
