@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from tramline.llm.common import small, stored, table
 from tramline.llm.filters import PARTS as FILTER_PARTS
-from tramline.llm.filters import Seen, bits_for, holds, sent
+from tramline.llm.filters import BLOCK, Seen, bits_for, holds, sent
 
 #: Words of a phrase at most, least count of one, and phrases of a language in the result.
 LONGEST, LEAST, BEST = 5, 100, 2000
 #: Bytes of the texts that are counted together.
-PART = 16 << 20
+PART = 9 << 20
 #: Parts of the empty prefix's stripe; words that can be so frequent that their stripes are cut, at most, and places below which none is.
 EMPTY_PARTS, PARTS, WIDE = 1024, 1 << 16, 2_000_000
 
@@ -76,10 +76,16 @@ class Part:
     def __post_init__(self) -> None:
         self.hashes, self.lang_hashes = _hash(self.words), _hash(x.encode() for x in self.langs)
 
-    def grams(self, n: int) -> np.ndarray:
-        """Hash of the n words from each place on; what runs over an end is no gram."""
-        m = max(0, len(self.ids) - n + 1)
-        return gram_hash(self.lang_hashes[self.lang[:m]], (self.hashes[self.ids[k : m + k]] for k in range(n)))
+    def allowed(self, n: int, plane: bytes) -> np.ndarray:
+        """For each place, whether the n words from there on may be in the filter, with no end among them."""
+        size, out = len(self.ids), np.zeros(len(self.ids) + LONGEST, bool)
+        for a in range(0, size - n + 1, BLOCK):
+            b = min(a + BLOCK, size - n + 1)
+            of = [self.ids[a + k : b + k] for k in range(n)]
+            out[a:b] = holds(plane, gram_hash(self.lang_hashes[self.lang[a:b]], (self.hashes[x] for x in of)))
+            for x in of:
+                out[a:b] &= x > 0
+        return out
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[Part]:
@@ -145,10 +151,7 @@ def _stripes(sizes: tuple[int, ...], allowed: Broadcast, wide: Broadcast, gram:
     def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for part in _parts(batches):
             ids, n = part.ids, len(part.ids)
-            ok = np.zeros(n + LONGEST, bool)  # an allowed gram begins here
-            ok[: max(0, n - gram + 1)] = holds(allowed.value, part.grams(gram))
-            for k in range(gram):
-                ok[: max(0, n - k)] &= ids[k:] > 0
+            ok = part.allowed(gram, allowed.value)
             ids = np.append(ids, np.zeros(LONGEST, np.int32))
             parts = np.array([[wide.value.get((x, w), 1) for w in part.words] for x in part.langs]) if wide.value else None
             number = part.lang.astype(np.int64)

@@ -102,8 +102,14 @@ def sent(parts: DataFrame, bits: int, twice: bool) -> Broadcast:
     return parts.sparkSession.sparkContext.broadcast(plane(parts, bits, twice).tobytes())
 
 
+#: Hashes that are looked up at once.
+BLOCK = 1 << 16
+
+
 def holds(sent_plane: bytes, hashes: np.ndarray) -> np.ndarray:
     """For each hash, True if the plane may hold it."""
-    bits = np.frombuffer(sent_plane, np.uint8)
-    at = places(hashes, 8 * len(bits))
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+    bits, out = np.frombuffer(sent_plane, np.uint8), np.empty(len(hashes), bool)
+    for k in range(0, len(hashes), BLOCK):
+        at = places(hashes[k : k + BLOCK], 8 * len(bits))
+        out[k : k + BLOCK] = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+    return out
