@@ -13,6 +13,7 @@ read, whatever their names.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -35,11 +36,17 @@ RANK_GROUPS, LEAST_GROUP, MOST_GROUP = 4096, 32, 20_000
 BROADCAST_BYTES = 8 << 20
 
 
+#: White space at a stretch that only the tokenizer itself takes; the ranks' matcher still takes 800,000 characters.
+SPACE_RUN = 50_000
+LONG_SPACE = re.compile(rf"\s{{{SPACE_RUN}}}")
+
+
 class ByteTokens:
     """Ids of whole texts, as little-endian unsigned 32-bit integers.
 
-    The vocabulary's own file of ranks gives the same ids at several times the speed; a text that names a special token
-    goes through the tokenizer itself.
+    The vocabulary's own file of ranks gives the same ids at several times the speed. A text that names a special token
+    goes through the tokenizer itself, and so does one with so long a run of white space that the ranks' matcher, which
+    goes one level deeper for each character of it, would run out of stack.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -51,7 +58,7 @@ class ByteTokens:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if len(text) >= SPACE_RUN and LONG_SPACE.search(text) or any(s in text for s in self.special):
             ids = self.whole.encode(text, add_special_tokens=False).ids
         else:
             ids = self.ranks.encode_ordinary(text)
