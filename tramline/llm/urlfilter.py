@@ -156,8 +156,9 @@ def judge(pages: DataFrame, rules: DataFrame, stated: tuple[Stated, ...] = STATE
     index = stored(inverted(stored(rules, "rules"), urls), "index")
     looked = open_sets.select("tokens", F.explode("tokens").alias("token")).alias("u").join(index.alias("r"), "token").filter(F.size(F.array_except("r.tokens", "u.tokens")) == 0)
     best = looked.groupBy("u.tokens").agg(F.max_by(F.struct("r.verdict", "r.confidence", F.array_join("r.tokens", " ").alias("mined")), F.struct("r.confidence", "r.support", F.size("r.tokens"), F.col("r.verdict"), F.array_join("r.tokens", " "))).alias("best"))
-    found = stored(best.select(F.array_join("tokens", "\n").alias("key"), "best"), "verdicts")
-    keyed = urls.withColumn("key", F.when(F.col("stated").isNull(), F.array_join(tokens(url), "\n")))
+    # As JSON, no two sets of tokens have one key, whatever characters a url holds.
+    found = stored(best.select(F.to_json("tokens").alias("key"), "best"), "verdicts")
+    keyed = urls.withColumn("key", F.when(F.col("stated").isNull(), F.to_json(tokens(url))))
     return keyed.join(found, "key", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("stated", "best.verdict", F.lit("allow")).alias("verdict"),
         F.col("best.mined").alias("mined_rule"), F.col("best.confidence").alias("mined_confidence"),
