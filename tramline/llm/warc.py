@@ -79,12 +79,20 @@ def decoded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: markup.unescape(BLANK.sub(" ", t)) if t and "&" in t else t)
 
 
+#: Put behind a page, so that no tag lacks its end and every pattern below passes a page once.
+LAST = "\x01>"
+
+
 def plain_text(html: Column) -> Column:
-    """Text of html: comments, scripts, styles and tags go, references are decoded, every tag but the inline ones is a break."""
-    text = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
+    """Text of html: comments, scripts, styles and tags go, references are decoded, every tag but the inline ones is a break.
+
+    As browsers do, a tag that the page ends in is dropped, and a < that begins no tag is text.
+    """
+    text = F.regexp_replace(F.concat(html, F.lit(LAST)), r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
     text = F.regexp_replace(text, r"[ \t\r\n\f\v]+", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?!(?:{INSIDE})[\s/>])[a-z][^>]*>", "\n")
-    text = decoded(F.regexp_replace(text, r"<[^>]*>", ""))
+    text = F.regexp_replace(text, r"(?i)<(?:/?[a-z]|[!?/])[^>]*>", "")
+    text = decoded(F.when(F.endswith(text, F.lit(LAST)), F.left(text, F.length(text) - len(LAST))).otherwise(text))
     text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
