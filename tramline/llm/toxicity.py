@@ -134,7 +134,17 @@ class Matcher:
                 hits.append((start, end, entry, weight, purity))
             else:
                 harmless.append((start, end))
-        return [(e, w, p) for s, t, e, w, p in hits if not any(a <= s and t <= b + 1 for a, b in harmless)]
+        # Of the exceptions that begin no later than a hit, the one that reaches furthest decides.
+        harmless.sort()
+        hits.sort()
+        out, k, reach = [], 0, -2
+        for start, end, entry, weight, purity in hits:
+            while k < len(harmless) and harmless[k][0] <= start:
+                reach = max(reach, harmless[k][1])
+                k += 1
+            if end > reach + 1:
+                out.append((entry, weight, purity))
+        return out
 
     def measure(self, text: str) -> tuple[float, ...]:
         """Log of the sum of weights; of that sum by words of text; of the number of different entries; the best purity."""
@@ -327,5 +337,5 @@ def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = learn(docs, table(spark, sf_dir, "labels"))
     if not model.lexicon.entries:
         return docs
-    found = docs.withColumn("__toxicity", measured(F.col("text"), model.lexicon))
-    return found.filter(model.score("__toxicity") < 0.5).drop("__toxicity")
+    found = docs.select(F.struct("*").alias("row"), measured(F.col("text"), model.lexicon).alias("measures"))
+    return found.filter(model.score("measures") < 0.5).select("row.*")
