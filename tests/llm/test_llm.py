@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -100,6 +101,17 @@ def test_packing_query(spark, docs):
     _check_packing(found.collect(), {r.doc_id: r.text for r in docs.collect()})
 
 
+@pytest.mark.parametrize("space", [" ", "\t", "\n", " \n", "\u00a0"])
+def test_long_white_space(spark, space):
+    import time
+
+    texts = {1: space * (2_000_000 // len(space)), 2: "a" + space * 60_000 + "b", 3: "plain text"}
+    began = time.time()
+    found = packing.pack(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    assert time.time() - began < 60
+    _check_packing(found, texts)
+
+
 def test_packing_on_odd_rows(odd, empty):
     unique = odd.filter("doc_id IS NOT NULL AND text IS NOT NULL OR doc_id = 2").dropDuplicates(["doc_id"])
     _check_packing(packing.pack(unique).collect(), {r.doc_id: r.text for r in unique.collect()})
@@ -180,6 +192,14 @@ def test_long_fixed_paths_are_one_item(spark):
     assert {r.verdict for r in rules} == {"allow", "block"} and len(rules) < 10 and max(len(r.tokens) for r in rules) >= 60
 
 
+def test_urls_with_line_feeds_stay_apart(spark):
+    urls = ["http://a.net/x/y", "http://a.net/x\npath:y", "http://a.net/x/y", 'http://a.net/x","path:y', "http://a.net/x%0Apath:y"]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    rules = spark.createDataFrame([(["path:y"], "block", 9, 0.9)], "tokens array<string>, verdict string, support long, confidence double")
+    found = sorted((r.page_id, r.verdict) for r in urlfilter.judge(pages, rules).collect())
+    assert found == [(0, "block"), (1, "allow"), (2, "block"), (3, "allow"), (4, "allow")]
+
+
 def test_labels_come_from_documents_alone(spark):
     pages = spark.createDataFrame([(1, "http://casino-win.net/en/1"), (2, "http://good.net/en/2"), (3, "http://good.net/en/3.html"), (4, "http://good.net/4/"), (5, "http://x.net/9")], "page_id long, url string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
@@ -223,6 +243,23 @@ def test_matcher_against_every_place():
         assert sorted(hits) == sorted(want)
 
 
+def test_many_exceptions_take_linear_time():
+    import random
+    import time
+
+    lexicon = toxicity.Lexicon(((" kill", 2.0, 1.0), (" idiot ", 1.0, 1.0)), ("kill time", "do not kill time now", "idiot proof"))
+    matcher = toxicity.Matcher(lexicon)
+    began = time.process_time()
+    assert matcher.measure("kill time " * 100_000) == (0.0,) * len(toxicity.MEASURES) and time.process_time() - began < 10
+    rng = random.Random(2)
+    for _ in range(200):
+        text = " ".join(rng.choice(["kill", "time", "do", "not", "now", "idiot", "proof", "killer"]) for _ in range(30))
+        folded = toxicity.fold(text)
+        spans = [(i, i + len(p) + 1) for p in lexicon.exceptions for i in range(len(folded)) if folded.startswith(f" {p} ", i)]
+        want = sorted(e for e, _, _ in lexicon.entries for i in range(len(folded)) if folded.startswith(e, i) and not any(a <= i and i + len(e) - 1 <= b + 1 for a, b in spans))
+        assert sorted(e for e, _, _ in matcher._hits(matcher.plain, folded)) == want
+
+
 def test_exceptions_are_learned(spark):
     import random
 
@@ -439,7 +476,9 @@ def _shingle_set(text):
 
 
 def _near(a, b):
-    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+    if a == b or 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return a == b
+    return 5 * len(a & b) >= 4 * len(a | b)
 
 
 def _stays(texts):
@@ -467,10 +506,27 @@ def test_stage_keeps_one_of_near_copies(spark):
     assert found == sorted([*map(str, _stays(texts)), "None"]) and _stays(texts) == [10, 14, 15, 16, 20, 30]
 
 
+def test_tiles_are_compared_as_they_come():
+    import pandas as pd
+
+    taken = []
+
+    def batches():
+        for k in range(50):
+            taken.append(k)
+            sets = [np.arange(10 * k + j, 10 * k + j + 100, dtype=np.uint64) << np.uint64(40) for j in range(2)]
+            yield pd.DataFrame({"band": k // 2, "t": 0, "u": 0, "node": [2 * k, 2 * k + 1], "root": [2 * k, 2 * k + 1], "n": 100, "sketch": list(map(simhash.sketch, sets))})
+
+    found = simhash._in_tiles(batches())
+    first = next(found)
+    assert len(taken) <= 4 and (1, 0) in set(map(tuple, first.to_numpy().tolist()))
+    assert len(list(found)) == 24 and list(simhash._in_tiles(iter([]))) == []
+
+
 @pytest.mark.parametrize("tile", [1000, 3])
 def test_stage_against_all_pairs(spark, tile, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", tile)
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.substring("text", 1, 1500).alias("text"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert sorted(r.doc_id for r in simhash.keep_one(spark, docs, "").collect()) == _stays(texts)
 
@@ -531,6 +587,19 @@ def test_plain_text(spark, source, want):
     assert rows.select(warc.plain_text(F.col("html"))).first()[0] == want
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<" * 2_000_000, "<" * 2_000_000), ("a < b and c<d" + "<a " * 500_000, "a < b and c"), ("<script " * 250_000, ""), ("x<!--" + "<!--" * 500_000, "x"), ("<b <i " * 300_000 + ">t", "t"),
+    ("1 < 2 > 0 >", "1 < 2 > 0 >"), ("a ><br", "a >"), ("</script " * 250_000 + "<p", ""), ("x\x01>", "x\x01>"),
+])
+def test_plain_text_in_linear_time(spark, source, want):
+    import time
+
+    rows = spark.createDataFrame([(source,)], "html string")
+    began = time.time()
+    found = rows.select(warc.plain_text(F.col("html"))).first()[0]
+    assert time.time() - began < 20 and found == want
+
+
 def test_plain_text_against_a_parser(spark):
     from html.parser import HTMLParser
 

@@ -288,20 +288,18 @@ def close_pairs(rows: pd.DataFrame) -> np.ndarray:
 
 
 def _in_tiles(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    """close_pairs of each run of rows with one (band, t, u); rows come sorted by these."""
+    """close_pairs of each run of rows with one (band, t, u); rows come sorted by these. Holds one run and one batch."""
     held: list[pd.DataFrame] = []
     last = None
-    for batch in (*batches, None):
-        if batch is not None and len(batch) == 0:
-            continue
-        parts = [] if batch is None else [(k, rows) for k, rows in batch.groupby(["band", "t", "u"], sort=False)]
-        for key, rows in [*parts, (None, None)] if batch is None else parts:
+    for batch in batches:
+        for key, rows in batch.groupby(["band", "t", "u"], sort=False):
             if key != last and held:
                 yield pd.DataFrame(close_pairs(pd.concat(held)), columns=["a", "b"])
                 held = []
             last = key
-            if rows is not None:
-                held.append(rows)
+            held.append(rows)
+    if held:
+        yield pd.DataFrame(close_pairs(pd.concat(held)), columns=["a", "b"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
