@@ -408,6 +408,27 @@ def test_backtest_fits_on_its_window_alone(spark):
     assert (found[5].train_rows, found[5].alerts, found[25].train_rows, found[25].alerts) == (20, 0, 100, 20) and found[25].precision == 0 and found[25].event_alerts == 5
 
 
+def test_categories_without_value_take_the_most_frequent(spark):
+    rows = [("bus", 1.0), ("tram", 2.0), ("tram", 3.0), ("ale's", None), ("ale's", 9.0), (None, 5.0)]
+    df = M.prepared(spark.createDataFrame(rows, "mode string, delay double"), ["delay"], ["mode"])
+    assert M.most_frequent(df, ["mode"]) == {"mode": "ale's"}
+    stages = M.preparation(df, ["delay"], ["mode"])
+    new = spark.createDataFrame([("bus", 1.0), (None, None), ("ferry", 0.0), ("tram", 2.0)], "mode string, delay double")
+    assert [r.features.tolist() for r in stages.transform(M.prepared(new, ["delay"], ["mode"])).collect()] == [[1, 1], [3, 0], [0, -1], [2, 2]]
+
+
+def test_stored_models(spark, tmp_path):
+    rows = [(k, "v", f"m{k % 3}" if k % 7 else None, float(k % 50), int(k % 50 > 25)) for k in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, vehicle_id string, mode string, delay double, label int")
+    for linear in (True, False):
+        model, place = M.train_classifier(df, linear, iterations=3), f"file://{tmp_path}/{linear}"
+        M.save_model(model, place, 0.7 if linear else None, 0.3, spark)
+        again, about = M.load_model(spark, place)
+        assert M.threshold_of(about) == (0.7 if linear else 0.5) and M.threshold_of(about, 0.9) == 0.9
+        risks = [{r.event_id: r.risk for r in M.scored(df, m).collect()} for m in (model, again)]
+        assert risks[0] == risks[1] and len({*risks[0].values()}) > 1
+
+
 def test_messages_and_feed(spark):
     messages = spark.createDataFrame([('{"id": "v", "lat": 50.1, "lon": 14.4, "delay": 12.9}',), ("junk",), ("[1]",), ('{"id": "v", "lat": 50.1}',)], "value string")
     row = L.parse_messages(messages).collect()
@@ -415,7 +436,22 @@ def test_messages_and_feed(spark):
     assert L.parse_messages(messages, zero=False).first().speed is None
     feed = spark.createDataFrame([('{"features": [{"geometry": {"coordinates": [14.4, 50.1]}, "properties": {"vehicle_id": "", "trip": {"vehicle_registration_number": "7", "gtfs": {"route_id": " L1 ", "route_type": 11}}, "last_position": {"delay": {"actual": 60}}}}, 5]}', "now")], "value string, ingest_ts string")
     row = L.parse_feed(feed).collect()
-    assert [(r.vehicle_id, r.line, r.delay, r.mode, r.route_id, r.observation_ts) for r in row] == [("7", "unknown", 60, "trolleybus", "L1", "now")]
+    assert [(r.vehicle_id, r.line, r.delay, r.mode, r.route_id, r.observation_ts) for r in row] == [("7", " L1 ", 60, "trolleybus", "L1", "now")]
+
+
+@pytest.mark.parametrize(("props", "want"), [
+    ('"vehicle_id": 0, "trip": {"vehicle_registration_number": 12}', ("12", "unknown", 0, None, None)),
+    ('"vehicle_id": [], "trip": {"gtfs": {"trip_id": "t"}}', ("t", "unknown", 0, None, None)),
+    ('"vehicle_id": "v", "route_short_name": 22, "trip": {"gtfs": {"route_short_name": null, "route_id": "L9"}}', ("v", "L9", 0, None, "L9")),
+    ('"vehicle_id": "v", "route_short_name": {}, "trip": {"gtfs": {"route_id": 9}, "origin_route_name": "o"}', ("v", "o", 0, None, None)),
+    ('"vehicle_id": "v", "delay": "90", "last_position": {"delay": {"actual": 30}, "speed": "4"}', ("v", "unknown", 30, None, None)),
+    ('"vehicle_id": "v", "delay": false, "last_position": {"delay": {"actual": 30}, "speed": 4.7}', ("v", "unknown", 0, 4, None)),
+    ('"vehicle_id": "v", "delay": null, "last_position": [1]', ("v", "unknown", 0, None, None)),
+    ('"vehicle_id": "v", "last_position": {"delay": 30}', None), ('"vehicle_id": "v", "trip": "t"', None), ('"vehicle_id": "v", "trip": {"gtfs": 1}', None), ('"vehicle_id": ""', None), ('"vehicle_id": "v", "trip": []', ("v", "unknown", 0, None, None)),
+])
+def test_feed_values_of_any_type(spark, props, want):
+    feed = spark.createDataFrame([(f'{{"features": [{{"geometry": {{"coordinates": ["14.4", 50.1]}}, "properties": {{{props}}}}}]}}', "now")], "value string, ingest_ts string")
+    assert [(r.vehicle_id, r.line, r.delay, r.speed, r.route_id, r.lon) for r in L.parse_feed(feed).collect()] == ([(*want, 14.4)] if want else [])
 
 
 # Streams

@@ -8,10 +8,10 @@ from datetime import datetime, timedelta
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline.operators import evaluation as E
@@ -25,32 +25,56 @@ MOST_VALUES = 254
 
 
 def prepared(df: DataFrame, numeric: list[str] = NUMERIC, categories: list[str] = CATEGORIES) -> DataFrame:
-    """Numbers as double (text that is none is null), columns that are missing as null, categories without null."""
+    """Numbers as double (text that is none is null), categories as text (without any: null), columns that are missing as null."""
     there = set(df.columns)
     value = lambda c, t: F.col(c).try_cast(t) if c in there else F.lit(None).cast(t)
-    return df.withColumns({c: value(c, "double") for c in numeric} | {c: F.coalesce(value(c, "string"), F.lit("unknown")) for c in categories})
+    return df.withColumns({c: value(c, "double") for c in numeric} | {c: F.nullif(value(c, "string"), F.lit("")) for c in categories})
 
 
 def with_common_values(df: DataFrame, categories: list[str], most: int = MOST_VALUES) -> DataFrame:
-    """Rare values of categories as unknown."""
+    """Rare values of categories as unknown; null stays."""
     for c in categories:
-        common = df.groupBy(c).count().orderBy(F.desc("count"), c).limit(most).select(F.col(c).alias(f"__{c}"))
-        df = df.join(F.broadcast(common), F.col(c) == F.col(f"__{c}"), "left").withColumn(c, F.coalesce(f"__{c}", F.lit("unknown"))).drop(f"__{c}")
+        common = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(most).select(F.col(c).alias(f"__{c}"))
+        df = df.join(F.broadcast(common), F.col(c) == F.col(f"__{c}"), "left").withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce(f"__{c}", F.lit("unknown")))).drop(f"__{c}")
     return df
 
 
-def preparation(numeric: list[str], categories: list[str], linear: bool = False) -> list:
-    """Stages: median for missing numbers, codes for categories (one-hot and unit variance if linear)."""
-    filled = [f"{c}_filled" for c in numeric]
-    codes = [f"{c}_code" for c in categories]
-    stages = [Imputer(strategy="median", inputCols=numeric, outputCols=filled), StringIndexer(inputCols=categories, outputCols=codes, handleInvalid="keep")]
+def most_frequent(df: DataFrame, categories: list[str]) -> dict[str, str]:
+    """The value that most rows have, of several the least, for each category; ``unknown`` where no row has one."""
+    row = df.agg(*[F.mode(c, True).alias(c) for c in categories]).first()
+    return {c: row[c] or "unknown" for c in categories}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def preparation(ready: DataFrame, numeric: list[str], categories: list[str], linear: bool = False) -> PipelineModel:
+    """Fitted stages: median for missing numbers, most frequent value for missing categories, then a code for each value.
+
+    Codes count the values in their order; a value that the rows don't have has the code -1. Linear models get one-hot
+    codes, without any for such a value, and numbers of unit variance.
+    """
+    filled, codes = [f"{c}_filled" for c in numeric], [f"{c}_code" for c in categories]
+    usual = most_frequent(ready, categories)
+    fill = SQLTransformer(statement="SELECT *, " + ", ".join(f"coalesce(`{c}`, {_quoted(v)}) AS `{c}_known`" for c, v in usual.items()) + " FROM __THIS__")
+    index = StringIndexer(inputCols=[f"{c}_known" for c in categories], outputCols=[f"{c}_place" for c in categories], handleInvalid="keep", stringOrderType="alphabetAsc")
+    first = Pipeline(stages=[Imputer(strategy="median", inputCols=numeric, outputCols=filled), fill, index]).fit(ready)
+    sizes = [len(values) for values in first.stages[-1].labelsArray]
+    code = SQLTransformer(statement="SELECT *, " + ", ".join(f"CASE WHEN `{c}_place` < {n} THEN `{c}_place` ELSE -1.0D END AS `{c}_code`" for c, n in zip(categories, sizes, strict=True)) + " FROM __THIS__")
     if not linear:
-        return [*stages, VectorAssembler(inputCols=filled + codes, outputCol="features")]
+        return PipelineModel([*first.stages, code, VectorAssembler(inputCols=filled + codes, outputCol="features")])
     hot = [f"{c}_hot" for c in categories]
-    return [
-        *stages, OneHotEncoder(inputCols=codes, outputCols=hot, handleInvalid="keep"), VectorAssembler(inputCols=filled, outputCol="numbers"),
+    rest = [
+        OneHotEncoder(inputCols=[f"{c}_place" for c in categories], outputCols=hot, handleInvalid="keep"), VectorAssembler(inputCols=filled, outputCol="numbers"),
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True), VectorAssembler(inputCols=["scaled", *hot], outputCol="features"),
     ]
+    return PipelineModel([*first.stages, code, *Pipeline(stages=rest).fit(code.transform(first.transform(ready))).stages])
+
+
+def _ready(df: DataFrame, linear: bool) -> DataFrame:
+    """Prepared rows; linear models, which have a coefficient for each value, tell the common ones apart only."""
+    return with_common_values(prepared(df), CATEGORIES) if linear else prepared(df)
 
 
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
@@ -64,18 +88,19 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
 def train_classifier(df: DataFrame, linear: bool = False, iterations: int = 200, depth: int = 6, bins: int = 255) -> PipelineModel:
     """Boosted trees, or logistic regression, on a 0/1 ``label``."""
     model = LogisticRegression(weightCol="weight", maxIter=30, regParam=0.001) if linear else GBTClassifier(weightCol="weight", stepSize=0.05, maxDepth=depth, maxIter=iterations, maxBins=max(bins, 32), seed=42)
-    return _fitted(balanced(with_common_values(prepared(df), CATEGORIES)), linear, model)
+    return _fitted(balanced(_ready(df, linear)), linear, model)
 
 
 def _fitted(ready: DataFrame, linear: bool, model: Estimator) -> PipelineModel:
     """All stages fit on prepared rows; numbers that no row has are left out."""
-    return Pipeline(stages=[*preparation(observed_columns(ready, NUMERIC), CATEGORIES, linear), model]).fit(ready)
+    first = preparation(ready, observed_columns(ready, NUMERIC), CATEGORIES, linear)
+    return PipelineModel([*first.stages, model.fit(first.transform(ready))])
 
 
 def train_regressor(df: DataFrame, target: str, linear: bool = False, iterations: int = 100) -> PipelineModel:
     """A delay, or the change of it, from features."""
     model = LinearRegression(labelCol=target, elasticNetParam=0.0, regParam=1.0) if linear else GBTRegressor(labelCol=target, stepSize=0.05, maxDepth=6, maxIter=iterations, maxBins=255, seed=42)
-    return _fitted(with_common_values(prepared(df), CATEGORIES), linear, model)
+    return _fitted(_ready(df, linear), linear, model)
 
 
 def scored(df: DataFrame, model: PipelineModel, threshold: float = 0.5) -> DataFrame:
@@ -84,6 +109,25 @@ def scored(df: DataFrame, model: PipelineModel, threshold: float = 0.5) -> DataF
     return out.withColumn("risk", vector_to_array("probability")[1]).withColumn("alert", F.col("risk") >= threshold).select(*df.columns, "risk", "alert")
 
 
+ABOUT = "precision_threshold double, best_f1_threshold double, features array<string>"
+
+
+def save_model(model: PipelineModel, path: str, precision_threshold: float | None, best_f1_threshold: float | None, spark: SparkSession) -> None:
+    """The model and, beside it, a table of one row that says where its alerts begin."""
+    model.write().overwrite().save(f"{path}/model")
+    row = [(precision_threshold, best_f1_threshold, [*NUMERIC, *CATEGORIES])]
+    spark.createDataFrame(row, ABOUT).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    return PipelineModel.load(f"{path}/model"), spark.read.schema(ABOUT).parquet(f"{path}/about").first().asDict()
+
+
+def threshold_of(about: dict, given: float | None = None) -> float:
+    """The threshold that is given, else the stored one for the wanted precision, else one half."""
+    return next(float(x) for x in (given, about.get("precision_threshold"), 0.5) if x is not None)
+
+
 def area_under_roc(df: DataFrame, model: PipelineModel) -> float:
     return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(model.transform(prepared(df)))
 

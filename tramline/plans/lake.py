@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -258,19 +260,56 @@ def feed_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, e = positions(spark, sf_dir), F.col("event_id")
     text = lambda c: F.col(c).cast("string")
     gtfs = F.struct("trip_id", "route_id", F.when(e % 3 != 0, F.col("line")).alias("route_short_name"), text("route_type").alias("route_type"))
-    last = F.struct(text("speed").alias("speed"), F.lit("on_track").alias("state_position"), F.date_format("time", FMT).alias("origin_timestamp"), F.struct(text("delay").alias("actual")).alias("delay"), F.struct(F.col("last_stop_sequence").alias("sequence")).alias("last_stop"))
+    last = F.struct("speed", F.lit("on_track").alias("state_position"), F.date_format("time", FMT).alias("origin_timestamp"), F.struct(F.col("delay").alias("actual")).alias("delay"), F.struct(F.col("last_stop_sequence").alias("sequence")).alias("last_stop"))
     props = F.struct(F.when(e % 2 == 0, F.col("vehicle_id")).alias("vehicle_id"), F.struct(F.concat(F.lit("reg-"), "vehicle_id").alias("vehicle_registration_number"), gtfs.alias("gtfs")).alias("trip"), last.alias("last_position"))
     feature = F.struct(F.struct(F.array("lon", "lat").alias("coordinates")).alias("geometry"), props.alias("properties"))
     return p.groupBy(F.date_trunc("hour", F.col("time").cast("timestamp")).alias("hour")).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value")).select("value", F.date_format("hour", FMT).alias("ingest_ts"))
 
 
-@query(POS + """SELECT CASE WHEN event_id % 2 = 0 THEN vehicle_id ELSE 'reg-' || vehicle_id END AS vehicle_id, CASE WHEN event_id % 3 <> 0 THEN line ELSE 'unknown' END AS line, count(*) AS rows, sum(delay)::BIGINT AS delays, round(sum(lat), 6) AS lats,
+@query(POS + """SELECT CASE WHEN event_id % 2 = 0 THEN vehicle_id ELSE 'reg-' || vehicle_id END AS vehicle_id, CASE WHEN event_id % 3 <> 0 THEN line ELSE route_id END AS line, count(*) AS rows, sum(delay)::BIGINT AS delays, round(sum(lat), 6) AS lats,
 max(CASE route_type WHEN 0 THEN 'tram' WHEN 1 THEN 'metro' WHEN 2 THEN 'rail' WHEN 3 THEN 'bus' WHEN 4 THEN 'ferry' ELSE 'unknown' END) AS mode FROM pos GROUP BY 1, 2""")
 def feed_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = L.parse_feed(feed_of(spark, sf_dir))
     return found.groupBy("vehicle_id", "line").agg(F.count("*").alias("rows"), F.sum("delay").alias("delays"), F.round(F.sum("lat"), 6).alias("lats"), F.max("mode").alias("mode"))
 
 
+#: For each place of a feature, its JSON by the remainder of event_id, and what the row holds then; other remainders have an ordinary value.
+_IDS, _LINES, _DELAYS, _PLACES, _TYPES, _BROKEN = 7, 11, 13, 5, 9, 31
+
+
+def mixed_feed_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots whose values have all kinds of types, and features that are broken in several ways."""
+    p, e = positions(spark, sf_dir), F.col("event_id")
+    text = lambda c: F.to_json(F.struct(F.col(c).alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6)
+    pick = lambda n, cases, other: reduce(lambda w, k: w.when(e % n == k[0], k[1]), cases[1:], F.when(e % n == cases[0][0], cases[0][1])).otherwise(other)
+    lit = lambda *cases: [(k, F.lit(v)) for k, v in enumerate(cases)]
+    ids = pick(_IDS, lit("0", '""', "null", "false", "[]"), text("vehicle_id"))
+    lines = pick(_LINES, lit("12", "null", "true", '["x"]'), text("line"))
+    short = pick(2, lit("5"), F.concat(F.lit('"s'), (e % 3).cast("string"), F.lit('"')))
+    delays = pick(_DELAYS, lit('"90"', "null", "true", "{}"), text("delay"))
+    actual = pick(3, lit('"7"', "8.9"), F.lit("null"))
+    lon, lat = pick(_PLACES, [(0, F.concat(F.lit('"'), text("lon"), F.lit('"'))), (1, F.lit("null"))], text("lon")), text("lat")
+    kinds = pick(_TYPES, lit('" 3 "', '"x"', "2.9", "true", '"2.0"', "null"), text("route_type"))
+    whole = F.concat(
+        F.lit('{"geometry": {"coordinates": ['), lon, F.lit(", "), lat, F.lit(']}, "properties": {"vehicle_id": '), ids, F.lit(', "route_short_name": '), lines, F.lit(', "delay": '), delays,
+        F.lit(', "trip": {"vehicle_registration_number": "reg", "gtfs": {"route_short_name": '), short, F.lit(', "route_id": '), text("route_id"), F.lit(', "route_type": '), kinds,
+        F.lit('}}, "last_position": {"speed": "3", "delay": {"actual": '), actual, F.lit("}}}}"),
+    )
+    broken = lit("7", '"text"', "[1, 2]", "null", '{"properties": 5}', '{"geometry": {"coordinates": [14, 50]}, "properties": {"vehicle_id": "v", "trip": [1]}}', '{"geometry": {"coordinates": [14]}, "properties": {"vehicle_id": "v"}}', '{"geometry": "x", "properties": {"vehicle_id": "v"}}',
+                 '{"geometry": {"coordinates": [14, 50]}, "properties": {"vehicle_id": "v", "last_position": {"delay": 5}}}')
+    feature = pick(_BROKEN, broken, whole)
+    return p.groupBy(F.date_trunc("hour", F.col("time").cast("timestamp")).alias("hour")).agg(F.concat(F.lit('{"features": ['), F.array_join(F.collect_list(feature), ", "), F.lit("]}")).alias("value")).select("value", F.date_format("hour", FMT).alias("ingest_ts"))
+
+
+@query(POS + """SELECT CASE WHEN event_id % 7 < 5 THEN 'reg' ELSE vehicle_id END AS vehicle_id, CASE WHEN event_id % 11 > 3 THEN line WHEN event_id % 2 = 0 THEN route_id ELSE 's' || (event_id % 3) END AS line,
+CASE event_id % 9 WHEN 0 THEN 3 WHEN 1 THEN NULL WHEN 2 THEN 2 WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE route_type END AS route_type, count(*) AS rows,
+sum(CASE WHEN event_id % 13 > 3 THEN delay WHEN event_id % 13 = 2 THEN 1 WHEN event_id % 3 = 1 THEN 8 ELSE 0 END)::BIGINT AS delays, round(sum(lat + lon), 6) AS places, count(NULL) AS speeds
+FROM pos WHERE event_id % 31 > 8 AND event_id % 5 <> 1 GROUP BY ALL""")
+def feed_mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = L.parse_feed(mixed_feed_of(spark, sf_dir))
+    return found.groupBy("vehicle_id", "line", "route_type").agg(F.count("*").alias("rows"), F.sum("delay").alias("delays"), F.round(F.sum(F.col("lat") + F.col("lon")), 6).alias("places"), F.count("speed").alias("speeds"))
+
+
 @query(POS + "SELECT service_date, count(*) AS rows, count(DISTINCT vehicle_id) AS vehicles, min(time) AS first_time, max(time) AS last_time FROM pos GROUP BY 1")
 def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through the named views of a written lake: its rows, and its days over those."""

@@ -188,6 +188,24 @@ def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query()
+def stored_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model is fit, its threshold chosen on validation rows, both stored and read back; the stored ones score the test rows.
+
+    ``same`` says whether the model scored the row alike before it was stored.
+    """
+    rows = labelled(spark, sf_dir).withColumn("actual", F.col("label") == 1)
+    model, place, found = M.train_classifier(rows.filter("split = 'train'"), linear=True), scratch(spark, "model"), scratch(spark, "validation")
+    M.scored(rows.filter("split = 'validation'"), model).select("risk", "actual").write.parquet(found)
+    best = E.best_threshold(E.threshold_sweep(spark.read.parquet(found)), 0.4).first()
+    M.save_model(model, place, best["precision_threshold"], best["best_f1_threshold"], spark)
+    again, about = M.load_model(spark, place)
+    test, threshold = rows.filter("split = 'test'"), M.threshold_of(about)
+    before = M.scored(test, model).select("vehicle_id", "time", F.col("risk").alias("before"))
+    after = M.scored(test, again, threshold).select("vehicle_id", "time", "risk", "alert")
+    return after.join(before, ["vehicle_id", "time"]).select("vehicle_id", "time", F.round("risk", 6).alias("risk"), "alert", (F.col("risk") == F.col("before")).alias("same"), F.lit(threshold).alias("threshold"))
+
+
 @query()
 def online_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of rows as they come in: numbers as text or none, categories without a value, a feature that isn't there; the riskiest first."""

@@ -237,29 +237,69 @@ def parse_messages(messages: DataFrame, zero: bool = True) -> DataFrame:
     return rows.filter("vehicle_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
 
 
-FEATURE_SCHEMA = (
-    "geometry struct<coordinates:array<double>>, properties struct<vehicle_id:string,route_short_name:string,delay:string,"
-    "trip:struct<vehicle_registration_number:string,origin_route_name:string,gtfs:struct<trip_id:string,route_id:string,route_short_name:string,route_type:string>>,"
-    "last_position:struct<speed:string,state_position:string,origin_timestamp:string,delay:struct<actual:string>,last_stop:struct<id:string,sequence:int,arrival_time:string,departure_time:string>,"
-    "next_stop:struct<id:string,sequence:int,arrival_time:string,departure_time:string>>>"
-)
+#: Kinds of numbers in JSON, as Spark names them.
+NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+
+
+class Json:
+    """Places of a VARIANT column, told apart by the kind of what stands there. A place that is missing has no kind."""
+
+    def __init__(self, column: str) -> None:
+        self.column = column
+
+    def at(self, path: str, kind: str = "variant") -> Column:
+        return F.try_variant_get(self.column, f"$.{path}", kind)
+
+    def kind(self, path: str) -> Column:
+        return F.schema_of_variant(self.at(path))
+
+    def text(self, path: str) -> Column:
+        """What is a string, else null."""
+        return F.when(self.kind(path) == "STRING", self.at(path, "string"))
+
+    def number(self, path: str, boolean: bool = True) -> Column:
+        """What is a number, and if boolean also 1 and 0 for true and false, else null."""
+        found = F.when(self.kind(path).rlike(NUMBERS), self.at(path, "double"))
+        return F.when(self.kind(path) == "BOOLEAN", self.at(path, "boolean").cast("double")).otherwise(found) if boolean else found
+
+    def empty(self, path: str) -> Column:
+        """Missing, null, false, 0, or without any member or character."""
+        text = F.coalesce(F.to_json(self.at(path)), F.lit("null"))
+        return text.isin("null", "false", '""', "[]", "{}") | F.coalesce(self.number(path) == 0, F.lit(False))
+
+    def value(self, path: str) -> Column:
+        """As text whatever is not empty, else null."""
+        return F.when(~self.empty(path), F.coalesce(self.at(path, "string"), F.to_json(self.at(path))))
+
+    def usable(self, path: str) -> Column:
+        """Whether members can be asked for: an object, or nothing at all."""
+        return self.empty(path) | F.startswith(self.kind(path), F.lit("OBJECT"))
 
 
 def parse_feed(snapshots: DataFrame) -> DataFrame:
-    """One row for each feature of GeoJSON snapshots (``value``, ``ingest_ts``), with the first usable id, line and delay."""
-    # Each feature on its own: one that is no object costs no other.
+    """One row for each feature of GeoJSON snapshots (``value``, ``ingest_ts``), with the first usable id, line and delay.
+
+    Feeds hold values of any type. The first id that is not empty counts, and the first line that is a string; a delay or
+    speed counts only as a number, a route type also as the text of an integer; coordinates may be numbers or their text.
+    A feature whose properties, trip, schedule part or geometry is something other than an object is lost, and so is one
+    without an id or two coordinates; each costs no other.
+    """
     each = snapshots.select("ingest_ts", F.explode(F.from_json("value", "features array<string>")["features"]).alias("text"))
-    f = each.filter(F.startswith(F.ltrim("text"), F.lit("{"))).select("ingest_ts", F.from_json("text", FEATURE_SCHEMA).alias("f"))
-    p = F.col("f.properties")
-    trip, last = p["trip"], p["last_position"]
-    first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
-    rows = f.select(
-        first(p["vehicle_id"], trip["vehicle_registration_number"], trip["gtfs"]["trip_id"]).alias("vehicle_id"),
-        F.coalesce(first(p["route_short_name"], trip["gtfs"]["route_short_name"], trip["origin_route_name"]), F.lit("unknown")).alias("line"),
-        F.coalesce(truncated_int(p["delay"]), truncated_int(last["delay"]["actual"]), F.lit(0)).alias("delay"), truncated_int(last["speed"]).alias("speed"),
-        F.get("f.geometry.coordinates", 1).alias("lat"), F.get("f.geometry.coordinates", 0).alias("lon"), F.trim(trip["gtfs"]["route_id"]).alias("route_id"),
-        trip["gtfs"]["trip_id"].alias("trip_id"), truncated_int(trip["gtfs"]["route_type"]).alias("route_type"), last["state_position"].alias("state_position"),
-        F.coalesce(F.nullif(last["origin_timestamp"], F.lit("")), F.col("ingest_ts")).alias("observation_ts"), last["last_stop"]["sequence"].alias("last_stop_sequence"),
+    f = each.select("ingest_ts", F.try_parse_json("text").alias("v"))
+    j, trip, gtfs, last = Json("v"), "properties.trip", "properties.trip.gtfs", "properties.last_position"
+    whole = lambda c: F.when(c.isNotNull(), c.try_cast("int"))
+    typed_text = F.regexp_extract(j.text(f"{gtfs}.route_type"), r"^\s*([+-]?[0-9]+)\s*$", 1)
+    delay = j.number("properties.delay")
+    kept = f.filter(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))).filter(
+        j.usable("properties") & j.usable(trip) & j.usable(gtfs) & j.usable("geometry") & (delay.isNotNull() | j.usable(f"{last}.delay")))
+    stops = [j.at(f"{last}.{side}.{c}", kind).alias(f"{side}_{c}") for side in ("last_stop", "next_stop") for c, kind in (("id", "string"), ("sequence", "int"), ("arrival_time", "string"), ("departure_time", "string"))]
+    rows = kept.select(
+        F.coalesce(j.value("properties.vehicle_id"), j.value(f"{trip}.vehicle_registration_number"), j.value(f"{gtfs}.trip_id")).alias("vehicle_id"),
+        F.coalesce(j.text("properties.route_short_name"), j.text(f"{gtfs}.route_short_name"), j.text(f"{gtfs}.route_id"), j.text(f"{trip}.origin_route_name"), F.lit("unknown")).alias("line"),
+        whole(F.coalesce(delay, j.number(f"{last}.delay.actual"), F.lit(0.0))).alias("delay"), whole(j.number(f"{last}.speed")).alias("speed"),
+        j.at("geometry.coordinates[1]", "double").alias("lat"), j.at("geometry.coordinates[0]", "double").alias("lon"), blank_to_null(j.text(f"{gtfs}.route_id")).alias("route_id"),
+        j.at(f"{gtfs}.trip_id", "string").alias("trip_id"), F.coalesce(whole(j.number(f"{gtfs}.route_type", boolean=False)), F.nullif(typed_text, F.lit("")).try_cast("int")).alias("route_type"),
+        j.text(f"{last}.state_position").alias("state_position"), F.coalesce(j.value(f"{last}.origin_timestamp"), F.col("ingest_ts")).alias("observation_ts"), *stops,
     )
     return with_mode(rows).filter("vehicle_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
 
