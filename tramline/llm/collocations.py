@@ -11,7 +11,8 @@ least count, stripes of two words pairs that do, and stripes of three and four w
 phrase is rarer than the phrase, so that none is lost. What a pass may take goes to the executors as a Bloom filter of
 bounded size, which lets a few more through and never fewer. Prefixes that could have wide stripes, those whose words all
 stand in a share of all places that no more than PARTS words can have, are cut into parts by their next word's hash, and
-so is the empty prefix.
+so is the empty prefix. Stripes travel in buckets, by the hash of prefix and part: a task sends one row for all its stripes
+of a bucket, and there are as many buckets as keep one small.
 
 Defined cases: a null text has no words, a null language is ``und``; very long texts are read whole, in parts of PART
 bytes at most for each group of texts; repeated rows count each time; an empty table gives no rows; other columns are not
@@ -44,10 +45,13 @@ PART = 9 << 20
 #: Parts of the empty prefix's stripe; words that can be so frequent that their stripes are cut, at most, and places below which none is.
 EMPTY_PARTS, PARTS, WIDE = 1024, 1 << 16, 2_000_000
 
+#: Places in the corpus for each bucket of stripes, and buckets at least.
+BUCKET, LEAST_BUCKETS = 250_000, 64
+
 #: Where pieces end; no byte of UTF-8.
 END = b"\xff"
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", END * 10)
-STRIPE = "lang string, prefix binary, part int, total long, next binary, counts binary"
+STRIPES = "lang string, bucket int, prefixes binary, sizes binary, next binary, counts binary"
 MERGED = "lang string, prefix string, part int, total long, next array<string>, counts array<long>"
 
 
@@ -116,25 +120,26 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[Part]:
         yield part()
 
 
-def _rows(part: Part, lang: np.ndarray, prefix: list[bytes], key: np.ndarray, after: np.ndarray, cut: np.ndarray) -> pd.DataFrame:
-    """Stripes from places: key numbers the prefixes, whose lang, text and number of parts are given; after is the next word."""
+def _rows(part: Part, lang: np.ndarray, prefix: list[bytes], key: np.ndarray, after: np.ndarray, cut: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Stripes from places, by bucket: key numbers the prefixes, whose lang, text and parts are given; after is the next word."""
     span = len(part.words)
     both, times = np.unique(key * span + after, return_counts=True)
     own, word = both // span, both % span
-    at = np.zeros(len(own), np.int64)
+    at = np.zeros(len(own), np.uint64)
     if (cut > 1).any():
-        at = (part.hashes[word] % cut[own].astype(np.uint64)).astype(np.int64)
-        order = np.lexsort((at, own))
-        own, word, times, at = own[order], word[order], times[order], at[order]
-    edges = np.flatnonzero((np.diff(own, prepend=-1, append=-1) != 0) | (np.diff(at, prepend=-1, append=-1) != 0))
-    which, totals = own[edges[:-1]], np.add.reduceat(times, edges[:-1]) if len(own) else times
-    names = [part.words[j] for j in word.tolist()]
-    packed, ends = times.astype("<u4").tobytes(), edges.tolist()
-    spans = list(zip(ends[:-1], ends[1:], strict=True))
-    return pd.DataFrame({
-        "lang": pd.Series([part.langs[k] for k in lang[which].tolist()], dtype=object), "prefix": pd.Series([prefix[k] for k in which.tolist()], dtype=object), "part": at[edges[:-1]], "total": totals,
-        "next": pd.Series([b"\n".join(names[a:b]) for a, b in spans], dtype=object), "counts": pd.Series([packed[4 * a : 4 * b] for a, b in spans], dtype=object),
-    })
+        at = part.hashes[word] % cut[own].astype(np.uint64)
+    bucket = ((_hash(prefix)[own] + at) % np.uint64(buckets)).astype(np.int64)
+    home = lang[own] * buckets + bucket
+    order = np.lexsort((own, home))
+    own, word, times, home = own[order], word[order], times[order].astype("<u4"), home[order]
+    edges = np.flatnonzero(np.diff(home, prepend=-1, append=-1))
+    stripe = np.flatnonzero((np.diff(home, prepend=-1, append=-1) != 0) | (np.diff(own, prepend=-1, append=-1) != 0))
+    ends, sizes, names = np.searchsorted(stripe, edges), np.diff(stripe).astype("<u4"), own[stripe[:-1]]
+    rows = []
+    for a, b, i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        of, where = int(home[a]) // buckets, int(home[a]) % buckets
+        rows.append((part.langs[of], where, b"\n".join([prefix[k] for k in names[i:j].tolist()]), sizes[i:j].tobytes(), b"\n".join([part.words[k] for k in word[a:b].tolist()]), times[a:b].tobytes()))
+    return pd.DataFrame(rows, columns=["lang", "bucket", "prefixes", "sizes", "next", "counts"])
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -142,10 +147,10 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
     for part in _parts(batches):
         place = np.flatnonzero(part.ids)
         langs, key = np.unique(part.lang[place], return_inverse=True)
-        yield _rows(part, langs, [b""] * len(langs), key, part.ids[place], np.full(len(langs), EMPTY_PARTS))
+        yield _rows(part, langs.astype(np.int64), [b""] * len(langs), key, part.ids[place], np.full(len(langs), EMPTY_PARTS), EMPTY_PARTS)
 
 
-def _stripes(sizes: tuple[int, ...], allowed: Broadcast, wide: Broadcast, gram: int):
+def _stripes(sizes: tuple[int, ...], allowed: Broadcast, wide: Broadcast, gram: int, buckets: int):
     """Stripes of prefixes of sizes words. Of phrases, all grams of so many words must be allowed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -168,7 +173,7 @@ def _stripes(sizes: tuple[int, ...], allowed: Broadcast, wide: Broadcast, gram:
                     at = at[own]
                     text = [b" ".join([part.words[j] for j in row]) for row in np.stack([ids[at + k] for k in range(size)], 1).tolist()]
                     cut = np.ones(len(at), np.int64) if parts is None else np.min([parts[part.lang[at], ids[at + k]] for k in range(size)], axis=0)
-                    yield _rows(part, part.lang[at], text, dense_of, ids[place[follows] + size], cut)
+                    yield _rows(part, part.lang[at].astype(np.int64), text, dense_of, ids[place[follows] + size], cut, buckets)
                 number = np.zeros(n, np.int64)
                 number[place] = dense
 
@@ -177,37 +182,38 @@ def _stripes(sizes: tuple[int, ...], allowed: Broadcast, wide: Broadcast, gram:
 
 def _merge(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        """Stripes of one key added up; entries below least go, and so do stripes in which nothing reaches it."""
+        """The stripes of a bucket added up; entries below least go, and so do stripes in which nothing reaches it."""
         last: Any = None
-        total, counts, out = 0, defaultdict(int), []
+        stripes: dict[bytes, dict[bytes, int]] = {}
 
-        def close() -> None:
-            kept = [(w, c) for w, c in counts.items() if c >= least]
-            if kept or not last[1]:
-                out.append((last[0], last[1].decode(), last[2], total, [w.decode() for w, _ in kept], [c for _, c in kept]))
+        def close() -> pd.DataFrame:
+            out = []
+            for prefix, counts in stripes.items():
+                kept = [(w, c) for w, c in counts.items() if c >= least]
+                if kept or not prefix:
+                    out.append((last[0], prefix.decode(), last[1], sum(counts.values()), [w.decode() for w, _ in kept], [c for _, c in kept]))
+            return pd.DataFrame(out, columns=["lang", "prefix", "part", "total", "next", "counts"])
 
         for batch in batches:
-            for lang, prefix, part, more, after, times in batch.itertuples(index=False):
-                if last is None or prefix != last[1] or part != last[2] or lang != last[0]:
+            for lang, bucket, prefixes, sizes, after, times in batch.itertuples(index=False):
+                if last != (lang, bucket):
                     if last is not None:
-                        close()
-                    last, total = (lang, prefix, part), 0
-                    counts = defaultdict(int)
-                total += more
-                if times:
-                    for w, c in zip(after.split(b"\n"), np.frombuffer(times, "<u4").tolist(), strict=True):
-                        counts[w] += c
-            yield pd.DataFrame(out, columns=["lang", "prefix", "part", "total", "next", "counts"])
-            out = []
+                        yield close()
+                    last, stripes = (lang, bucket), {}
+                words, counts, k = after.split(b"\n"), np.frombuffer(times, "<u4").tolist(), 0
+                for prefix, n in zip(prefixes.split(b"\n"), np.frombuffer(sizes, "<u4").tolist(), strict=True):
+                    own = stripes.setdefault(prefix, {})
+                    for w, c in zip(words[k : k + n], counts[k : k + n], strict=True):
+                        own[w] = own.get(w, 0) + c
+                    k += n
         if last is not None:
-            close()
-            yield pd.DataFrame(out, columns=["lang", "prefix", "part", "total", "next", "counts"])
+            yield close()
 
     return run
 
 
 def _merged(stripes: DataFrame, least: int, label: str) -> DataFrame:
-    key = ("lang", "prefix", "part")
+    key = ("lang", "bucket")
     return stored(stripes.repartition(*key).sortWithinPartitions(*key).mapInPandas(_merge(least), MERGED), label)
 
 
@@ -238,14 +244,15 @@ def count_stripes(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     """Merged stripes of the empty prefix, and of prefixes of one to four words, with their entries of least or more."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
-    empty = _merged(texts.mapInPandas(_words, STRIPE), least, "word-stripes")
+    empty = _merged(texts.mapInPandas(_words, STRIPES), least, "word-stripes")
     words = stored(_entries(empty), "frequent-words")
     places = empty.agg(F.sum("total")).first()[0] or 0
     bound = max(WIDE, places // PARTS)  # at most PARTS words stand in so many places
     wide = context.broadcast({(r["lang"], r["phrase"].encode()): -(-r["a"] // bound) for r in words.filter(F.col("a") > bound).collect()})
+    buckets = max(LEAST_BUCKETS, places // BUCKET)
     found, last = [], words
     for gram, sizes in ((1, (1,)), (2, (2,)), (3, tuple(range(3, LONGEST)))):
-        found.append(_merged(texts.mapInPandas(_stripes(sizes, _filter(last), wide, gram), STRIPE), least, "stripes"))
+        found.append(_merged(texts.mapInPandas(_stripes(sizes, _filter(last), wide, gram, buckets), STRIPES), least, "stripes"))
         last = stored(_entries(found[-1]), "frequent-phrases")
     return empty, reduce(DataFrame.union, found)
 
