@@ -476,13 +476,35 @@ def test_stream_equals_batch(spark, files):
 
 
 def test_silent_vehicles_expire(spark, tmp_path):
-    rows = [("a", 0), ("a", 60), ("b", 30), ("a", 400), ("c", 900)]
-    df = spark.createDataFrame([(v, at(s)) for v, s in rows], "vehicle_id string, t timestamp_ntz").select("vehicle_id", F.col("t").cast("timestamp").alias("time"))
-    df.write.parquet(f"file://{tmp_path}/rows")
-    stream = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/rows")
-    V.run_to_end(V.expired(stream, "2 minutes", "10 seconds"), f"file://{tmp_path}/out", f"file://{tmp_path}/progress")
-    found = spark.read.parquet(f"file://{tmp_path}/out").collect()
-    assert sorted((r.vehicle_id, r.points) for r in found) == [("a", 1), ("a", 2), ("b", 1)]
+    """Timers end lives while the stream goes on, also after a restart; a point between two open lives joins them."""
+    V.keep_state_in_rocksdb(spark)
+    slices = [[("a", 0), ("a", 60), ("b", 30), ("d", 0), ("d", 150)], [("a", 400), ("d", 90)], [("c", 900)]]
+    schema, want = "vehicle_id string, time timestamp, lat double, lon double", []
+    for k, part in enumerate(slices):
+        df = spark.createDataFrame([(v, at(s)) for v, s in part], "vehicle_id string, t timestamp_ntz").select("vehicle_id", F.col("t").cast("timestamp").alias("time"), F.lit(50.0 + k).alias("lat"), F.lit(14.0).alias("lon"))
+        df.write.mode("append").parquet(f"file://{tmp_path}/rows")
+        V.run_to_end(V.expired(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/rows"), 120_000, "200 seconds"), f"file://{tmp_path}/out", f"file://{tmp_path}/progress")
+        found = spark.read.schema(V.Lives.OUTPUT).parquet(f"file://{tmp_path}/out").collect()
+        want += [[], [("a", 2, 50.0), ("b", 1, 50.0)], [("a", 1, 51.0), ("d", 3, 50.0)]][k]
+        assert sorted((r.vehicle_id, r.points, r.last_lat) for r in found) == sorted(want)
+
+
+def test_lives():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        points = [rng.randrange(1000) for _ in range(rng.randrange(1, 25))]
+        lives: list = []
+        for us in points:
+            lives = V.live_step(lives, us, 0.0, 0.0, 40)
+        runs: list = []
+        for us in sorted(points):
+            if runs and us < runs[-1][-1] + 40:
+                runs[-1].append(us)
+            else:
+                runs.append([us])
+        assert [x[:3] for x in lives] == [(r[0], r[-1], len(r)) for r in runs]
 
 
 def test_trail_rules():
@@ -496,10 +518,6 @@ def test_trail_rules():
     assert len(trail) == 30
 
 
-def test_ttl_forgets_silent_vehicles():
-    assert V.Trails().ttl_ms == 120_000
-
-
 # Entry
 
 

@@ -112,14 +112,16 @@ def stream_bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(POS + """, g AS (SELECT vehicle_id, time, CASE WHEN time < lag(time) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM pos WINDOW w AS (PARTITION BY vehicle_id ORDER BY time)),
-n AS (SELECT *, sum(new) OVER (PARTITION BY vehicle_id ORDER BY time) AS life FROM g), l AS (SELECT vehicle_id, life, count(*) AS points, max(time) AS last_time FROM n GROUP BY ALL)
-SELECT vehicle_id, count(*) AS lives, sum(points)::BIGINT AS points, max(last_time) AS last_seen FROM l WHERE last_time + INTERVAL 12 HOUR <= (SELECT max(time) - INTERVAL 1 DAY FROM pos) GROUP BY 1""")
+n AS (SELECT *, sum(new) OVER (PARTITION BY vehicle_id ORDER BY time) AS life FROM g), l AS (SELECT vehicle_id, life, count(*) AS points, min(time) AS first_time, max(time) AS last_time FROM n GROUP BY ALL)
+SELECT vehicle_id, first_time, last_time, points FROM l WHERE last_time + INTERVAL 12 HOUR <= (SELECT max(time) - INTERVAL 1 DAY FROM pos)""")
 def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vehicles that fell silent for longer than their time to live, once the watermark says so; one that comes back lives anew."""
+    """Vehicles that fell silent for longer than their time to live, given out by timers; one that comes back lives anew."""
+    V.keep_state_in_rocksdb(spark)
     out = scratch(spark, "expired")
-    p = positions(spark, sf_dir).select("vehicle_id", F.col("time").cast("timestamp").alias("time"))
-    fed(p, 2, "time", lambda stream: V.run_to_end(V.expired(stream, "12 hours", "1 day"), out, f"{out}-progress"))
-    return spark.read.parquet(out).groupBy("vehicle_id").agg(F.count("*").alias("lives"), F.sum("points").alias("points"), F.max("last_time").cast("timestamp_ntz").alias("last_seen"))
+    p = positions(spark, sf_dir).select("vehicle_id", F.col("time").cast("timestamp").alias("time"), "lat", "lon")
+    fed(p, 2, "time", lambda stream: V.run_to_end(V.expired(stream, 12 * 3_600_000, "1 day"), out, f"{out}-progress"))
+    time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return spark.read.schema(V.Lives.OUTPUT).parquet(out).select("vehicle_id", time("first_us").alias("first_time"), time("last_us").alias("last_time"), "points")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

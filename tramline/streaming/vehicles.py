@@ -162,13 +162,67 @@ def trails(points: DataFrame) -> DataFrame:
     return points.groupBy("vehicle_id").applyInPandas(fold, Trails.OUTPUT)
 
 
-def expired(stream: DataFrame, ttl: str, lateness: str) -> DataFrame:
-    """Lives of vehicles that have ended: a vehicle lives while no two of its rows (vehicle_id, time) are ttl or more apart.
+def live_step(lives: list[tuple], us: int, lat: float, lon: float, ttl_us: int) -> list[tuple]:
+    """The lives of a vehicle, (first, last, points, lat, lon), after a point: it joins all that it is less than ttl_us from."""
+    near = [x for x in lives if x[0] - ttl_us < us < x[1] + ttl_us]
+    last = max([(x[1], x[3], x[4]) for x in near] + [(us, lat, lon)])
+    one = (min([us, *(x[0] for x in near)]), last[0], 1 + sum(x[2] for x in near), last[1], last[2])
+    return sorted([*(x for x in lives if x not in near), one])
 
-    A life is given out, and forgotten, once the watermark has passed its last row by ttl.
+
+class Lives(StatefulProcessor):
+    """The lives of each vehicle that haven't ended. A timer ends one once the watermark has passed its last point by ttl_ms."""
+
+    OUTPUT = "vehicle_id string, first_us long, last_us long, points long, last_lat double, last_lon double"
+    LIFE = "first_us long, last_us long, points long, lat double, lon double"
+
+    def __init__(self, ttl_ms: int = 120_000) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lives = handle.getListState("lives", self.LIFE)
+
+    def _held(self) -> list[tuple]:
+        return [(int(a), int(b), int(n), float(lat), float(lon)) for a, b, n, lat, lon in self.lives.get()]
+
+    def _ends(self, life: tuple) -> int:
+        return -(-life[1] // 1000) + self.ttl_ms
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        lives = self._held()
+        before = {*map(self._ends, lives)}
+        for batch in rows:
+            for us, lat, lon in batch[["us", "lat", "lon"]].itertuples(index=False):
+                lives = live_step(lives, int(us), float(lat), float(lon), 1000 * self.ttl_ms)
+        self.lives.put(lives)
+        for end in {*map(self._ends, lives)} - before:
+            self.handle.registerTimer(end)
+        for end in before - {*map(self._ends, lives)}:
+            self.handle.deleteTimer(end)
+        yield pd.DataFrame([], columns=["vehicle_id", "first_us", "last_us", "points", "last_lat", "last_lon"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, lives = expiredTimerInfo.getExpiryTimeInMs(), self._held()
+        over = [x for x in lives if self._ends(x) <= now]
+        left = [x for x in lives if self._ends(x) > now]
+        if left:
+            self.lives.put(left)
+        else:
+            self.lives.clear()
+        yield pd.DataFrame([(key[0], *x) for x in over], columns=["vehicle_id", "first_us", "last_us", "points", "last_lat", "last_lon"])
+
+    def close(self) -> None:
+        pass
+
+
+def expired(stream: DataFrame, ttl_ms: int, lateness: str) -> DataFrame:
+    """Lives of vehicles that have ended: a vehicle lives while no two of its rows (vehicle_id, time, lat, lon) are ttl_ms or more apart.
+
+    A life is given out, and its state dropped, by a timer; a vehicle that comes back lives anew.
     """
-    lives = stream.withWatermark("time", lateness).groupBy(F.session_window("time", ttl), "vehicle_id")
-    return lives.agg(F.count("*").alias("points"), F.max("time").alias("last_time")).select("vehicle_id", F.col("session_window.start").alias("first_time"), "last_time", "points")
+    timed = stream.withWatermark("time", lateness).select("vehicle_id", "time", F.unix_micros("time").alias("us"), "lat", "lon")
+    return timed.groupBy("vehicle_id").transformWithStateInPandas(Lives(ttl_ms), Lives.OUTPUT, "Append", "EventTime")
 
 
 def store_batches(stream: DataFrame, tables: dict[str, Callable[[DataFrame], DataFrame]], path: str, checkpoint: str) -> None:
