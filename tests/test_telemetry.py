@@ -429,6 +429,43 @@ def test_stored_models(spark, tmp_path):
         assert risks[0] == risks[1] and len({*risks[0].values()}) > 1
 
 
+def test_ranges_follow_the_rows(spark):
+    """Nearly all rows in one hour, nearly all scores in one narrow range: no range has much more than its share."""
+    rows = [(k, 1_000_000 + k * 1000 if k % 10 else k * 3_600_000_000, 0.5 + k / 1e8 if k % 10 else k / 4000, k % 3 == 0) for k in range(4000)]
+    df = spark.createDataFrame(rows, "event_id long, us long, risk double, actual boolean").withColumn("time", F.timestamp_micros("us"))
+    for value in (F.unix_micros("time"), F.col("risk")):
+        sizes = df.groupBy(X.range_of(value, X.edges_of(df, value))).count().select(F.max("count")).first()[0]
+        assert sizes <= 2 * 4000 / X.RANGES
+    places = {r.event_id: r.i for r in X.indexed(df, ["time", "event_id"]).collect()}
+    assert [places[r[0]] for r in sorted(rows, key=lambda r: (r[1], r[0]))] == list(range(4000))
+    ordered = sorted(rows, key=lambda r: -r[2])
+    pairs, above = 0, 0
+    for r in ordered:
+        pairs, above = (pairs, above + 1) if r[3] else (pairs + above, above)
+    assert abs(E.ranking(df).first().auc - pairs / (above * (4000 - above))) < 1e-12
+    top = E.top_fractions(df, (0.01, 0.3), "event_id").collect()
+    assert sorted((r.n, r.least_risk) for r in top) == [(n, ordered[n - 1][2]) for n in (40, 1200)]
+    assert X.indexed(df.limit(0), ["time", "event_id"]).count() == 0
+
+
+def test_scoring_stream_equals_batch(spark):
+    """Micro-batches scored by a stored model, over a restart, against runs in batch with the model read again."""
+    from tramline.operators import models
+    from tramline.plans import streams
+
+    found = sorted(map(tuple, streams.stream_model_scores(spark, SF).collect()))
+    model, about = models.load_model(spark, streams.stored_model(spark, SF)[0])
+    p = streams.inside(spark, SF)
+    us = F.unix_micros(F.col("time").cast("timestamp"))
+    least, most = streams.positions(spark, SF).agg(F.min(us), F.max(us)).first()
+    want = []
+    for k in range(2):
+        upto = streams.positions(spark, SF).filter(F.least(F.lit(1), F.floor((us - least) * 2 / (most - least))) <= k)
+        now = upto.agg(F.max("time")).first()[0]
+        want += streams.scoring_run(p, now, lambda rows: models.scored(rows, model).drop("alert"), models.threshold_of(about)).collect()
+    assert found == sorted(map(tuple, want)) and len(found) > 20
+
+
 def test_messages_and_feed(spark):
     messages = spark.createDataFrame([('{"id": "v", "lat": 50.1, "lon": 14.4, "delay": 12.9}',), ("junk",), ("[1]",), ('{"id": "v", "lat": 50.1}',)], "value string")
     row = L.parse_messages(messages).collect()

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.operators.splits import edges_of, range_of
+
 #: 91 thresholds, 0.05 to 0.95, and 11 edges of bins, as evenly spaced points are computed in floating point.
 THRESHOLDS = tuple(0.05 + k * ((0.95 - 0.05) / 90) for k in range(90)) + (0.95,)
 EDGES = tuple(k * (1.0 / 10) for k in range(10)) + (1.0,)
@@ -104,12 +106,12 @@ def best_threshold(sweep: DataFrame, target: float) -> DataFrame:
 def ranking(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """ROC AUC (ties count half) and average precision (sum of recall steps by precision), per key; null for one class.
 
-    Rows are first counted per score. Sums over the scores run inside ranges of scores that Spark spreads over tasks,
-    and add the totals of the ranges above.
+    Rows are first counted per score. Sums over the scores run inside ranges of scores, which follow the quantiles of the
+    different scores, and add the totals of the ranges above.
     """
     keys = keys or []
     each = df.filter(F.col("actual").isNotNull()).groupBy(*keys, "risk").agg(F.count_if("actual").alias("p"), F.count_if(~F.col("actual")).alias("q"))
-    zone = F.floor(F.col("risk") * 64)  # scores lie in 0 to 1
+    zone = range_of(F.col("risk"), edges_of(each, F.col("risk")))
     zones = each.groupBy(*keys, zone.alias("zone")).agg(F.sum("p").alias("zp"), F.sum("q").alias("zq"))
     above = Window.partitionBy(*keys).orderBy(F.desc("zone")).rowsBetween(Window.unboundedPreceding, -1)
     tops = zones.select(*keys, "zone", F.coalesce(F.sum("zp").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("zq").over(above), F.lit(0)).alias("fp0"))
@@ -123,15 +125,17 @@ def ranking(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def top_fractions(df: DataFrame, fractions: tuple[float, ...], ties: str, zones: int = 4096) -> DataFrame:
+def top_fractions(df: DataFrame, fractions: tuple[float, ...], ties: str) -> DataFrame:
     """The riskiest max(1, round(n f)) rows for each f: least risk, precision, recall, lift.
 
-    A row's place is its place in its range of scores plus the rows of the ranges above; of scores beyond 0 to 1, those
-    above are in one range and those below in another.
+    Rows are counted per range of scores, which follow the scores' quantiles, and only the ranges that the largest n
+    reaches are ordered: a row's place is its place in its range plus the rows of the ranges above. Rows with one score
+    are in one range.
     """
     spark = df.sparkSession
-    zone = F.greatest(F.lit(-1), F.least(F.lit(zones), F.floor(F.coalesce("risk", F.lit(-1.0)) * zones))).cast("int")
-    labelled = df.filter(F.col("actual").isNotNull()).withColumn("__zone", zone)
+    score = F.coalesce("risk", F.lit(-1.0))
+    labelled = df.filter(F.col("actual").isNotNull())
+    labelled = labelled.withColumn("__zone", range_of(score, edges_of(labelled, score)))
     counts = labelled.groupBy("__zone").agg(F.count("*").alias("n"), F.count_if("actual").alias("hits")).collect()  # a row for each range
     total, positives = sum(r["n"] for r in counts), sum(r["hits"] for r in counts)
     sizes = [(f, max(1, round(total * f))) for f in fractions]

@@ -8,17 +8,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of the first column of an order that rows are dealt to.
+RANGES = 200
+
+
+def range_of(value: Column, edges: list) -> Column:
+    """The number of edges, which are sorted, that are no greater than value, by halving."""
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(edges[middle]), among(low, middle)).otherwise(among(middle + 1, high))
+
+    return among(0, len(edges))
+
+
+def edges_of(df: DataFrame, value: Column, ranges: int = RANGES) -> list:
+    """Edges between ranges of value that have about as many rows each, from a sketch of quantiles."""
+    shares = [k / ranges for k in range(1, ranges)]
+    found = df.agg(F.percentile_approx(value, shares, 100 * ranges).alias("edges")).first()["edges"]
+    return sorted(set(found or []))
+
+
 def indexed(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
     """df with the position of each row, from 0, in the order of the given columns, which must tell rows apart.
 
-    Rows are dealt to zones of the first column by its hours; a position is the place in the zone plus the sizes of
-    the zones before, of which there is one for each hour of data.
+    Rows are dealt to ranges of the first column that follow its quantiles, so that an hour with most of the rows is many
+    ranges; a position is the place in the range plus the sizes of the ranges before.
     """
-    zone = F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / 3_600_000_000)
-    zoned = df.withColumn("__zone", zone)
+    micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    zoned = df.withColumn("__zone", range_of(micros, edges_of(df, micros)))
     sizes = zoned.groupBy("__zone").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__zone").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__zone", before.alias("__before"))
+    starts = F.broadcast(sizes.select("__zone", before.alias("__before")))  # RANGES rows at most
     place = F.row_number().over(Window.partitionBy("__zone").orderBy(*order))
     return zoned.withColumn("__place", place).join(starts, "__zone").withColumn(name, F.col("__before") + F.col("__place") - 1).drop("__zone", "__place", "__before")
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -196,11 +198,7 @@ def stored_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``same`` says whether the model scored the row alike before it was stored.
     """
-    rows = labelled(spark, sf_dir).withColumn("actual", F.col("label") == 1)
-    model, place, found = M.train_classifier(rows.filter("split = 'train'"), linear=True), scratch(spark, "model"), scratch(spark, "validation")
-    M.scored(rows.filter("split = 'validation'"), model).select("risk", "actual").write.parquet(found)
-    best = E.best_threshold(E.threshold_sweep(spark.read.parquet(found)), 0.4).first()
-    M.save_model(model, place, best["precision_threshold"], best["best_f1_threshold"], spark)
+    place, model, rows = stored_model(spark, sf_dir)
     again, about = M.load_model(spark, place)
     test, threshold = rows.filter("split = 'test'"), M.threshold_of(about)
     before = M.scored(test, model).select("vehicle_id", "time", F.col("risk").alias("before"))
@@ -231,23 +229,40 @@ SELECT now AS scored_at, vehicle_id, round(risk, 9) AS risk, CASE WHEN risk < {R
 def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After every micro-batch: features over the context that all batches left, each vehicle's latest if fresh, scored, held to the policy, stored.
 
-    The scorer here is a stand-in, a logistic curve of the change in delay, so that SQL can follow; any model's does.
+    The scorer here is a stand-in, a logistic curve of the change in delay, so that SQL can follow; stream_model_scores has a trained one.
     """
-    seen, out = scratch(spark, "seen"), scratch(spark, "scores")
+    return scoring_stream(spark, sf_dir, lambda rows: rows.withColumn("risk", 1 / (1 + F.exp(-F.coalesce("delay_delta_1", F.lit(0)) / 60.0))), RISK)
 
-    def features(context: DataFrame) -> DataFrame:
-        return S.with_deltas(S.with_lags(S.sample_last_non_null(context, SAMPLED, BUCKET, MONDAY)))
 
-    def score(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("risk", 1 / (1 + F.exp(-F.coalesce("delay_delta_1", F.lit(0)) / 60.0)))
+def scoring_run(context: DataFrame, now: datetime, score: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """What one run says at now of the rows seen so far."""
+    features = lambda rows: S.with_deltas(S.with_lags(S.sample_last_non_null(rows, SAMPLED, BUCKET, MONDAY)))
+    rows = V.scoring_rows(context, now, CONTEXT, features, FRESH, MOST_ROWS)
+    return A.apply_policy(score(rows).withColumn("scored_at", F.lit(now)), "scored_at", threshold, max(threshold, LOWEST), MOST_ALERTS).select("scored_at", "vehicle_id", F.round("risk", 9).alias("risk"), "reason")
 
-    def one(batch: DataFrame) -> DataFrame:
-        now = batch.agg(F.max("time")).first()[0]
-        rows = V.scoring_rows(spark.read.schema(batch.schema).parquet(seen), now, CONTEXT, features, FRESH, MOST_ROWS)
-        return A.apply_policy(score(rows).withColumn("scored_at", F.lit(now)), "scored_at", RISK, LOWEST, MOST_ALERTS).select("scored_at", "vehicle_id", F.round("risk", 9).alias("risk"), "reason")
 
+def scoring_stream(spark: SparkSession, sf_dir: str, score: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """Positions in two slices; the stream is stopped after the first and goes on from its checkpoint with the second."""
+    seen, out = scratch(spark, "seen"), scratch(spark, "scores")
+    one = lambda batch: scoring_run(spark.read.schema(batch.schema).parquet(seen), batch.agg(F.max("time")).first()[0], score, threshold)
     columns = inside(spark, sf_dir).columns
     every = positions(spark, sf_dir).withColumn("inside", within(F.col("lat"), F.col("lon")))
-    keep = lambda batch: batch.select(*columns, "inside")
-    fed(every, 2, "time", lambda stream: V.score_batches(keep(stream), lambda b: one(b), out, f"{out}-progress", seen, "inside"))
+    fed(every, 2, "time", lambda stream: V.score_batches(stream.select(*columns, "inside"), one, out, f"{out}-progress", seen, "inside"))
     return spark.read.parquet(out).drop("batch")
+
+
+def stored_model(spark: SparkSession, sf_dir: str, target: float = 0.4) -> tuple[str, PipelineModel, DataFrame]:
+    """The folder of a model that was fit on training rows and stored with the threshold that validation rows ask for; the model and all rows."""
+    rows = labelled(spark, sf_dir).withColumn("actual", F.col("label") == 1)
+    model, place, found = M.train_classifier(rows.filter("split = 'train'"), linear=True), scratch(spark, "model"), scratch(spark, "validation")
+    M.scored(rows.filter("split = 'validation'"), model).select("risk", "actual").write.parquet(found)
+    best = E.best_threshold(E.threshold_sweep(spark.read.parquet(found)), target).first()
+    M.save_model(model, place, best["precision_threshold"], best["best_f1_threshold"], spark)
+    return place, model, rows
+
+
+@query()
+def stream_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stream_scoring with a stored model, read once for all micro-batches, and its threshold."""
+    model, about = M.load_model(spark, stored_model(spark, sf_dir)[0])
+    return scoring_stream(spark, sf_dir, lambda rows: M.scored(rows, model).drop("alert"), M.threshold_of(about))
