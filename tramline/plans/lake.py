@@ -137,7 +137,7 @@ def chunked_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     since = F.timestamp_diff("HOUR", F.lit(first), F.col("time").cast("timestamp"))
     L.export_chunks(p.filter((since < 240) & (F.col("event_id") % 2 == 0)), out, 6, first)
     back = spark.read.option("header", True).schema("event_id long, time string, vehicle_id string, chunk int")
-    L.export_chunks(p, out, 6, first, list(range(40)))
+    L.export_chunks(p, out, 6, first)
     return back.csv(out).groupBy("chunk").agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids"))
 
 

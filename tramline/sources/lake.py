@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import gzip
-import io
+import re
 import zlib
 from datetime import datetime, timedelta
 
-import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,29 +164,38 @@ def compact(df: DataFrame, path: str, files: int = 4) -> None:
     dealt.sortWithinPartitions("service_date", "vehicle_id", F.desc("time")).write.mode("overwrite").option("compression", "zstd").partitionBy("service_date").parquet(path)
 
 
-def export_chunks(df: DataFrame, path: str, hours: int, first: datetime | None = None, there: list[int] | None = None) -> None:
-    """Gzipped CSV in chunks of hours, from the first hour on (that of df by default), but for chunks that are there."""
+def chunks_of(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the chunks that a folder of exports holds, as its listing says."""
+    folders = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chunk=*")
+    found = folders.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folders)
+    return sorted(int(x.getPath().getName().removeprefix("chunk=")) for x in found or ())
+
+
+def export_chunks(df: DataFrame, path: str, hours: int, first: datetime | None = None, parts: int = 4) -> None:
+    """Gzipped CSV in chunks of hours, from the first hour on (that of df by default), but for chunks that the folder holds.
+
+    A chunk is some tasks and files, whatever its share of the rows.
+    """
     first = first or df.agg(F.date_trunc("hour", F.min(F.col("time").cast("timestamp")))).first()[0]
     since = F.timestamp_diff("HOUR", F.lit(first), F.col("time").cast("timestamp"))
     chunked = df.withColumn("chunk", F.floor(since / hours).cast("int"))
+    there = chunks_of(df.sparkSession, path)
     if there:
         chunked = chunked.filter(~F.col("chunk").isin(there))
-    chunked.repartition("chunk").write.mode("append").option("header", True).option("compression", "gzip").partitionBy("chunk").csv(path)
-
-
-def gzip_state(content: pd.Series) -> pd.Series:
-    """Whether bytes are a whole gzip file."""
+    dealt = chunked.repartition("chunk", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    dealt.write.mode("append").option("header", True).option("compression", "gzip").partitionBy("chunk").csv(path)
 
-    def whole(data: bytes) -> bool:
-        try:
-            with gzip.open(io.BytesIO(data)) as file:
-                while file.read(1 << 20):
-                    pass
-        except (OSError, EOFError, zlib.error):
-            return False
-        return True
 
-    return content.map(whole)
+def whole_gzip(path: str) -> bool:
+    """Whether a file is a whole gzip; it is read as a stream, of any length."""
+    system, name = fs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", path))
+    try:
+        with system.open_input_stream(name, compression=None) as raw, gzip.GzipFile(fileobj=raw) as file:
+            while file.read(1 << 20):
+                pass
+    except (OSError, EOFError, zlib.error):
+        return False
+    return True
 
 
 def convert_files(spark: SparkSession, source: str, schema: str, out: str) -> DataFrame:
@@ -194,7 +203,7 @@ def convert_files(spark: SparkSession, source: str, schema: str, out: str) -> Da
 
     Files that are no whole gzip are left out and reported. Spark's committer renames finished output only.
     """
-    found = spark.read.format("binaryFile").load(source).select("path", F.pandas_udf(gzip_state, "boolean")("content").alias("converted"))
+    found = spark.read.format("binaryFile").load(source).select("path", F.udf(whole_gzip, "boolean")("path").alias("converted"))
     found.write.parquet(f"{out}/report")
     report = spark.read.parquet(f"{out}/report")
     good = [r["path"] for r in report.filter("converted").select("path").collect()]  # a row for each file, as any listing is
