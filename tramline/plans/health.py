@@ -180,17 +180,22 @@ def eligible_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Days before the test rows that models are tried on, days of test rows, the risk that alerts, and rows that a rate leans on its base by.
 WINDOWS, TEST_DAYS, ALERT_RISK, LEAN = (4, 8, 16, 24), 5, 0.32, 20
-BACK = PRED + f""", w AS (SELECT unnest([4, 8, 16, 24]) AS days), t0 AS (SELECT max(position_time) - INTERVAL 5 DAY AS start FROM pred),
+BACK = PRED.replace("WITH pos", "WITH RECURSIVE pos") + f""", w AS (SELECT unnest([4, 8, 16, 24]) AS days), t0 AS (SELECT max(position_time) - INTERVAL 5 DAY AS start FROM pred),
 tr AS (SELECT days, route_id, mode, actual FROM pred, w, t0 WHERE position_time >= start - to_days(days::INTEGER) AND position_time < start),
 tot AS (SELECT days, count(*) AS train_rows, avg(actual::INTEGER) AS base FROM tr GROUP BY 1),
 rate AS (SELECT days, route_id, mode, count(*) AS n, count(*) FILTER (WHERE actual) AS k FROM tr GROUP BY ALL),
-te AS (SELECT tot.days, train_rows, event_id, actual, (coalesce(k, 0) + {LEAN} * base) / (coalesce(n, 0) + {LEAN}) AS risk FROM t0, tot JOIN pred ON true LEFT JOIN rate ON rate.days = tot.days AND rate.route_id = pred.route_id AND rate.mode = pred.mode WHERE position_time >= start),
+te AS (SELECT tot.days, train_rows, event_id, vehicle_id, position_time, actual, (coalesce(k, 0) + {LEAN} * base) / (coalesce(n, 0) + {LEAN}) AS risk FROM t0, tot JOIN pred ON true LEFT JOIN rate ON rate.days = tot.days AND rate.route_id = pred.route_id AND rate.mode = pred.mode WHERE position_time >= start),
 m AS (SELECT days, any_value(train_rows) AS train_rows, count(*) FILTER (WHERE risk >= {ALERT_RISK} AND actual) / nullif(count(*) FILTER (WHERE risk >= {ALERT_RISK}), 0) AS precision, count(*) FILTER (WHERE risk >= {ALERT_RISK} AND actual) / count(*) FILTER (WHERE actual) AS recall,
   count(*) FILTER (WHERE risk >= {ALERT_RISK}) AS alerts, count(*) AS test_rows FROM te GROUP BY 1),
 top AS (SELECT days, avg(actual::INTEGER) AS top_precision FROM (SELECT *, row_number() OVER (PARTITION BY days ORDER BY round(risk, 9) DESC, event_id) AS place, count(*) OVER (PARTITION BY days) AS n FROM te) WHERE place <= greatest(1, round_even(n * 0.01, 0)) GROUP BY 1),
 u AS (SELECT days, round(risk, 9) AS risk, count(*) FILTER (WHERE actual) AS p, count(*) AS n FROM te GROUP BY ALL), c AS (SELECT *, sum(p) OVER k AS tp, sum(n) OVER k AS al FROM u WINDOW k AS (PARTITION BY days ORDER BY risk DESC)),
 ap AS (SELECT days, sum(p * tp / al) / sum(p) AS average_precision FROM c GROUP BY 1),
-b AS (SELECT days::INTEGER AS days, train_rows, precision, recall, top_precision, average_precision, alerts FROM m JOIN top USING (days) JOIN ap USING (days))"""
+aa AS (SELECT days, vehicle_id, position_time, row_number() OVER (PARTITION BY days, vehicle_id ORDER BY position_time, event_id) AS n FROM te WHERE risk >= {ALERT_RISK}),
+fo AS (SELECT days, vehicle_id, n, position_time AS last, true AS kept FROM aa WHERE n = 1
+  UNION ALL SELECT aa.days, aa.vehicle_id, aa.n, CASE WHEN aa.position_time - fo.last >= INTERVAL 30 MINUTE THEN aa.position_time ELSE fo.last END, aa.position_time - fo.last >= INTERVAL 30 MINUTE
+  FROM fo JOIN aa ON aa.days = fo.days AND aa.vehicle_id = fo.vehicle_id AND aa.n = fo.n + 1),
+ev AS (SELECT days, count(*) FILTER (WHERE kept) AS event_alerts FROM fo GROUP BY 1),
+b AS (SELECT days::INTEGER AS days, train_rows, precision, recall, top_precision, average_precision, alerts, coalesce(event_alerts, 0)::BIGINT AS event_alerts FROM m JOIN top USING (days) JOIN ap USING (days) LEFT JOIN ev USING (days))"""
 
 
 def backtest_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,10 +207,10 @@ def backtest_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.backtest(rows, list(WINDOWS), start, M.rates(["route_id", "mode"], LEAN), ALERT_RISK)
 
 
-@query(BACK + " SELECT days, train_rows, round(precision, 9) AS precision, round(recall, 9) AS recall, round(top_precision, 9) AS top_precision, round(average_precision, 9) AS average_precision, alerts FROM b")
+@query(BACK + " SELECT days, train_rows, round(precision, 9) AS precision, round(recall, 9) AS recall, round(top_precision, 9) AS top_precision, round(average_precision, 9) AS average_precision, alerts, event_alerts FROM b")
 def window_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model of each training window, measured on the rows that come later."""
-    return rounded(backtest_of(spark, sf_dir).drop("event_alerts"))
+    return rounded(backtest_of(spark, sf_dir))
 
 
 @query(BACK + """, s AS (SELECT *, 0.4 * coalesce(precision, 0) + 0.2 * coalesce(recall, 0) + 0.2 * coalesce(top_precision, 0) + 0.2 * coalesce(average_precision, 0) - CASE WHEN alerts = 0 THEN 0.2 ELSE 0 END AS score FROM b WHERE train_rows >= 100),
