@@ -282,7 +282,7 @@ class Json:
 
     def usable(self, path: str) -> Column:
         """Whether members can be asked for: an object, or nothing at all."""
-        return self.empty(path) | F.startswith(self.kind(path), F.lit("OBJECT"))
+        return F.startswith(self.kind(path), F.lit("OBJECT")) | self.empty(path)
 
 
 def parse_feed(snapshots: DataFrame) -> DataFrame:
@@ -299,7 +299,8 @@ def parse_feed(snapshots: DataFrame) -> DataFrame:
     whole = lambda c: F.when(c.isNotNull(), c.try_cast("int"))
     typed_text = F.regexp_extract(j.text(f"{gtfs}.route_type"), r"^\s*([+-]?[0-9]+)\s*$", 1)
     delay = j.number("properties.delay")
-    kept = f.filter(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))).filter(
+    # A feature that is no object has no id.
+    kept = f.filter(
         j.usable("properties") & j.usable(trip) & j.usable(gtfs) & j.usable("geometry") & (delay.isNotNull() | j.usable(f"{last}.delay")))
     stops = [j.at(f"{last}.{side}.{c}", kind).alias(f"{side}_{c}") for side in ("last_stop", "next_stop") for c, kind in (("id", "string"), ("sequence", "int"), ("arrival_time", "string"), ("departure_time", "string"))]
     rows = kept.select(
