@@ -282,24 +282,10 @@ def test_lake_modes(spark, tmp_path):
     L.write_lake(df, path)
     with pytest.raises(Exception, match="already exists"):
         L.write_lake(df, path)
-    L.refresh_lake(df.filter("event_id = 2").withColumn("vehicle_id", F.lit("w")), path)
-    assert sorted(column(spark.read.parquet(path), "vehicle_id")) == ["v", "w"]
-    L.refresh_lake(df.filter("event_id = 2").withColumn("event_id", F.lit(3).cast("long")), path, ["event_id"], f"file://{tmp_path}/staging")
-    assert sorted(column(spark.read.parquet(path), "event_id")) == [1, 2, 3]
-    with pytest.raises(ValueError, match="no partitions"):
-        L.refresh_lake(df.limit(0), path)
     with pytest.raises(ValueError, match="missing"):
         L.require(df, ["event_id", "nothing"])
 
 
-def test_merge_empties_a_date(spark, tmp_path):
-    path = f"file://{tmp_path}/moved"
-    schema = "event_id long, time timestamp_ntz, vehicle_id string, service_date date"
-    L.write_lake(spark.createDataFrame([(1, at(0), "v", date(2024, 5, 18)), (2, at(0), "v", date(2024, 5, 19)), (3, at(0), "v", date(2024, 5, 19))], schema), path)
-    L.refresh_lake(spark.createDataFrame([(1, at(0), "w", date(2024, 5, 20)), (2, at(0), "w", date(2024, 5, 20))], schema), path, ["event_id"], f"file://{tmp_path}/staged")
-    assert sorted((r.event_id, r.vehicle_id, r.service_date.day) for r in spark.read.parquet(path).collect()) == [(1, "w", 20), (2, "w", 20), (3, "v", 19)]
-
-
 def test_compaction_sorts_within_files(spark, tmp_path):
     path = f"file://{tmp_path}/compact"
     L.compact(positions(spark, SF).select("event_id", "vehicle_id", "time", "service_date"), path)

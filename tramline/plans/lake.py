@@ -11,6 +11,7 @@ from tramline.functions.geo import within
 from tramline.operators import splits as X
 from tramline.plans.base import query, scratch
 from tramline.sources import lake as L
+from tramline.sources import versions
 from tramline.sources.fixtures import POS, PRED, positions, predictions, table
 
 FMT = "yyyy-MM-dd HH:mm:ss"
@@ -70,13 +71,13 @@ def lake_write_and_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _refreshed(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     out, p = scratch(spark, "lake"), positions(spark, sf_dir).select(*KEEP)
-    L.write_lake(p, out)
+    versions.refresh(p, out)
     first = p.agg(F.min("service_date")).first()[0]
     fresh = p.filter((F.col("service_date") >= F.date_add(F.lit(first), 10)) & (F.col("event_id") % 2 == 0)).withColumn("delay", F.col("delay") + 1000)
     if mode == "merge":  # some rows move to another date
         fresh = fresh.filter("event_id % 6 = 0").withColumn("service_date", F.when(F.col("event_id") % 12 == 0, F.date_add("service_date", 40)).otherwise(F.col("service_date")))
-    L.refresh_lake(fresh, out, *((["event_id"], scratch(spark, "merged")) if mode == "merge" else ()))
-    return spark.read.parquet(out).select(*KEEP)
+    versions.refresh(fresh, out, ["event_id"] if mode == "merge" else None)
+    return versions.read_versions(spark, out)
 
 
 REFRESHED = POS + ", b AS (SELECT min(service_date) + 10 AS d FROM pos) SELECT event_id, vehicle_id, time, CASE WHEN service_date >= d AND event_id % 2 = 0 THEN delay + 1000 ELSE delay END AS delay, speed, lat, lon, service_date FROM pos, b"
@@ -106,9 +107,21 @@ def write_missing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def time_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a written lake has left after old rows were deleted."""
     out, p = scratch(spark, "retention"), positions(spark, sf_dir).select(*KEEP)
-    L.write_lake(p, out)
-    L.expire(spark, out, "time", p.agg(F.max("time")).first()[0], 240, scratch(spark, "edge"))
-    return spark.read.parquet(out).select("event_id", "time")
+    versions.refresh(p, out)
+    versions.expire(spark, out, "time", p.agg(F.max("time")).first()[0], 240)
+    return versions.read_versions(spark, out).select("event_id", "time")
+
+
+@query(POS + "SELECT lists, event_id, service_date FROM pos, (SELECT unnest([1, 2]) AS lists) WHERE lists = 1 OR time >= (SELECT max(time) - INTERVAL 240 HOUR FROM pos)")
+def lake_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lake before and after its old rows went, each as its list says; what no list names was swept away."""
+    out, p = scratch(spark, "versions"), positions(spark, sf_dir).select(*KEEP)
+    versions.refresh(p.filter("event_id % 2 = 0"), out)
+    versions.refresh(p, out)
+    versions.expire(spark, out, "time", p.agg(F.max("time")).first()[0], 240)
+    versions.sweep(spark, out, 2, 0)
+    before, after = (versions.read_versions(spark, out, n).select(F.lit(n - 1).alias("lists"), "event_id", "service_date") for n in (2, 3))
+    return before.unionByName(after)
 
 
 @query(POS + "SELECT event_id, time, delay, lat FROM pos WHERE time >= (SELECT max(time) - INTERVAL 5 DAY FROM pos) AND time < (SELECT max(time) - INTERVAL 2 DAY FROM pos)")
