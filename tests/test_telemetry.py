@@ -394,6 +394,20 @@ def test_backtest_fits_on_its_window_alone(spark):
     assert (found[5].train_rows, found[5].alerts, found[25].train_rows, found[25].alerts) == (20, 0, 100, 20) and found[25].precision == 0 and found[25].event_alerts == 5
 
 
+def test_backtest_of_trees_tells_windows_apart(spark):
+    """What says 'late' turns around after day 10: trees of the short window know it, those of the long one mostly the old rule."""
+    rows = [(k, f"v{k % 7}", T0 + timedelta(days=d, minutes=k % 1000), k * 37 % 100, (k * 37 % 100 >= 50) == (d >= 10)) for d in range(15) for k in range(1000 * d, 1000 * d + (30 if d >= 10 else 90))]
+    df = spark.createDataFrame(rows, "event_id long, vehicle_id string, time timestamp_ntz, delay int, actual boolean")
+    seen = []
+    keep = lambda found: seen.append(found.columns) or found
+    got = {n: {r.days: r for r in M.backtest(df, [3, 13], T0 + timedelta(days=13), M.classifier(False, 3), 0.5, "time", 15, keep, n).collect()} for n in (1, 2)}
+    assert got[1] == got[2] and len(seen) == 4
+    short, long = got[1][3], got[1][13]
+    assert (short.train_rows, short.average_precision, short.precision) == (90, 1.0, 1.0) and short.event_alerts < short.alerts
+    assert long.train_rows == 990 and long.precision < 0.5
+    assert M.choose_window(M.backtest(df, [3, 13], T0 + timedelta(days=13), M.classifier(False, 3), 0.5, "time"), 50, 0.6).first().days == 3
+
+
 def test_categories_without_value_take_the_most_frequent(spark):
     rows = [("bus", 1.0), ("tram", 2.0), ("tram", 3.0), ("ale's", None), ("ale's", 9.0), (None, 5.0)]
     df = M.prepared(spark.createDataFrame(rows, "mode string, delay double"), ["delay"], ["mode"])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -132,6 +134,12 @@ def area_under_roc(df: DataFrame, model: PipelineModel) -> float:
     return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(model.transform(prepared(df)))
 
 
+def side_by_side(spark: SparkSession, f: Callable, items: list, at_once: int = 4) -> list:
+    """f of every item, in order; the jobs of at_once items run at a time, since a small tree's jobs leave most cores idle."""
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(f), items))
+
+
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 
 
@@ -147,31 +155,38 @@ def rates(keys: list[str], lean: float) -> Fit:
     return fit
 
 
-def classifier(linear: bool = True, iterations: int = 200) -> Fit:
+def classifier(linear: bool = True, iterations: int = 200, bins: int = 127) -> Fit:
     """Logistic regression or boosted trees on feature rows."""
 
     def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        model = train_classifier(train.withColumn("label", F.col("actual").cast("int")), linear, iterations)
+        model = train_classifier(train.withColumn("label", F.col("actual").cast("int")), linear, iterations, bins=bins)
         return lambda df: scored(df, model).drop("alert")
 
     return fit
 
 
-def backtest(rows: DataFrame, windows: list[int], start: datetime, fit: Fit, alert_risk: float, time: str = "position_time", minutes: float = 30) -> DataFrame:
+def backtest(
+    rows: DataFrame, windows: list[int], start: datetime, fit: Fit, alert_risk: float, time: str = "position_time", minutes: float = 30,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df, at_once: int = 4,
+) -> DataFrame:
     """For each window of days before start a model is fit on its rows alone and measured on all rows from start on.
 
     Measures: rows it was fit on; precision and recall at alert_risk; precision of the riskiest hundredth; average
-    precision; alerts, and those that a cooldown leaves.
+    precision; alerts, and those that a cooldown leaves. Models of at_once windows are fit at a time, as jobs side by
+    side; keep may store a window's scored rows, which are read several times.
     """
     test, out = rows.filter(F.col(time) >= F.lit(start)), None
-    for days in windows:
-        train = rows.filter((F.col(time) >= F.lit(start - timedelta(days=days))) & (F.col(time) < F.lit(start)))
-        found = fit(train)(test)
+
+    def train_of(days: int) -> DataFrame:
+        return rows.filter((F.col(time) >= F.lit(start - timedelta(days=days))) & (F.col(time) < F.lit(start)))
+
+    results = side_by_side(rows.sparkSession, lambda days: keep(fit(train_of(days))(test)), windows, at_once)
+    for days, found in zip(windows, results, strict=True):
         at = E.metrics(found, F.col("risk") >= alert_risk).select("precision", "recall", (F.col("tp") + F.col("fp")).alias("alerts"))
         top = E.top_fractions(found, (0.01,), "event_id").select(F.col("precision").alias("top_precision"))
         events = cooldown(found.filter(F.col("risk") >= alert_risk).select("vehicle_id", time, "event_id"), minutes, time).agg(F.count("*").alias("event_alerts"))
         ranked = E.ranking(found).select("average_precision")
-        one = train.agg(F.count("*").alias("train_rows")).select(F.lit(days).alias("days"), "train_rows")  # every part has one row
+        one = train_of(days).agg(F.count("*").alias("train_rows")).select(F.lit(days).alias("days"), "train_rows")  # every part has one row
         for part in (at.select("precision", "recall"), top, ranked, at.select("alerts"), events):
             one = one.crossJoin(F.broadcast(part))
         out = one if out is None else out.unionByName(one)

@@ -37,3 +37,10 @@ def scratch(spark: SparkSession, label: str) -> str:
         top = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as read from a new folder, so that several readers don't make its rows again."""
+    out = scratch(df.sparkSession, label)
+    df.write.parquet(out)
+    return df.sparkSession.read.parquet(out)

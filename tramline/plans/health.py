@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tramline.operators import models as M
 from tramline.operators import quality as Q
 from tramline.plans.alerting import POLICY, policy_of, rounded
-from tramline.plans.base import query, scratch
+from tramline.plans.base import query, scratch, written
 from tramline.plans.features import FEATURES, LAGS, TARGET, features_of, samples
 from tramline.plans.trajectories import SEG, segments_of
 from tramline.sources import lake as L
@@ -199,12 +199,9 @@ b AS (SELECT days::INTEGER AS days, train_rows, precision, recall, top_precision
 
 
 def backtest_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scratch(spark, "backtest")
-    p = predictions(spark, sf_dir)
-    p.select("event_id", "vehicle_id", "position_time", "route_id", "mode", "actual").write.parquet(out)
-    rows = spark.read.parquet(out)
+    rows = written(predictions(spark, sf_dir).select("event_id", "vehicle_id", "position_time", "route_id", "mode", "actual"), "backtest")
     start = rows.agg(F.max("position_time")).first()[0] - timedelta(days=TEST_DAYS)
-    return M.backtest(rows, list(WINDOWS), start, M.rates(["route_id", "mode"], LEAN), ALERT_RISK)
+    return M.backtest(rows, list(WINDOWS), start, M.rates(["route_id", "mode"], LEAN), ALERT_RISK, keep=lambda found: written(found, "window"))
 
 
 @query(BACK + " SELECT days, train_rows, round(precision, 9) AS precision, round(recall, 9) AS recall, round(top_precision, 9) AS top_precision, round(average_precision, 9) AS average_precision, alerts, event_alerts FROM b")

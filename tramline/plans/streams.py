@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from tramline.operators import evaluation as E
 from tramline.operators import models as M
 from tramline.operators import sampling as S
 from tramline.operators import splits as X
-from tramline.plans.base import query, scratch
+from tramline.plans.base import query, scratch, written
 from tramline.plans.features import BUCKET, IN, SAMPLED, delay_features, inside
 from tramline.plans.lake import messages_of
 from tramline.plans.trajectories import ARR, BOX, HAV, INTER, LONGEST, MAX_GAP, MAX_SPEED, SHORTEST, STEP, arrivals
@@ -170,28 +170,51 @@ def train_regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures on validation and test rows for growing numbers of training rows, with the threshold that the validation rows ask for."""
+    """Measures of boosted trees on validation and test rows for growing numbers of training rows, with the threshold that the validation rows ask for."""
     rows = labelled(spark, sf_dir).withColumn("actual", F.col("label") == 1)
     train = rows.filter("split = 'train'").drop("split")
     n, out = train.count(), None
-    for share in (0.25, 0.5, 1.0):
-        part = X.spread_indices(train, ["time", "vehicle_id"], max(2, int(n * share)))
-        model = M.train_classifier(part, linear=True)
-        threshold = None
+    sizes = [max(2, int(n * share)) for share in (0.25, 0.5, 1.0)]
+
+    def measured(size: int) -> DataFrame:
+        kept = scratch(spark, "curve")
+        model = M.train_classifier(written(X.spread_indices(train, ["time", "vehicle_id"], size), "sample"), iterations=ITERATIONS)
+        M.scored(rows.filter("split <> 'train'"), model).select("vehicle_id", "time", "risk", "actual", "split").write.parquet(kept)
+        return spark.read.parquet(kept)
+
+    for size, both in zip(sizes, M.side_by_side(spark, measured, sizes), strict=True):
+        best = E.best_threshold(E.threshold_sweep(both.filter("split = 'validation'")), 0.4).first()
+        threshold = best["precision_threshold"] or best["best_f1_threshold"]
         for split in ("validation", "test"):
-            kept = scratch(spark, "curve")
-            M.scored(rows.filter(F.col("split") == split), model).select("vehicle_id", "time", "risk", "actual").write.parquet(kept)
-            found = spark.read.parquet(kept)
-            if threshold is None:
-                best = E.best_threshold(E.threshold_sweep(found), 0.4).first()
-                threshold = best["precision_threshold"] or best["best_f1_threshold"]
+            found = both.filter(F.col("split") == split)
             at = E.metrics(found, F.col("risk") >= threshold).select(F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
             top = E.top_fractions(found.withColumn("event_id", F.xxhash64("vehicle_id", "time")), (0.01,), "event_id").select(F.round("precision", 6).alias("top_precision"))
-            one = _quality(found, "logistic").crossJoin(F.broadcast(top)).crossJoin(F.broadcast(at)).withColumns({"rows": F.lit(int(n * share)), "split": F.lit(split), "threshold": F.lit(threshold).cast("double")})
+            one = _quality(found, "boosted trees").crossJoin(F.broadcast(top)).crossJoin(F.broadcast(at)).withColumns({"rows": F.lit(size), "split": F.lit(split), "threshold": F.lit(threshold).cast("double")})
             out = one if out is None else out.unionByName(one)
     return out
 
 
+#: Training windows in days, and days of test rows, of the backtest of trees; the precision that it asks for.
+TREE_WINDOWS, TREE_TEST_DAYS, TREE_PRECISION = (8, 16, 24), 5, 0.3
+
+
+@query()
+def window_backtest_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees of each training window, measured on later rows with the alerts that a cooldown leaves; ``chosen`` is the window to take.
+
+    The windows are nested: all filter one prepared table of features, which is written once.
+    """
+    rows = labelled(spark, sf_dir).withColumns({"actual": F.col("label") == 1, "event_id": F.xxhash64("vehicle_id", "time")})
+    start = rows.agg(F.max("time")).first()[0] - timedelta(days=TREE_TEST_DAYS)
+    keep = lambda found: written(found.select("event_id", "vehicle_id", "time", "risk", "actual"), "window")
+    measured = scratch(spark, "windows")
+    M.backtest(rows, list(TREE_WINDOWS), start, M.classifier(linear=False, iterations=ITERATIONS), 0.5, "time", 15, keep).write.parquet(measured)
+    found = spark.read.parquet(measured)
+    chosen = M.choose_window(found, 100, TREE_PRECISION).select("days", F.lit(True).alias("chosen"))
+    shown = {c: F.round(c, 6) for c in ("precision", "recall", "top_precision", "average_precision")}
+    return found.withColumns(shown).join(F.broadcast(chosen), "days", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+
+
 @query()
 def stored_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model is fit, its threshold chosen on validation rows, both stored and read back; the stored ones score the test rows.
