@@ -373,6 +373,21 @@ def test_written_shards(spark, docs, tmp_path, monkeypatch):
     assert back.drop("shard", "slot").exceptAll(docs).isEmpty() and docs.exceptAll(back.drop("shard", "slot")).isEmpty()
 
 
+def test_sharding_query_moves_whole_documents(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sharding, "shuffled", lambda records, *a, shuffled=sharding.shuffled: seen.append(records.columns) or shuffled(records, *a))
+    registry.queries()["op4_sharding"](spark, SF)
+    assert set(docs.columns) <= set(seen[0])
+
+
+def test_copies_of_long_texts_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 10_000)
+    rows = spark.createDataFrame([(k if k < 90 else 7, "t" * 1000, 1016) for k in range(110)], "doc_id int, text string, size long")
+    found = [r.doc_id for r in sharding.shuffled(rows, 1).orderBy("__position").collect()]
+    at = [k for k, i in enumerate(found) if i == 7]
+    assert sorted(found) == sorted([*range(90), *[7] * 20]) and len(at) == 21 and at[-1] - at[0] > 40
+
+
 def test_sharding_query(spark, docs):
     found = registry.queries()["op4_sharding"](spark, SF)
     assert found.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]

@@ -23,7 +23,7 @@ from tramline.llm.common import small, stored, table, unsigned_crc32
 
 SHARDS = 40
 #: Bytes and records that one bucket holds on average, at most; and buckets at least.
-BUCKET_BYTES, BUCKET_ROWS, LEAST_BUCKETS = 128 << 20, 50_000, 16
+BUCKET_BYTES, BUCKET_ROWS, LEAST_BUCKETS = 16 << 20, 50_000, 16
 #: Rows of a file of a written shard, about.
 FILE_ROWS = 20_000
 #: Equal records up to which they may share a bucket.
@@ -38,8 +38,8 @@ def shuffled(records: DataFrame, seed: int, size: str = "size", buckets: int | N
     """records with ``__position``, 0 to n - 1 in a uniform random order that seed and the records decide.
 
     A record's key is the hash of all its fields as JSON, so equal records would share a bucket; those with more than
-    COPIES copies, which are too few for a table of their hashes to be large, are counted, made anew and hashed with
-    the number of their copy. So no bucket grows with the number of records or copies, and the order stays the same
+    COPIES copies, or with more bytes than a bucket, which are too few for a table of their hashes to be large, are
+    counted, made anew and hashed with the number of their copy. So no bucket grows with the number of records or copies, and the order stays the same
     whichever copy comes first.
     """
     whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns]), {"ignoreNullFields": "false"})
@@ -48,7 +48,8 @@ def shuffled(records: DataFrame, seed: int, size: str = "size", buckets: int | N
         rows, total = base.agg(F.count("*"), F.coalesce(F.sum(f"__record.{size}"), F.lit(0))).first()
         buckets = bucket_count(rows, total)
     keyed = base.select("__record", F.col("__hash").alias("__key"))
-    many = stored(base.groupBy("__hash").agg(F.count("*").alias("__n")).filter(F.col("__n") > COPIES).select("__hash"), "shard-copies")
+    copied = base.groupBy("__hash").agg(F.count("*").alias("__n"), F.sum(f"__record.{size}").alias("__bytes"))
+    many = stored(copied.filter((F.col("__n") > COPIES) | (F.col("__n") > 1) & (F.col("__bytes") > BUCKET_BYTES)).select("__hash"), "shard-copies")
     if not many.isEmpty():
         hot = base.join(small(many, 8), "__hash", "left_semi").groupBy("__hash", F.to_json("__record", {"ignoreNullFields": "false"}).alias("__json"))
         copies = hot.agg(F.first("__record").alias("__record"), F.count("*").alias("__n")).select("__record", "__hash", F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("__copy"))
@@ -71,17 +72,21 @@ def shard(records: DataFrame, shards: int = SHARDS, seed: int = 7, size: str = "
     return out.select(*records.columns, F.pmod(at, n).cast("int").alias("shard"), F.floor(at / n).cast("long").alias("slot"))
 
 
+def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:
+    """All columns of docs, whole texts among them, shuffled, with ``shard`` and ``slot``."""
+    sized = docs.withColumn("__size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)
+    return shard(sized, shards, seed, "__size").drop("__size")
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 7) -> None:
     """All columns of docs, shuffled, as one folder of Parquet files for each shard, in slot order within a file."""
-    sized = docs.withColumn("__size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)
-    out = shard(sized, shards, seed, "__size").drop("__size")
+    out = sharded(docs, shards, seed)
     out.repartition("shard", F.floor(F.col("slot") / FILE_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size"),
-        unsigned_crc32(F.col("text")).alias("text_crc32"),
+    """Size and checksum are those of the texts that arrive in the shards."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    return sharded(table(spark, sf_dir, "documents")).select(
+        "doc_id", size.alias("size"), unsigned_crc32(F.col("text")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
-    return shard(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
