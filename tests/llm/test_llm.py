@@ -771,6 +771,21 @@ def test_wrappers_stay_small(spark):
     assert parts(wrapper) < 4 * wrappers.MOST_PARTS
 
 
+def test_no_group_is_lost_beyond_the_most_parts(spark):
+    """More different parts than a wrapper tells apart: an article among unknown tags, hints, and template text."""
+    text = lambda k: f"{'story ' * 40}{k}"
+    other = "".join(f"<x-{'a' * k}>other {k}</x-{'a' * k}>" for k in range(1, 80))
+    pages = [("http://tags/", f"<body>{other}<y-body><article><h1>T{k}</h1><p>{text(k)}</p></article></y-body></body>") for k in range(6)]
+    assert _main_texts(spark, pages) == [f"T{k}\n{text(k)}" for k in range(6)]
+    many = "".join(f'<div class="{chr(97 + j % 26) * (2 + j // 26)}"><p>part {j}</p></div>' for j in range(80))
+    parts = "\n".join(f"part {j}" for j in range(80))
+    pages = [("http://hints/", f"<article><h1>T{k}</h1>{many}<div class=share>Share {k}</div></article>") for k in range(6)]
+    assert _main_texts(spark, pages) == [f"T{k}\n{parts}" for k in range(6)]
+    classes = lambda k: "".join(f'<div class="{chr(97 + j % 26) * (2 + j // 26)}"><p>part {j} of the story {k}</p></div>' for j in range(80))
+    pages = [("http://fixed/", f"<body><h1>T{k}</h1><section><p>Read us every day</p></section>{classes(k)}</body>") for k in range(6)]
+    assert _main_texts(spark, pages) == ["\n".join([f"T{k}", *(f"part {j} of the story {k}" for j in range(80))]) for k in range(6)]
+
+
 def test_text_of_copies_stays(spark):
     own = "<article><h1>Head {k}</h1><p>" + "story{k} " * 60 + "</p>{more}</article>"
     copied = own.format(k="c", more="<blockquote>quoted</blockquote>")

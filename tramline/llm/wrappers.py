@@ -16,8 +16,10 @@ it an element goes for it only if the wrapper shows that element on several diff
 has too few pages to show anything. Other attributes say nothing, and headings are never hints. Neighbours of one tag without class names are
 one repeated group, so without an article element nothing tells such neighbours apart.
 
-Wrappers are bounded: elements nested deeper than DEPTH count as parts of the one at that depth, and of more than
-MOST_PARTS parts of an element those with one tag become one repeated group. No text is lost by either.
+Wrappers are bounded: elements nested deeper than DEPTH count as parts of the one at that depth, and more than MOST_PARTS
+parts of an element become repeated groups, one for each key or, if these are too many, for each tag and one for all tags
+that aren't HTML's. No part is dropped, and neither hints nor template text depend on these groups: the pages that have
+them are counted exactly, beside the wrappers.
 
 Defined cases: a null or empty page has the empty text; very long and deeply nested pages are read whole, in time linear
 in their length; a tag that never ends is text; repeated rows have equal texts; a host with one page gets its wrapper
@@ -40,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import stored, table
+from tramline.llm.common import small, stored, table
 from tramline.llm.urlfilter import host
 
 #: Bytes that the hosts' rules may have to be sent to every executor; above, they are joined by host.
@@ -76,6 +78,8 @@ SIMPLE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*)>")
 STOP = re.compile(r">|=\s*(?:\"[^\"]*\"|'[^']*')")
 #: Elements that a wrapper tells apart where there are too many others.
 KNOWN = FURNITURE | HEADINGS | ENDS_P | frozenset("li dt dd tr td th tbody thead tfoot caption summary details figcaption body html title".split())
+#: The key of the group of all elements with other tags than these.
+OTHER = "*"
 RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 #: One attribute after the other: name, and value in any quotes.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -180,6 +184,8 @@ class Page:
         self.stack: list[tuple[str, Node]] = [("#", self.root)]
         self.open: Counter[str] = Counter()
         self.text: list[str] = []
+        #: Keys of the elements that a class or id hints at.
+        self.hints: set[str] = set()
         for kind, what, attributes in tokens(source):
             if kind == "text":
                 self.text.append(what)
@@ -218,6 +224,8 @@ class Page:
         else:
             node = Node(key, kind, parent)
             parent.children.append(node)
+            if kind == 2:
+                self.hints.add(key)
         if tag not in VOID:
             self.stack.append((tag, node))
             self.open[tag] += 1
@@ -252,16 +260,21 @@ def expression(node: Node, own: dict[int, list[str]], page: int = 0) -> list:
 
 
 def bounded(parts: list[list]) -> list[list]:
-    """parts, or, if they are too many, one repeated group for each tag in them, furniture apart."""
-    if len(parts) <= MOST_PARTS:
-        return parts
-    groups: dict[tuple[str, int], list] = {}
-    for part in parts:
-        named = [part[0].partition(".")[0], *part[1:]]
-        group = named[0], part[2]
-        groups[group] = repeat(groups[group], named) if group in groups else named
-    # Tags that are no element's name have no bound either.
-    return list(groups.values()) if len(groups) <= MOST_PARTS else [g for (tag, _), g in groups.items() if tag in KNOWN]
+    """parts, or, if they are too many, one repeated group for each key in them, then for each tag, furniture apart."""
+    for name in (str, _tag, lambda key: _tag(key) if _tag(key) in KNOWN else OTHER):
+        if len(parts) <= MOST_PARTS:
+            break
+        groups: dict[tuple[str, int], list] = {}
+        for part in parts:
+            named = [name(part[0]), *part[1:]]
+            group = named[0], part[2]
+            groups[group] = repeat(groups[group], named) if group in groups else named
+        parts = list(groups.values())
+    return parts
+
+
+def _tag(key: str) -> str:
+    return key.partition(".")[0]
 
 
 def _hex(texts: Iterable[str]) -> str:
@@ -313,13 +326,23 @@ def align(a: list, b: list) -> list:
     return [a[0], _mark(a[1], b[1]), max(a[2], b[2]) if 0 in (a[2], b[2]) else min(a[2], b[2]), _pages(a[3], b[3]), a[4] + b[4], a[5] if a[5] == b[5] else "", bounded(folded), a[7] if a[7] == b[7] else ""]
 
 
-def page_expression(source: str) -> list:
-    page = Page(source)
+def own_texts(page: Page) -> dict[int, list[str]]:
     own: dict[int, list[str]] = {}
     for node, text in page.blocks:
         own.setdefault(id(node), []).append(text)
-    varying = [text for node, text in page.blocks if not node.hidden]
-    return expression(page.root, own, hash_of([max(varying, key=len, default="")]))
+    return own
+
+
+def page_hash(page: Page) -> int:
+    return hash_of([max((text for node, text in page.blocks if not node.hidden), key=len, default="")])
+
+
+def expression_of(page: Page) -> list:
+    return expression(page.root, own_texts(page), page_hash(page))
+
+
+def page_expression(source: str) -> list:
+    return expression_of(Page(source))
 
 
 def _length(x: list) -> int:
@@ -370,40 +393,27 @@ def _find(x: list, wanted: str, path: list[str]) -> list[tuple[int, list[str]]]:
     return found
 
 
-def template_of(wrapper: list, article: list[str]) -> list[str]:
-    """Keys of the parts beside the article's own, where no element names it, with one text on most of several distinct pages."""
-    at = wrapper
-    for key in article:
-        at = next(x for x in at[6] if x[0] == key)
-    if {x.partition(".")[0] for x in article} & {"article", "main"}:
-        return []
-    sample = set(wrapper[3])
-    often = [x for x in at[6] if not x[2] and len(sample.intersection(x[3])) >= TEMPLATE_PAGES and 2 * len(sample.intersection(x[3])) > len(sample)]
-    return sorted(x[0] for x in often if x[0].partition(".")[0] not in HEADINGS and _length(x) and x[7] and sum(y[0] == x[0] for y in at[6]) == 1)
-
-
-def hints_of(wrapper: list) -> list[str] | None:
-    """Keys of the hints that stand on several distinct pages; None if the host has no several pages."""
-    if len(wrapper[3]) < TEMPLATE_PAGES:
-        return None
-    seen: dict[str, set[int]] = {}
-    todo = [wrapper]
-    while todo:
-        at = todo.pop()
-        if at[2] == 2:
-            seen.setdefault(at[0], set()).update(at[3])
-        todo += at[6]
-    return sorted(k for k, pages in seen.items() if len(pages) >= TEMPLATE_PAGES)
-
-
 def rules_of(wrapper: list) -> str:
-    article = article_of(wrapper)
-    return json.dumps([article, template_of(wrapper, article), hints_of(wrapper)], ensure_ascii=False)
+    """Rules of a page that has no host to count on."""
+    return json.dumps([article_of(wrapper), [], None], ensure_ascii=False)
 
 
 def _is(key: str, wanted: str) -> bool:
     """Whether an element's key is a wrapper's, which may be of a group by tag."""
-    return key == wanted or key.partition(".")[0] == wanted
+    return wanted in (key, _tag(key)) or wanted == OTHER and _tag(key) not in KNOWN
+
+
+def beside(page: Page, article: list[str]) -> dict[str, list[tuple[str, int]]]:
+    """Hash of all text, and its length, of every part of the article's place, by key."""
+    own, places = own_texts(page), [page.root]
+    for wanted in article:
+        places = [child for node in places for child in node.children if _is(child.key, wanted)]
+    found: dict[str, list[tuple[str, int]]] = {}
+    for node in places:
+        for child in node.children:
+            part = expression(child, own)
+            found.setdefault(child.key, []).append((part[7] if not child.kind else "", _length(part)))
+    return found
 
 
 def extract(source: str, rules: str | None) -> str:
@@ -433,22 +443,33 @@ def extract(source: str, rules: str | None) -> str:
     return "\n".join(text for _, text in blocks)
 
 
+FOLDED = "host string, part int, wrapper string, hint string, pages array<long>"
+
+
 def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    """A wrapper for each host of the partition."""
+    """A wrapper for each host of the partition; and for each host and hint the pages that have it, as many as count."""
     part = TaskContext.get().partitionId()
     wrappers: dict[str, list] = {}
+    hints: dict[tuple[str, str], set[int]] = {}
     for batch in batches:
         for name, source in zip(batch["host"], batch["html"], strict=True):
-            found = page_expression(source or "")
+            page = Page(source or "")
+            found = expression_of(page)
             wrappers[name] = align(wrappers[name], found) if name in wrappers else found
-        if len(wrappers) > 5000:
-            yield _frame(wrappers, part)
-            wrappers = {}
-    yield _frame(wrappers, part)
+            for key in page.hints:
+                pages = hints.setdefault((name, key), set())
+                if len(pages) < TEMPLATE_PAGES:
+                    pages.update(found[3])
+        if len(wrappers) > 5000 or len(hints) > 50_000:
+            yield _frame(wrappers, hints, part)
+            wrappers, hints = {}, {}
+    yield _frame(wrappers, hints, part)
 
 
-def _frame(wrappers: dict[str, list], part: int) -> pd.DataFrame:
-    return pd.DataFrame([(k, part, json.dumps(v, ensure_ascii=False)) for k, v in wrappers.items()], columns=["host", "part", "wrapper"])
+def _frame(wrappers: dict[str, list], hints: dict[tuple[str, str], set[int]], part: int) -> pd.DataFrame:
+    rows = [(k, part, json.dumps(v, ensure_ascii=False), None, None) for k, v in wrappers.items()]
+    rows += [(k, part, None, key, sorted(pages)) for (k, key), pages in hints.items()]
+    return pd.DataFrame(rows, columns=["host", "part", "wrapper", "hint", "pages"])
 
 
 def _fold_group(rows: pd.DataFrame) -> pd.DataFrame:
@@ -459,19 +480,60 @@ def _fold_group(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(rows["host"].iloc[0], int(rows["part"].iloc[0]), json.dumps(wrapper, ensure_ascii=False))], columns=["host", "part", "wrapper"])
 
 
-def infer(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON) of every host of pages (host, html)."""
+def infer(folded: DataFrame) -> DataFrame:
+    """host and wrapper (JSON) of every host of folded partitions."""
     schema = "host string, part int, wrapper string"
-    first = stored(pages.select("host", "html").mapInPandas(_fold_batches, schema), "wrappers")
+    first = folded.filter("wrapper IS NOT NULL").select("host", "part", "wrapper")
     parts = first.agg(F.coalesce(F.max("part"), F.lit(0)).alias("n")).first()["n"] + 1
     groups = max(1, int(parts**0.5))
     some = first.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("host", "part").applyInPandas(_fold_group, schema)
     return some.groupBy("host").applyInPandas(_fold_group, schema).select("host", "wrapper")
 
 
-def _rules(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+def _articles(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    for batch in batches:
+        wrappers = list(map(json.loads, batch["wrapper"]))
+        paths = list(map(article_of, wrappers))
+        named = [any(_tag(x) in ("article", "main") for x in path) for path in paths]
+        several = [len(w[3]) >= TEMPLATE_PAGES for w in wrappers]
+        yield pd.DataFrame({"host": batch["host"], "article": [json.dumps(x, ensure_ascii=False) for x in paths], "named": named, "several": several})
+
+
+def _parts_beside(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    """A row for each page, without a key, and one for each key beside its article; whole is empty unless the key stands there once."""
     for batch in batches:
-        yield pd.DataFrame({"host": batch["host"], "rules": [rules_of(json.loads(w)) for w in batch["wrapper"]]})
+        rows = []
+        for name, source, article in zip(batch["host"], batch["html"], batch["article"], strict=True):
+            page = Page(source or "")
+            number = page_hash(page)
+            rows.append((name, None, "", 0, number))
+            rows += [(name, key, parts[0][0] if len(parts) == 1 else "", parts[0][1], number) for key, parts in beside(page, json.loads(article)).items() if _tag(key) not in HEADINGS]
+        yield pd.DataFrame(rows, columns=["host", "key", "whole", "length", "page"])
+
+
+def templates(pages: DataFrame, articles: DataFrame) -> DataFrame:
+    """host and keys of the parts beside the article, where no element names it, that have one text on most of several distinct pages."""
+    there = pages.join(small(articles, 200), "host").select("host", "html", "article").mapInPandas(_parts_beside, "host string, key string, whole string, length int, page long")
+    seen = there.groupBy("host", "key").agg(F.count_distinct("page").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"), F.max("length").alias("length"))
+    seen = stored(seen, "beside")
+    every = seen.filter("key IS NULL").select("host", F.col("n").alias("all"))
+    often = seen.filter("key IS NOT NULL AND least = most AND least <> '' AND length > 0").join(every, "host").filter((F.col("n") >= TEMPLATE_PAGES) & (2 * F.col("n") > F.col("all")))
+    return often.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("template"))
+
+
+def rules(pages: DataFrame) -> DataFrame:
+    """host and rules, as JSON: path of the article, keys of template text beside it, keys of hints that count (null: all do)."""
+    folded = stored(pages.select("host", "html").mapInPandas(_fold_batches, FOLDED), "wrappers")
+    articles = stored(infer(folded).mapInPandas(_articles, "host string, article string, named boolean, several boolean"), "articles")
+    seen = folded.filter("hint IS NOT NULL").select("host", "hint", F.explode("pages").alias("page")).groupBy("host", "hint").agg(F.count_distinct("page").alias("n"))
+    hints = seen.filter(F.col("n") >= TEMPLATE_PAGES).groupBy("host").agg(F.sort_array(F.collect_list("hint")).alias("hints"))
+    found = articles.join(hints, "host", "left")
+    unnamed = articles.filter("several AND NOT named")
+    none = F.array().cast("array<string>")
+    found = found.withColumn("template", none) if unnamed.isEmpty() else found.join(templates(pages, unnamed), "host", "left")
+    listed = lambda c: F.to_json(F.coalesce(c, none))
+    hinted = F.when(F.col("several"), listed("hints")).otherwise("null")
+    return found.select("host", F.concat(F.lit("["), "article", F.lit(", "), listed("template"), F.lit(", "), hinted, F.lit("]")).alias("rules"))
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -483,10 +545,10 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
-    rules = stored(infer(own).mapInPandas(_rules, "host string, rules string"), "rules")
-    size = rules.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("rules")), F.lit(0)).alias("n")).first()["n"]
+    found = stored(rules(own), "rules")
+    size = found.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("rules")), F.lit(0)).alias("n")).first()["n"]
     # Beyond that, Spark splits the pages of a large host among tasks (adaptive skew joins).
-    joined = own.join(F.broadcast(rules) if size <= BROADCAST_BYTES else rules, "host", "left")
+    joined = own.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
     return joined.select("page_id", "url", "html", "rules").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
 
 
