@@ -521,6 +521,23 @@ def test_stage_keeps_one_of_near_copies(spark):
     assert found == sorted([*map(str, _stays(texts)), "None"]) and _stays(texts) == [10, 14, 15, 16, 20, 30]
 
 
+def test_stage_takes_its_links_from_simhashes(spark, monkeypatch):
+    """Without minhashes, the closest copies are still found by their SimHashes; what isn't alike stays apart."""
+    base = [f"w{k}" for k in range(1500)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(base[::-1])), (4, "a b c"), (5, None)]
+    prints = [simhash.sign_bits(simhash.shingle_set(t or "")) for _, t in rows]
+    assert prints[0] == simhash.fingerprint(rows[0][1], 5) and 0 <= (prints[0] ^ prints[1]).bit_count() <= 2
+    banded = simhash._banded
+
+    def without(batches):
+        for part in banded(batches):
+            yield part.assign(bands=[[]] * len(part))
+
+    monkeypatch.setattr(simhash, "_banded", without)
+    kept = simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 4, 5]
+
+
 def test_tiles_are_compared_as_they_come():
     import pandas as pd
 

@@ -13,14 +13,15 @@ tiles, a group of bounded size, gives the links that connect it. Either way no l
 
 Components come from alternating large-star and small-star steps, each written to the shared folder.
 
-The pipeline's stage asks for another similarity, a Jaccard of 0.8 or more over five-word shingles. Sign bits can't find
-such pairs: two texts at 0.8 differ in 15 % of them, so that a block selective enough for billions of texts (32 bits) would
-be shared with a chance of 1 in 190, and 870 blocks a text would be needed. There, the fingerprint is a list of minhashes
-instead, which differ in 20 % of places but whose blocks of six no two unlike texts share. The steps stay: fingerprints are
-split into 32 blocks, texts are joined on them, candidates are verified by a Hamming distance (of a parity sketch of the
+The pipeline's stage asks for another similarity, a Jaccard of 0.8 or more over five-word shingles. It takes the same steps
+first: SimHashes of these shingles, blocks, Hamming check, and each link is verified by the exact Jaccard. That finds the
+closest copies. Sign bits can't find all pairs of 0.8: two such texts differ in 15 % of them, so that a block selective
+enough for billions of texts (32 bits) would be shared with a chance of 1 in 190, and 870 blocks a text would be needed.
+So a second fingerprint completes the search, a list of minhashes, which differ in 20 % of places but whose blocks of six
+no two unlike texts share. The steps stay: fingerprints are split into 32 blocks, texts are joined on them, candidates are verified by a Hamming distance (of a parity sketch of the
 shingle sets, which never exceeds the sets' true difference, so that it drops no pair), and what is left by the exact
 Jaccard. A pair of 0.8 shares no block with a chance of 6 in 100,000, one of 0.85 of 3 in ten millions. Of each block's
-texts, all are first held against its most central one; what these links connect needs no more pairs. The rest of a
+texts, all are held against its most central one; what these links and the SimHashes' connect needs no more pairs. The rest of a
 block is compared in tiles of bounded size, which send on only the pairs that their sketches allow.
 
 Defined cases: a null text has no words and, like any text without words, the fingerprint 0, which links like others;
@@ -78,11 +79,16 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     of = shingles(text, size)
     if not of:
         return 0
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in of], dtype=">u8").view(np.uint8).reshape(-1, 8)
+    return sign_bits(np.array([xxhash.xxh64_intdigest(s, SEED) for s in of], np.uint64))
+
+
+def sign_bits(hashes: np.ndarray) -> int:
+    """Bit k is 1 if it is set in over half of the 64-bit hashes, 0 if there are none; as a signed integer."""
+    octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):  # the bits of so many hashes are unpacked at once
-        counts += np.unpackbits(hashes[at : at + 8192], axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(of)).view(">i8")[0])
+    for at in range(0, len(octets), 8192):  # the bits of so many hashes are unpacked at once
+        counts += np.unpackbits(octets[at : at + 8192], axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(octets)).view(">i8")[0])
 
 
 def _prints(size: int):
@@ -260,7 +266,7 @@ def _banded(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
     for part in _parts(batches):
         sets = [shingle_set(t or "") for t in part["text"]]
         yield pd.DataFrame(
-            {"doc_id": part["doc_id"].to_numpy(), "key": part["key"].to_numpy(), "node": list(map(node_of, sets)), "n": list(map(len, sets)), "bands": list(map(bands, sets)), "sketch": list(map(sketch, sets))}
+            {"doc_id": part["doc_id"].to_numpy(), "key": part["key"].to_numpy(), "node": list(map(node_of, sets)), "n": list(map(len, sets)), "print": list(map(sign_bits, sets)), "bands": list(map(bands, sets)), "sketch": list(map(sketch, sets))}
         )
 
 
@@ -310,22 +316,31 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(ours, "a").join(theirs, "b").filter(under * common >= over * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def close_prints(nodes: DataFrame) -> DataFrame:
+    """(a, b), a > b: nodes whose SimHashes are within DISTANCE, not yet verified: enough to connect the prints, and all of one print to its least node."""
+    prints = stored(nodes.groupBy("print").agg(F.min("node").alias("least")), "stage-prints")
+    same = nodes.join(prints, "print").filter(F.col("node") > F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return links(prints.select(F.col("least").alias("node"), "print")).union(same)
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, key, node and root of documents with an id: those with one root are connected by pairs of the stage's Jaccard.
 
     key is the hash of the text, so that different texts under one id stay apart.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).filter("doc_id IS NOT NULL")
-    banded = stored(keyed.mapInPandas(_banded, "doc_id long, key long, node long, n int, bands array<long>, sketch binary"), "bands")
-    nodes = stored(banded.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("place"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")]), "nodes")
+    banded = stored(keyed.mapInPandas(_banded, "doc_id long, key long, node long, n int, print long, bands array<long>, sketch binary"), "bands")
+    nodes = stored(banded.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("place"), *[F.first(c).alias(c) for c in ("n", "print", "bands", "sketch")]), "nodes")
+    alike = stored(close_prints(nodes.filter("n > 0")), "print-links")
     each = nodes.select("node", "n", F.explode("bands").alias("band"))
     sizes = each.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     shared = stored(each.join(sizes, "band"), "shared-bands")
     # A text is the more central, the more texts share its bands.
     central = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    wanted = stored(central.join(nodes, "node").select("node", "weight", "n", "sketch", "place.doc_id", "place.key"), "shared-nodes")
+    linked = alike.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stored(central.join(linked, "node", "full").join(nodes, "node").select("node", F.coalesce("weight", F.lit(0)).alias("weight"), "n", "sketch", "place.doc_id", "place.key"), "shared-nodes")
     hubs = shared.join(wanted.select("node", "weight"), "node").groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
-    against = stored(shared.join(hubs, "band").filter("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "hub-pairs")
+    against = stored(shared.join(hubs, "band").filter("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).union(alike).distinct(), "hub-pairs")
     texts = keyed.join(small(wanted.select("node", "doc_id", "key"), 24), ["doc_id", "key"]).dropDuplicates(["node"])
     sets = stored(texts.select("node", "text").mapInPandas(_sets, "node long, set array<long>"), "shingle-sets")
     first = stored(_verified(against, sets), "hub-links")
