@@ -573,3 +573,22 @@ def test_entry_without_the_training_data_folders(tmp_path, left):
     shutil.copytree(top, tmp_path / "copy", ignore=lambda _, names: gone.intersection(names))
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 90 and set(o) <= set(q) and not [n for n in q if n.startswith('op') or n == 'pipeline']"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
+
+
+def test_a_vehicle_has_one_timer():
+    """However many lives are open; what the watermark has passed ends at once, and the next life gets the timer."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    held, timers = [], set()
+    lives = V.Lives(1000)
+    lives.handle = SimpleNamespace(registerTimer=timers.add, deleteTimer=timers.remove)
+    lives.lives = SimpleNamespace(get=lambda: list(held), put=lambda new: held.__setitem__(slice(None), new), clear=held.clear)
+    rows = lambda *at: iter([Row(us=1_000_000 * s, lat=50.0, lon=14.0) for s in at])
+    assert list(lives.handleInputRows(("u",), rows(*range(20, 200, 10)), None)) == [] and len(held) == 18 and timers == {21_000}
+    list(lives.handleInputRows(("u",), rows(10), None))
+    assert timers == {11_000}
+    timers.clear()
+    found = list(lives.handleExpiredTimer(("u",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 51_000), None))
+    assert [r.last_us for r in found] == [1_000_000 * s for s in (10, 20, 30, 40, 50)] and timers == {61_000} and len(held) == 14
