@@ -592,3 +592,23 @@ def test_a_vehicle_has_one_timer():
     timers.clear()
     found = list(lives.handleExpiredTimer(("u",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 51_000), None))
     assert [r.last_us for r in found] == [1_000_000 * s for s in (10, 20, 30, 40, 50)] and timers == {61_000} and len(held) == 14
+
+
+def test_exports_are_written_without_a_sort_and_in_many_files(spark, monkeypatch):
+    """The seven files hold a remainder each, without folders, which would need a sort; converted files grow with the rows."""
+    from tramline.plans import lake
+
+    folders = []
+    monkeypatch.setattr(lake, "scratch", lambda *a, made=lake.scratch: folders.append(made(*a)) or folders[-1])
+    lake.csv_first_files(spark, "/root/testdata/sf0.001")
+    files = sorted(r.path for r in L.files_of(spark, folders[0]).collect() if r.path.endswith(".csv.gz"))
+    parts = [{int(r.speed) % 7 for r in spark.read.option("header", True).csv(f).select("speed").collect()} for f in files]
+    assert parts == [{k} for k in range(7)] and not any("part=" in f for f in files)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        lake._converted(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r.path.endswith(".csv.gz") for r in L.files_of(spark, f"{folders[1]}/csv").collect()) == 9
