@@ -206,38 +206,46 @@ NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
 class Json:
-    """Places of a VARIANT column, told apart by the kind of what stands there. A place that is missing has no kind."""
+    """One VARIANT, told apart by the kind of what it holds. A place that is missing is null and has no kind."""
 
-    def __init__(self, column: str) -> None:
-        self.column = column
+    def __init__(self, at: Column) -> None:
+        self.at = at
 
-    def at(self, path: str, kind: str = "variant") -> Column:
-        return F.try_variant_get(self.column, f"$.{path}", kind)
+    def of(self, kind: str, path: str = "$") -> Column:
+        return F.try_variant_get(self.at, path, kind)
 
-    def kind(self, path: str) -> Column:
-        return F.schema_of_variant(self.at(path))
+    @property
+    def kind(self) -> Column:
+        return F.schema_of_variant(self.at)
 
-    def text(self, path: str) -> Column:
+    def text(self) -> Column:
         """What is a string, else null."""
-        return F.when(self.kind(path) == "STRING", self.at(path, "string"))
+        return F.when(self.kind == "STRING", self.of("string"))
 
-    def number(self, path: str, boolean: bool = True) -> Column:
+    def number(self, boolean: bool = True) -> Column:
         """What is a number, and if boolean also 1 and 0 for true and false, else null."""
-        found = F.when(self.kind(path).rlike(NUMBERS), self.at(path, "double"))
-        return F.when(self.kind(path) == "BOOLEAN", self.at(path, "boolean").cast("double")).otherwise(found) if boolean else found
+        found = F.when(self.kind.rlike(NUMBERS), self.of("double"))
+        return F.when(self.kind == "BOOLEAN", self.of("boolean").cast("double")).otherwise(found) if boolean else found
 
-    def empty(self, path: str) -> Column:
+    def empty(self) -> Column:
         """Missing, null, false, 0, or without any member or character."""
-        text = F.coalesce(F.to_json(self.at(path)), F.lit("null"))
-        return text.isin("null", "false", '""', "[]", "{}") | F.coalesce(self.number(path) == 0, F.lit(False))
+        text = F.coalesce(F.to_json(self.at), F.lit("null"))
+        return text.isin("null", "false", '""', "[]", "{}") | F.coalesce(self.number() == 0, F.lit(False))
 
-    def value(self, path: str) -> Column:
+    def value(self) -> Column:
         """As text whatever is not empty, else null."""
-        return F.when(~self.empty(path), F.coalesce(self.at(path, "string"), F.to_json(self.at(path))))
+        return F.when(~self.empty(), F.coalesce(self.of("string"), F.to_json(self.at)))
 
-    def usable(self, path: str) -> Column:
-        """Whether members can be asked for: an object, or nothing at all."""
-        return F.startswith(self.kind(path), F.lit("OBJECT")) | self.empty(path)
+
+def opened(df: DataFrame, places: dict[str, str]) -> DataFrame:
+    """df with each VARIANT column ``place`` and, as ``place_``, a struct of its members as VARIANTs; null where it is no object."""
+    kind = lambda members: "struct<" + ", ".join(f"{c}: variant" for c in members.split()) + ">"
+    return df.withColumns({f"{c}_": F.try_variant_get(c, "$", kind(members)) for c, members in places.items()})
+
+
+def kept_once(df: DataFrame, condition: Column) -> DataFrame:
+    """df's rows that meet a condition on costly columns. A plain filter would be moved below them and make them a second time."""
+    return df.select("*", F.explode_outer(F.array(condition)).alias("__kept")).filter("__kept").drop("__kept")
 
 
 def parse_feed(snapshots: DataFrame) -> DataFrame:
@@ -247,26 +255,33 @@ def parse_feed(snapshots: DataFrame) -> DataFrame:
     speed counts only as a number, a route type also as the text of an integer; coordinates may be numbers or their text.
     A feature whose properties, trip, schedule part or geometry is something other than an object is lost, and so is one
     without an id or two coordinates; each costs no other.
+
+    Objects are opened one inside the other, each once, so that no path is walked again for every leaf.
     """
     each = snapshots.select("ingest_ts", F.explode(F.from_json("value", "features array<string>")["features"]).alias("text"))
-    f = each.select("ingest_ts", F.try_parse_json("text").alias("v"))
-    j, trip, gtfs, last = Json("v"), "properties.trip", "properties.trip.gtfs", "properties.last_position"
+    f = opened(each.select("ingest_ts", F.try_parse_json("text").alias("feature")), {"feature": "geometry properties"})
+    f = f.select("ingest_ts", "feature_.geometry", "feature_.properties")
+    f = opened(f, {"geometry": "coordinates", "properties": "vehicle_id route_short_name delay trip last_position"})
+    f = opened(f.withColumns({"trip": F.col("properties_.trip"), "last": F.col("properties_.last_position")}), {"trip": "vehicle_registration_number gtfs origin_route_name", "last": "delay speed state_position origin_timestamp last_stop next_stop"})
+    f = f.withColumns({"gtfs": F.col("trip_.gtfs"), "late": F.col("last_.delay"), "last_stop": F.col("last_.last_stop"), "next_stop": F.col("last_.next_stop")})
+    f = opened(f, {"gtfs": "trip_id route_short_name route_id route_type", "late": "actual", "last_stop": "id sequence arrival_time departure_time", "next_stop": "id sequence arrival_time departure_time"})
+    j = lambda path: Json(F.col(path))
+    usable = lambda c: F.col(f"{c}_").isNotNull() | j(c).empty()
     whole = lambda c: F.when(c.isNotNull(), c.try_cast("int"))
-    typed_text = F.regexp_extract(j.text(f"{gtfs}.route_type"), r"^\s*([+-]?[0-9]+)\s*$", 1)
-    delay = j.number("properties.delay")
+    typed_text = F.regexp_extract(j("gtfs_.route_type").text(), r"^\s*([+-]?[0-9]+)\s*$", 1)
+    delay = j("properties_.delay").number()
     # A feature that is no object has no id.
-    kept = f.filter(
-        j.usable("properties") & j.usable(trip) & j.usable(gtfs) & j.usable("geometry") & (delay.isNotNull() | j.usable(f"{last}.delay")))
-    stops = [j.at(f"{last}.{side}.{c}", kind).alias(f"{side}_{c}") for side in ("last_stop", "next_stop") for c, kind in (("id", "string"), ("sequence", "int"), ("arrival_time", "string"), ("departure_time", "string"))]
-    rows = kept.select(
-        F.coalesce(j.value("properties.vehicle_id"), j.value(f"{trip}.vehicle_registration_number"), j.value(f"{gtfs}.trip_id")).alias("vehicle_id"),
-        F.coalesce(j.text("properties.route_short_name"), j.text(f"{gtfs}.route_short_name"), j.text(f"{gtfs}.route_id"), j.text(f"{trip}.origin_route_name"), F.lit("unknown")).alias("line"),
-        whole(F.coalesce(delay, j.number(f"{last}.delay.actual"), F.lit(0.0))).alias("delay"), whole(j.number(f"{last}.speed")).alias("speed"),
-        j.at("geometry.coordinates[1]", "double").alias("lat"), j.at("geometry.coordinates[0]", "double").alias("lon"), blank_to_null(j.text(f"{gtfs}.route_id")).alias("route_id"),
-        j.at(f"{gtfs}.trip_id", "string").alias("trip_id"), F.coalesce(whole(j.number(f"{gtfs}.route_type", boolean=False)), F.nullif(typed_text, F.lit("")).try_cast("int")).alias("route_type"),
-        j.text(f"{last}.state_position").alias("state_position"), F.coalesce(j.value(f"{last}.origin_timestamp"), F.col("ingest_ts")).alias("observation_ts"), *stops,
+    kept = usable("properties") & usable("trip") & usable("gtfs") & usable("geometry") & (delay.isNotNull() | usable("late"))
+    stops = [j(f"{side}_.{c}").of(kind).alias(f"{side}_{c}") for side in ("last_stop", "next_stop") for c, kind in (("id", "string"), ("sequence", "int"), ("arrival_time", "string"), ("departure_time", "string"))]
+    rows = f.select(
+        F.when(kept, F.coalesce(j("properties_.vehicle_id").value(), j("trip_.vehicle_registration_number").value(), j("gtfs_.trip_id").value())).alias("vehicle_id"),
+        F.coalesce(j("properties_.route_short_name").text(), j("gtfs_.route_short_name").text(), j("gtfs_.route_id").text(), j("trip_.origin_route_name").text(), F.lit("unknown")).alias("line"),
+        whole(F.coalesce(delay, j("late_.actual").number(), F.lit(0.0))).alias("delay"), whole(j("last_.speed").number()).alias("speed"),
+        j("geometry_.coordinates").of("double", "$[1]").alias("lat"), j("geometry_.coordinates").of("double", "$[0]").alias("lon"), blank_to_null(j("gtfs_.route_id").text()).alias("route_id"),
+        j("gtfs_.trip_id").of("string").alias("trip_id"), F.coalesce(whole(j("gtfs_.route_type").number(boolean=False)), F.nullif(typed_text, F.lit("")).try_cast("int")).alias("route_type"),
+        j("last_.state_position").text().alias("state_position"), F.coalesce(j("last_.origin_timestamp").value(), F.col("ingest_ts")).alias("observation_ts"), *stops,
     )
-    return with_mode(rows).filter("vehicle_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    return kept_once(with_mode(rows), F.expr("vehicle_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL"))
 
 
 def coerce_alerts(raw: DataFrame) -> DataFrame:
