@@ -259,29 +259,32 @@ def parse_feed(snapshots: DataFrame) -> DataFrame:
     Objects are opened one inside the other, each once, so that no path is walked again for every leaf.
     """
     each = snapshots.select("ingest_ts", F.explode(F.from_json("value", "features array<string>")["features"]).alias("text"))
+    j = lambda path: Json(F.col(path))
+    usable = lambda c: F.col(f"{c}_").isNotNull() | j(c).empty()
     f = opened(each.select("ingest_ts", F.try_parse_json("text").alias("feature")), {"feature": "geometry properties"})
     f = f.select("ingest_ts", "feature_.geometry", "feature_.properties")
     f = opened(f, {"geometry": "coordinates", "properties": "vehicle_id route_short_name delay trip last_position"})
-    f = opened(f.withColumns({"trip": F.col("properties_.trip"), "last": F.col("properties_.last_position")}), {"trip": "vehicle_registration_number gtfs origin_route_name", "last": "delay speed state_position origin_timestamp last_stop next_stop"})
+    f = kept_once(f, usable("properties") & usable("geometry"))
+    f = opened(f.select("ingest_ts", "geometry_", "properties_", F.col("properties_.trip").alias("trip"), F.col("properties_.last_position").alias("last")), {"trip": "vehicle_registration_number gtfs origin_route_name", "last": "delay speed state_position origin_timestamp last_stop next_stop"})
     f = f.withColumns({"gtfs": F.col("trip_.gtfs"), "late": F.col("last_.delay"), "last_stop": F.col("last_.last_stop"), "next_stop": F.col("last_.next_stop")})
     f = opened(f, {"gtfs": "trip_id route_short_name route_id route_type", "late": "actual", "last_stop": "id sequence arrival_time departure_time", "next_stop": "id sequence arrival_time departure_time"})
-    j = lambda path: Json(F.col(path))
-    usable = lambda c: F.col(f"{c}_").isNotNull() | j(c).empty()
+    f = kept_once(f.withColumn("set_delay", j("properties_.delay").number()), usable("trip") & usable("gtfs") & (F.col("set_delay").isNotNull() | usable("late")))
     whole = lambda c: F.when(c.isNotNull(), c.try_cast("int"))
     typed_text = F.regexp_extract(j("gtfs_.route_type").text(), r"^\s*([+-]?[0-9]+)\s*$", 1)
-    delay = j("properties_.delay").number()
+    places = {"lat": "$[1]", "lon": "$[0]"}
     # A feature that is no object has no id.
-    kept = usable("properties") & usable("trip") & usable("gtfs") & usable("geometry") & (delay.isNotNull() | usable("late"))
+    f = f.withColumn("vehicle_id", F.coalesce(j("properties_.vehicle_id").value(), j("trip_.vehicle_registration_number").value(), j("gtfs_.trip_id").value()))
+    f = kept_once(f.withColumns({c: j("geometry_.coordinates").of("double", path) for c, path in places.items()}), F.expr("vehicle_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL"))
     stops = [j(f"{side}_.{c}").of(kind).alias(f"{side}_{c}") for side in ("last_stop", "next_stop") for c, kind in (("id", "string"), ("sequence", "int"), ("arrival_time", "string"), ("departure_time", "string"))]
     rows = f.select(
-        F.when(kept, F.coalesce(j("properties_.vehicle_id").value(), j("trip_.vehicle_registration_number").value(), j("gtfs_.trip_id").value())).alias("vehicle_id"),
+        "vehicle_id",
         F.coalesce(j("properties_.route_short_name").text(), j("gtfs_.route_short_name").text(), j("gtfs_.route_id").text(), j("trip_.origin_route_name").text(), F.lit("unknown")).alias("line"),
-        whole(F.coalesce(delay, j("late_.actual").number(), F.lit(0.0))).alias("delay"), whole(j("last_.speed").number()).alias("speed"),
-        j("geometry_.coordinates").of("double", "$[1]").alias("lat"), j("geometry_.coordinates").of("double", "$[0]").alias("lon"), blank_to_null(j("gtfs_.route_id").text()).alias("route_id"),
+        whole(F.coalesce("set_delay", j("late_.actual").number(), F.lit(0.0))).alias("delay"), whole(j("last_.speed").number()).alias("speed"),
+        "lat", "lon", blank_to_null(j("gtfs_.route_id").text()).alias("route_id"),
         j("gtfs_.trip_id").of("string").alias("trip_id"), F.coalesce(whole(j("gtfs_.route_type").number(boolean=False)), F.nullif(typed_text, F.lit("")).try_cast("int")).alias("route_type"),
         j("last_.state_position").text().alias("state_position"), F.coalesce(j("last_.origin_timestamp").value(), F.col("ingest_ts")).alias("observation_ts"), *stops,
     )
-    return kept_once(with_mode(rows), F.expr("vehicle_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL"))
+    return with_mode(rows)
 
 
 def coerce_alerts(raw: DataFrame) -> DataFrame:
